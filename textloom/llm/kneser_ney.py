@@ -43,11 +43,11 @@ from .common import new_path, remainder
 
 END, START = 1, 2
 MASK = np.uint64((1 << 48) - 1)
-#: Tokens that are counted or scored in arrays at a time.
-STEP_TOKENS = 3_000_000
+#: Tokens that are counted, and that are scored, in arrays at a time.
+COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
 #: Bytes of training text a shard.
-SHARD_BYTES = 32 << 20
-TABLE_ENTRIES = 500_000
+SHARD_BYTES = 16 << 20
+TABLE_ENTRIES = 200_000
 WORD_FIELDS = ("total", "n1", "n2", "n3", "types", "count")
 
 
@@ -71,16 +71,16 @@ class Hasher:
             return list(map(self.table.__getitem__, words))
 
 
-def _steps(texts, hasher):
+def _steps(texts, hasher, most):
     """(sequence of hashes, end of each text): START w1 .. wn END for each text."""
     held, ends = [], []
     for t in texts:
         held.append(START)
         # bytes.lower() and bytes.split() know A-Z and the six ASCII white-space characters only.
-        held += hasher((t or "").encode().lower().split())
+        held += hasher((t.as_py() or "").encode().lower().split())
         held.append(END)
         ends.append(len(held))
-        if len(held) > STEP_TOKENS:
+        if len(held) > most:
             yield np.array(held, np.uint64), np.array(ends)
             held, ends = [], []
     if ends:
@@ -135,7 +135,7 @@ def _count(bits: int):
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            for seq, _ in _steps(b.column(0).to_pylist(), hasher):
+            for seq, _ in _steps(b.column(0), hasher, COUNT_TOKENS):
                 u, w = seq[:-1], seq[1:]
                 real = u != END
                 u, w = u[real], w[real]
@@ -291,7 +291,7 @@ def score_texts(docs: DataFrame, about: dict, key: str = "doc_id", text: str = "
         hasher, model = Hasher(), Model(about)
         for b in batches:
             at = 0
-            for seq, ends in _steps(b.column(1).to_pylist(), hasher):
+            for seq, ends in _steps(b.column(1), hasher, SCORE_TOKENS):
                 n, known, base, score = model.score(seq, ends)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), about["tokens"], np.int64)), pa.array(base), pa.array(score)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 at += len(ends)
