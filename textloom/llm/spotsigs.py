@@ -36,19 +36,40 @@ le la les de des du et un une que qui est en dans pour par sur il elle au ce se
 der die das und den dem ein eine ist im zu von mit sich nicht auch auf für er sie es wird
 el los las y una por con para su del al lo como más se no
 """.split()
-_ANCHOR = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
+
+
+def _alternatives(words: set[str]) -> str:
+    """A pattern for the words that shares their beginnings, so that a mismatch
+    is seen at the first letter."""
+    rest: dict[str, set[str]] = {}
+    for w in words - {""}:
+        rest.setdefault(w[0], set()).add(w[1:])
+    if not rest:
+        return ""
+    found = "|".join(c + _alternatives(rest[c]) for c in sorted(rest))
+    return f"(?:{found})" + "?" * ("" in words) if len(rest) > 1 or "" in words else found
+
+
+_ANCHOR = _alternatives(set(ANCHORS))
 #: Rows of one window of neighbours.
 NEIGHBOURS = 512
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spots(text: Column, chain: int = CHAIN) -> Column:
     """array<long>: the sorted set of a text's spot hashes."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    # Each run of anchor words becomes one mark at the word that follows it.
-    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), rf"(?<= )(?:(?:{_ANCHOR}) )+(?=[^ ])", "\u0001")
-    marked = F.when(words == "", F.lit("")).when(F.instr(marked, "\u0001") == 0, F.regexp_replace(marked, r" (?=[^ ])", " \u0001")).otherwise(F.concat(F.lit(" \u0001"), F.substring(marked, 2, 1 << 30)))
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # Each anchor word becomes a mark, so that the last mark of a run of anchors stands at the word that
+    # follows it. One match for each anchor: a repeated group would recurse as deep as the run is long.
+    marked = F.regexp_replace(words, rf"(?<= ){_ANCHOR} ", "\u0001")
+    # The start of the text is an anchor; without any other every word is anchored.
+    marked = _let(marked, lambda m: F.when(F.instr(m, "\u0001") > 0, F.concat(F.lit("\u0001"), F.ltrim(m))).otherwise(F.translate(m, " ", "\u0001")))
     found = F.regexp_extract_all(marked, F.lit(rf"\x01(?=([^ \x01]+(?:[ \x01]+[^ \x01]+){{0,{chain - 1}}}))"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
 def fingerprint(spots: Column) -> Column:
