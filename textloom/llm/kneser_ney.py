@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remainder
+from .common import new_path, remainder, trimmed
 
 END, START = 1, 2
 MASK = np.uint64((1 << 48) - 1)
@@ -144,6 +144,7 @@ def _count(bits: int):
                 cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
                 rows = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "u", "w", "c"])
+        trimmed()
 
     return run
 
@@ -295,6 +296,7 @@ def score_texts(docs: DataFrame, about: dict, key: str = "doc_id", text: str = "
                 n, known, base, score = model.score(seq, ends)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), about["tokens"], np.int64)), pa.array(base), pa.array(score)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
                 at += len(ends)
+        trimmed()
 
     frame = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     return frame.mapInArrow(run, f"`{key}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, trimmed
 
 ORDER = 4
 SAMPLE = 300
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -198,11 +198,14 @@ def _predictor(cast):
         for t in texts:
             if t:
                 words.update(LETTERS.findall(t.lower()))
-                if len(words) > 50_000:
+                if len(words) > 20_000:
                     warm(words, trees)
                     words = set()
         warm(words, trees)
-        return pd.DataFrame([one(t, trees) for t in texts], columns=["lang", "score", "bits"])
+        del words
+        made = pd.DataFrame([one(t, trees) for t in texts], columns=["lang", "score", "bits"])
+        trimmed()
+        return made
 
     def warm(words, trees):
         new = [w for w in words if w not in table]

@@ -26,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 MARK = "▁"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 #: Texts of one step: no step holds more characters than this, or one text.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 _SPACED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -83,10 +85,10 @@ class Codec:
         return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
 
 
-def steps(texts: list[str | None]) -> Iterable[list[str]]:
+def steps(texts: pa.Array) -> Iterable[list[str]]:
     held, size = [], 0
     for t in texts:
-        held.append(t or "")
+        held.append(t.as_py() or "")
         size += len(held[-1])
         if size > STEP_CHARS:
             yield held
@@ -108,7 +110,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
         codec = Codec(model)
         for b in batches:
             at = 0
-            for part in steps(b.column(1).to_pylist()):
+            for part in steps(b.column(1)):
                 packed = codec.encode(part)
                 cols = {}
                 if {"decoded", "decoded_sha256"} & set(outputs):
@@ -122,6 +124,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
                 }
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), *(pa.array(made[o](), OUTPUTS[o]) for o in outputs)], names=[key, *outputs])
                 at += len(part)
+        trimmed()
 
     return frame.mapInArrow(run, ", ".join([f"`{key}` long", *(f"{o} {_DDL[o]}" for o in outputs)]))
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, trimmed
 from .components import connected_components
 
 TILE = 8192
@@ -236,6 +236,7 @@ def _sketches(k: int):
                     keys.append(key.view(np.int64))
                     marks.append((s >> np.uint64(24)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["node", "fp", "keys", "marks"])
+        trimmed()
 
     return run
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .pieces import MARK, TABLE_ENTRIES, check_model, chunk_keys, default_model, steps
 
 LONG = 400
@@ -134,7 +135,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id",
         merges, table = MergeTable(model), {}
         for b in batches:
             counts, sizes = [], []
-            for part in steps(b.column(1).to_pylist()):
+            for part in steps(b.column(1)):
                 keys = [chunk_keys(t) if t else [] for t in part]
                 if len(table) > TABLE_ENTRIES:
                     table.clear()
@@ -144,6 +145,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id",
                 counts += [sum(map(get, ks)) for ks in keys]
                 sizes += [len(t.encode()) for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[key, "n_bytes", "n_tokens"])
+        trimmed()
 
     return frame.mapInArrow(run, f"`{key}` long, n_bytes long, n_tokens long")
 
