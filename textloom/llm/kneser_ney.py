@@ -48,6 +48,8 @@ COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
 #: Bytes of training text a shard.
 SHARD_BYTES = 16 << 20
 TABLE_ENTRIES = 200_000
+#: Counts from here on are kept apart.
+MANY = 255
 WORD_FIELDS = ("total", "n1", "n2", "n3", "types", "count")
 
 
@@ -113,6 +115,14 @@ def _summed(keys: np.ndarray, *values: np.ndarray):
     return keys[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values], order[first]
 
 
+def _squeezed(table: np.ndarray) -> bytes:
+    return len(table.tobytes()).to_bytes(8, "little") + pa.compress(table.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosened(b: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), "<i8")
+
+
 def _local(path: str) -> str:
     scheme, found, rest = path.partition(":")
     if not found or path.startswith("/"):
@@ -157,7 +167,10 @@ def _merge(folder: str, bits: int):
         h, (c,), first = _summed(bigram_hash(u, w), c)
         u, w = u[first], w[first]
         _store(folder, f"g{shard}h", h)
-        _store(folder, f"g{shard}c", np.minimum(c, 2**32 - 1).astype(np.uint32))
+        # One byte a count; the few counts above it stand apart with their places.
+        many = np.flatnonzero(c >= MANY)
+        _store(folder, f"g{shard}c", np.minimum(c, MANY).astype(np.uint8))
+        _store(folder, f"g{shard}m", np.stack([many, c[many]]))
         one = lambda k: (c == k).astype(np.int64)
         words, context, _ = _summed(u, c, one(1), one(2), (c > 2).astype(np.int64))
         after, (types, count), _ = _summed(w, np.ones(len(c), np.int64), c)
@@ -167,8 +180,10 @@ def _merge(folder: str, bits: int):
         table[4:, np.searchsorted(every, after)] = types, count
         part = (every >> np.uint64(48 - bits)).astype(np.int64)
         cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-        rows = [(k, _six(every[a:z]), table[:, a:z].astype("<i8").tobytes()) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-        rows.append((-1, b"", np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<i8").tobytes()))
+        rows = [(k, _six(every[a:z]), _squeezed(table[:, a:z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
+        rows.append((-1, b"", _squeezed(np.array([(c == k).sum() for k in (1, 2, 3, 4)]))))
+        del u, w, c, h, table
+        trimmed()
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "word": pa.array([r[1] for r in rows], pa.binary()), "table": pa.array([r[2] for r in rows], pa.binary())})
 
     return merge
@@ -179,14 +194,15 @@ def _words(folder: str):
         part = g.column("part")[0].as_py()
         stats = np.zeros(7, np.int64)
         if part < 0:
-            stats[:4] = np.sum([np.frombuffer(x, "<i8") for x in g.column("table").to_pylist()], axis=0)
+            stats[:4] = np.sum([_loosened(x) for x in g.column("table").to_pylist()], axis=0)
         else:
             keys = _from_six(b"".join(g.column("word").to_pylist()))
-            table = np.concatenate([np.frombuffer(x, "<i8").reshape(6, -1) for x in g.column("table").to_pylist()], axis=1)
+            table = np.concatenate([_loosened(x.as_py()).reshape(6, -1) for x in g.column("table")], axis=1)
             keys, table, _ = _summed(keys, *table)
             _store(folder, f"w{part}h", keys)
             _store(folder, f"w{part}t", np.stack(table, axis=1))
             types, count = table[4], table[5]
+            trimmed()
             stats[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), types.sum(), count.sum(), (count > 0).sum()]
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([stats.tolist()], pa.list_(pa.int64()))})
 
@@ -250,7 +266,11 @@ class Model:
         """Counts of sorted bigram hashes."""
         out = np.zeros(len(keys), np.int64)
         for k, s, at, hit in self._found("g", keys, 64 - self.about["bits"], 1 << self.about["bits"]):
-            out[s][hit] = self._map(f"g{k}c")[at[hit]]
+            c = self._map(f"g{k}c")[at[hit]].astype(np.int64)
+            if (high := np.flatnonzero(c == MANY)).size:
+                places, counts = self._map(f"g{k}m")
+                c[high] = counts[np.searchsorted(places, at[hit][high])]
+            out[s][hit] = c
         return out
 
     def score(self, seq: np.ndarray, ends: np.ndarray):
