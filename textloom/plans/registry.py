@@ -1,7 +1,252 @@
-"""Named queries over the test tables and their SQL."""
+"""Named queries over the test tables and their SQL.
+
+Files, versions and pairs are read from the tables as they are: a source of
+`documents` is a snapshot whose files are its documents by position, the next
+source by code point is the snapshot after it, and neighbouring turns of a
+conversation are the two versions of a text.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import similarity, text
+from ..operators import align, diff, ledger, review, structure
+from ..sources.decode import decode_col
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(before, after) trees keyed by cmp, the rank of the earlier source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.octet_length("text").alias("length"))
+    rank = docs.select("source").distinct().withColumn("cmp", F.dense_rank().over(Window.orderBy("source")))
+    path = F.format_string("f%06d.txt", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    files = docs.withColumn("path", path).join(rank, "source").select("cmp", "path", "sha", "length")
+    return files, files.withColumn("cmp", F.col("cmp") - 1).where("cmp > 0").select("cmp", "path", "sha", "length")
+
+
+def _ledger(spark, sf_dir):
+    before, after = _snapshots(spark, sf_dir)
+    last = before.agg(F.max("cmp")).first()[0]
+    return ledger.file_ledger(before.where(F.col("cmp") < last), after, ("cmp",))
+
+
+_SNAP = """
+WITH s AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS sha FROM documents),
+k AS (SELECT source, dense_rank() OVER (ORDER BY source) AS cmp FROM (SELECT DISTINCT source FROM s)),
+f AS (SELECT cmp, printf('f%06d.txt', row_number() OVER (PARTITION BY s.source ORDER BY doc_id)) AS path, sha FROM s JOIN k USING (source)),
+b AS (SELECT * FROM f WHERE cmp < (SELECT max(cmp) FROM f)),
+a AS (SELECT cmp - 1 AS cmp, path, sha FROM f WHERE cmp > 1),
+j AS (SELECT cmp, path, b.sha AS bs, a.sha AS s2 FROM b FULL JOIN a USING (cmp, path)),
+g AS (SELECT *, count(*) OVER (PARTITION BY cmp, bs) AS n FROM j WHERE s2 IS NULL),
+w AS (SELECT *, count(*) OVER (PARTITION BY cmp, s2) AS n FROM j WHERE bs IS NULL),
+r AS (SELECT g.cmp, g.path AS bp, w.path AS ap, g.bs AS sha FROM g JOIN w ON g.cmp = w.cmp AND g.bs = w.s2 AND g.n = 1 AND w.n = 1),
+l AS (
+  SELECT cmp, 'modified' AS kind, path AS before_path, path AS after_path, bs AS before_sha, s2 AS after_sha FROM j WHERE bs <> s2
+  UNION ALL SELECT cmp, 'renamed', bp, ap, sha, sha FROM r
+  UNION ALL SELECT cmp, 'deleted', path, NULL, bs, NULL FROM g WHERE (cmp, path) NOT IN (SELECT (cmp, bp) FROM r)
+  UNION ALL SELECT cmp, 'added', NULL, path, NULL, s2 FROM w WHERE (cmp, path) NOT IN (SELECT (cmp, ap) FROM r))
+"""
+
+
+def file_ledger(spark, sf_dir):
+    return _ledger(spark, sf_dir).withColumn("cmp", F.col("cmp").cast("long"))
+
+
+def changes_by_kind(spark, sf_dir):
+    return ledger.changes_by_kind(_ledger(spark, sf_dir), ("cmp",)).withColumn("cmp", F.col("cmp").cast("long"))
+
+
+def file_events(spark, sf_dir):
+    return review.change_events(_ledger(spark, sf_dir), ("cmp",))
+
+
+def document_copies_ledger(spark, sf_dir):
+    """Documents as files named by id against their texts' first copies."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("lang"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    snap = ledger.snapshot(docs, keys=("lang",))
+    return snap.groupBy("lang", "sha").agg(F.count("*").alias("copies"), F.min("path").alias("first_path"), F.max("length").cast("long").alias("length"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """(conv_id, turn, old, new): each turn and the next one of its conversation."""
+    t = _table(spark, sf_dir, "conversations")
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.withColumn("new", nxt).where(F.col("new").isNotNull()).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("old"), "new")
+
+
+_TURNS = "WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS old, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS new FROM conversations), p AS (SELECT * FROM t WHERE new IS NOT NULL)\n"
+
+
+def line_hunks(spark, sf_dir):
+    return diff.diff_lines(_turns(spark, sf_dir), "old", "new", ("conv_id", "turn"))
+
+
+def review_events(spark, sf_dir):
+    return review.compare_pairs(_turns(spark, sf_dir), ("conv_id", "turn"))
+
+
+def set_similarity(spark, sf_dir):
+    p = _turns(spark, sf_dir).withColumns({"a": text.word_set(F.col("old")), "b": text.word_set(F.col("new"))})
+    return p.select("conv_id", "turn", F.size("a").cast("long").alias("n_old"), F.size("b").cast("long").alias("n_new"), F.round(similarity.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"), F.round(similarity.containment(F.col("a"), F.col("b")), 9).alias("containment"))
+
+
+def text_similarity(spark, sf_dir):
+    a, b = F.col("old"), F.col("new")
+    return _turns(spark, sf_dir).select("conv_id", "turn", similarity.indel_ratio_col(a, b).alias("indel"), similarity.sequence_ratio_col(a, b).alias("sequence"), similarity.token_similarity_col(a, b).alias("token"))
+
+
+def body_dice(spark, sf_dir):
+    p = _turns(spark, sf_dir).withColumn("pid", F.concat_ws("/", "conv_id", "turn"))
+    left, right = p.select("pid", F.lit("a").alias("x"), F.col("old").alias("body")), p.select("pid", F.lit("b").alias("y"), F.col("new").alias("body"))
+    return ledger.dice_pairs(left, right, ("pid",), "x", "y", least=0).select("pid", F.col("permille").cast("long").alias("permille"))
+
+
+def code_lines(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(text.code_lines(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"), text.content_id(F.col("text")).alias("content_id"))
+
+
+def line_offsets(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    out = review.line_offsets(d, ("doc_id",))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line_no", "byte_start", "byte_end", "utf16_start", "utf16_end")])
+
+
+def text_keys(spark, sf_dir):
+    t = F.col("text")
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(text.compact(t), 256).alias("compact"), F.sha2(text.trim_edges(t), 256).alias("trimmed"), F.sha2(text.collapse_spaces(t), 256).alias("collapsed"), text.punctuation_only(t).alias("punctuation"), text.structure_signature(t)["numbers"].cast("long").alias("numbers"), structure.looks_legal(t).alias("legal"))
+
+
+def unicode_keys(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", text.match_key_col("text").alias("match_key"), text.visible_key_col("text").alias("visible_key"), text.lineage_key_col("text").alias("lineage_key"))
+
+
+def decoded_texts(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.sha2(decode_col(F.encode("text", "UTF-16LE")), 256).alias("utf16_id"), F.sha2(decode_col(F.encode("text", "UTF-8")), 256).alias("utf8_id"))
+
+
+def url_paths(spark, sf_dir):
+    p = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
+    d = _table(spark, sf_dir, "pages").select("page_id", p.alias("p"))
+    return d.select("page_id", text.extension(F.col("p")).alias("extension"), text.supported_file(F.col("p")).alias("supported"), text.safe_relative_path(F.col("p")).alias("safe"))
+
+
+def xml_escaped(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(text.xml_text(F.col("html")), 256).alias("xml_id"))
+
+
+def row_heights(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", review.row_height(F.col("text"), 40).cast("long").alias("height"))
+
+
+def search_rows(spark, sf_dir):
+    return review.search(_table(spark, sf_dir, "documents"), "The  of").select("doc_id")
+
+
+def section_labels(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").withColumn("section", F.col("role"))
+    return review.section_labels(t, ("conv_id",), "turn").select("conv_id", "turn", "section_label")
+
+
+def moved_rows(spark, sf_dir):
+    o = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    new = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey"))
+    old = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey"))
+    m = o.withColumns({"old_ix": old, "new_ix": new})
+    return review.moved_rows(m, ("l_orderkey",)).select("l_orderkey", F.col("old_ix").cast("long").alias("old_ix"), F.col("new_ix").cast("long").alias("new_ix"), "crossed")
+
+
+def vote_map(spark, sf_dir):
+    o = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey")
+    return align.vote_map(o, ("l_returnflag",), "l_partkey", "l_suppkey")
+
+
+def nth_occurrence(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("text", "doc_id", "source")
+    half = F.substring("source", 4, 3).cast("int") < 10
+    return align.nth_occurrence_join(d.where(half).drop("source"), d.where(~half).drop("source"), "text", "doc_id").select("doc_id", "doc_id_right", F.col("nth").cast("long").alias("nth"))
+
+
+def missing_blobs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("content", F.col("text"))
+    stored = ledger.missing_blobs(_table(spark, sf_dir, "benchmark").withColumn("content", F.col("text")), spark.createDataFrame([], "sha string"))
+    return ledger.missing_blobs(docs, stored).select("sha", F.octet_length("content").cast("long").alias("length"))
+
+
+def import_report(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.substring("source", 1, 3), F.lit("/"), F.col("lang"), F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha"))
+    known = _table(spark, sf_dir, "benchmark").select(F.lit("src/en.txt").alias("path"), F.sha2("text", 256).alias("sha"))
+    return ledger.import_report(docs, known)
+
+
+def document_units(spark, sf_dir):
+    return structure.parse_units(_table(spark, sf_dir, "documents"))
+
+
+def list_parts(spark, sf_dir):
+    units = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_ix"), F.col("text").alias("body"))
+    return structure.part_levels(structure.parse_parts(units)).drop("core")
+
+
+def unit_matches(spark, sf_dir):
+    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
+    sides = [structure.parse_units(t.select("comparison_id", F.col(c).alias("text")), keys=("comparison_id",)).withColumn("doc_ord", F.lit(i)) for i, c in enumerate(("old", "new"))]
+    return align.match_units(sides[0].unionByName(sides[1]))
+
+
+FLAGSHIP = "file_ledger"
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches)}
+
+_W = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}\p{Nd}]*"
+_C = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]+"
+ORACLE_SQL = {
+    "file_ledger": _SNAP + "SELECT * FROM l",
+    "changes_by_kind": _SNAP + "SELECT cmp, kind, count(*) AS n FROM l GROUP BY cmp, kind",
+    "document_copies_ledger": "SELECT lang, sha256(coalesce(text, '')) AS sha, count(*) AS copies, min(source || '/' || doc_id || '.txt') AS first_path, CAST(max(strlen(coalesce(text, ''))) AS BIGINT) AS length FROM documents GROUP BY 1, 2",
+    "set_similarity": _TURNS + f""", s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(old), '{_W}')) AS a, list_distinct(regexp_extract_all(lower(new), '{_W}')) AS b FROM p),
+      n AS (SELECT *, len(list_intersect(a, b)) AS c FROM s)
+      SELECT conv_id, turn, CAST(len(a) AS BIGINT) AS n_old, CAST(len(b) AS BIGINT) AS n_new,
+      round(CASE WHEN len(a) + len(b) - c > 0 THEN c / (len(a) + len(b) - c) ELSE 0.0 END, 9) AS jaccard,
+      round(CASE WHEN least(len(a), len(b)) > 0 THEN c / least(len(a), len(b)) ELSE 0.0 END, 9) AS containment FROM n""",
+    "body_dice": _TURNS + f""", x AS (SELECT pid, w, count(*) AS n FROM (SELECT conv_id || '/' || turn AS pid, unnest(regexp_extract_all(old, '{_C}')) AS w FROM p) GROUP BY ALL),
+      y AS (SELECT pid, w, count(*) AS n FROM (SELECT conv_id || '/' || turn AS pid, unnest(regexp_extract_all(new, '{_C}')) AS w FROM p) GROUP BY ALL),
+      sx AS (SELECT pid, sum(n) AS n, count(*) AS k FROM x GROUP BY pid), sy AS (SELECT pid, sum(n) AS n FROM y GROUP BY pid),
+      c AS (SELECT x.pid, sum(least(x.n, y.n)) AS s FROM x JOIN y ON x.pid = y.pid AND x.w = y.w GROUP BY x.pid)
+      SELECT c.pid, CAST(floor(2000 * s / (sx.n + sy.n)) AS BIGINT) AS permille FROM c JOIN sx USING (pid) JOIN sy USING (pid) WHERE sx.n >= 12 AND sy.n >= 12 AND sx.k >= 8""",
+    "code_lines": r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+')) AS BIGINT) AS n_lines, sha256(text) AS content_id FROM documents",
+    "line_offsets": r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS line_no FROM documents),
+      s AS (SELECT doc_id, line_no, strlen(line) AS b, length(line) + len(regexp_extract_all(line, '[\x{10000}-\x{10FFFF}]')) AS u FROM l),
+      r AS (SELECT *, sum(b) OVER w AS be, sum(u) OVER w AS ue FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+      SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(be - b AS BIGINT) AS byte_start, CAST(be AS BIGINT) AS byte_end, CAST(ue - u AS BIGINT) AS utf16_start, CAST(ue AS BIGINT) AS utf16_end FROM r""",
+    "text_keys": r"""SELECT doc_id, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) AS compact, sha256(regexp_replace(text, '^[\s\p{Cf}]+|[\s\p{Cf}]+$', '', 'g')) AS trimmed,
+      sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, (NOT regexp_matches(text, '[\p{L}\p{Nd}]')) AND length(text) > 0 AS punctuation,
+      CAST(len(regexp_extract_all(text, '(?m)^\s*[0-9]{1,3}[.)]\s')) AS BIGINT) AS numbers,
+      len(regexp_extract_all(text, '(?im)^\s*(?:(?:article|section|clause|§)\s*(?:\d+|[IVXLC]+)\b|제\s*\d+\s*조)')) >= 2 AS legal FROM documents""",
+    "decoded_texts": "SELECT doc_id, sha256(text) AS utf16_id, sha256(text) AS utf8_id FROM documents WHERE text IS NOT NULL",
+    "url_paths": rf"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages), e AS (SELECT *, lower(regexp_extract(p, '\.([^./\\]+)$', 1)) AS x, string_split_regex(p, '[/\\]') AS s FROM u)
+      SELECT page_id, x AS extension, x IN ({', '.join(repr(x) for x in text.CODE_EXTENSIONS + ['docx', 'txt'])}) AS supported,
+      length(p) > 0 AND NOT regexp_matches(p, '^([/\\]|[A-Za-z]:)') AND len(list_filter(s, lambda q: q IN ('', '.', '..') OR lower(q) IN ({', '.join(repr(x) for x in text.EXCLUDED_FOLDERS)}))) = 0 AS safe FROM e""",
+    "xml_escaped": r"SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(html, '[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS xml_id FROM pages".replace('\\"', '"'),
+    "row_heights": r"SELECT conv_id, turn, CAST(least(409, 15 * list_sum(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: greatest(1, CAST(ceil((length(x) + length(regexp_replace(x, '[\x00-\x7F]', '', 'g'))) / 40.0) AS BIGINT))))) AS BIGINT) AS height FROM conversations",
+    "search_rows": r"SELECT doc_id FROM documents WHERE contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the of') OR contains(lower(regexp_replace(text, '\s+', '', 'g')), 'theof')",
+    "section_labels": "WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, CASE WHEN coalesce(b, '') <> coalesce(role, '') THEN role END AS section_label FROM t",
+    "moved_rows": """WITH o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey) AS old_ix, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS new_ix FROM lineitem)
+      SELECT l_orderkey, old_ix, new_ix, coalesce(max(new_ix) OVER (PARTITION BY l_orderkey ORDER BY old_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > new_ix, false) OR coalesce(min(new_ix) OVER (PARTITION BY l_orderkey ORDER BY old_ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < new_ix, false) AS crossed FROM o""",
+    "vote_map": """WITH v AS (SELECT l_returnflag, l_partkey, l_suppkey, count(*) AS votes FROM lineitem GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_partkey ORDER BY votes DESC, l_suppkey) AS a, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY votes DESC, l_partkey) AS b FROM v)
+      SELECT l_returnflag, l_partkey, l_suppkey, votes FROM r WHERE a = 1 AND b = 1""",
+    "nth_occurrence": """WITH d AS (SELECT text, doc_id, CAST(substring(source, 4, 3) AS INT) < 10 AS h FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY h, text ORDER BY doc_id) AS nth FROM d)
+      SELECT a.doc_id, b.doc_id AS doc_id_right, a.nth FROM n a JOIN n b ON a.h AND NOT b.h AND a.text = b.text AND a.nth = b.nth""",
+    "missing_blobs": "SELECT DISTINCT sha256(coalesce(text, '')) AS sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM benchmark)",
+    "import_report": """WITH c AS (SELECT substring(source, 1, 3) || '/' || lang || '.txt' AS path, sha256(text) AS sha FROM documents), k AS (SELECT DISTINCT 'src/en.txt' AS path, sha256(text) AS sha FROM benchmark),
+      s AS (SELECT c.path, c.sha, row_number() OVER (PARTITION BY c.path, c.sha) AS n, k.sha IS NOT NULL AS known FROM c LEFT JOIN k ON c.path = k.path AND c.sha = k.sha)
+      SELECT count(*) FILTER (sha IS NOT NULL AND NOT known AND n = 1) AS added, count(*) FILTER (sha IS NOT NULL AND (known OR n > 1)) AS duplicate, CAST(0 AS BIGINT) AS unsupported, count(*) FILTER (sha IS NULL) AS missing FROM s""",
+}
