@@ -1,0 +1,361 @@
+"""Training-data operators against brute force, libraries and held-out rows."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import kneser_ney, language, mixing, pieces, simhash, spotsigs, token_count, topk, toxicity, urls
+from textloom.llm.components import connected_components
+
+DATA = "/root/testdata/sf0.001"
+TEXTS = [None, "", " ", "  a  b  ", "the cat sat on the mat near the river bank today", "the cat sat on the mat near the river bank today", "日本語 😀 x", "%%% 123", "a▁b ▁", "<s> </s>", "é" * 900, "ab" * 20_000, "the " * 5_000, "line\n\tline \x00 \x0b end"]
+SCHEMA = "doc_id long, text string, lang string, source string, extra int, fp string, size string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, ("en", None)[i % 2], ("s", None, "é")[i % 3], i, "x", "y") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[4], rows[4], (None, "null id text here", "en", "s", 0, "x", "y")], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (2, 1), *((100, 100 + i) for i in range(1, 300)), *((500 + i, 501 + i) for i in range(60))]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        return x if root[x] == x else top(root[x])
+
+    for a, b in links:
+        if a is not None and a != b:
+            p, q = top(a), top(b)
+            root[max(p, q)] = min(p, q)
+    assert got == {x: top(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_mixing(spark, odd, none):
+    made = mixing.mix(mixing.sized(docs(spark))).collect()
+    assert sorted(made) == sorted(mixing.mix(mixing.sized(docs(spark))).collect())
+    size = {r.doc_id: len([w for w in (r.text or "").encode().split()]) for r in docs(spark).collect()}
+    source = {r.doc_id: r.source for r in docs(spark).collect()}
+    total = Counter()
+    for d, n in size.items():
+        total[source[d]] += n
+    names = sorted(total)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(total.values()), set(names)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > 2 * total[s]}
+        for s in full or open_:
+            target[s] = 2.0 * total[s] if full else unit * weight[s]
+            left -= target[s] if full else 0
+        open_ -= full or open_
+    taken = Counter()
+    for r in made:
+        assert r.size == size[r.doc_id] and r.source_size == total[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]])
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[source[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(n for d, n in size.items() if source[d] == s)
+    got = mixing.mix(mixing.sized(odd))
+    assert got.count() == odd.count() and all(r.taken <= 2 * r.size for r in got.collect())
+    whole = mixing.mix_documents(odd)
+    assert whole.columns == odd.columns and set(r.doc_id for r in whole.collect()) <= set(r.doc_id for r in odd.collect())
+    assert mixing.mix(mixing.sized(none)).count() == mixing.mix_documents(none).count() == 0
+
+
+def test_mixing_meets_keep_mass():
+    import pandas as pd
+
+    g = pd.DataFrame({"mass": np.arange(1.0, 200), "p": 0.37, "u": np.random.default_rng(1).random(199), "size": 1})
+    out = mixing._meet(g)
+    left = out[(out.p > 1e-9) & (out.p < 1 - 1e-9)]
+    assert len(left) <= 1 and (out.p * out.mass).sum() == pytest.approx((g.p * g.mass).sum())
+
+
+def test_pieces_and_token_counts(spark, odd, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    for frame in (odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), docs(spark)):
+        texts = {r.doc_id: r.text or "" for r in frame.collect()}
+        got = {r.doc_id: r for r in pieces.encode_documents(frame, outputs=tuple(pieces.OUTPUTS)).collect()}
+        counted = {r.doc_id: r for r in token_count.count_tokens(frame).collect()}
+        assert set(got) == set(counted) == set(texts)
+        for d, t in texts.items():
+            ids = sp.encode(t, add_bos=True, add_eos=True)
+            assert list(got[d].ids) == ids and got[d].n_tokens == len(ids) and got[d].decoded == sp.decode(ids)
+            assert got[d].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert got[d].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+            assert counted[d].n_tokens == len(sp.encode(t)) and counted[d].n_bytes == len(t.encode())
+    assert pieces.encode_documents(odd).count() == token_count.count_tokens(odd).count() == odd.count()
+    assert pieces.encode_documents(none).count() == token_count.count_tokens(none).count() == 0
+    back = pieces.decode_ids(pieces.encode_documents(odd))
+    assert back.count() == odd.count()
+
+
+def test_long_pretokens_agree():
+    m = token_count.MergeTable()
+    words = ["▁" + w for w in ("aaaaaaa", "thethethe" * 20, "▁▁▁x", "日本", "intothewild")]
+    assert m.count(words).tolist() == [m._count_long(w) for w in words]
+
+
+def brute_kn(rows):
+    tok = lambda t: ["<s>", *[w.decode() for w in (t or "").encode().lower().split()], "</s>"]
+    c = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update(zip(tok(t), tok(t)[1:]))
+    ctx, types, uni, kinds = Counter(), Counter(), Counter(), Counter()
+    for (u, w), n in c.items():
+        ctx[u] += n
+        types[w] += 1
+        uni[w] += n
+        kinds[u, min(n, 3)] += 1
+    d = (0, *kneser_ney.discounts(*[sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]))
+    low = (0, *kneser_ney.discounts(*[sum(n == k for n in types.values()) for k in (1, 2, 3, 4)]))
+    total, v, n_all = sum(types.values()), len(uni), sum(uni.values())
+    spare = sum(low[min(t, 3)] for t in types.values()) / total
+
+    def p(u, w):
+        base = max(types[w] - low[min(types[w], 3)], 0) / total + spare / (v + 1)
+        if not ctx[u]:
+            return base
+        return max(c[u, w] - d[min(c[u, w], 3)], 0) / ctx[u] + sum(d[k] * kinds[u, k] for k in (1, 2, 3)) / ctx[u] * base
+
+    for i, t in rows:
+        x = tok(t)
+        yield i, len(x) - 1, sum(uni[w] > 0 for w in x[1:]), n_all, sum(math.log10((uni[w] + 0.1) / (n_all + 0.1 * (v + 1))) for w in x[1:]), sum(math.log10(p(u, w)) for u, w in zip(x, x[1:]))
+
+
+def test_kneser_ney(spark, none, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs(spark).collect()] + [(1000, None), (1001, ""), (1002, "the the unseenword"), (1003, "the the " * 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    about = kneser_ney.train(frame.where(kneser_ney.remainder(F.col("doc_id"), 10) != 0))
+    got = {r.doc_id: r for r in kneser_ney.score_texts(frame, about).collect()}
+    for i, n, known, total, base, score in brute_kn(rows):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+    held = [r for r in got.values() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    empty = kneser_ney.train(none)
+    assert kneser_ney.score_texts(none, empty).count() == 0
+    assert [r.score for r in kneser_ney.score_texts(frame.where("doc_id = 1001"), empty).collect()] == [0.0]
+    with pytest.raises(ValueError):
+        kneser_ney.train(frame, model_dir="hdfs://host/x")
+
+
+def test_language(spark, odd, none):
+    got = language.query(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
+    assert r[0] > 0.97 and 0 <= r[1] and r[2] <= 1
+    trees = language.learn(docs(spark))
+    out = {r.doc_id: r for r in language.predict(odd, trees).collect()}
+    assert set(odd.columns) <= set(language.predict(odd, trees).columns)
+    assert [out[i].lang_pred for i in (0, 1, 2, 7)] == ["und"] * 4 and out[4].lang_pred == "en"
+    assert language.predict(none, language.learn(none)).count() == 0
+    assert {r.lang_pred for r in language.predict(odd, language.learn(none)).collect()} == {"und"}
+
+
+def test_language_code_lengths():
+    counts = {"a": Counter({"abc": 3, "abd": 1}), "b": Counter({"xyz": 2})}
+    trees = language.ContextTrees(counts, order=2)
+
+    def plain(word, lang):
+        grams = [Counter() for _ in range(3)]
+        for w, n in counts[lang].items():
+            s = (" " + w).encode()
+            for i in range(len(s)):
+                for k in range(3):
+                    if i >= k and not (k == 0 and s[i] == 32):
+                        grams[k][s[i - k : i + 1]] += n
+        s, bits = (" " + word).encode(), 0.0
+        for i in range(1, len(s)):
+            for k in range(min(2, i), -1, -1):
+                g, c = s[i - k : i + 1], s[i - k : i]
+                under = {x: n for x, n in grams[k].items() if x[:-1] == c}
+                n, q = sum(under.values()), len(under)
+                if g in under:
+                    bits -= math.log2(under[g] / (n + q))
+                    break
+                bits -= math.log2(q / (n + q)) if n else 0
+            else:
+                bits += 8
+        return bits
+
+    words = ["abc", "abx", "xyz", "qq", "é"]
+    assert trees.bits(words) == pytest.approx(np.array([[plain(w, lang) for lang in ("a", "b")] for w in words]))
+
+
+def test_toxicity(spark, odd, none):
+    g = toxicity.Grammar()
+    names = lambda t: [toxicity.PATTERNS[i] for i, n in enumerate(g.features(t)[:-1]) if n]
+    assert names("You are an idiot.") == ["insult_direct"]
+    assert names("What a pathetic plan.") == ["insult_bare"]
+    assert names("He is not an idiot.") == ["insult_negated"]
+    assert names("She said the plan was stupid.") == ["insult_reported"]
+    assert names("I will kill you!") == ["threat_direct"]
+    assert names("idiotic clowning about") == names("") == names(None) == []
+    assert g.features("Loser. " * 9)[1] == toxicity.MOST
+    d = "/root/testdata/sf0.01"
+    got = toxicity.query(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert sum((r.predicted == 1) == (r.toxic == 1) for r in got) / len(got) > 0.9
+    matched = odd.select("doc_id", toxicity.match_counts()("text").alias("f"))
+    w = toxicity.learn(matched, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert list(w) == list(toxicity.PRIOR) and matched.count() == odd.count()
+    assert none.select(toxicity.match_counts()("text").alias("f")).count() == 0
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, None), (303, [None] * 6), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (None, rows[1][1]), (350, rows[2][1])]
+    got = topk.top_k(topk.quantized(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>")), topk.quantized(df).where("vec_id % 50 = 0")).collect()
+    v = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x and x[0] is not None and np.isfinite(x).all()}
+    want = {(q, n, i, s) for q in v if q % 50 == 0 for n, (s, i) in enumerate(sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5], 1) for s in (-s,)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    few = topk.top_k(topk.quantized(df).where("vec_id < 3"), topk.quantized(df).where("vec_id = 0"))
+    assert few.count() == 2 and topk.top_k(topk.quantized(df).where("false"), topk.quantized(df)).count() == 0
+    big = spark.createDataFrame([(0, [1 << 30, 1]), (1, [1 << 30, 3]), (2, [1 << 30, 2])], "vec_id long, embedding array<long>")
+    assert [r.score for r in topk.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [(1 << 60) + 3, (1 << 60) + 2]
+
+
+def brute_components(fps, radius):
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                p, q = top(i), top(j)
+                root[max(p, q)] = min(p, q)
+    return [top(i) for i in range(len(fps))]
+
+
+def test_simhash(spark, odd, none, monkeypatch):
+    import xxhash
+
+    rows = docs(spark).orderBy("doc_id").collect()
+
+    def plain(t):
+        w = (t or "").encode().lower().split()
+        hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+    fps = [plain(r.text) for r in rows]
+    got = {r.doc_id: r for r in simhash.query(spark, DATA).collect()}
+    comp = brute_components(fps, 4)
+    for i, r in enumerate(rows):
+        assert got[r.doc_id].fingerprint == f"{fps[i]:016x}" and got[r.doc_id].component_id == rows[comp[i]].doc_id
+    out = simhash.near_duplicates(odd).collect()
+    assert len(out) == odd.count() and {r.fp for r in out if r.doc_id in (0, 1, 2)} == {0}
+    assert simhash.near_duplicates(none).count() == simhash.near_copies(none).count() == 0
+    # Close values around one centre, more than a tile of them: no link between them is lost.
+    monkeypatch.setattr(simhash, "TILE", 64)
+    rng = np.random.default_rng(3)
+    near = sorted({int(0x123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 6), replace=False))) for _ in range(300)} | {int(x) for x in rng.integers(0, 1 << 62, 100)})
+    links = simhash.close_pairs(spark.createDataFrame([(x,) for x in near], "fp long"))
+    parts = {r.node: r.component for r in connected_components(links).collect()}
+    want = brute_components(near, 4)
+    assert [parts.get(x, x) for x in near] == [near[i] for i in want]
+
+
+def test_near_copies(spark, odd):
+    words = [f"w{i}" for i in range(200)]
+    edit = words.copy()
+    edit[100] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(edit)), (3, " ".join(words)), (4, " ".join(f"v{i}" for i in range(200))), (5, " ".join(words[:100] + [f"u{i}" for i in range(100)])), (1, " ".join(words))]
+    kept = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert simhash.near_copies(odd).columns == odd.columns and simhash.near_copies(odd).where("doc_id IN (4, 5)").count() == 1
+
+
+def test_spotsigs(spark, odd, none):
+    got = {r.doc_id: r for r in spotsigs.query(spark, DATA).collect()}
+    rows = docs(spark).orderBy("doc_id").collect()
+    for i, r in enumerate(rows):
+        other, n = rows[i - 1].text or "", len(r.text or "")
+        half = n // 2
+        text = (r.text or "")[: n - half] + other[:half]
+        assert got[r.doc_id].n_chars == n and got[r.doc_id].edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert 0 <= got[r.doc_id].near_edited <= 1
+    assert np.mean([x.near_edited > x.near_next for x in got.values()]) > 0.8
+    same = {}
+    for r in rows:
+        same.setdefault(r.text, set()).add(got[r.doc_id].fingerprint)
+    assert all(len(f) == 1 for f in same.values())
+    odd.createOrReplaceTempView("odd")
+    out = spotsigs.with_next(odd)
+    assert out.count() == odd.count() and spotsigs.with_next(none).count() == 0 and out.where("next_text IS NULL").count() == 0
+    one = spark.createDataFrame([(7, "the cat sat down")], "doc_id long, text string")
+    assert spotsigs.with_next(one).first().next_text == "the cat sat down"
+    members, pairs = spotsigs.similar(docs(spark))
+    sets = {r.set_id: set(r.s) for r in docs(spark).select(spotsigs.spots(F.col("text")).alias("s")).withColumn("set_id", spotsigs.fingerprint(F.col("s"))).collect()}
+    ids = sorted(k for k, s in sets.items() if s)
+    want = {frozenset((a, b)) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {frozenset((r.a, r.b)) for r in pairs.collect()} == want and members.count() == len(rows)
+
+
+def test_urls(spark):
+    page = lambda u: f"<html><link href='{u}' rel=canonical></html>"
+    rows = [
+        (1, "http://a.example.org/es/x", None), (2, "https://b.net/p", page("http://a.example.org/es/x")), (3, "http://www.b.net/p?utm_source=z#f", ""),
+        (4, "http://c.org/ok", page("https://b.net/p")), (5, None, None), (6, "no-scheme", None), (7, "HTTP://X.COM/de/1", None), (8, "http://other.net/", None),
+        (9, "http://example.org/en/12", None), (9, "http://example.org/en/12", None), (10, "http://badexample.org/es/", None), (11, "http://d.net?q=1", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in urls.judge(df, redirects=spark.createDataFrame([("http://d.net?q=1", "http://x.com/de/1")], "source string, target string")).collect()}
+    assert {k: v.verdict for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "block", 10: "allow", 11: "block"}
+    assert got[7].host == "x.com" and got[7].rule == "com/de/" and got[5].host == got[6].path == "" and got[2].rule is None and got[4].rule == "org/"
+    assert urls.judge(df).count() == len(rows) and urls.judge(df.where("false")).count() == 0
+
+
+def test_registered_sql(spark):
+    import duckdb
+
+    from textloom.llm.queries import ORACLE_SQL, QUERIES
+
+    cx = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        cx.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, DATA)
+        cols = sorted(df.columns)
+        assert sorted(map(tuple, df.select(*cols).collect()), key=str) == sorted(cx.sql(sql).select(*cols).fetchall(), key=str), name
+
+
+def test_pipeline(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 100 and out.columns[0] == "doc_id"
+    for frame in (odd, none):
+        at = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, DATA)
+            assert at.columns == frame.columns, name
+            at.write.parquet(str(tmp_path / f"{name}-{frame is none}"))
+            at = spark.read.parquet(str(tmp_path / f"{name}-{frame is none}"))
+        assert corpus_pipeline.STAGES[-1][1](spark, at, DATA).count() == at.count()
