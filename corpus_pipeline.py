@@ -32,7 +32,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not predicted to be toxic."""
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
-    counts = toxicity.match_counts()(F.col("text").cast("string"))
+    counts = toxicity.match_counts(toxicity.learn_stems(docs, labels))(F.col("text").cast("string"))
     matched = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), counts.alias("f")), "toxic")
     weights = toxicity.learn(matched, labels)
     kept = docs.withColumn("__toxic", counts).where(toxicity.score(F.col("__toxic"), weights) < toxicity.THRESHOLD)
