@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, meaningful_body
 from ..functions.vectorized import vectorized
+from ..storage import saved
 from .ledger import dice_pairs
 
 MOST_BYTES, MOST_SYMBOLS, MOST_DEPTH = 2 << 20, 5_000, 128
@@ -125,17 +126,22 @@ def ast_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path
     """(keys, change, kind, before_name, after_name, byte ranges) of two versions
     of files: modify by identity, then rename or move by body, then add and delete."""
     k = list(keys)
+    before, after = saved(before), saved(after)
     ident = [*k, "kind", "scope", "name"]
     cols = lambda df, side: df.select(*k, "kind", *[F.col(c).alias(f"{side}_{c}") for c in ("scope", "name", "body", "source", "byte_start", "byte_end")])
-    same = cols(_single(before, ident), "before").join(cols(_single(after, ident), "after").withColumnsRenamed({}), [*k, "kind"]).where("before_scope = after_scope AND before_name = after_name")
+    one = lambda df, side: cols(_single(df, ident), side).withColumns({"scope": F.col(f"{side}_scope"), "name": F.col(f"{side}_name")})
+    same = one(before, "before").join(one(after, "after"), ident)
+    same = saved(same)
     out = ["change", "kind", "before_name", "after_name", "before_byte_start", "before_byte_end", "after_byte_start", "after_byte_end"]
     modified = same.where("before_source <> after_source").withColumn("change", F.lit("modify")).select(*k, *out)
     used_b = same.select(*k, "kind", F.col("before_byte_start").alias("byte_start"))
     used_a = same.select(*k, "kind", F.col("after_byte_start").alias("byte_start"))
     left, right = before.join(used_b, [*k, "kind", "byte_start"], "left_anti"), after.join(used_a, [*k, "kind", "byte_start"], "left_anti")
+    left, right = saved(left), saved(right)
     body = [*k, "kind", "body"]
     moved = cols(_single(left.where(meaningful_body(F.col("body"))), body), "before").withColumn("body", F.col("before_body")).join(cols(_single(right.where(meaningful_body(F.col("body"))), body), "after").withColumn("body", F.col("after_body")), body)
     moved = moved.withColumn("change", F.when(F.col("before_scope") == F.col("after_scope"), "rename").otherwise("move")).select(*k, *out)
+    moved = saved(moved)
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     gone = left.join(moved.select(*k, "kind", F.col("before_byte_start").alias("byte_start")), [*k, "kind", "byte_start"], "left_anti")
     new = right.join(moved.select(*k, "kind", F.col("after_byte_start").alias("byte_start")), [*k, "kind", "byte_start"], "left_anti")
@@ -152,22 +158,23 @@ def symbol_moves(before: DataFrame, after: DataFrame, ledger: DataFrame) -> Data
     renamed = ledger.where("kind = 'renamed'")
     b = before.where(eligible).join(renamed.select(F.col("before_path").alias("path")), "path", "left_anti")
     a = after.where(eligible).join(renamed.select(F.col("after_path").alias("path")), "path", "left_anti")
+    b, a = saved(b), saved(a)
     stay = ["path", "language", "kind", "scope", "name"]
     left, right = b.join(a.select(stay).distinct(), stay, "left_anti"), a.join(b.select(stay).distinct(), stay, "left_anti")
     sid = F.concat_ws("\u0001", "path", "byte_start")
-    left, right = left.withColumn("before_id", sid), right.withColumn("after_id", sid)
+    left, right = saved(left.withColumn("before_id", sid)), saved(right.withColumn("after_id", sid))
 
     def named(pairs: DataFrame, how: str) -> DataFrame:
         x = left.select("before_id", F.col("path").alias("before_path"), "kind", F.col("name").alias("before_name"), F.col("byte_start").alias("before_start"), F.col("byte_end").alias("before_end"))
         y = right.select("after_id", F.col("path").alias("after_path"), F.col("name").alias("after_name"), F.col("byte_start").alias("after_start"), F.col("byte_end").alias("after_end"))
-        return pairs.join(x, "before_id").join(y, "after_id").where("before_path <> after_path").withColumn("how", F.lit(how))
+        return saved(pairs.join(x, "before_id").join(y, "after_id").where("before_path <> after_path").withColumn("how", F.lit(how)))
 
     on = ["language", "kind", "name", "source"]
     exact = named(_single(left, on).select(*on, "before_id").join(_single(right, on).select(*on, "after_id"), on).select("before_id", "after_id", F.lit(1000).alias("permille")), "exact")
-    rest_l, rest_r = left.join(exact, "before_id", "left_anti"), right.join(exact, "after_id", "left_anti")
+    rest_l, rest_r = saved(left.join(exact, "before_id", "left_anti")), saved(right.join(exact, "after_id", "left_anti"))
     on = ["language", "kind", "signature"]
     edited = named(dice_pairs(_single(rest_l, on), _single(rest_r, on), tuple(on), "before_id", "after_id").select("before_id", "after_id", "permille"), "edited")
-    rest_l, rest_r = rest_l.join(edited, "before_id", "left_anti"), rest_r.join(edited, "after_id", "left_anti")
+    rest_l, rest_r = saved(rest_l.join(edited, "before_id", "left_anti")), saved(rest_r.join(edited, "after_id", "left_anti"))
     rich = (F.size(code_tokens(F.col("body"))) >= 20) & (F.size(F.array_distinct(code_tokens(F.col("body")))) >= 12)
     loose = dice_pairs(rest_l.where(rich), rest_r.where(rich), ("language", "kind"), "before_id", "after_id", least=950, tokens=20, distinct=12)
     once = lambda c: F.count("*").over(Window.partitionBy(c))
