@@ -58,6 +58,24 @@ def dropped(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session told to end Arrow batches at BATCH_BYTES, so that
+    long texts don't make batches of any size (a smaller setting stays)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name, None)
+    try:
+        small = now is not None and 0 < int(now) <= BATCH_BYTES
+    except ValueError:  # given with a unit: set by the user
+        small = True
+    if not small:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remainder, trimmed
+from .common import bounded_batches, new_path, remainder, trimmed
 
 END, START = 1, 2
 MASK = np.uint64((1 << 48) - 1)
@@ -222,7 +222,7 @@ def train(docs: DataFrame, text: str = "text", model_dir: str | None = None) ->
     """Count the texts of docs and store the model; returns its description
     (folder, shards and totals), which is all that is sent to workers."""
     folder = _local(model_dir or new_path(docs.sparkSession, "lm"))
-    frame = docs.select(F.col(text).cast("string").alias("t"))
+    frame = bounded_batches(docs).select(F.col(text).cast("string").alias("t"))
     size = frame.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = max(3, math.ceil(math.log2(size / SHARD_BYTES + 1)))
     part_bits = max(1, bits - 3)
@@ -318,7 +318,7 @@ def score_texts(docs: DataFrame, about: dict, key: str = "doc_id", text: str = "
                 at += len(ends)
         trimmed()
 
-    frame = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    frame = bounded_batches(docs).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     return frame.mapInArrow(run, f"`{key}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

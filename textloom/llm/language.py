@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, trimmed
+from .common import bounded_batches, remainder, trimmed
 
 ORDER = 4
 SAMPLE = 300
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", out: tuple
     cast = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the learning sample
     kind = F.pandas_udf(_predictor(cast), "lang string, score double, bits double")
     held = "__language"
-    made = docs.withColumn(held, kind(F.col(text).cast("string")))
+    made = bounded_batches(docs).withColumn(held, kind(F.col(text).cast("string")))
     return made.withColumns({n: F.col(f"{held}.{f}") for n, f in zip(out, ("lang", "score", "bits"))}).drop(held)
 
 

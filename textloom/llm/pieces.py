@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import trimmed
+from .common import bounded_batches, trimmed
 
 MARK = "▁"
 TABLE_ENTRIES = 200_000
@@ -104,7 +104,7 @@ _DDL = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha25
 
 def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode each whole text and decode its ids again; outputs are names of OUTPUTS."""
-    frame = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
+    frame = bounded_batches(docs).select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
 
     def run(batches):
         codec = Codec(model)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, trimmed
+from .common import bounded_batches, saved, trimmed
 from .components import connected_components
 
 TILE = 8192
@@ -78,7 +78,7 @@ def simhash(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp): the fingerprint of each whole text as a signed long."""
-    frame = docs.select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
+    frame = bounded_batches(docs).select(docs[key].cast("long").alias(key), docs[text].cast("string").alias(text))
 
     def run(batches):
         for b in batches:
@@ -254,7 +254,7 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, sure: float = SURE
     smallest key (of repeated rows one; a null key only if there is no other)."""
     node = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
     ids = saved(docs.select(F.col(key).cast("long").alias("id"), node.alias("node")).groupBy("node", "id").agg(F.count("*").alias("n")), "copies")
-    texts = docs.select(node.alias("node"), F.col(text).cast("string").alias("t"))
+    texts = bounded_batches(docs).select(node.alias("node"), F.col(text).cast("string").alias("t"))
     # Sketches of whole texts before the shuffle: a text's copies have equal sketches, one stays.
     made = texts.mapInArrow(_sketches(k), "node string, fp long, keys array<long>, marks binary")
     made = saved(made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "sketches")

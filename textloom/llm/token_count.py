@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import bounded_batches, trimmed
 from .pieces import MARK, TABLE_ENTRIES, check_model, chunk_keys, default_model, steps
 
 LONG = 400
@@ -129,7 +129,7 @@ class MergeTable:
 
 def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of each whole text."""
-    frame = docs.select(docs[key].cast("long").alias(key), F.coalesce(docs[text].cast("string"), F.lit("")).alias(text))
+    frame = bounded_batches(docs).select(docs[key].cast("long").alias(key), F.coalesce(docs[text].cast("string"), F.lit("")).alias(text))
 
     def run(batches):
         merges, table = MergeTable(model), {}

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved
+from .common import bounded_batches, remainder, saved
 
 # The lexicon of the grammar, our own choice, in the order English, French, German, Spanish.
 INSULT = """
@@ -213,7 +213,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: s
     draw = F.xxhash64("id", F.lit(29))
     chosen = [marks.where(F.col("toxic") == t).orderBy(draw, "id").limit(n) for t, n in ((1, sample), (0, 3 * sample))]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 4 * sample rows at most
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).join(picked, "id")
+    rows = bounded_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).join(picked, "id")
     return select_stems([(r["t"], r["toxic"]) for r in rows.dropDuplicates(["id"]).orderBy("id").select("t", "toxic").collect()])
 
 
