@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, remainder, saved
+from .common import remainder, saved
 
 # The lexicon of the grammar, our own choice, in the order English, French, German, Spanish.
 INSULT = """
@@ -163,30 +163,8 @@ class Grammar:
         return [min(x, MOST) for x in n[:-1]] + n[-1:]
 
 
-def select_stems(texts: list[tuple[str, int]]) -> tuple[str, ...]:
-    """Stems from (text, label) rows."""
-    sides: tuple[dict, dict] = ({}, {})
-    size = [0, 0]
-    for text, label in texts:
-        words = ["", *_WORD.findall(text.lower()), ""]
-        size[label] += len(words) - 2
-        for before, w, after in zip(words, words[1:], words[2:]):
-            if w in _CLASS:
-                continue
-            sides[label].setdefault(w, set()).add((before, after))
-    if not size[1]:
-        return ()
-    counts: list[dict[str, int]] = []
-    for side in sides:
-        whole = {w: len(c) for w, c in side.items()}
-        for w, n in list(whole.items()):
-            for k in STEMS:
-                if len(w) >= k:
-                    whole[w[:k] + "*"] = whole.get(w[:k] + "*", 0) + n
-        counts.append(whole)
-    share = size[1] / max(1, sum(size))
-    least = max(3, np.log(CHANCE / max(2, len(counts[1]))) / np.log(min(share, 0.99)))
-    good = {s: n for s, n in counts[1].items() if n >= least and n / size[1] >= TIMES * (counts[0].get(s, 0) + 0.1) / max(1, size[0])}
+def choose(good: dict[str, int]) -> tuple[str, ...]:
+    """Of significant stems and their contexts, those that stand for all."""
     longer: dict[str, list[str]] = {}
     for s in good:
         if s.endswith("*") and len(s) - 1 > STEMS[0]:
@@ -208,13 +186,29 @@ def select_stems(texts: list[tuple[str, int]]) -> tuple[str, ...]:
 
 
 def learn_stems(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> tuple[str, ...]:
-    """Stems from at most `sample` texts labelled 1 and three times as many labelled 0."""
+    """Stems from at most `sample` texts labelled 1 and three times as many
+    labelled 0. Contexts are counted in Spark; only significant stems, whose
+    number the sample bounds, come to the driver."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("id", F.lit(29))
     chosen = [marks.where(F.col("toxic") == t).orderBy(draw, "id").limit(n) for t, n in ((1, sample), (0, 3 * sample))]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 4 * sample rows at most
-    rows = bounded_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).join(picked, "id")
-    return select_stems([(r["t"], r["toxic"]) for r in rows.dropDuplicates(["id"]).orderBy("id").select("t", "toxic").collect()])
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(picked, "id")
+    words = rows.select("toxic", F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+(?:['’]\p{L}+)?"), F.lit(0)).alias("w"))
+    beside = words.select("toxic", F.explode(F.arrays_zip("w", F.concat(F.array(F.lit("")), "w").alias("before"), F.slice("w", 2, 1 << 30).alias("after"))).alias("z"))
+    met = beside.select("toxic", F.col("z.w").alias("w"), F.xxhash64("z.before", "z.after").alias("context")).where(F.col("w").isNotNull() & ~F.col("w").isin(*_CLASS))
+    side = lambda t: F.count_if(F.col("toxic") == t)
+    whole = saved(met.distinct().groupBy("w").agg(side(1).alias("n1"), side(0).alias("n0")), "words")
+    size = whole.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
+    n1, n0 = size["n1"] or 0, size["n0"] or 0
+    if not n1:
+        return ()
+    starts = [F.when(F.length("w") >= k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS]
+    stems = whole.select(F.explode(F.array_compact(F.array("w", *starts))).alias("stem"), "n1", "n0").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 > 0")
+    stems = saved(stems, "stems")
+    least = max(3.0, float(np.log(CHANCE / max(2, stems.count())) / np.log(min(n1 / (n1 + n0), 0.99))))
+    frequent = F.col("n1") / n1 >= TIMES * (F.col("n0") + 0.1) / max(1, n0)
+    return choose({r["stem"]: r["n1"] for r in stems.where((F.col("n1") >= least) & frequent).collect()})
 
 
 def match_counts(stems: tuple[str, ...] = ()):
