@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +192,15 @@ def _predictor(cast):
         size = sum(map(len, map(str.encode, words))) + len(words)
         return trees.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / size)
 
-    def predictor(texts: pd.Series) -> pd.DataFrame:
+    def predictor(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trees = cast.value
+        for texts in batches:
+            yield batch(texts, trees)
+        table.clear()
+        held[0] = np.empty((0, 0))
+        trimmed()
+
+    def batch(texts, trees):
         # New words of the whole batch first: one array pass instead of one a text.
         words = set()
         for t in texts:
@@ -202,10 +210,7 @@ def _predictor(cast):
                     warm(words, trees)
                     words = set()
         warm(words, trees)
-        del words
-        made = pd.DataFrame([one(t, trees) for t in texts], columns=["lang", "score", "bits"])
-        trimmed()
-        return made
+        return pd.DataFrame([one(t, trees) for t in texts], columns=["lang", "score", "bits"])
 
     def warm(words, trees):
         new = [w for w in words if w not in table]
@@ -216,7 +221,7 @@ def _predictor(cast):
         held[0] = np.concatenate([held[0], rows]) if base else rows
         table.update(zip(new, range(base, base + len(new))))
 
-    predictor.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    predictor.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return predictor
 
 

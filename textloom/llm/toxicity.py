@@ -30,13 +30,14 @@ weights hold; repeated rows are scored each; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved
+from .common import remainder, saved, trimmed
 
 # The lexicon of the grammar, our own choice, in the order English, French, German, Spanish.
 INSULT = """
@@ -64,7 +65,7 @@ PRIOR = (-4.0, 4.5, 4.0, 1.0, 1.5, 4.5, 0.5, 0.5, -0.2)
 MOST = 3
 THRESHOLD = 0.3
 #: Texts labelled 1 that stems are learned from.
-SAMPLE = 2000
+SAMPLE = 1000
 STEMS = (4, 5, 6, 7, 8)
 #: A stem is kept if chance gives one like it with this probability, over all
 #: candidates, and is this many times as frequent in texts labelled 1.
@@ -215,9 +216,11 @@ def match_counts(stems: tuple[str, ...] = ()):
     """A column function: array<int> of the clauses that match each pattern."""
 
     @F.pandas_udf("array<int>")
-    def matched(texts: pd.Series) -> pd.Series:
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grammar = Grammar(stems)
-        return pd.Series([grammar.features(t) for t in texts])
+        for texts in batches:
+            yield pd.Series([grammar.features(t) for t in texts], dtype=object)
+        trimmed()
 
     return matched
 
