@@ -144,16 +144,16 @@ def _store(folder: str, name: str, array: np.ndarray) -> None:
 def _count(bits: int):
     def run(batches):
         hasher = Hasher()
-        for b in batches:
-            for seq, _ in _steps(b.column(0), hasher, COUNT_TOKENS):
-                u, w = seq[:-1], seq[1:]
-                real = u != END
-                u, w = u[real], w[real]
-                h, (c,), first = _summed(bigram_hash(u, w), np.ones(len(u), np.uint32))
-                u, w, shard = u[first], w[first], (h >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-                rows = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "u", "w", "c"])
+        # Steps go on over batches: the larger a step, the more it combines.
+        for seq, _ in _steps((t for b in batches for t in b.column(0)), hasher, COUNT_TOKENS):
+            u, w = seq[:-1], seq[1:]
+            real = u != END
+            u, w = u[real], w[real]
+            h, (c,), first = _summed(bigram_hash(u, w), np.ones(len(u), np.uint32))
+            u, w, shard = u[first], w[first], (h >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            rows = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "u", "w", "c"])
         trimmed()
 
     return run
