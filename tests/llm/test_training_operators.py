@@ -292,6 +292,39 @@ def test_near_copies(spark, odd):
     assert simhash.near_copies(odd).columns == odd.columns and simhash.near_copies(odd).where("doc_id IN (4, 5)").count() == 1
 
 
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    """Exactly the components of all pairs at 0.8, near the threshold too."""
+    rng = np.random.default_rng(11)
+    texts = [(r.doc_id, r.text) for r in docs(spark).select("doc_id", "text").collect()]
+    base = [f"w{i}" for i in range(120)]
+    for i in range(160):  # one to eight edits of one text: similarities from 0.5 to 0.96
+        words = base.copy()
+        for at in rng.choice(120, rng.integers(1, 9), replace=False):
+            words[at] = f"e{i}_{at}"
+        texts.append((10_000 + i, " ".join(words)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (len(a & b) / len(a | b) if a or b else 1.0) >= 0.8:
+                p, q = top(i), top(j)
+                root[max(p, q)] = min(p, q)
+    best = {}
+    for i, (doc_id, _) in enumerate(texts):
+        best[top(i)] = min(best.get(top(i), doc_id), doc_id)
+    monkeypatch.setattr(simhash, "REST_TILE", 16)
+    kept = simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    got, want = sorted(r.doc_id for r in kept.collect()), sorted(best.values())
+    assert got == want, (len(set(got) - set(want)), len(set(want) - set(got)))
+
+
 def test_spotsigs(spark, odd, none):
     got = {r.doc_id: r for r in spotsigs.query(spark, DATA).collect()}
     rows = docs(spark).orderBy("doc_id").collect()

@@ -20,10 +20,13 @@ similarity (Jaccard) of 0.8 or more. Texts that similar differ in 11 of 64 bits
 in the median (measured on the test tables), beyond what blocks can find, so
 the 64-bit blocks are joined by sampled blocks: SAMPLES blocks of BLOCK_SYMBOLS
 minwise-sampled shingle symbols, of which a pair at 0.8 shares at least one with
-a probability of 0.99999. Within a block every member links to the smallest, and
-every link is verified by its distance over SYMBOLS sampled symbols, the share
-of which that agree estimates the similarity (standard error 0.025 at 0.8, so a
-pair passes from SURE on).
+a probability of 0.99999. Within a block every member links to the smallest. The
+share of SYMBOLS sampled symbols that agree estimates a link's similarity with a
+standard error of 0.025 at 0.8: below DOUBT[0] a link is none, from DOUBT[1] on
+it holds, and between them (four standard errors each way, or more) the Jaccard
+of the two whole shingle sets decides. Members that the smallest of their block
+turned away meet each other in tiles of the block, which give out a spanning
+forest by descending estimate; its links are decided in the same way.
 
 Defined cases: null and empty texts and texts without a word have fingerprint
 zero, which links like any other; fewer than k words make one shingle; repeated
@@ -48,7 +51,11 @@ from .components import connected_components
 TILE = 8192
 #: Shingles whose bits are counted at a time.
 STEP = 100_000
-SAMPLES, BLOCK_SYMBOLS, SYMBOLS, SURE = 16, 3, 256, 0.76
+SAMPLES, BLOCK_SYMBOLS, SYMBOLS = 16, 3, 256
+#: Jaccard of near copies, and the estimates between which it is computed.
+LEAST, DOUBT = 0.8, (0.7, 0.9)
+#: Members of a tile of those that the smallest of a block turned away.
+REST_TILE = 1024
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -140,46 +147,60 @@ def _forest(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     return a, b
 
 
+def _whole_runs(batches):
+    """The columns of sorted batches as arrays, cut where (key, tile) changes."""
+    kept = None
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols)]
+        key, tile = cols[0], cols[1]
+        if not len(key):
+            continue
+        cut = np.flatnonzero((key == key[-1]) & (tile == tile[-1]))[0]  # the last run may go on
+        kept = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _run_numbers(key: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+
+
 def _verified(radius: int):
     def run(batches):
-        kept = None
-        for b in batches:
-            cols = [np.asarray(b.column(i)) for i in range(4)]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            key, tile = cols[0], cols[1]
-            if not len(key):
-                continue
-            cut = np.flatnonzero((key == key[-1]) & (tile == tile[-1]))[0]  # the last run may go on
-            kept = [c[cut:] for c in cols]
-            if cut:
-                yield links([c[:cut] for c in cols])
-        if kept is not None and len(kept[0]):
-            yield links(kept)
+        yield from map(links, _whole_runs(batches))
 
     def links(cols):
         key, tile, side, fp = cols
-        runs = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-        a, b = _forest(runs, side, fp.view(np.uint64), radius)
+        a, b = _forest(_run_numbers(key, tile), side, fp.view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(fp[a] if a else np.empty(0, np.int64)), pa.array(fp[b] if b else np.empty(0, np.int64))], names=["a", "b"])
 
     return run
 
 
-def close_pairs(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links between distinct fingerprints (column fp): a forest within
-    each key, whose components are those of all pairs at `radius` bits or fewer."""
-    keyed = distinct.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), "fp")
+def _dealt(keyed: DataFrame, member: str, most: int) -> DataFrame:
+    """(key, tile, side, member) of keys with two members or more, by (key, tile):
+    a key with over `most` members becomes tiles, dealt as pairs of tiles."""
     size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tiles = F.ceil(F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")
     met = keyed.join(size, "key").withColumn("tiles", tiles).withColumn("own", own)
     # Tile pair (i, j), i <= j, as i * tiles + j: a member of tile t meets all others once.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    met = met.select("key", "fp", "tiles", "own", other)
+    met = met.select("key", member, "tiles", "own", other)
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select("key", (low * F.col("tiles") + high).cast("long").alias("tile"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "fp")
-    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "fp")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.select("key", (low * F.col("tiles") + high).cast("long").alias("tile"), side.cast("int").alias("side"), member).repartition("key", "tile")
+
+
+def close_pairs(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp): a forest within
+    each key, whose components are those of all pairs at `radius` bits or fewer."""
+    keyed = distinct.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), "fp")
+    met = _dealt(keyed, "fp", TILE).sortWithinPartitions("key", "tile", "side", "fp")
     return met.mapInArrow(_verified(radius), "a long, b long")
 
 
@@ -241,15 +262,101 @@ def _sketches(k: int):
     return run
 
 
+def _marked(marks) -> np.ndarray:
+    return np.frombuffer(b"".join(marks), "<u2").reshape(-1, SYMBOLS)
+
+
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of symbols that two sketches have in common."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, SYMBOLS) for s in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+    return pd.Series((_marked(a) == _marked(b)).mean(axis=1) if len(a) else [], dtype=float)
+
+
+def widest_forest(marks: np.ndarray, side: np.ndarray, floor: float) -> list[tuple[int, int, float]]:
+    """(i, j, share): a spanning forest, by descending share, of the pairs of
+    sketches that agree in `floor` or more. side: as for _forest."""
+    found = []
+    for i in range(len(marks) - 1):
+        share = (marks[i + 1 :] == marks[i]).mean(1)
+        j = np.flatnonzero((share >= floor) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
+        found.append((share[j], np.full(len(j), i), j + i + 1))
+    if not found:
+        return []
+    share, a, b = (np.concatenate(x) for x in zip(*found))
+    root, kept = list(range(len(marks))), []
+    for c in np.lexsort((b, a, -share)).tolist():
+        p, q = int(a[c]), int(b[c])
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        while root[q] != q:
+            root[q] = root[root[q]]
+            q = root[q]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept.append((int(a[c]), int(b[c]), float(share[c])))
+    return kept
+
+
+def _met(floor: float):
+    def run(batches):
+        for key, tile, side, node, marks in _whole_runs(batches):
+            a, b, shares = [], [], []
+            runs = _run_numbers(key, tile)
+            edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                for i, j, share in widest_forest(_marked(marks[x:y]), side[x:y], floor):
+                    a.append(node[x + i])
+                    b.append(node[x + j])
+                    shares.append(share)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(shares, pa.float64())], names=["a", "b", "share"])
+
+    return run
+
+
+def _shingle_sets(k: int):
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted sets of 64-bit hashes; two empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _alike(least: float):
+    def run(batches):
+        for b in batches:
+            ok = [jaccard(x.as_buffer(), y.as_buffer()) >= least for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _both(links: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """links with the value of side (node, value) of both ends, as x and y."""
+    for end, name in (("a", "x"), ("b", "y")):
+        links = links.join(side.select(F.col("node").alias(end), F.col(value).alias(name)), end)
+    return links
+
+
+def _decided(links: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b) of the links (a, b, share) whose texts are `least` or more alike.
+    Only texts with a link in doubt give their shingle sets."""
+    doubt = saved(links.where(F.col("share") < DOUBT[1]).select("a", "b"), "doubt")
+    nodes = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).distinct()
+    sets = texts.join(nodes, "node", "left_semi").select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary")
+    sets = saved(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    exact = _both(doubt, sets, "set").select("a", "b", "x", "y").mapInArrow(_alike(least), "a string, b string")
+    return saved(links.where(F.col("share") >= DOUBT[1]).select("a", "b").unionByName(exact), "alike")
 
 
-def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, sure: float = SURE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near copies: the one with the
     smallest key (of repeated rows one; a null key only if there is no other)."""
     node = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
@@ -263,12 +370,18 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, sure: float = SURE
     close = close_pairs(low.select("fp"), radius).join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     keyed = made.select(F.explode("keys").alias("key"), "node")
     first = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(first, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    links = same.unionByName(close).unionByName(stars).where("a <> b").distinct()
+    stars = saved(keyed.join(first, "key").where("node <> low").select("key", F.col("node").alias("a"), F.col("low").alias("b")), "stars")
+    links = same.unionByName(close).unionByName(stars.select("a", "b")).where("a <> b").distinct()
     marks = made.select("node", "marks")
-    checked = links.join(marks.withColumnsRenamed({"node": "a", "marks": "ma"}), "a").join(marks.withColumnsRenamed({"node": "b", "marks": "mb"}), "b")
     agree = F.pandas_udf(agreement, "double")
-    parts = connected_components(checked.where(agree("ma", "mb") >= sure).select("a", "b"))
+    shares = _both(links, marks, "marks").select("a", "b", agree("x", "y").alias("share")).where(F.col("share") >= DOUBT[0])
+    alike = _decided(saved(shares, "shares"), texts, k, least)
+    # Those that the smallest of their block turned away may be copies of each other.
+    away = stars.join(alike, ["a", "b"], "left_anti").select("key", F.col("a").alias("node"))
+    met = _dealt(saved(away, "away"), "node", REST_TILE).join(marks, "node").select("key", "tile", "side", "node", "marks")
+    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_met(DOUBT[0]), "a string, b string, share double")
+    met = _decided(saved(met.distinct(), "shares"), texts, k, least)
+    parts = connected_components(alike.unionByName(met))
     members = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winner = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("w"))
     name = lambda n, i: F.concat_ws(":", n, F.coalesce(i.cast("string"), F.lit("")))
