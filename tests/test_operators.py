@@ -122,3 +122,15 @@ def test_review(spark):
     assert (r.before_byte_start, r.before_byte_end, r.before_utf16_end, r.after_byte_end) == (2, 8, 6, 4)
     g = align.grid(spark.createDataFrame([("c", 0), ("c", 1)], "comparison_id string, unit_ix int"), spark.createDataFrame([("c", 1, 0, 0), ("c", 1, 1, 2)], "comparison_id string, doc int, base_ix int, other_ix int"), spark.createDataFrame([("c", 1, 0), ("c", 1, 1), ("c", 1, 2)], "comparison_id string, doc int, unit_ix int"))
     assert [(r.base_ix, r.other_ix) for r in g.orderBy("row_id").collect()] == [(0, 0), (None, 1), (1, 2)]
+
+
+def test_missing_units_and_collapsed_wrappers(spark):
+    from textloom.operators import review
+
+    units = spark.createDataFrame([("c", 0, "h", "b"), ("c", 1, "h1", " ")], "comparison_id string, unit_ix int, header string, body string")
+    met = spark.createDataFrame([("c", 0, 0)], "comparison_id string, old_ix int, new_ix int")
+    assert [(r.unit_ix, r.part, r.kind, r.text) for r in review.missing_units(units, met).collect()] == [(1, "header", "delete", "h1")]
+    part = lambda rows: spark.createDataFrame([(u, i, lv, c) for u, items in rows.items() for i, (lv, c) in enumerate(items)], "u string, part_ix int, level int, core string")
+    old = part({"yes": [(1, "a"), (1, "wrap"), (2, "x"), (2, "y"), (1, "z")], "leaf": [(1, "a"), (1, "b")], "edited": [(1, "w"), (2, "x")], "last": [(1, "w"), (2, "x")], "gone": [(1, "only")]})
+    new = part({"yes": [(1, "a"), (1, "x"), (1, "y"), (1, "z")], "leaf": [(1, "a")], "edited": [(1, "other")], "last": [(1, "x")]})
+    assert sorted(map(tuple, review.collapsed_wrappers(old, new, ("u",)).collect())) == [("last", 0), ("yes", 1)]

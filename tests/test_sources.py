@@ -47,6 +47,33 @@ def test_docx_blocks():
     assert docx.flat_text(raw).splitlines()[0] == "1. one"
 
 
+def full_package(body, header="head", link="http://a.test/", extra=""):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document {W} xmlns:r="{rel}"><w:body>{body}<w:sectPr><w:headerReference r:id="h"/></w:sectPr></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="h" Type="{rel}/header" Target="header1.xml"/><Relationship Id="l" Type="{rel}/hyperlink" Target="{link}" TargetMode="External"/></Relationships>')
+        z.writestr("word/header1.xml", f'<w:hdr {W}><w:p w:rsidR="{extra}"><w:r><w:t>{header}</w:t></w:r></w:p></w:hdr>')
+    return out.getvalue()
+
+
+def test_package_guards(spark):
+    from textloom.sources import package as pk
+
+    field = '<w:p><w:r><w:instrText>PAGE</w:instrText></w:r></w:p><w:p><w:hyperlink r:id="l"><w:r><w:t>x</w:t></w:r></w:hyperlink></w:p>'
+    plain, linked = full_package(p("a")), full_package(p("a") + field)
+    assert [x[:4] for x in pk.special_content(linked)] == [(0, "field", "PAGE", ""), (1, "link", "hyperlink>http://a.test/", "x")]
+    assert pk.ancillary(plain) == pk.ancillary(full_package(p("b"), extra="00AB")) != pk.ancillary(full_package(p("a"), header="other"))
+    table = '<w:tbl><w:tblGrid><w:gridCol w:w="100"/><w:gridCol w:w="50"/></w:tblGrid><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:shd w:fill="ffee00"/></w:tcPr><w:p/></w:tc></w:tr></w:tbl>'
+    assert pk.table_geometry(full_package(table)) == [(0, 0, 0, 2, 150, [100, 50], "FFEE00")]
+    tracked = full_package("<w:p><w:ins><w:r><w:t>x</w:t></w:r></w:ins></w:p>")
+    cases = [(plain, full_package(p("b")), []), (plain, tracked, ["revisions"]), (linked, None, ["formats"]), (plain, None, []), (linked, plain, ["special content"]), (linked, full_package(p("a") + field, link="http://b.test/"), ["special content"]), (plain, full_package(p("a"), header="other"), ["ancillary parts"]), (None, None, [])]
+    df = spark.createDataFrame([(i, bytearray(a) if a else None, bytearray(b) if b else None) for i, (a, b, _) in enumerate(cases)], "i int, old binary, new binary")
+    assert [r.refusals for r in pk.export_refusals(df).orderBy("i").collect()] == [c[2] for c in cases]
+    side = lambda raw: spark.createDataFrame([(1, bytearray(raw))], "doc_id int, content binary")
+    assert [tuple(r) for r in pk.ancillary_changes(side(plain), side(full_package(p("a"), header="other"))).collect()] == [(1, "header", 0, "modified")]
+
+
 def test_tracked_document_accepts_and_rejects():
     old, new = "one line\nsecond line here\ngone", "one line\nsecond row here\nadded at end"
     raw = office.tracked_document(old, new)
@@ -94,6 +121,19 @@ def test_git(spark, tmp_path):
         git.resolve(str(tmp_path), "--all")
 
 
+def test_symbol_history(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i, text in enumerate(("fn one() { let a = 1; }\n", "fn one() { let a = 2; }\n", "fn two() { let a = 2; }\n")):
+        (tmp_path / "a.rs").write_text(text)
+        run("add", "."), run("commit", "-qm", str(i))
+    changes, skipped = git.symbol_history(spark, str(tmp_path), "HEAD~2", "HEAD")
+    assert [(r.step, r.path, r.change, r.before_name, r.after_name) for r in changes.orderBy("step").collect()][0] == (0, "a.rs", "modify", "one", "one")
+    assert {r.step for r in changes.collect()} == {0, 1} and skipped.count() == 0
+    none, skipped = git.symbol_history(spark, str(tmp_path), "HEAD", "HEAD")
+    assert none.count() == skipped.count() == 0
+
+
 def test_stream(spark, tmp_path):
     from textloom.streaming.versions import hunks_between_versions
 

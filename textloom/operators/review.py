@@ -49,6 +49,32 @@ def changed_rows(rows: DataFrame, markers: DataFrame, keys: tuple[str, ...] = ("
     return rows.join(count, list(keys), "left").withColumn("n_markers", F.coalesce("n_markers", F.lit(0))).withColumn("changed", F.col("n_markers") > 0)
 
 
+def missing_units(units: DataFrame, matches: DataFrame, keys: tuple[str, ...] = ("comparison_id",), side: str = "old") -> DataFrame:
+    """(keys, unit_ix, part, kind, text): whole headers and bodies of the units of
+    one side that have no match; empty parts give no marker."""
+    kind = F.lit("delete" if side == "old" else "insert")
+    k = [*keys, "unit_ix"]
+    lone = units.join(matches.select(*keys, F.col(f"{side}_ix").alias("unit_ix")), k, "left_anti")
+    both = F.explode(F.array(F.struct(F.lit("header").alias("part"), F.col("header").alias("text")), F.struct(F.lit("body").alias("part"), F.col("body").alias("text"))))
+    return lone.select(*k, both.alias("p")).select(*k, "p.part", kind.alias("kind"), "p.text").where(F.length(F.trim("text")) > 0)
+
+
+def collapsed_wrappers(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("comparison_id", "unit_ix")) -> DataFrame:
+    """(keys, part_ix) of a list item that was taken out while its own items moved
+    one level up and all others stayed. old and new are (keys, part_ix, level,
+    core); a unit's parts are few (a parser's bound), so they meet as arrays."""
+    side = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part_ix", "level", "core"))).alias(name))
+    both = side(old, "o").join(side(new, "n"), list(keys)).where((F.size("n") > 0) & (F.size("o") == F.size("n") + 1))
+    same = F.expr("transform(sequence(0, size(n) - 1), i -> o[i].core <=> n[i].core AND o[i].level = n[i].level)")
+    at = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("n")).cast("int")
+    both = both.withColumn("at", at).withColumn("own", F.expr("get(o, at).level"))
+    # Items below the wrapper: from the one after it up to the next one that is not deeper.
+    stop = F.expr("coalesce(get(filter(sequence(at, size(n)), i -> i > at AND o[i].level <= own), 0), size(n) + 1)")
+    both = both.withColumn("stop", stop).where("stop > at + 1")
+    rest = F.expr("forall(sequence(at, size(n) - 1), i -> o[i + 1].core <=> n[i].core AND n[i].level = o[i + 1].level - IF(i + 1 < stop, 1, 0))")
+    return both.where(rest).select(*keys, F.expr("get(o, at).part_ix").alias("part_ix"))
+
+
 def search(rows: DataFrame, query: str, text: str = "text") -> DataFrame:
     """Rows that hold the query, white space collapsed or left out, any case."""
     q = " ".join(query.lower().split())

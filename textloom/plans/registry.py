@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import align, diff, ledger, review, structure
 from ..sources.decode import decode_col
+from ..sources.package import paragraph_context as context_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,8 +203,43 @@ def unit_matches(spark, sf_dir):
     return align.match_units(sides[0].unionByName(sides[1]))
 
 
+def paragraph_context(spark, sf_dir):
+    t = context_of(_table(spark, sf_dir, "conversations"), ("conv_id",), "turn")
+    joined = [F.sha2(F.concat_ws("|", c), 256).alias(c) for c in ("before", "after")]
+    return t.select("conv_id", "turn", F.col("nth").cast("long").alias("nth"), *joined)
+
+
+def marker_numbers(spark, sf_dir):
+    """Lines of an order as markers, of which the open ones have no number yet."""
+    o = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    m = o.withColumn("stable_ord", nth).withColumn("num", F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")))
+    return review.ensure_numbered(m, ("l_orderkey",)).select("l_orderkey", F.col("stable_ord").cast("long").alias("stable_ord"), F.col("num").cast("long").alias("num"))
+
+
+def changed_turns(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    lost = t.where("old <> new").select("conv_id", "turn")
+    return review.changed_rows(t, lost, ("conv_id", "turn")).select("conv_id", "turn", "n_markers", "changed")
+
+
+def turn_moves(spark, sf_dir):
+    """Pairs of roles that follow each other, by majority, in conversations."""
+    t = _table(spark, sf_dir, "conversations")
+    nxt = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = t.select(F.lit("all").alias("scope"), "role", nxt.alias("next_role")).where("next_role IS NOT NULL")
+    return align.vote_map(pairs, ("scope",), "role", "next_role").drop("scope")
+
+
+def unmatched_units(spark, sf_dir):
+    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
+    old, new = (structure.parse_units(t.select("comparison_id", F.col(c).alias("text")), keys=("comparison_id",)) for c in ("old", "new"))
+    met = align.match_units(old.withColumn("doc_ord", F.lit(0)).unionByName(new.withColumn("doc_ord", F.lit(1))))
+    return review.missing_units(old, met.where("old_ix IS NOT NULL AND new_ix IS NOT NULL"), side="old")
+
+
 FLAGSHIP = "file_ledger"
-QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches)}
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units)}
 
 _W = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}\p{Nd}]*"
 _C = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]+"
@@ -249,4 +285,12 @@ ORACLE_SQL = {
     "import_report": """WITH c AS (SELECT substring(source, 1, 3) || '/' || lang || '.txt' AS path, sha256(text) AS sha FROM documents), k AS (SELECT DISTINCT 'src/en.txt' AS path, sha256(text) AS sha FROM benchmark),
       s AS (SELECT c.path, c.sha, row_number() OVER (PARTITION BY c.path, c.sha) AS n, k.sha IS NOT NULL AS known FROM c LEFT JOIN k ON c.path = k.path AND c.sha = k.sha)
       SELECT count(*) FILTER (sha IS NOT NULL AND NOT known AND n = 1) AS added, count(*) FILTER (sha IS NOT NULL AND (known OR n > 1)) AS duplicate, CAST(0 AS BIGINT) AS unsupported, count(*) FILTER (sha IS NULL) AS missing FROM s""",
+    "paragraph_context": """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS nth,
+      sha256(coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '')) AS before,
+      sha256(coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING), '')) AS after FROM conversations""",
+    "marker_numbers": """WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS stable_ord, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS num FROM lineitem)
+      SELECT l_orderkey, stable_ord, CAST(coalesce(num, coalesce(max(num) OVER (PARTITION BY l_orderkey), 0) + row_number() OVER (PARTITION BY l_orderkey, num IS NULL ORDER BY stable_ord)) AS BIGINT) AS num FROM m""",
+    "changed_turns": _TURNS + "SELECT conv_id, turn, CASE WHEN old <> new THEN CAST(1 AS BIGINT) ELSE 0 END AS n_markers, old <> new AS changed FROM p",
+    "turn_moves": """WITH t AS (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations), v AS (SELECT role, next_role, count(*) AS votes FROM t WHERE next_role IS NOT NULL GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY votes DESC, next_role) AS a, row_number() OVER (PARTITION BY next_role ORDER BY votes DESC, role) AS b FROM v) SELECT role, next_role, votes FROM r WHERE a = 1 AND b = 1""",
 }

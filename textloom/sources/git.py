@@ -10,6 +10,7 @@ import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST_FILES, MOST_OUT, MOST_BLOB, SECONDS, MOST_STEPS = 20_000, 16 << 20, 2 << 20, 25, 64
 
@@ -69,3 +70,33 @@ def first_parents(repo: str, before: str, after: str, most: int = 16) -> list[st
     if len(path) > min(most, MOST_STEPS):
         raise ValueError(f"more than {most} steps")
     return [a, *path]
+
+
+def timeline(spark: SparkSession, repo: str, before: str, after: str, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(before, after): the trees of neighbouring commits along first parents, each
+    (step, commit, path, sha), for file_ledger(keys=("step",), whole_tree=True)."""
+    commits = first_parents(repo, before, after, most)
+    rows = {c: tree(repo, c) for c in commits}
+    side = lambda cs: spark.createDataFrame([(i, c, *f) for i, c in enumerate(cs) for f in rows[c]], "step int, commit string, path string, sha string")
+    return side(commits[:-1]), side(commits[1:])
+
+
+def symbol_history(spark: SparkSession, repo: str, before: str, after: str, most: int = 16, files: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(changes, skipped): declaration changes (step, path, …) in the files that each
+    step modifies, and (step, path) of those without a supported parse."""
+    from ..functions.text import extension
+    from ..operators.symbols import ast_diff, parse_symbols
+
+    old, new = timeline(spark, repo, before, after, most)
+    both = old.alias("o").join(new.alias("n"), ["step", "path"]).where("o.sha <> n.sha").where(extension(F.col("path")).isin("rs", "cs"))
+    changed = both.select("step", "path", F.col("o.sha").alias("old"), F.col("n.sha").alias("new")).orderBy("step", "path").limit(files + 1).collect()
+    if len(changed) > files:
+        raise ValueError(f"more than {files} changed files")
+    keys = ("step", "path")
+    names = sorted({s for r in changed for s in (r.old, r.new)})
+    blobs = read_blobs(spark, repo, names) if names else spark.createDataFrame([], "sha string, content binary")
+    pairs = spark.createDataFrame([tuple(r) for r in changed], "step int, path string, old string, new string")
+    side = lambda c: parse_symbols(pairs.select(*keys, F.col(c).alias("sha")).join(blobs, "sha").select(*keys, F.try_validate_utf8(F.col("content").cast("string")).alias("content")), keys)
+    (a, fa), (b, fb) = side("old"), side("new")
+    skipped = fa.unionByName(fb).where(~F.col("supported")).select(*keys).distinct()
+    return ast_diff(a.join(skipped, list(keys), "left_anti"), b.join(skipped, list(keys), "left_anti"), keys), skipped
