@@ -47,6 +47,14 @@ def test_docx_blocks():
     assert docx.flat_text(raw).splitlines()[0] == "1. one"
 
 
+def test_text_boxes_once():
+    mc = "http://schemas.openxmlformats.org/markup-compatibility/2006"
+    box = lambda t: f"<w:pict><w:txbxContent>{p(t)}</w:txbxContent></w:pict>"
+    both = f'<m:AlternateContent xmlns:m="{mc}"><m:Choice>{box("one")}</m:Choice><m:Fallback>{box("one")}</m:Fallback></m:AlternateContent>'
+    raw = package(f"<w:p><w:r><w:t>main</w:t></w:r><w:r>{both}</w:r><w:r>{box('two')}</w:r></w:p>")
+    assert [b[0] for b in docx.blocks(raw)] == ["main", "one", "two"]
+
+
 def full_package(body, header="head", link="http://a.test/", extra=""):
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     out = io.BytesIO()

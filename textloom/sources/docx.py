@@ -19,6 +19,7 @@ from ..functions.vectorized import vectorized
 
 MOST_XML, MOST_DEPTH = 128 << 20, 16
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
 _SEE_THROUGH = {f"{_W}{t}" for t in ("sdt", "sdtContent", "customXml", "smartTag", "ins", "moveTo", "hyperlink", "fldSimple")}
 
 
@@ -144,10 +145,13 @@ def blocks(raw: bytes) -> list[tuple]:
         label, text = numbering.label(p), run_text(p)
         return f"{label} {text}" if label and text.strip() and not text.lstrip().startswith(label) else text
 
-    def boxes(p):
-        for box in p.iter(f"{_W}txbxContent"):
-            yield from (paragraph(q) for q in box.iter(f"{_W}p"))
-            return
+    def boxes(e):
+        """Paragraphs of text boxes; a box's fallback for older readers repeats it."""
+        for x in e:
+            if x.tag == f"{_W}txbxContent":
+                yield from (paragraph(q) for q in x.iter(f"{_W}p"))
+            elif x.tag != _FALLBACK:
+                yield from boxes(x)
 
     def table(t, parent, depth):
         if depth > MOST_DEPTH:
