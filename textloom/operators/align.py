@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, sequence_ratio, token_similarity
 from ..functions.text import label_ordinal, lineage_key, match_key
+from ..storage import spread
 from .diff import lcs_pairs
 
 Cand = tuple[int, int, float]
@@ -210,7 +211,7 @@ def match_units(units: DataFrame, keys: tuple[str, ...] = ("comparison_id",), si
         found = align_units(old, new)
         return pd.DataFrame([(*g.iloc[0][k], int(old.unit_ix[i]), int(new.unit_ix[j]), s, m) for i, j, s, m in found], columns=[*k, "old_ix", "new_ix", "score", "mode"])
 
-    return same.unionByName(rest.groupBy(*k).applyInPandas(run, schema))
+    return same.unionByName(spread(rest, *k).groupBy(*k).applyInPandas(run, schema))
 
 
 def match_blocks(old: list[str], new: list[str]) -> list[Cand]:

@@ -15,6 +15,7 @@ from ..functions import similarity, text
 from ..operators import align, diff, ledger, review, structure
 from ..sources.decode import decode_col
 from ..sources.package import paragraph_context as context_of
+from ..storage import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,7 @@ def document_copies_ledger(spark, sf_dir):
 
 def _turns(spark, sf_dir) -> DataFrame:
     """(conv_id, turn, old, new): each turn and the next one of its conversation."""
-    t = _table(spark, sf_dir, "conversations")
+    t = spread(_table(spark, sf_dir, "conversations"), "conv_id")
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return t.withColumn("new", nxt).where(F.col("new").isNotNull()).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("old"), "new")
 

@@ -24,3 +24,12 @@ def saved(df: DataFrame) -> DataFrame:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks. Ahead of a window
+    or a grouped map by the same keys this is the shuffle that they need anyway,
+    but adaptive execution does not merge its partitions by their size: aligning
+    texts takes far longer than their bytes tell."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
