@@ -325,6 +325,21 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert got == want, (len(set(got) - set(want)), len(set(want) - set(got)))
 
 
+def test_near_copies_of_a_star(spark):
+    """Copies of one text, like it at 0.81 and each other at 0.67: its links are found, whichever copy is the smallest of a block."""
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(154)]
+        texts.append((100 * g + 50, " ".join(base)))
+        for c in range(6):  # three edits, ten words apart: 15 of 150 shingles, so 135 of 165 are shared
+            words = base.copy()
+            for at in (7 + 24 * c, 13 + 24 * c, 19 + 24 * c):
+                words[at] = f"g{g}e{c}_{at}"
+            texts.append((100 * g + 51 + c, " ".join(words)))
+    kept = simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [100 * g + 50 for g in range(6)]
+
+
 def test_spotsigs(spark, odd, none):
     got = {r.doc_id: r for r in spotsigs.query(spark, DATA).collect()}
     rows = docs(spark).orderBy("doc_id").collect()

@@ -24,9 +24,10 @@ a probability of 0.99999. Within a block every member links to the smallest. The
 share of SYMBOLS sampled symbols that agree estimates a link's similarity with a
 standard error of 0.025 at 0.8: below DOUBT[0] a link is none, from DOUBT[1] on
 it holds, and between them (four standard errors each way, or more) the Jaccard
-of the two whole shingle sets decides. Members that the smallest of their block
-turned away meet each other in tiles of the block, which give out a spanning
-forest by descending estimate; its links are decided in the same way.
+of the two whole shingle sets decides. In blocks that this leaves in several
+parts, the members outside the smallest's part meet all other members in tiles,
+which give out a spanning forest of the parts by descending estimate; its links
+are decided in the same way.
 
 Defined cases: null and empty texts and texts without a word have fingerprint
 zero, which links like any other; fewer than k words make one shingle; repeated
@@ -54,7 +55,7 @@ STEP = 100_000
 SAMPLES, BLOCK_SYMBOLS, SYMBOLS = 16, 3, 256
 #: Jaccard of near copies, and the estimates between which it is computed.
 LEAST, DOUBT = 0.8, (0.7, 0.9)
-#: Members of a tile of those that the smallest of a block turned away.
+#: Members of a tile of a block that its smallest left in several parts.
 REST_TILE = 1024
 
 
@@ -271,20 +272,28 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_marked(a) == _marked(b)).mean(axis=1) if len(a) else [], dtype=float)
 
 
-def widest_forest(marks: np.ndarray, side: np.ndarray, floor: float) -> list[tuple[int, int, float]]:
-    """(i, j, share): a spanning forest, by descending share, of the pairs of
-    sketches that agree in `floor` or more. side: as for _forest."""
+def _likely(marks: np.ndarray, side: np.ndarray, label: np.ndarray, floor: float) -> list[tuple]:
+    """(shares, i, j), as arrays, of the pairs of sketches with two labels that
+    agree in `floor` or more. side: as for _forest."""
     found = []
     for i in range(len(marks) - 1):
-        share = (marks[i + 1 :] == marks[i]).mean(1)
-        j = np.flatnonzero((share >= floor) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
-        found.append((share[j], np.full(len(j), i), j + i + 1))
+        j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
+        share = (marks[j] == marks[i]).mean(1)
+        near = share >= floor
+        found.append((share[near], np.full(near.sum(), i), j[near]))
+    return found
+
+
+def widest_forest(marks: np.ndarray, side: np.ndarray, label: np.ndarray, floor: float) -> list[tuple[int, int, float]]:
+    """(i, j, share): a spanning forest of the labels, by descending share, of
+    the pairs of _likely."""
+    found = _likely(marks, side, label, floor)
     if not found:
         return []
     share, a, b = (np.concatenate(x) for x in zip(*found))
     root, kept = list(range(len(marks))), []
     for c in np.lexsort((b, a, -share)).tolist():
-        p, q = int(a[c]), int(b[c])
+        p, q = int(label[a[c]]), int(label[b[c]])
         while root[p] != p:
             root[p] = root[root[p]]
             p = root[p]
@@ -299,12 +308,12 @@ def widest_forest(marks: np.ndarray, side: np.ndarray, floor: float) -> list[tup
 
 def _met(floor: float):
     def run(batches):
-        for key, tile, side, node, marks in _whole_runs(batches):
+        for key, tile, side, node, label, marks in _whole_runs(batches):
             a, b, shares = [], [], []
             runs = _run_numbers(key, tile)
             edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for i, j, share in widest_forest(_marked(marks[x:y]), side[x:y], floor):
+                for i, j, share in widest_forest(_marked(marks[x:y]), side[x:y], np.unique(label[x:y], return_inverse=True)[1], floor):
                     a.append(node[x + i])
                     b.append(node[x + j])
                     shares.append(share)
@@ -356,6 +365,31 @@ def _decided(links: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return saved(links.where(F.col("share") >= DOUBT[1]).select("a", "b").unionByName(exact), "alike")
 
 
+def _opened(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, tile, side, node, label) of the blocks whose members the links with
+    their smallest (stars: key, a, b) left in several parts; label: the part.
+
+    Members outside the smallest's part meet each other and those inside; those
+    inside don't meet. The smallest has met all. Over REST_TILE members become
+    tiles: first of those outside, then of those inside."""
+    named = stars
+    for end, name in (("a", "label"), ("b", "home")):
+        named = named.join(parts.select(F.col("node").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    named = saved(named.select("key", F.col("a").alias("node"), "label", (F.col("label") != F.col("home")).alias("outside")), "named")
+    n_out, n_in = F.count_if("outside"), F.count_if(~F.col("outside"))
+    size = named.groupBy("key").agg(n_out.alias("n_out"), n_in.alias("n_in")).where("n_out > 0 AND n_out + n_in > 1")
+    whole = F.col("n_out") + F.col("n_in") <= REST_TILE
+    tiles = lambda n: F.ceil(F.col(n) / REST_TILE).cast("int")
+    met = named.join(size, "key").withColumn("t_out", F.when(whole, 1).otherwise(tiles("n_out"))).withColumn("t_in", F.when(whole, 0).otherwise(tiles("n_in")))
+    at = F.xxhash64("node")
+    own = F.when(whole, 0).when(F.col("outside"), F.pmod(at, F.col("t_out"))).otherwise(F.col("t_out") + F.pmod(at, F.greatest("t_in", F.lit(1))))
+    most = F.col("t_out") + F.when(F.col("outside"), F.col("t_in")).otherwise(0)
+    met = met.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), most - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.select("key", (low * (F.col("t_out") + F.col("t_in")) + high).cast("long").alias("tile"), side.cast("int").alias("side"), "node", "label")
+
+
 def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near copies: the one with the
     smallest key (of repeated rows one; a null key only if there is no other)."""
@@ -376,12 +410,11 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEA
     agree = F.pandas_udf(agreement, "double")
     shares = _both(links, marks, "marks").select("a", "b", agree("x", "y").alias("share")).where(F.col("share") >= DOUBT[0])
     alike = _decided(saved(shares, "shares"), texts, k, least)
-    # Those that the smallest of their block turned away may be copies of each other.
-    away = stars.join(alike, ["a", "b"], "left_anti").select("key", F.col("a").alias("node"))
-    met = _dealt(saved(away, "away"), "node", REST_TILE).join(marks, "node").select("key", "tile", "side", "node", "marks")
+    parts = saved(connected_components(alike), "parts")
+    met = _opened(stars, parts).join(marks, "node").select("key", "tile", "side", "node", "label", "marks")
     met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_met(DOUBT[0]), "a string, b string, share double")
     met = _decided(saved(met.distinct(), "shares"), texts, k, least)
-    parts = connected_components(alike.unionByName(met))
+    parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winner = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("w"))
     name = lambda n, i: F.concat_ws(":", n, F.coalesce(i.cast("string"), F.lit("")))
