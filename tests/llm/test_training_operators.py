@@ -340,6 +340,23 @@ def test_near_copies_of_a_star(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [100 * g + 50 for g in range(6)]
 
 
+def test_near_copies_true_pairs_among_false_ones():
+    """A tile of texts just below 0.8, some pairs above it: exactly the components of all true pairs."""
+    rng = np.random.default_rng(5)
+    core, sets = rng.integers(0, 1 << 63, 880).astype(np.uint64), []
+    for i in range(200):  # 0.786 to each other
+        own = rng.integers(0, 1 << 63, 120).astype(np.uint64)
+        if i % 10 == 9:
+            own[:22] = sets[-1][1][:22]  # 0.82 to the one before
+        sets.append((np.unique(np.r_[core, own]), own))
+    sets = [s for s, _ in sets]
+    marks = np.array([(simhash.symbols(s) >> np.uint64(24)).astype("<u2") for s in sets])
+    raw = [s.tobytes() for s in sets]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if simhash.jaccard(raw[i], raw[j]) >= 0.8}
+    got = simhash.true_forest(marks, np.zeros(200, int), np.arange(200), raw, simhash.DOUBT[0], 0.8)
+    assert len(want) == 20 and set(got) == want
+
+
 def test_spotsigs(spark, odd, none):
     got = {r.doc_id: r for r in spotsigs.query(spark, DATA).collect()}
     rows = docs(spark).orderBy("doc_id").collect()

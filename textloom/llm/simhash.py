@@ -25,9 +25,9 @@ share of SYMBOLS sampled symbols that agree estimates a link's similarity with a
 standard error of 0.025 at 0.8: below DOUBT[0] a link is none, from DOUBT[1] on
 it holds, and between them (four standard errors each way, or more) the Jaccard
 of the two whole shingle sets decides. In blocks that this leaves in several
-parts, the members outside the smallest's part meet all other members in tiles,
-which give out a spanning forest of the parts by descending estimate; its links
-are decided in the same way.
+parts, the members outside the smallest's part meet all other members in tiles:
+of the pairs at DOUBT[0] or more the Jaccard of the whole shingle sets decides, from
+the best estimate down, unless verified pairs have joined their parts already.
 
 Defined cases: null and empty texts and texts without a word have fingerprint
 zero, which links like any other; fewer than k words make one shingle; repeated
@@ -284,40 +284,67 @@ def _likely(marks: np.ndarray, side: np.ndarray, label: np.ndarray, floor: float
     return found
 
 
-def widest_forest(marks: np.ndarray, side: np.ndarray, label: np.ndarray, floor: float) -> list[tuple[int, int, float]]:
-    """(i, j, share): a spanning forest of the labels, by descending share, of
-    the pairs of _likely."""
+def true_forest(marks: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[bytes], floor: float, least: float) -> list[tuple[int, int]]:
+    """(i, j): a spanning forest of the labels over all pairs of _likely whose
+    sets are `least` or more alike. Only a pair that is verified joins, so no
+    pair is passed over for a false one."""
     found = _likely(marks, side, label, floor)
     if not found:
         return []
     share, a, b = (np.concatenate(x) for x in zip(*found))
     root, kept = list(range(len(marks))), []
     for c in np.lexsort((b, a, -share)).tolist():
-        p, q = int(label[a[c]]), int(label[b[c]])
+        i, j = int(a[c]), int(b[c])
+        p, q = int(label[i]), int(label[j])
         while root[p] != p:
             root[p] = root[root[p]]
             p = root[p]
         while root[q] != q:
             root[q] = root[root[q]]
             q = root[q]
-        if p != q:
+        if p != q and alike(sets[i], sets[j], least):
             root[max(p, q)] = min(p, q)
-            kept.append((int(a[c]), int(b[c]), float(share[c])))
+            kept.append((i, j))
     return kept
 
 
-def _met(floor: float):
+def _tiles(cols) -> list[tuple[int, int]]:
+    """(first, end) of each (key, tile) of whole runs."""
+    runs = _run_numbers(cols[0], cols[1])
+    edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True]).tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def _numbered(label: np.ndarray) -> np.ndarray:
+    return np.unique(label, return_inverse=True)[1]
+
+
+def _in_question(floor: float):
+    """The members of tiles that have a pair in _likely."""
+
     def run(batches):
-        for key, tile, side, node, label, marks in _whole_runs(batches):
-            a, b, shares = [], [], []
-            runs = _run_numbers(key, tile)
-            edges = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for i, j, share in widest_forest(_marked(marks[x:y]), side[x:y], np.unique(label[x:y], return_inverse=True)[1], floor):
-                    a.append(node[x + i])
-                    b.append(node[x + j])
-                    shares.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(shares, pa.float64())], names=["a", "b", "share"])
+        for cols in _whole_runs(batches):
+            key, tile, side, node, label, marks = cols
+            asked = np.zeros(len(key), bool)
+            for x, y in _tiles(cols):
+                for _, i, j in _likely(_marked(marks[x:y]), side[x:y], _numbered(label[x:y]), floor):
+                    asked[x + i] = asked[x + j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[asked]), pa.array(tile[asked]), pa.array(side[asked]), pa.array(node[asked], pa.string()), pa.array(label[asked], pa.string())], names=["key", "tile", "side", "node", "label"])
+
+    return run
+
+
+def _joined(floor: float, least: float):
+    def run(batches):
+        for cols in _whole_runs(batches):
+            _, _, side, label, marks, sets = cols
+            a, b = [], []
+            for x, y in _tiles(cols):
+                for i, j in true_forest(_marked(marks[x:y]), side[x:y], _numbered(label[x:y]), sets[x:y], floor, least):
+                    a.append(label[x + i])
+                    b.append(label[x + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+        trimmed()
 
     return run
 
@@ -338,6 +365,11 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def alike(a: bytes, b: bytes, least: float) -> bool:
+    """Whether jaccard(a, b) is `least` or more, which very unequal sizes rule out."""
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least
+
+
 def _alike(least: float):
     def run(batches):
         for b in batches:
@@ -354,13 +386,17 @@ def _both(links: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return links
 
 
+def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the nodes."""
+    sets = texts.join(nodes.distinct(), "node", "left_semi").select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary")
+    return saved(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+
 def _decided(links: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b) of the links (a, b, share) whose texts are `least` or more alike.
     Only texts with a link in doubt give their shingle sets."""
     doubt = saved(links.where(F.col("share") < DOUBT[1]).select("a", "b"), "doubt")
-    nodes = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).distinct()
-    sets = texts.join(nodes, "node", "left_semi").select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary")
-    sets = saved(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    sets = _sets(doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))), texts, k)
     exact = _both(doubt, sets, "set").select("a", "b", "x", "y").mapInArrow(_alike(least), "a string, b string")
     return saved(links.where(F.col("share") >= DOUBT[1]).select("a", "b").unionByName(exact), "alike")
 
@@ -412,8 +448,10 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEA
     alike = _decided(saved(shares, "shares"), texts, k, least)
     parts = saved(connected_components(alike), "parts")
     met = _opened(stars, parts).join(marks, "node").select("key", "tile", "side", "node", "label", "marks")
-    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_met(DOUBT[0]), "a string, b string, share double")
-    met = _decided(saved(met.distinct(), "shares"), texts, k, least)
+    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_in_question(DOUBT[0]), "key long, tile long, side int, node string, label string")
+    asked = saved(met, "asked")
+    met = bounded_batches(asked).join(marks, "node").join(_sets(asked.select("node"), texts, k), "node").select("key", "tile", "side", "label", "marks", "set")
+    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "label").mapInArrow(_joined(DOUBT[0], least), "a string, b string")
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winner = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("w"))
