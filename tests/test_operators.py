@@ -87,6 +87,18 @@ def test_unit_alignment(spark):
     assert align.match_units(u).count() == 4
 
 
+def test_unit_alignment_of_long_bodies():
+    """Bodies are scored whole: what follows 2,048 equal characters counts, and so does what follows a new opening."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    frame = lambda body: pd.DataFrame([("block", "", "", body)], columns=["kind", "number", "title", "body"])
+    score = lambda a, b: next((s for _, _, s, _ in align.align_units(frame(a), frame(b), floor=0.0)), 0.0)
+    head, tail = "x" * 2100, words("c", 600)
+    a, b = align.lineage_key(f"{head} {tail}"), align.lineage_key(f"{head} {'z' * len(tail)}")
+    assert abs(score(a, b) - (0.9 * align.indel_ratio(a, b) + 0.1)) < 1e-9 and score(a, b) < 0.74
+    a, b = align.lineage_key(tail), align.lineage_key("y" * 2100 + tail)
+    assert score(a, b) >= 0.9 * align.indel_ratio(a, b) + 0.1 - 1e-9
+
+
 def test_selections():
     c = [(0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.85), (1, 1, 0.2)]
     assert align.greedy(c, 0.5) == [(0, 0, 0.9)]

@@ -135,7 +135,7 @@ def _unit_score(a: pd.Series, b: pd.Series) -> tuple[float, float, float]:
     con = lambda x, y: len(x & y) / min(len(x), len(y)) if x and y else 0.0
     ta, tb, wa, wb = words(a.title_key), words(b.title_key), words(a.body_key), words(b.body_key)
     title = max(indel_ratio(a.title_line, b.title_line), jac(ta, tb), 0.94 * con(ta, tb)) if a.title_line and b.title_line else 0.0
-    body = 1.0 if a.body_line == b.body_line else max(indel_ratio(a.body_line[:2048], b.body_line[:2048]), 0.88 * con(wa, wb), 0.82 * jac(wa, wb))
+    body = 1.0 if a.body_line == b.body_line else max(indel_ratio(a.body_line, b.body_line), 0.88 * con(wa, wb), 0.82 * jac(wa, wb))
     titled = bool(a.title_line and b.title_line)
     s = 0.54 * title + 0.40 * body + 0.06 if titled else 0.9 * body + 0.1
     s += 0.015 if a.number and a.number == b.number else 0.0
