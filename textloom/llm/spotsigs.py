@@ -15,8 +15,9 @@ similarity is verified. Equal sets are one member before the join.
 
 Defined cases: null and empty texts and texts without letters or digits have the
 empty set, whose likeness is 1 to an empty set and 0 to others; repeated rows are
-rows of their own; with equal ids the next row is the one whose text sorts before;
-with one row the next row is the row itself; null ids come last; an empty table
+rows of their own; rows of equal ids follow each other by a hash of their texts;
+with one row the next row is the row itself; null ids come last; other columns
+don't matter, whatever their names; an empty table
 gives an empty result.
 """
 
@@ -51,8 +52,8 @@ def _alternatives(words: set[str]) -> str:
 
 
 _ANCHOR = _alternatives(set(ANCHORS))
-#: Rows of one window of neighbours.
-NEIGHBOURS = 512
+#: Rows of one window of neighbours, and the most windows (then they grow).
+NEIGHBOURS, MOST_RANGES = 512, 16_384
 
 
 def _let(value: Column, body) -> Column:
@@ -67,9 +68,10 @@ def spots(text: Column, chain: int = CHAIN) -> Column:
     # follows it. One match for each anchor: a repeated group would recurse as deep as the run is long.
     marked = F.regexp_replace(words, rf"(?<= ){_ANCHOR} ", "\u0001")
     # The start of the text is an anchor; without any other every word is anchored.
-    marked = _let(marked, lambda m: F.when(F.instr(m, "\u0001") > 0, F.concat(F.lit("\u0001"), F.ltrim(m))).otherwise(F.translate(m, " ", "\u0001")))
+    marked = _let(marked, lambda m: F.when(F.instr(m, "\u0001") > 0, F.concat(F.lit("\u0001"), F.ltrim(m))).otherwise(F.replace(m, F.lit(" "), F.lit(" \u0001"))))
     found = F.regexp_extract_all(marked, F.lit(rf"\x01(?=([^ \x01]+(?:[ \x01]+[^ \x01]+){{0,{chain - 1}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    # Without the marks a chain is the same words wherever anchors stood between them.
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.translate(s, "\u0001", "")))))
 
 
 def fingerprint(spots: Column) -> Column:
@@ -104,38 +106,51 @@ def similar(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     return rows.select(key, "set_id"), pairs.withColumn("jaccard", jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """rows (k, t) with their place (k, h, u) in the order and their range g.
+
+    h, a hash of the text, orders rows of one key, and u, the row's place in the
+    input, those of one key and text, so that a key with very many rows is many
+    ranges. The bounds of the ranges are quantiles of a sample of places; the
+    sample decides how even the ranges are, nothing else."""
+    placed = rows.withColumn("at", F.struct("k", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("u")))
+    ranges = min(MOST_RANGES, -(-n // NEIGHBOURS))
+    drawn = placed.select("at").sample(min(1.0, 24 * ranges / n), seed=7).collect() if ranges > 1 else []
+    drawn = sorted((tuple(r["at"]) for r in drawn), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+    bounds = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if len(drawn) > ranges else []
+    if not bounds:
+        return placed.withColumn("g", F.lit(0))
+    kind = "struct<k:bigint,h:bigint,u:bigint>"
+    held = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h"), F.lit(u).cast("long").alias("u")).cast(kind) for k, h, u in bounds])
+    # How many bounds are not above the place, by halving steps.
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when((i + s <= len(bounds)) & (F.get(held, i + s - 1) <= F.col("at")), i + s).otherwise(i))
+    return placed.withColumn("g", found)
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, s, next_text, next_s): each row with the spots of its text and
     the row that follows by descending key (after the last: the first).
 
-    Keys are cut into ranges of about NEIGHBOURS rows of even spacing; a range
-    is sorted by one window. Only the last row of each range travels to the
-    next one, found by two levels of ranges over (range, last key) rows.
+    Rows are dealt into ranges of the order; a range is sorted by one window.
+    Only the last row of each range travels to the next one. There are at most
+    MOST_RANGES ranges, so their last places may be broadcast.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    span = rows.agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    if not span["n"]:
+    n = rows.count()
+    if not n:
         return rows.select(F.col("k").alias(key), F.col("t").alias(text), spots(F.col("t")).alias("s"), F.col("t").alias("next_text"), spots(F.col("t")).alias("next_s"))
-    lo, hi = (span["lo"] or 0), (span["hi"] or 0)
-    width = max(1, (hi - lo + 1) * NEIGHBOURS // span["n"])
-    # Null keys come last by descending key: a range below all others.
-    ranged = rows.withColumn("g", F.coalesce(F.floor((F.col("k") - lo) / width), F.lit(-1)))
-    # The row before a range in ascending order is the last of the nearest range below.
-    full = saved(ranged.groupBy("g").agg(F.max("k").alias("last")), "ranges")
-    high = full.withColumn("h", F.floor(F.col("g") / NEIGHBOURS))
-    inner = high.withColumn("below", F.lag("g").over(Window.partitionBy("h").orderBy("g")))
-    tops = high.groupBy("h").agg(F.max("g").alias("top"))
-    tops = tops.withColumn("under", F.lag("top").over(Window.orderBy("h"))).select("h", "under")
+    ranged = _ranged(rows, n)
+    full = saved(ranged.groupBy("g").agg(F.max("at").alias("last")), "ranges")
+    # The row before a range in ascending order is the last of the nearest range below, before the first that of the last range.
+    order = Window.orderBy("g")
     top = full.agg(F.max("g")).first()[0]
-    linked = inner.join(tops, "h").select(F.coalesce("below", "under", F.lit(top)).alias("from_g"), F.col("g").alias("to_g"))
-    lasts = full.select(F.col("g").alias("from_g"), "last")
-    # (range, key) of the rows to lend, and the range that borrows each.
-    lend = linked.join(lasts, "from_g").select("from_g", "last", "to_g")
-    border = ranged.join(F.broadcast(lend) if top < 4096 else lend, (ranged["g"] == lend["from_g"]) & ranged["k"].eqNullSafe(lend["last"]))
-    one = border.groupBy("to_g").agg(F.max("t").alias("t")).select(F.lit(None).cast("long").alias("k"), "t", F.col("to_g").alias("g"), F.lit(0).alias("own"))
-    every = ranged.select("k", "t", "g", F.lit(1).alias("own")).unionByName(one)
-    placed = every.repartition("g").select("k", "t", "g", "own", spots(F.col("t")).alias("s"))
-    w = Window.partitionBy("g").orderBy("own", F.col("k").asc_nulls_first(), "t")
+    lend = full.select(F.coalesce(F.lead("g").over(order), F.min("g").over(Window.partitionBy())).alias("to_g"), F.col("g").alias("from_g"), "last")
+    border = ranged.join(F.broadcast(lend), (ranged["g"] == lend["from_g"]) & (ranged["at"] == lend["last"]))
+    one = border.groupBy("to_g").agg(F.max("t").alias("t")).select(F.lit(None).cast("long").alias("k"), "t", F.lit(None).cast(ranged.schema["at"].dataType).alias("at"), F.col("to_g").alias("g"), F.lit(0).alias("own"))
+    every = ranged.select("k", "t", "at", "g", F.lit(1).alias("own")).unionByName(one)
+    placed = (every.repartition("g") if top else every).select("k", "t", "at", "g", "own", spots(F.col("t")).alias("s"))
+    w = Window.partitionBy("g").orderBy("own", "at")
     return placed.withColumn("next", F.lag(F.struct("t", "s")).over(w)).where("own = 1").select(F.col("k").alias(key), F.col("t").alias(text), "s", F.col("next.t").alias("next_text"), F.col("next.s").alias("next_s"))
 
 
