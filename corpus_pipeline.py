@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from textloom.llm import language, mixing, pieces, simhash, toxicity
 from textloom.llm.common import remainder, saved, table
 
-#: A text that its best language codes in more bits a byte than this is in none of them.
-PLAIN_BITS = 8.0
+#: A text that its best language codes in more bits than plain bytes and an
+#: allowance for the beginning of a text is in none of them.
+PLAIN_BITS, START_BITS = 8.0, 64.0
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language.learn(docs.where(remainder(F.col("doc_id"), 4) != 2))
     names = ("__lang_pred", "__lang_score", "__lang_bits")
     told = language.predict(docs, trees, out=names)
-    return told.where((F.col(names[0]) != language.UND) & (F.col(names[2]) <= PLAIN_BITS)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bound = PLAIN_BITS + START_BITS / F.greatest(F.lit(1), F.octet_length(F.col("text").cast("string")))
+    return told.where((F.col(names[0]) != language.UND) & (F.col(names[2]) <= bound)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

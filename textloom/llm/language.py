@@ -7,107 +7,115 @@ without it adds its escape (method C: after n bytes of q kinds, the escape has
 probability q / (n + q)), and below the empty context all 256 bytes are alike.
 The language whose model gives the text the shortest exact code is predicted.
 
-A text is read as its words (runs of letters, lower-cased), each coded from a
-space on, and contexts do not reach into the word before. So the code length of
-a text is the sum of its words', a word's lengths are computed once in a batch
-and kept in a bounded table, and every byte of every word counts.
+The coded sequence is the whole text, lower-cased and with each ASCII digit as
+0, in UTF-8: letters, digits, signs and white space, each byte in the context of
+the ORDER bytes before it (before the text: line feeds). As the statistics are frozen, a byte's code
+length is a function of its ORDER + 1 bytes, so a worker keeps those it has
+computed in a table of bounded size and looks each position of a text up there.
 
 The trees of all languages are stored as one sorted array of contexts and one
 of (context, byte) for each depth, with a column a language. Their size is
-bounded by the learning sample: at most SAMPLE labelled texts a language, the
-ones with the smallest hash of their id, whole.
-
-Defined cases: a null text or one without a letter is `und` with score 0; a
-null lang is not learned from; repeated rows count as often as they are there;
-equal code lengths go to the smaller language name; if nothing can be learned
-every text is `und`; an empty table gives an empty result.
+bounded by the learning sample: at most SAMPLE labelled texts a language, those
+with the smallest hash of their id, whole, of the LANGUAGES most frequent ones.
+
+Defined cases: a null text or one without a letter (general category L) is
+`und` with score 0; a null lang is not learned from; rows that repeat an id in a
+language are learned from once (the text that sorts first); repeated rows are
+predicted each; equal code lengths go to the smaller language name; if nothing
+can be learned every text is `und`; an empty table gives an empty result; other
+columns of the table pass through whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, remainder, trimmed
 
 ORDER = 4
-SAMPLE = 300
-TABLE_ENTRIES = 150_000
+SAMPLE, LANGUAGES = 600, 256
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of a worker's table of code lengths, and positions that are coded at a time.
+TABLE_BYTES, STEP = 96 << 20, 1 << 18
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+#: Which digit it is tells no language.
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+
+
+def coded(text: str) -> bytes:
+    return text.lower().encode().translate(_DIGITS)
+
 
+def has_letter(text: str | None) -> bool:
+    """str.isalpha() is true of the general category L and of nothing else."""
+    return bool(text) and any(map(str.isalpha, text))
 
-def _grams(packed: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with `depth` bytes of context in their word, and those
-    depth + 1 bytes as an integer (of at most 8 bytes)."""
-    at = np.flatnonzero(np.arange(len(packed)) - starts >= depth)
-    code = np.zeros(len(at), np.uint64)
+
+def grams(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The depth + 1 bytes that end at each place, as an integer (of at most 8 bytes)."""
+    out = np.zeros(len(at), np.uint64)
     for k in range(depth, -1, -1):
-        code = (code << np.uint64(8)) | packed[at - k]
-    return at, code
+        out = (out << np.uint64(8)) | data[at - k]
+    return out
 
 
-def _layout(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the words, each after a space; the start and the number of each byte's word."""
-    coded = [b" " + w.encode() for w in words]
-    size = np.array([len(c) for c in coded], np.int64)
+def laid_out(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, each after `order` line feeds; the places of coded
+    bytes; and where each text's places begin."""
+    pad = b"\n" * order
+    size = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(size) - size
-    return np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64), np.repeat(first, size), np.repeat(np.arange(len(words)), size)
+    at = np.arange(size.sum()) + np.repeat(order * np.arange(1, len(texts) + 1), size)
+    return np.frombuffer(b"".join([pad + t for t in texts]), np.uint8).astype(np.uint64), at, first
 
 
 class ContextTrees:
     """Frozen statistics of all languages."""
 
-    def __init__(self, counts: dict[str, Counter], order: int = ORDER):
-        self.langs, self.order = sorted(counts), order
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
+        self.langs, self.order = sorted(samples), order
         self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
+        laid = [laid_out(samples[lang], order)[:2] for lang in self.langs]
         for depth in range(order + 1):
-            found = []
-            for k, lang in enumerate(self.langs):
-                words = list(counts[lang])
-                packed, starts, owner = _layout(words)
-                at, code = _grams(packed, starts, depth)
-                keep = packed[at] != 32 if depth == 0 else slice(None)
-                times = np.array([counts[lang][w] for w in words], np.int64)[owner[at]]
-                kind, place = np.unique(code[keep], return_inverse=True)
-                found.append((kind, np.bincount(place, times[keep], len(kind)).astype(np.int64)))
-            grams = np.unique(np.concatenate([g for g, _ in found])) if found else np.empty(0, np.uint64)
-            contexts = np.unique(grams >> np.uint64(8))
-            cost = np.full((len(grams), len(found)), np.nan)
+            found = [np.unique(grams(data, at, depth), return_counts=True) for data, at in laid]
+            kinds = np.unique(np.concatenate([g for g, _ in found])) if found else np.empty(0, np.uint64)
+            contexts = np.unique(kinds >> np.uint64(8))
+            cost = np.full((len(kinds), len(found)), np.nan)
             escape = np.zeros((len(contexts), len(found)))
             for k, (g, n) in enumerate(found):
                 where = np.searchsorted(contexts, g >> np.uint64(8))
-                total, kinds = np.bincount(where, n, len(contexts)), np.bincount(where, minlength=len(contexts))
+                total, q = np.bincount(where, n, len(contexts)), np.bincount(where, minlength=len(contexts))
                 seen = total > 0
-                cost[np.searchsorted(grams, g), k] = -np.log2(n / (total + kinds)[where])
-                escape[seen, k] = -np.log2(kinds[seen] / (total + kinds)[seen])
-            self.grams.append(grams)
+                cost[np.searchsorted(kinds, g), k] = -np.log2(n / (total + q)[where])
+                escape[seen, k] = -np.log2(q[seen] / (total + q)[seen])
+            self.grams.append(kinds)
             self.costs.append(cost)
             self.contexts.append(contexts)
             self.escapes.append(escape)
         # A gram that a language lacks costs its escape and the gram one byte shorter; fill in from the short ones.
         for depth in range(order + 1):
             g = self.grams[depth]
-            lower = self._lengths(depth - 1, g & np.uint64((1 << (8 * depth)) - 1)) if depth else np.full((len(g), len(self.langs)), 8.0)
-            lower = lower + self._at(self.contexts[depth], self.escapes[depth], g >> np.uint64(8), 0.0)
+            lower = self.lengths(g & np.uint64((1 << (8 * depth)) - 1), depth - 1) if depth else np.full((len(g), len(self.langs)), 8.0)
+            lower = lower + self._escape(depth, g)
             self.costs[depth] = np.where(np.isnan(self.costs[depth]), lower, self.costs[depth])
 
-    def _at(self, keys, values, wanted, default):
-        out = np.full((len(wanted), len(self.langs)), default)
+    def _escape(self, depth: int, code: np.ndarray) -> np.ndarray:
+        keys, out, wanted = self.contexts[depth], np.zeros((len(code), len(self.langs))), code >> np.uint64(8)
         if len(keys):
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             hit = keys[place] == wanted
-            out[hit] = values[place[hit]]
+            out[hit] = self.escapes[depth][place[hit]]
         return out
 
-    def _lengths(self, depth: int, code: np.ndarray) -> np.ndarray:
+    def lengths(self, code: np.ndarray, depth: int | None = None) -> np.ndarray:
         """Code length in bits of the last byte of each gram, a column a language."""
+        depth = self.order if depth is None else depth
         out, left = np.zeros((len(code), len(self.langs))), np.arange(len(code))
         while depth >= 0 and len(left):
             keys = self.grams[depth]
@@ -115,45 +123,65 @@ class ContextTrees:
             hit = keys[place] == code[left] if len(keys) else np.zeros(len(left), bool)
             out[left[hit]] += self.costs[depth][place[hit]]
             left = left[~hit]
-            out[left] += self._at(self.contexts[depth], self.escapes[depth], code[left] >> np.uint64(8), 0.0)
+            out[left] += self._escape(depth, code[left])
             depth -= 1
             code = code & np.uint64((1 << (8 * (depth + 1))) - 1)
         out[left] += 8.0
         return out
 
-    def bits(self, words: list[str]) -> np.ndarray:
-        """Code length of each word in each language."""
-        packed, starts, owner = _layout(words)
-        here, out = np.arange(len(packed)) - starts, np.zeros((len(words), len(self.langs)))
-        for depth in range(1, self.order + 1):
-            at, code = _grams(packed, starts, depth)
-            if depth < self.order:
-                keep = here[at] == depth
-                at, code = at[keep], code[keep]
-            if len(at):
-                cost = self._lengths(depth, code)
-                for k in range(len(self.langs)):
-                    out[:, k] += np.bincount(owner[at], cost[:, k], len(words))
+
+class Coder:
+    """A worker's view of the trees: a direct-mapped table of computed grams."""
+
+    def __init__(self, trees: ContextTrees, table_bytes: int = TABLE_BYTES):
+        self.trees = trees
+        self.log = max(8, int(np.log2(table_bytes / (8 + 8 * max(1, len(trees.langs))))))
+        self.keys = np.full(1 << self.log, np.iinfo(np.uint64).max)
+        self.values = np.zeros((1 << self.log, len(trees.langs)))
+
+    def _step(self, code: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            slot = ((code * _MIX) >> np.uint64(64 - self.log)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != code)
+        out = self.values[slot]
+        if len(new):
+            kinds, back = np.unique(code[new], return_inverse=True)
+            made = self.trees.lengths(kinds)
+            out[new] = made[back]
+            with np.errstate(over="ignore"):
+                slot = ((kinds * _MIX) >> np.uint64(64 - self.log)).astype(np.int64)
+            # Of grams with one slot the last one stays, in both arrays.
+            slot, last = np.unique(slot[::-1], return_index=True)
+            self.keys[slot], self.values[slot] = kinds[::-1][last], made[::-1][last]
         return out
 
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Code length of each whole text in each language; no text is empty."""
+        data, at, first = laid_out(texts, self.trees.order)
+        out = np.zeros((len(texts), len(self.trees.langs)))
+        for a in range(0, len(at), STEP):
+            part = at[a : a + STEP]
+            cost = self._step(grams(data, part, self.trees.order))
+            i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, a + len(part))
+            out[i:j] += np.add.reduceat(cost, np.maximum(first[i:j] - a, 0), axis=0)
+        return out
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
-    """Learn from at most `sample` texts of each non-null language."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(23)), F.lit(1 << 40))
-    # The hash below which `sample` rows lie is aggregated without the texts: the smallest ones of each task, merged.
-    per = rows.groupBy(lang).agg(F.count("*").alias("n")).collect()
-    share = {r[lang]: min(1.0, 1.5 * sample / r["n"]) for r in per}
-    if not share:
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, languages: int = LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
+    """Learn from at most `sample` texts of each of the `languages` most frequent ones."""
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(23)), F.lit(1 << 40)).alias("draw")).where("lang IS NOT NULL AND text <> ''")
+    per = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("draw").alias("n")).orderBy(F.col("rows").desc(), "lang").limit(languages).collect()
+    if not per:
         return ContextTrees({}, order)
-    bound = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 40)) + 1)])
-    chosen = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text")).where(F.col("draw") < bound[F.col("lang")]).orderBy("draw", "text").limit(2 * sample * len(share)).collect()
-    counts, taken = {k: Counter() for k in share}, Counter()
-    for r in chosen:
-        if taken[r["lang"]] < sample:
-            taken[r["lang"]] += 1
-            counts[r["lang"]].update(LETTERS.findall(r["text"].lower()))
-    return ContextTrees({k: c for k, c in counts.items() if c}, order)
+    # Draws are even, so this bound leaves well over `sample` ids; the window takes the smallest.
+    bound = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], int(min(1.0, 1.5 * sample / r["n"]) * (1 << 40)) + 1)])
+    near = rows.where(F.col("draw") < F.try_element_at(bound, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = near.withColumn("nth", first).where(F.col("nth") <= sample).select("lang", "text").collect()
+    samples: dict[str, list[bytes]] = {}
+    for r in sorted(chosen):
+        samples.setdefault(r["lang"], []).append(coded(r["text"]))
+    return ContextTrees(samples, order)
 
 
 def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "bits_a_byte")) -> DataFrame:
@@ -169,58 +197,29 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", out: tuple
 def _predictor(cast):
     import pandas as pd
 
-    table: dict[str, int] = {}
-    held: list[np.ndarray] = [np.empty((0, 0))]
-
-    def one(text, trees):
-        words = LETTERS.findall(text.lower()) if text else ()
-        if not words or not trees.langs:
-            return UND, 0.0, 0.0
-        try:
-            at = list(map(table.__getitem__, words))
-        except KeyError:
-            if len(table) > TABLE_ENTRIES:
-                table.clear()
-                held[0] = np.empty((0, len(trees.langs)))
-            new = [w for w in set(words) if w not in table]
-            rows = np.concatenate([held[0].reshape(-1, len(trees.langs)), trees.bits(new)]) if len(held[0]) else trees.bits(new)
-            table.update(zip(new, range(len(rows) - len(new), len(rows))))
-            held[0] = rows
-            at = list(map(table.__getitem__, words))
-        bits = held[0][at].sum(0)
-        best = int(bits.argmin())
-        size = sum(map(len, map(str.encode, words))) + len(words)
-        return trees.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / size)
+    def told(texts: list[bytes], coder: Coder) -> list[tuple]:
+        bits = coder.bits(texts)
+        best = bits.argmin(1)
+        least = bits[np.arange(len(texts)), best]
+        score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        return [(coder.trees.langs[b], float(s), float(n / len(t))) for b, s, n, t in zip(best.tolist(), score, least, texts)]
 
     def predictor(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees = cast.value
+        coder = Coder(cast.value)
         for texts in batches:
-            yield batch(texts, trees)
-        table.clear()
-        held[0] = np.empty((0, 0))
+            rows, held, size = [(UND, 0.0, 0.0)] * len(texts), {}, 0
+            for i, t in enumerate(texts):
+                if coder.trees.langs and has_letter(t):
+                    held[i] = coded(t)
+                    size += len(held[i])
+                if held and (size > STEP or i == len(texts) - 1):
+                    for k, row in zip(held, told(list(held.values()), coder)):
+                        rows[k] = row
+                    held, size = {}, 0
+            yield pd.DataFrame(rows, columns=["lang", "score", "bits"])
+        del coder
         trimmed()
 
-    def batch(texts, trees):
-        # New words of the whole batch first: one array pass instead of one a text.
-        words = set()
-        for t in texts:
-            if t:
-                words.update(LETTERS.findall(t.lower()))
-                if len(words) > 20_000:
-                    warm(words, trees)
-                    words = set()
-        warm(words, trees)
-        return pd.DataFrame([one(t, trees) for t in texts], columns=["lang", "score", "bits"])
-
-    def warm(words, trees):
-        new = [w for w in words if w not in table]
-        if not new or not trees.langs or len(table) > TABLE_ENTRIES:
-            return
-        rows = trees.bits(new)
-        base = len(table)
-        held[0] = np.concatenate([held[0], rows]) if base else rows
-        table.update(zip(new, range(base, base + len(new))))
-
     predictor.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return predictor
 
