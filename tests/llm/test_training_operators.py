@@ -263,6 +263,47 @@ def test_topk(spark):
     assert [r.score for r in topk.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [(1 << 60) + 3, (1 << 60) + 2]
 
 
+def test_topk_reads_lists_in_step():
+    """Equal to brute force at every depth, and short of the lists' ends where the best stand out."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 0.2, (40, 32))
+    v = np.floor(256 * (np.repeat(centres, 50, axis=0) + rng.normal(0, 0.01, (2000, 32)))).astype(np.int64)
+    ids = rng.permutation(2000).astype(np.int64)
+    lists, depths = topk.Lists(v, ids), []
+    for q in range(0, 2000, 97):
+        rows, scores, depth = topk.nra(v[q], lists, int(ids[q]), 5)
+        want = sorted((-int(v[q] @ v[c]), int(ids[c])) for c in range(2000) if c != q)[:5]
+        assert list(zip((-scores).tolist(), ids[rows].tolist())) == want
+        depths.append(depth)
+        again = topk.nra(v[q], lists, int(ids[q]), 5, least=int(scores[-1]))
+        assert again[1].tolist() == scores.tolist() and again[2] <= depth
+        assert topk.nra(v[q], lists, int(ids[q]), 5, least=int(scores[0]) * 2)[2] <= depth
+    assert np.mean(depths) < 1200 and sum(d < 2000 for d in depths) > 0.9 * len(depths), depths
+    # Nothing stands out: ties, zeros, equal rows, and more places than vectors.
+    for v in (np.zeros((30, 4), np.int64), np.ones((30, 4), np.int64), rng.integers(-2, 3, (300, 3)), np.full((3, 2), 1 << 40)):
+        ids = np.arange(len(v))[::-1].copy()
+        for q in range(min(len(v), 12)):
+            rows, scores, _ = topk.nra(v[q], topk.Lists(v, ids), int(ids[q]), 5)
+            assert list(zip((-scores).tolist(), ids[rows].tolist())) == sorted((-int(v[q].astype(object) @ v[c].astype(object)) if abs(int(v.max())) < 1 << 20 else -int(np.int64(v[q] @ v[c])), int(ids[c])) for c in range(len(v)) if c != q)[:5]
+
+
+def test_topk_odd_rows(spark, monkeypatch):
+    """Vectors of several lengths, repeated ids and rows, clashing columns, more than one block."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, 4)]) for i in range(120)] + [(200 + i, [int(x) for x in rng.integers(-9, 9, 3)]) for i in range(30)]
+    rows += [(7, [9, 9, 9, 9])] * 40 + [(0, [-9, -9, -9, -9]), (None, [1, 1, 1, 1]), (5, []), (300, None)]
+    df = spark.createDataFrame([(a, b, 1, 2, "x") for a, b in rows], "vec_id long, embedding array<long>, dim int, block int, id string")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 10 = 0")).collect()}
+    want = set()
+    for q in sorted({a for a, b in rows if a is not None and a % 10 == 0 and b}):
+        v = min(b for a, b in rows if a == q and b)
+        best = sorted((-sum(x * y for x, y in zip(v, b)), a) for a, b in rows if a is not None and b and a != q and len(b) == len(v))[:5]
+        want |= {(q, n, a, -s) for n, (s, a) in enumerate(best, 1)}
+    assert got == want
+
+
 def brute_components(fps, radius):
     root = list(range(len(fps)))
 

@@ -1,30 +1,39 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-The candidates are dealt into blocks of BLOCK vectors and the queries into
-blocks of QUERIES. A block pair is one run of the NRA algorithm (Fagin, Lotem
-and Naor, 2001): each dimension is a list of the block's vectors sorted by
-their contribution to the score, which for a query is the list from its top
-where the query's component is positive and from its bottom where it is
-negative. All lists are read in step to growing depths. A vector not yet met in
-a list contributes at most the last value read there (upper bound) and at least
-the list's worst value (lower bound). After each depth, vectors whose upper
-bound lies below the k-th lower bound of a query are outside for it; when no
-query has outsiders that can still qualify, reading stops, and the final scores
-of those inside are resolved. The bounds of a depth are two matrix products over
-clipped lists, for all queries of the block together.
-
-The k best of each block pair are merged by one ranking over k rows for each
-query and block. No pair of all vectors is ever a row, and a task holds one
-block pair.
+The candidates are dealt into blocks and the queries into blocks of their own.
+For a query, each dimension of a block is a list: the block's vectors sorted by
+their contribution to the score, from the list's top where the query's component
+is positive and from its bottom where it is negative (zero components have no
+list). The NRA algorithm (Fagin, Lotem and Naor, 2001) reads all lists in step:
+
+- only list entries that have been reached are used; a vector that no list has
+  shown yet has no state;
+- a vector met has a lower bound (what is known of it, and the worst value of
+  each list that has not shown it) and an upper bound (the same with the last
+  value read there);
+- a vector not met is an outsider, whose upper bound is the sum of the last
+  values read; outsiders are out once that lies below the k-th best lower bound;
+- from then on, those met whose upper bound lies below it are dropped as well,
+  until at most RESOLVE * k are left or the lists end; their final scores are
+  then resolved.
+
+The k-th best of the blocks that a task has read before for the same queries
+counts as a bound from the start, so later blocks are read less deep. nra()
+returns the depth it read to.
+
+Each block of queries meets each block of candidates (a stated query set against
+all rows); a task keeps k rows a query for all the blocks that it reads, and one
+ranking merges the tasks. No pair of vectors is ever a row.
 
 Components are whole numbers, and sums stay exact: in doubles below 2 ** 53,
 else in 64-bit integers.
 
 Defined cases: null vectors and those with null, NaN or infinite components (or,
-against a query, of another length) take no part; null ids take no part;
-rows that repeat an id are candidates each, but never of their own id; ties go
-to the smaller id; with fewer than k candidates all are given; an empty table
-gives an empty result.
+against a query, of another length), empty vectors and null ids take no part;
+rows that repeat an id are candidates each, but never of their own id; of query
+rows that repeat an id the one whose vector sorts first is asked; ties go to the
+smaller id; with fewer than k candidates all are given; other columns don't
+matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,52 +43,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
-
-BLOCK, QUERIES = 4096, 512
-DEPTHS = (0.5, 0.8)
-
-
-def nra(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the k best vectors of each query.
-
-    own: a mask (queries x vectors) of pairs that don't count; ids break ties."""
-    n, exact = len(vectors), float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < 2**53
-    inside = ~own
-    if exact and n > 4 * k:
-        lists = np.sort(vectors, axis=0).astype(np.float64)  # ascending: each dimension's list, to be read from either end
-        v = vectors.astype(np.float64)
-        plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        for depth in DEPTHS:
-            last = min(n - 1, int(n * depth))
-            top, bottom = lists[n - 1 - last], lists[last]  # last values read
-            upper = plus @ np.maximum(v, top).T + minus @ np.minimum(v, bottom).T
-            lower = plus @ np.where(v >= top, v, lists[0]).T + minus @ np.where(v <= bottom, v, lists[-1]).T
-            lower = np.where(inside, lower, -np.inf)
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            inside &= upper >= kth[:, None]
-            if inside.sum() <= 2 * k * len(queries):
-                break
-    rows, cols, scores = [], [], []
-    a, b = (queries.astype(np.float64), vectors.astype(np.float64)) if exact else (queries, vectors)
-    for q in range(len(queries)):
-        left = np.flatnonzero(inside[q])
-        s = (b[left] @ a[q]).astype(np.int64)
-        if len(left) > k:
-            kth = np.partition(s, len(s) - k)[len(s) - k]
-            near = s >= kth
-            left, s = left[near], s[near]
-        best = np.lexsort((ids[left], -s))[:k]
-        rows += [q] * len(best)
-        cols += left[best].tolist()
-        scores += s[best].tolist()
-    return np.array(rows, np.int64), np.array(cols, np.int64), np.array(scores, np.int64)
-
-
-def _packed(frame: DataFrame, size: int, name: str, seed: int) -> DataFrame:
-    """Blocks of about `size` vectors of one length: (dim, block, rows)."""
-    n = frame.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = frame.join(n, "dim").withColumn(name, F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
+from .common import saved, trimmed
+
+#: Components of a block of candidates and of one of queries.
+BLOCK, QUERIES = 1 << 19, 1 << 18
+#: Entries of each list that a step reads at least (a quarter of the depth, later on).
+FIRST, RESOLVE = 64, 8
+
+
+class Lists:
+    """A block of vectors and its sorted lists, a column a dimension."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.most = int(max(-int(vectors.min(initial=0)), int(vectors.max(initial=0))))
+
+
+def nra(query: np.ndarray, lists: Lists, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, depth): the k best vectors of a block, best first, other
+    than those with the id `own`, and how many entries of each list were read.
+
+    least: a score that k vectors of other blocks reach already."""
+    n, dims = len(lists.vectors), np.flatnonzero(query)
+    q = query[dims]
+    exact = lists.most * int(np.abs(query).sum()) < 2**53
+    q = q.astype(np.float64) if exact else q
+    up = q > 0
+    worst = np.where(up, lists.sorted[0, dims], lists.sorted[-1, dims]) * q
+    known, behind = np.zeros(n, q.dtype), np.full(n, worst.sum())
+    seen = np.zeros((n, len(dims)), bool)
+    mine = lists.ids != own
+    depth, live = 0, None
+    while depth < n and len(dims):
+        at = np.arange(depth, min(n, depth + max(FIRST, depth // 4)))
+        depth = int(at[-1]) + 1
+        # The next entries of each list, from its top or from its bottom.
+        place = np.where(up[None, :], n - 1 - at[:, None], at[:, None])
+        row, value = lists.order[place, dims], lists.sorted[place, dims] * q
+        last = value[-1]
+        seen[row, np.arange(len(dims))] = True
+        if exact:
+            known += np.bincount(row.ravel(), value.ravel(), n)
+            behind -= np.bincount(row.ravel(), np.broadcast_to(worst, row.shape).ravel(), n)
+        else:
+            np.add.at(known, row, value)
+            np.subtract.at(behind, row, np.broadcast_to(worst, row.shape))
+        if live is None:
+            met = np.flatnonzero(seen.any(axis=1) & mine)
+            bound = _kth(known[met] + behind[met], k, least)
+            if bound is None or last.sum() >= bound:
+                continue
+            live = met  # outsiders are out: nobody joins any more
+        bound = _kth(known[live] + behind[live], k, least)
+        if bound is not None:
+            upper = known[live] + np.where(seen[live], 0, last).sum(axis=1)
+            live = live[upper >= bound]
+        if len(live) <= RESOLVE * k:
+            break
+    if live is None:  # read to the end, or no component to ask for
+        live = np.flatnonzero(mine)
+    score = (lists.vectors[live].astype(np.int64) @ query.astype(np.int64)).astype(np.int64)
+    best = np.lexsort((lists.ids[live], -score))[:k]
+    return live[best], score[best], depth
+
+
+def _kth(lower: np.ndarray, k: int, least: int | None):
+    """The k-th best lower bound, or a better one known before."""
+    own = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else None
+    return least if own is None else own if least is None else max(own, least)
+
+
+class Best:
+    """The k best (score, id) of each query of a block over candidate blocks."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.held: list[list[tuple[int, int]]] = [[] for _ in ids]
+
+    def meet(self, lists: Lists) -> None:
+        for i, own in enumerate(self.ids.tolist()):
+            held = self.held[i]
+            rows, scores, _ = nra(self.vectors[i], lists, own, self.k, -held[-1][0] if len(held) == self.k else None)
+            self.held[i] = sorted(held + list(zip((-scores).tolist(), lists.ids[rows].tolist())))[: self.k]
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(q, i, -s) for q, held in zip(self.ids.tolist(), self.held) for s, i in held]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def _packed(frame: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks (dim, name, rows) of about `size` components of vectors of one
+    length. Rows are dealt by id and place, so an id with very many rows is
+    spread like any others."""
+    n = frame.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / size).alias("blocks"))
+    dealt = frame.withColumn("place", F.xxhash64("id", F.monotonically_increasing_id())).join(n, "dim").withColumn(name, F.pmod("place", F.col("blocks")))
     return dealt.groupBy("dim", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
 
 
@@ -91,21 +150,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         v = F.col(vector).cast("array<long>")
         return df.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.col("dim") > 0))
 
-    blocks = _packed(clean(vectors), BLOCK, "block", 3)
-    asked = _packed(clean(queries), QUERIES, "asked", 5)
+    blocks = _packed(clean(vectors), BLOCK, "block")
+    once = clean(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = _packed(once, QUERIES, "asked")
     # Each candidate block meets each query block: a stated query set against all rows.
-    met = blocks.join(asked, "dim").repartition("dim", "block", "asked")
+    met = blocks.join(asked, "dim").repartition("dim", "block", "asked").sortWithinPartitions("dim", "asked")
+
+    def arrays(one, name, dim):
+        rows = one.column(f"{name}_rows")[0].values
+        return np.asarray(rows.field("id")), np.asarray(rows.field("v").flatten()).reshape(-1, dim)
 
     def run(batches):
+        best, now = None, None
         for b in batches:
             for row in range(b.num_rows):
                 one = b.slice(row, 1)
-                cand, ask = one.column("block_rows")[0].values, one.column("asked_rows")[0].values
-                dim = one.column("dim")[0].as_py()
-                ids, qids = np.asarray(cand.field("id")), np.asarray(ask.field("id"))
-                v, q = (np.asarray(x.field("v").flatten()).reshape(-1, dim) for x in (cand, ask))
-                r, c, s = nra(q, v, qids[:, None] == ids[None, :], k, ids)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(ids[c]), pa.array(s)], names=["query_id", "vec_id", "score"])
+                dim, asked = one.column("dim")[0].as_py(), one.column("asked")[0].as_py()
+                if now != (dim, asked):
+                    if best:
+                        yield best.batch()
+                    best, now = Best(*arrays(one, "asked", dim), k), (dim, asked)
+                ids, v = arrays(one, "block", dim)
+                best.meet(Lists(v, ids))
+        if best:
+            yield best.batch()
+        trimmed()
 
     found = saved(met.mapInArrow(run, "query_id long, vec_id long, score long"), "topk")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
