@@ -14,12 +14,19 @@ about LEAF documents, so a source with a third of all rows is many leaves;
 each leaf hands up at most one fractional document, and FAN leaves make a node
 of the next level, until one is left for each source. The last one is rounded
 by its own random number, so a source misses its target by less than the words
-of one document (of one set of repeated rows).
+of one document.
+
+Repeated rows (same doc_id, source and size) are one item with a count n: of the
+n * p copies that they are owed beyond the integral part, the whole ones go to
+the first rows, and only what is left, less than one row's words, takes part in
+the meetings. So a row that is there very often moves no target by more than one
+document either. They are counted before any shuffle of rows, and dealt out again
+in runs of RUN rows by many tasks.
 
 Defined cases: null text has size 0; a null source is a source of its own,
-ranked last; a null doc_id is an id like any other; repeated rows (same doc_id,
-source and size) are rounded together and get the same copies; documents of
-size 0 are rounded alone; an empty table gives an empty result.
+ranked last; a null doc_id is an id like any other; items of size 0 are rounded
+alone; an empty table gives an empty result. The table of sources (one row a
+source) is ranked and levelled by one task.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import WORD, saved
 
 LEAF, FAN, EPS = 4096, 64, 1e-9
+#: Repeated rows that one task gives out at a time.
+RUN = 10_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -84,32 +93,51 @@ def _meet(g: pd.DataFrame) -> pd.DataFrame:
     return g.assign(p=p)
 
 
-def mix(items: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """items: (doc_id, source, size) rows -> the same rows with source_size,
-    target, copies (0..most) and taken = copies * size."""
-    items = saved(items.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "mix")
+def rounded(items: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, key: tuple[str, ...] = ("doc_id", "source", "size")) -> DataFrame:
+    """items: (key, source, size, n_rows) -> (key, n_rows, source_size, target,
+    sure, whole, extra): every row of an item is taken `sure` times, its first
+    `whole` rows once more, and the next one `extra` (0 or 1) times more."""
+    k = list(key)
     targets = source_targets(items, weights, share, most)
-    start = items.join(targets, items["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"])
+    start = items.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = start.withColumn("rate", rate).withColumn("sure", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
+    start = start.withColumn("rate", rate).withColumn("sure", F.floor(F.col("rate") + EPS)).withColumn("owed", F.col("n_rows") * F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
+    start = start.withColumn("whole", F.floor(F.col("owed") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("owed") - F.col("whole")))
     leaves = F.ceil(F.col("n_items") / LEAF)
-    node = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), leaves)
-    draw = lambda level: F.pmod(F.xxhash64("doc_id", "source", "size", F.lit(seed + level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    start = start.select("doc_id", "source", "size", "n_rows", "source_size", "target", "sure", "p", (F.col("size") * F.col("n_rows")).cast("double").alias("mass"), node.alias("node"), leaves.alias("nodes"), draw(1).alias("u"))
-    level, done, most_nodes = 1, None, 2
+    node = F.pmod(F.xxhash64(*k, F.lit(seed)), leaves)
+    draw = lambda level: F.pmod(F.xxhash64(*k, F.lit(seed + level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    start = start.select(*k, "n_rows", "source_size", "target", "sure", "whole", "p", F.col("size").cast("double").alias("mass"), node.alias("node"), leaves.alias("nodes"), draw(1).alias("u"))
+    level, done = 1, None
     while True:
         out = saved(start.groupBy("source", "node").applyInPandas(_meet, start.schema), "mix")
-        whole = out.where(~((F.col("p") > EPS) & (F.col("p") < 1 - EPS)))
-        done = whole if done is None else done.unionByName(whole)
+        ended = out.where(~((F.col("p") > EPS) & (F.col("p") < 1 - EPS)))
+        done = ended if done is None else done.unionByName(ended)
         left = out.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS))
-        most_nodes = left.agg(F.max("nodes")).first()[0] or 0
-        if most_nodes <= 1:
+        if (left.agg(F.max("nodes")).first()[0] or 0) <= 1:
             break
         level += 1
         start = left.withColumn("node", F.floor(F.col("node") / FAN)).withColumn("nodes", F.ceil(F.col("nodes") / FAN)).withColumn("u", draw(level))
     done = done.unionByName(left.withColumn("p", (draw(level + 1) < F.col("p")).cast("double")))
-    copies = (F.col("sure") + F.round("p")).cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("occurrence"))
+    return done.select(*k, "n_rows", "source_size", "target", "sure", "whole", F.round("p").cast("long").alias("extra"))
+
+
+def _numbered(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row n times, numbered from 1. Rows with a large n go to many tasks."""
+    runs = df.withColumn("__run", F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / RUN).cast("long") - 1)))
+    few, many = runs.where(F.col(n) <= RUN), runs.where(F.col(n) > RUN)
+    dealt = few.unionByName(many.repartition("__run"))
+    first = F.col("__run") * RUN
+    return dealt.withColumn(name, F.explode(F.sequence(first + 1, F.least(first + RUN, F.col(n))))).drop("__run")
+
+
+def mix(items: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """items: (doc_id, source, size) rows -> the same rows with source_size,
+    target, copies (0..most) and taken = copies * size."""
+    counted = saved(items.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")), "mix")
+    rows = _numbered(rounded(counted, weights, share, most, seed), "n_rows", "occurrence")
+    at = F.col("occurrence")
+    copies = (F.col("sure") + F.when(at <= F.col("whole"), 1).when(at == F.col("whole") + 1, F.col("extra")).otherwise(0)).cast("long")
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "occurrence")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -117,14 +145,23 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, with the
-    columns of docs. A row of size 0 carries no words and no decision of
-    weight; it follows its rounded copies like any other."""
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("z"))
-    made = mix(sized(docs), **options).where("occurrence = 1 and copies > 0").select("doc_id", F.col("source").alias("src"), "size", "copies")
-    on = keyed["i"].eqNullSafe(made["doc_id"]) & keyed["s"].eqNullSafe(made["src"]) & (keyed["z"] == made["size"])
-    return keyed.join(made, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    columns of docs. Rows that are equal in all columns are one item; their
+    copies come from one of them."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    rid = F.concat(F.xxhash64(*plain), F.lit("/"), F.xxhash64(F.lit(seed), *plain))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), rid.alias("rid"))
+    counted = saved(items.groupBy("doc_id", "source", "size", "rid").agg(F.count("*").alias("n_rows")), "mix")
+    total = F.col("n_rows") * F.col("sure") + F.col("whole") + F.col("extra")
+    taken = saved(rounded(counted, weights, share, most, seed, ("doc_id", "source", "size", "rid")).select("rid", "n_rows", total.alias("total")).where("total > 0"), "mix")
+    keyed = docs.select(F.struct("*").alias("row"), rid.alias("rid"))
+    # Rows that are there once, which nearly all are, move once; of the others one is kept before they move.
+    single = keyed.join(taken.where("n_rows = 1"), "rid").select("row", "total")
+    several = keyed.join(F.broadcast(taken.where("n_rows > 1").select("rid")) if taken.where("n_rows > 1").count() <= RUN else taken.where("n_rows > 1").select("rid"), "rid", "left_semi")
+    several = several.groupBy("rid").agg(F.first("row").alias("row")).join(taken, "rid").select("row", "total")
+    return _numbered(single.unionByName(several), "total", "copy").select("row.*")
 
 
 def query(spark, sf_dir):
