@@ -1,18 +1,26 @@
 """Language-model scoring: interpolated modified Kneser-Ney bigrams.
 
 Counting. Each task turns its texts into 48-bit word hashes, counts the bigrams
-of a step of texts in arrays, and gives out one blob of counts for each shard
+of a step of texts in arrays, and gives out one blob of counts for each slice
 of the bigram hash, so counts are combined before the shuffle and a frequent
-word's bigrams are spread over all shards. Each shard is merged by one task,
-sorted by hash and stored as arrays; what words need (context totals,
+word's bigrams are spread over all slices. A slice stands for SLICE_BYTES of
+training text; a shard is a run of slices and one set of files, of which there
+are 2 ** MOST_BITS at most. A task reads its shards slice by slice in order of
+the hash, merges one slice at a time in memory and appends it to the shard's
+files, so a shard may be larger than memory. What words need (context totals,
 continuation types, counts) is merged by a second, much smaller shuffle over
 shards of the word hash.
 
+Two words share a hash with a probability of 2 ** -48: of V words about
+V * V / 2 ** 49 pairs are counted as one (of a million words 0.002).
+
 Scoring. Workers memory-map the sorted arrays from the shared folder, so the
 model takes file cache and no heap; a step's bigrams are sorted, so each shard
-is searched in order. The model directory must be a path that executors can
-map (spark.checkpoint.dir on a mounted file system, or model_dir); other
-schemes are refused by name.
+is searched in order, and the MAPS files used last stay open. The model
+directory must be a path that executors can map (spark.checkpoint.dir on a
+mounted file system, or model_dir); other schemes are refused by name. The
+model's description names every shard with its length, so a worker that finds a
+file missing or short fails instead of scoring without it.
 
 P(w | u) = max(c(u,w) - D(c), 0) / c(u) + g(u) * P(w)
 P(w)     = max(t(w) - D'(t), 0) / T + g' / (V + 1)
@@ -24,8 +32,8 @@ fit the shuffle budget whole (see README); none is pruned.
 
 Defined cases: null and empty texts have the end token only; without training
 texts every probability is 1 / (V + 1) = 1; unseen words have the unseen share
-of P(w); repeated rows count and are scored each; an empty table gives an empty
-result.
+of P(w); repeated rows count and are scored each, null ids too; other columns
+don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +41,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +54,10 @@ END, START = 1, 2
 MASK = np.uint64((1 << 48) - 1)
 #: Tokens that are counted, and that are scored, in arrays at a time.
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
-#: Bytes of training text a shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of training text a slice; bits of the slice's and of the shard's number at most.
+SLICE_BYTES, SLICE_BITS, MOST_BITS = 16 << 20, 18, 12
+#: Files that a worker keeps mapped.
+MAPS = 512
 TABLE_ENTRIES = 200_000
 #: Counts from here on are kept apart.
 MANY = 255
@@ -132,16 +143,26 @@ def _local(path: str) -> str:
     return "/" + rest.lstrip("/")
 
 
-def _store(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array so that a repeated or speculative task replaces it whole."""
-    os.makedirs(folder, exist_ok=True)
-    at = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with open(at, "wb") as f:
-        np.save(f, array)
-    os.replace(at, f"{folder}/{name}.npy")
+class Files:
+    """Arrays that grow by parts; close() puts them in place whole, so that a
+    repeated or speculative task replaces them."""
+
+    def __init__(self, folder: str, names: dict[str, str]):
+        os.makedirs(folder, exist_ok=True)
+        self.parts = {n: f"{folder}/.{n}-{uuid.uuid4().hex}" for n in names}
+        self.final = {n: f"{folder}/{n}" for n in names}
+        self.kinds, self.open = names, {n: open(p, "wb") for n, p in self.parts.items()}
+
+    def add(self, name: str, array: np.ndarray) -> None:
+        array.astype(self.kinds[name]).tofile(self.open[name])
+
+    def close(self) -> None:
+        for n, f in self.open.items():
+            f.close()
+            os.replace(self.parts[n], self.final[n])
 
 
-def _count(bits: int):
+def _count(bits: int, shard_bits: int):
     def run(batches):
         hasher = Hasher()
         # Steps go on over batches: the larger a step, the more it combines.
@@ -150,27 +171,67 @@ def _count(bits: int):
             real = u != END
             u, w = u[real], w[real]
             h, (c,), first = _summed(bigram_hash(u, w), np.ones(len(u), np.uint32))
-            u, w, shard = u[first], w[first], (h >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            rows = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "u", "w", "c"])
+            u, w, cut = u[first], w[first], (h >> np.uint64(64 - bits)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+            rows = list(zip(cut[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(cut)]))
+            yield pa.RecordBatch.from_arrays([pa.array([k >> (bits - shard_bits) for k, _, _ in rows], pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "slice", "u", "w", "c"])
         trimmed()
 
     return run
 
 
-def _merge(folder: str, bits: int):
-    def merge(g: pa.Table) -> pa.Table:
-        shard = g.column("shard")[0].as_py()
-        u, w = (_from_six(b"".join(g.column(x).to_pylist())) for x in "uw")
-        c = np.frombuffer(b"".join(g.column("c").to_pylist()), "<u4").astype(np.int64)
+def _slices(batches):
+    """(shard, slice, columns of its blobs) of sorted batches."""
+    held, now = [], None
+    for b in batches:
+        cut = b.column("slice").to_numpy()
+        edges = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]).tolist() if len(cut) else []
+        for a, z in zip(edges, [*edges[1:], len(cut)]):
+            key = (b.column("shard")[a].as_py(), int(cut[a]))
+            if held and key != now:
+                yield *now, held
+                held = []
+            now = key
+            held.append(b.slice(a, z - a))
+    if held:
+        yield *now, held
+
+
+def _merge(folder: str, part_bits: int):
+    """Merge sorted blobs slice by slice into shard files; gives out the tables
+    of words of each slice (part >= 0), counts of counts (-1) and lengths (-2)."""
+    kinds = {"h": "<u8", "c": "u1", "m": "<i8"}
+
+    def run(batches):
+        files, shard, size = None, None, 0
+        for k, _, blobs in _slices(batches):
+            if k != shard:
+                if files:
+                    files.close()
+                    yield made([(-2, b"", _squeezed(np.array([shard, size])))])
+                files, shard, size = Files(folder, {f"g{k}{n}": t for n, t in kinds.items()}), k, 0
+            rows, n = merged(blobs, files, k, size)
+            size += n
+            yield made(rows)
+        if files:
+            files.close()
+            yield made([(-2, b"", _squeezed(np.array([shard, size])))])
+        trimmed()
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "word", "table"])
+
+    def merged(blobs, files, shard, at):
+        column = lambda name: b"".join(x for b in blobs for x in b.column(name).to_pylist())
+        u, w = _from_six(column("u")), _from_six(column("w"))
+        c = np.frombuffer(column("c"), "<u4").astype(np.int64)
         h, (c,), first = _summed(bigram_hash(u, w), c)
         u, w = u[first], w[first]
-        _store(folder, f"g{shard}h", h)
         # One byte a count; the few counts above it stand apart with their places.
         many = np.flatnonzero(c >= MANY)
-        _store(folder, f"g{shard}c", np.minimum(c, MANY).astype(np.uint8))
-        _store(folder, f"g{shard}m", np.stack([many, c[many]]))
+        files.add(f"g{shard}h", h)
+        files.add(f"g{shard}c", np.minimum(c, MANY))
+        files.add(f"g{shard}m", np.stack([many + at, c[many]], axis=1))
         one = lambda k: (c == k).astype(np.int64)
         words, context, _ = _summed(u, c, one(1), one(2), (c > 2).astype(np.int64))
         after, (types, count), _ = _summed(w, np.ones(len(c), np.int64), c)
@@ -178,32 +239,35 @@ def _merge(folder: str, bits: int):
         table = np.zeros((6, len(every)), np.int64)
         table[:4, np.searchsorted(every, words)] = context
         table[4:, np.searchsorted(every, after)] = types, count
-        part = (every >> np.uint64(48 - bits)).astype(np.int64)
-        cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+        part = (every >> np.uint64(48 - part_bits)).astype(np.int64)
+        cuts = np.searchsorted(part, np.arange((1 << part_bits) + 1))
         rows = [(k, _six(every[a:z]), _squeezed(table[:, a:z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-        rows.append((-1, b"", _squeezed(np.array([(c == k).sum() for k in (1, 2, 3, 4)]))))
-        del u, w, c, h, table
-        trimmed()
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "word": pa.array([r[1] for r in rows], pa.binary()), "table": pa.array([r[2] for r in rows], pa.binary())})
+        return [*rows, (-1, b"", _squeezed(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))], len(h)
 
-    return merge
+    return run
 
 
 def _words(folder: str):
+    """Merge the tables of one shard of words; part -2 lists shards and lengths."""
+
     def words(g: pa.Table) -> pa.Table:
         part = g.column("part")[0].as_py()
-        stats = np.zeros(7, np.int64)
-        if part < 0:
+        stats = np.zeros(8, np.int64)
+        if part == -2:
+            stats = np.concatenate([_loosened(x) for x in g.column("table").to_pylist()])
+        elif part == -1:
             stats[:4] = np.sum([_loosened(x) for x in g.column("table").to_pylist()], axis=0)
         else:
             keys = _from_six(b"".join(g.column("word").to_pylist()))
             table = np.concatenate([_loosened(x.as_py()).reshape(6, -1) for x in g.column("table")], axis=1)
             keys, table, _ = _summed(keys, *table)
-            _store(folder, f"w{part}h", keys)
-            _store(folder, f"w{part}t", np.stack(table, axis=1))
+            files = Files(folder, {f"w{part}h": "<u8", f"w{part}t": "<i8"})
+            files.add(f"w{part}h", keys)
+            files.add(f"w{part}t", np.stack(table, axis=1))
+            files.close()
             types, count = table[4], table[5]
+            stats[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), types.sum(), count.sum(), (count > 0).sum(), len(keys)]
             trimmed()
-            stats[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), types.sum(), count.sum(), (count > 0).sum()]
         return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([stats.tolist()], pa.list_(pa.int64()))})
 
     return words
@@ -220,56 +284,72 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, text: str = "text", model_dir: str | None = None) -> dict:
     """Count the texts of docs and store the model; returns its description
-    (folder, shards and totals), which is all that is sent to workers."""
+    (folder, lengths of shards, totals), which is all that is sent to workers."""
     folder = _local(model_dir or new_path(docs.sparkSession, "lm"))
     frame = bounded_batches(docs).select(F.col(text).cast("string").alias("t"))
     size = frame.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(size / SHARD_BYTES + 1)))
-    part_bits = max(1, bits - 3)
-    blobs = frame.mapInArrow(_count(bits), "shard int, u binary, w binary, c binary")
-    merged = blobs.groupBy("shard").applyInArrow(_merge(folder, part_bits), "part int, word binary, table binary")
+    bits = min(SLICE_BITS, max(3, math.ceil(math.log2(size / SLICE_BYTES + 1))))
+    shard_bits = min(bits, MOST_BITS)
+    part_bits = max(1, shard_bits - 3)
+    blobs = frame.mapInArrow(_count(bits, shard_bits), "shard int, slice int, u binary, w binary, c binary")
+    merged = blobs.repartition(1 << shard_bits, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_merge(folder, part_bits), "part int, word binary, table binary")
     rows = merged.groupBy("part").applyInArrow(_words(folder), "part int, stats array<long>").collect()
     of = lambda k: sum(r["stats"][k] for r in rows if r["part"] >= 0)
-    two = next((r["stats"][:4] for r in rows if r["part"] < 0), [0, 0, 0, 0])
-    return {"folder": folder, "bits": bits, "part_bits": part_bits, "d": discounts(*two), "d_low": discounts(*map(of, range(4))), "low": [of(k) for k in range(4)], "types": of(4), "tokens": of(5), "vocabulary": of(6)}
+    two = next((r["stats"][:4] for r in rows if r["part"] == -1), [0, 0, 0, 0])
+    pairs = next((r["stats"] for r in rows if r["part"] == -2), [])
+    lengths = {f"g{k}": n for k, n in zip(pairs[::2], pairs[1::2])} | {f"w{r['part']}": r["stats"][7] for r in rows if r["part"] >= 0}
+    return {"folder": folder, "bits": shard_bits, "part_bits": part_bits, "lengths": lengths, "d": discounts(*two), "d_low": discounts(*map(of, range(4))), "low": [of(k) for k in range(4)], "types": of(4), "tokens": of(5), "vocabulary": of(6)}
 
 
 class Model:
     """A worker's view of a stored model."""
 
     def __init__(self, about: dict):
-        self.about, self.files = about, {}
-
-    def _map(self, name: str):
-        if name not in self.files:
-            path = f"{self.about['folder']}/{name}.npy"
-            self.files[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        self.about, self.files = about, OrderedDict()
+
+    def _map(self, name: str, kind: str, width: int = 1) -> np.ndarray:
+        """A file's array; only MAPS of them stay mapped."""
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name]
+        path = f"{self.about['folder']}/{name}"
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"the model's file {path} is gone, or the folder is not mounted here")
+        found = np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
+        self.files[name] = found.reshape(-1, width) if width > 1 else found
+        if len(self.files) > MAPS:
+            self.files.popitem(last=False)
         return self.files[name]
 
-    def _found(self, kind: str, keys: np.ndarray, shift: int, shards: int):
+    def _found(self, kind: str, keys: np.ndarray, shift: int):
         """For sorted keys: (shard, slice, places, hits), shard by shard."""
         of = (keys >> np.uint64(shift)).astype(np.int64)
-        cuts = np.searchsorted(of, np.arange(shards + 1))
-        for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
-            if a < z and (h := self._map(f"{kind}{k}h")) is not None and len(h):
-                at = np.minimum(np.searchsorted(h, keys[a:z]), len(h) - 1)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        for a, z in zip(starts, [*starts[1:], len(of)]):
+            k = int(of[a])
+            n = self.about["lengths"].get(f"{kind}{k}", 0)
+            if n:
+                h = self._map(f"{kind}{k}h", "<u8")
+                if len(h) != n:
+                    raise ValueError(f"the model's shard {kind}{k} has {len(h)} entries, not {n}")
+                at = np.minimum(np.searchsorted(h, keys[a:z]), n - 1)
                 yield k, slice(a, z), at, h[at] == keys[a:z]
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         """WORD_FIELDS of sorted word hashes, zeros for unseen ones."""
         out = np.zeros((len(keys), 6), np.int64)
-        for k, s, at, hit in self._found("w", keys, 48 - self.about["part_bits"], 1 << self.about["part_bits"]):
-            out[s][hit] = self._map(f"w{k}t")[at[hit]]
+        for k, s, at, hit in self._found("w", keys, 48 - self.about["part_bits"]):
+            out[s][hit] = self._map(f"w{k}t", "<i8", 6)[at[hit]]
         return out
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted bigram hashes."""
         out = np.zeros(len(keys), np.int64)
-        for k, s, at, hit in self._found("g", keys, 64 - self.about["bits"], 1 << self.about["bits"]):
-            c = self._map(f"g{k}c")[at[hit]].astype(np.int64)
+        for k, s, at, hit in self._found("g", keys, 64 - self.about["bits"]):
+            c = self._map(f"g{k}c", "u1")[at[hit]].astype(np.int64)
             if (high := np.flatnonzero(c == MANY)).size:
-                places, counts = self._map(f"g{k}m")
-                c[high] = counts[np.searchsorted(places, at[hit][high])]
+                many = self._map(f"g{k}m", "<i8", 2)
+                c[high] = many[np.searchsorted(many[:, 0], at[hit][high]), 1]
             out[s][hit] = c
         return out
 
