@@ -164,6 +164,34 @@ def test_kneser_ney(spark, none, monkeypatch):
         kneser_ney.train(frame, model_dir="hdfs://host/x")
 
 
+def test_kneser_ney_shards(spark, monkeypatch, tmp_path):
+    """Several slices a shard and few open files give the same scores; a shard that is gone or short is an error."""
+    import glob
+    import os
+
+    rows = [(r.doc_id, r.text) for r in docs(spark).collect()] + [(None, "null id of a text"), (5, "twice the same"), (5, "twice the same"), (7, "the the " * 400)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, t string, shard int")
+    monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 1 << 14)
+    monkeypatch.setattr(kneser_ney, "MOST_BITS", 2)
+    about = kneser_ney.train(frame.where(kneser_ney.remainder(F.col("doc_id"), 10) != 0), model_dir=str(tmp_path / "m"))
+    assert len(glob.glob(f"{tmp_path}/m/g*h")) == 4 and not glob.glob(f"{tmp_path}/m/.*")
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.score)
+    got = sorted(kneser_ney.score_texts(frame, about).collect(), key=key)
+    want = sorted(([i, *x] for i, *x in brute_kn([(i if i is not None else "", t) for i, t in rows])), key=lambda x: (x[0] != "", x[0] or 0, x[-1]))
+    assert [r.n_tokens for r in got] == [x[1] for x in want] and [r.score for r in got] == pytest.approx([x[5] for x in want])
+    model = kneser_ney.Model(about)
+    monkeypatch.setattr(kneser_ney, "MAPS", 2)
+    model.bigrams(np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)))
+    assert len(model.files) <= 2
+    with open(f"{tmp_path}/m/g0h", "ab") as f:
+        f.write(b"\0" * 8)
+    with pytest.raises(Exception, match="entries"):
+        kneser_ney.score_texts(frame, about).collect()
+    os.remove(f"{tmp_path}/m/g0h")
+    with pytest.raises(Exception, match="is gone"):
+        kneser_ney.score_texts(frame, about).collect()
+
+
 def test_language(spark, odd, none):
     got = language.query(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
