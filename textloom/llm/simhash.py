@@ -22,11 +22,10 @@ the 64-bit blocks are joined by sampled blocks: SAMPLES blocks of BLOCK_SYMBOLS
 minwise-sampled shingle symbols, of which a pair at 0.8 shares at least one with
 a probability of 0.99999. Within a block every member links to the smallest. The
 share of SYMBOLS sampled symbols that agree estimates a link's similarity with a
-standard error of 0.025 at 0.8: below DOUBT[0] a link is none, from DOUBT[1] on
-it holds, and between them (four standard errors each way, or more) the Jaccard
-of the two whole shingle sets decides. In blocks that this leaves in several
+standard error of 0.025 at 0.8: below DOUBT (four standard errors) a link is none,
+from there on the Jaccard of the two whole shingle sets decides. In blocks that this leaves in several
 parts, the members outside the smallest's part meet all other members in tiles:
-of the pairs at DOUBT[0] or more the Jaccard of the whole shingle sets decides, from
+of the pairs at DOUBT or more the Jaccard of the whole shingle sets decides, from
 the best estimate down, unless verified pairs have joined their parts already.
 
 Defined cases: null and empty texts and texts without a word have fingerprint
@@ -53,8 +52,8 @@ TILE = 8192
 #: Shingles whose bits are counted at a time.
 STEP = 100_000
 SAMPLES, BLOCK_SYMBOLS, SYMBOLS = 16, 3, 256
-#: Jaccard of near copies, and the estimates between which it is computed.
-LEAST, DOUBT = 0.8, (0.7, 0.9)
+#: Jaccard of near copies, and the estimate from which on it is computed.
+LEAST, DOUBT = 0.8, 0.7
 #: Members of a tile of a block that its smallest left in several parts.
 REST_TILE = 1024
 
@@ -388,17 +387,15 @@ def _both(links: DataFrame, side: DataFrame, value: str) -> DataFrame:
 
 def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(node, set) of the nodes."""
-    sets = texts.join(nodes.distinct(), "node", "left_semi").select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary")
-    return saved(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    # A text's copies are dropped before they are dealt by node: one row a task at most moves.
+    once = texts.select("node", "t").dropDuplicates(["node"]).join(nodes.distinct(), "node", "left_semi")
+    return saved(once.select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary"), "sets")
 
 
 def _decided(links: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """(a, b) of the links (a, b, share) whose texts are `least` or more alike.
-    Only texts with a link in doubt give their shingle sets."""
-    doubt = saved(links.where(F.col("share") < DOUBT[1]).select("a", "b"), "doubt")
-    sets = _sets(doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))), texts, k)
-    exact = _both(doubt, sets, "set").select("a", "b", "x", "y").mapInArrow(_alike(least), "a string, b string")
-    return saved(links.where(F.col("share") >= DOUBT[1]).select("a", "b").unionByName(exact), "alike")
+    """(a, b) of the links (a, b) whose texts are `least` or more alike."""
+    sets = _sets(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), texts, k)
+    return saved(_both(links, sets, "set").select("a", "b", "x", "y").mapInArrow(_alike(least), "a string, b string"), "alike")
 
 
 def _opened(stars: DataFrame, parts: DataFrame) -> DataFrame:
@@ -444,14 +441,14 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEA
     links = same.unionByName(close).unionByName(stars.select("a", "b")).where("a <> b").distinct()
     marks = made.select("node", "marks")
     agree = F.pandas_udf(agreement, "double")
-    shares = _both(links, marks, "marks").select("a", "b", agree("x", "y").alias("share")).where(F.col("share") >= DOUBT[0])
-    alike = _decided(saved(shares, "shares"), texts, k, least)
+    shares = _both(links, marks, "marks").select("a", "b", agree("x", "y").alias("share")).where(F.col("share") >= DOUBT)
+    alike = _decided(saved(shares.select("a", "b"), "shares"), texts, k, least)
     parts = saved(connected_components(alike), "parts")
     met = _opened(stars, parts).join(marks, "node").select("key", "tile", "side", "node", "label", "marks")
-    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_in_question(DOUBT[0]), "key long, tile long, side int, node string, label string")
+    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_in_question(DOUBT), "key long, tile long, side int, node string, label string")
     asked = saved(met, "asked")
     met = bounded_batches(asked).join(marks, "node").join(_sets(asked.select("node"), texts, k), "node").select("key", "tile", "side", "label", "marks", "set")
-    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "label").mapInArrow(_joined(DOUBT[0], least), "a string, b string")
+    met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "label").mapInArrow(_joined(DOUBT, least), "a string, b string")
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     winner = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("w"))
