@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -24,6 +25,29 @@ def odd(spark):
     return spark.createDataFrame([*rows, rows[4], rows[4], (None, "null id text here", "en", "s", 0, "x", "y")], SCHEMA)
 
 
+def plain_patterns(clause, stems=()):
+    """The grammar's patterns of one clause, by direct definition over its words."""
+    words = re.findall(r"[a-zà-ÿ]+(?:['’][a-zà-ÿ]+)?", clause.lower())
+    ends = ("", "s", "es")
+    kind = lambda w, lexicon: any(w == x + e for x in lexicon for e in ends)
+    strength = {"i": set(), "k": set()}
+    for n, w in enumerate(words):
+        which = "i" if kind(w, toxicity.INSULT) or w in stems else "k" if kind(w, toxicity.THREAT) else None
+        if not which or w in toxicity.TARGET + toxicity.NEGATION + toxicity.REPORT:
+            continue
+        negated = any(x in toxicity.NEGATION for x in words[max(0, n - toxicity.REACH) : n])
+        reported = any(x in toxicity.REPORT for x in words[:n])
+        strength[which].add("negated" if negated else "reported" if reported else "plain")
+    target = any(w in toxicity.TARGET for w in words)
+    out = set()
+    for which, name in (("i", "insult"), ("k", "threat")):
+        if "plain" in strength[which]:
+            out.add(f"{name}_direct" if target else f"{name}_bare")
+        elif strength[which]:
+            out.add("threat_softened" if which == "k" else "insult_reported" if "reported" in strength["i"] else "insult_negated")
+    return out
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -268,6 +292,18 @@ def test_toxicity(spark, odd, none):
     assert names("I will kill you!") == ["threat_direct"]
     assert names("idiotic clowning about") == names("") == names(None) == []
     assert g.features("Loser. " * 9)[1] == toxicity.MOST
+    # No word alone, however often, is toxic by the grammar's own weights; a clause with a target is.
+    odds = lambda t: sum(w * x for w, x in zip(toxicity.PRIOR, [1, *map(toxicity._strength, g.features(t)[:-1]), g.features(t)[-1]]))
+    bar = math.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    assert all(odds(f"{w}. " * n) < bar for w in toxicity.INSULT + toxicity.THREAT for n in (1, 9)) and odds("You are an idiot.") > bar > odds("He is not an idiot.")
+    rng = np.random.default_rng(8)
+    pool = "the house river stupid idiots loser kill you your not never no said calls and trash burn them ordure töten".split()
+    for stems in ((), ("gloop",)):
+        machine = toxicity.Grammar(stems)
+        for _ in range(400):
+            clauses = [" ".join(rng.choice([*pool, "gloop"], rng.integers(0, 9))) for _ in range(rng.integers(0, 5))]
+            want = Counter(p for c in clauses for p in plain_patterns(c, stems))
+            assert machine.features("! ".join(clauses))[:-1] == [min(toxicity.MOST, want[p]) for p in toxicity.PATTERNS], clauses
     d = "/root/testdata/sf0.01"
     got = toxicity.query(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     assert sum((r.predicted == 1) == (r.toxic == 1) for r in got) / len(got) > 0.9
@@ -275,6 +311,12 @@ def test_toxicity(spark, odd, none):
     w = toxicity.learn(matched, spark.createDataFrame([], "doc_id long, toxic int"))
     assert list(w) == list(toxicity.PRIOR) and matched.count() == odd.count()
     assert none.select(toxicity.match_counts()("text").alias("f")).count() == 0
+    # Null and empty texts have the empty vector; of several labels of an id the largest counts; repeated rows count each.
+    f = {r.doc_id: list(r.f) for r in matched.collect() if r.doc_id is not None}
+    assert f[0] == f[1] == f[2] == [0] * 8
+    seen = spark.createDataFrame([(1, [0, 1, 0, 0, 0, 0, 0, 0])] * 3 + [(2, [0] * 8), (None, [0] * 8)], "doc_id long, f array<int>")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0), (2, 7), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.learn(seen, labels) == pytest.approx(toxicity.fit([([0, 1, 0, 0, 0, 0, 0, 0], 1, 3), ([0] * 8, 0, 1)]))
 
 
 def test_topk(spark):
@@ -447,7 +489,7 @@ def test_near_copies_true_pairs_among_false_ones():
     marks = np.array([(simhash.symbols(s) >> np.uint64(24)).astype("<u2") for s in sets])
     raw = [s.tobytes() for s in sets]
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if simhash.jaccard(raw[i], raw[j]) >= 0.8}
-    got = simhash.true_forest(marks, np.zeros(200, int), np.arange(200), raw, simhash.DOUBT[0], 0.8)
+    got = simhash.true_forest(marks, np.zeros(200, int), np.arange(200), raw, simhash.DOUBT, 0.8)
     assert len(want) == 20 and set(got) == want
 
 
