@@ -71,7 +71,7 @@ def spots(text: Column, chain: int = CHAIN) -> Column:
     marked = _let(marked, lambda m: F.when(F.instr(m, "\u0001") > 0, F.concat(F.lit("\u0001"), F.ltrim(m))).otherwise(F.replace(m, F.lit(" "), F.lit(" \u0001"))))
     found = F.regexp_extract_all(marked, F.lit(rf"\x01(?=([^ \x01]+(?:[ \x01]+[^ \x01]+){{0,{chain - 1}}}))"), F.lit(1))
     # Without the marks a chain is the same words wherever anchors stood between them.
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.translate(s, "\u0001", "")))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.replace(s, F.lit("\u0001"), F.lit(""))))))
 
 
 def fingerprint(spots: Column) -> Column:
