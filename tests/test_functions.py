@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import similarity as sim
 from textloom.functions import text as tx
-from textloom.operators.diff import lcs_pairs, line_hunks, merged_spans, project, review_events, segments, whitespace_events
+from textloom.operators.diff import lcs_pairs, limited_hunks, line_hunks, merged_spans, project, review_events, segments, whitespace_events
 
 WORDS = st.text(alphabet="ab cA.\n가나①😀", max_size=25)
 
@@ -45,9 +45,41 @@ def test_line_hunks_rebuild(a, b):
     assert "".join(out + x[at:]) == after
 
 
+def plain_hunks(x, y):
+    """The tie rule by direct definition: keep equal lines, else drop an old line
+    if what is left of it fits no worse, else take a new one."""
+    pre = 0
+    while pre < min(len(x), len(y)) and x[pre] == y[pre]:
+        pre += 1
+    suf = 0
+    while suf < min(len(x), len(y)) - pre and x[-1 - suf] == y[-1 - suf]:
+        suf += 1
+    a, b = x[pre : len(x) - suf], y[pre : len(y) - suf]
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, r = i, j
+        while (i < len(a) or j < len(b)) and not (i < len(a) and j < len(b) and a[i] == b[j]):
+            if i < len(a) and (j == len(b) or plain_lcs(a[i + 1 :], b[j:]) >= plain_lcs(a[i:], b[j + 1 :])):
+                i += 1
+            else:
+                j += 1
+        out.append(("replace" if i > p and j > r else "delete" if i > p else "insert", p + pre, i + pre, r + pre, j + pre))
+    return out
+
+
+@given(st.lists(st.sampled_from(["a\n", "b\n", "c\n"]), max_size=9), st.lists(st.sampled_from(["a\n", "b\n", "c\n"]), max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_line_hunks_of_repeated_lines(a, b):
+    assert line_hunks("".join(a), "".join(b)) == plain_hunks(a, b)
+
+
 def test_line_hunks_over_the_cell_limit():
     assert line_hunks("a\nb\nc\n", "x\ny\nz\n", cells=4) == [("replace", 0, 3, 0, 3)]
     assert line_hunks("", "x\n") == [("insert", 0, 0, 0, 1)]
+    assert limited_hunks("a\nb\nc\n", "x\ny\nz\n", cells=4) == [("replace", 0, 3, 0, 3, True)] and limited_hunks("a\n", "b\n") == [("replace", 0, 1, 0, 1, False)]
 
 
 @given(WORDS, WORDS)
@@ -73,7 +105,7 @@ def test_keys_and_numbers():
     assert tx.lineage_key("Article 3. The  Fee (10%)") == "thefee10%"
     assert [tx.roman_value(x) for x in ("iv", "XIV", "iiii", "")] == [4, 14, None, None]
     assert tx.section_number("12-3") == pytest.approx(12.003)
-    assert [tx.label_ordinal(x) for x in ("③", "(2)", "b.", "(iv)", "다.", "-")] == [3, 2, 2, 4, 3, None]
+    assert [tx.label_ordinal(x) for x in ("③", "(2)", "b.", "(iv)", "다.", "-", "²", "٣")] == [3, 2, 2, 4, 3, None, None, 3]
     assert tx.number_text(28, "lowerLetter") == "bb" and tx.number_text(9, "upperRoman") == "IX"
     assert tx.byte_to_utf16("a😀b", 5) == 3 and tx.byte_to_utf16("a😀b", 3) is None
     assert tx.utf16_to_byte("a😀b", 3) == 5 and tx.utf16_to_byte("a😀b", 2) is None

@@ -1,10 +1,14 @@
-"""Similarity scores of two texts, token lists or sets, from 0 to 1."""
+"""Similarity scores of two texts, token lists or sets, from 0 to 1.
+
+The weights, floors and costs of the compound scores are fixed values: results
+must agree with those of other implementations that use them.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LEXERS, hangul_prefix, utf16_len
@@ -85,35 +89,77 @@ def table_overlap(a: Column, b: Column) -> Column:
     return _share(F.size(F.array_intersect(a, b)), F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
 
 
-def title_similarity(indel: Column, a_concepts: Column, b_concepts: Column) -> Column:
-    return F.greatest(indel, jaccard(a_concepts, b_concepts), 0.94 * containment(a_concepts, b_concepts))
+def share_of_sets(x: set, y: set) -> tuple[float, float]:
+    """(Jaccard, containment) of two sets; 0 where a set is empty."""
+    both = len(x & y)
+    return (both / len(x | y) if x or y else 0.0), (both / min(len(x), len(y)) if x and y else 0.0)
 
 
-def body_similarity(equal: Column, indel: Column, a_words: Column, b_words: Column) -> Column:
-    return F.when(equal, F.lit(1.0)).otherwise(F.greatest(indel, 0.88 * containment(a_words, b_words), 0.82 * jaccard(a_words, b_words)))
+def title_score(a: str, b: str, a_concepts: set, b_concepts: set) -> float:
+    jac, con = share_of_sets(a_concepts, b_concepts)
+    return max(indel_ratio(a, b), jac, 0.94 * con) if a and b else 0.0
 
 
-def structure_similarity(a: Column, b: Column) -> Column:
+def body_score(a: str, b: str, a_words: set, b_words: set) -> float:
+    if a == b:
+        return 1.0
+    jac, con = share_of_sets(a_words, b_words)
+    return max(indel_ratio(a, b), 0.88 * con, 0.82 * jac)
+
+
+def structure_score(a: tuple, b: tuple) -> float:
     """1 - L1 distance over total of two structure signatures."""
-    names = ("circled", "numbers", "letters")
-    diff = sum((F.abs(a[n] - b[n]) for n in names), F.lit(0))
-    total = sum((a[n] + b[n] for n in names), F.lit(0))
-    return F.when(total > 0, 1 - diff / total).otherwise(F.lit(1.0))
+    total = sum(a) + sum(b)
+    return 1 - sum(abs(x - y) for x, y in zip(a, b)) / total if total else 1.0
 
 
-def unit_similarity(title: Column, body: Column, structure: Column, same_number: Column, titled: Column) -> Column:
+def unit_score(title: float, body: float, structure: float, same_number: bool, titled: bool) -> float:
     """Weighted score of two document units."""
-    with_title = 0.54 * title + 0.40 * body + 0.06 * structure
-    score = F.when(titled, with_title).otherwise(0.90 * body + 0.10 * structure) + F.when(same_number, 0.015).otherwise(0.0)
-    score = F.when(titled & (title >= 0.98), F.greatest(score, F.lit(0.84))).when(body >= 0.98, F.greatest(score, F.lit(0.74))).otherwise(score)
-    return F.least(score, F.lit(1.0))
+    s = 0.54 * title + 0.40 * body + 0.06 * structure if titled else 0.90 * body + 0.10 * structure
+    s += 0.015 if same_number else 0.0
+    s = max(s, 0.84) if titled and title >= 0.98 else max(s, 0.74) if body >= 0.98 else s
+    return min(s, 1.0)
+
+
+def part_score(a: str, b: str, a_words: set, b_words: set, same_label: bool) -> float:
+    """Score of two list items by their keys and words."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    jac, con = share_of_sets(a_words, b_words)
+    s = max(0.68 * sequence_ratio(a, b) + 0.32 * jac, 0.90 * con)
+    return min(1.0, s + (0.08 if same_label else 0.0))
+
+
+def paragraph_cost(similarity: float, same_container: bool = True) -> float:
+    """Cost of pairing two paragraphs; leaving both alone costs two gaps of 0.48."""
+    return (0.92 * (1 - similarity) if similarity >= 0.38 else 1.04) + (0.0 if same_container else 0.10)
+
 
+def scored_units(pairs: DataFrame) -> DataFrame:
+    """pairs (old_title, new_title, old_body, new_body, old_number, new_number)
+    with title, body, structure and lineage scores as columns."""
+    from .text import lineage_key_col, structure_signature, title_concepts, word_set
 
-def part_similarity(sequence: Column, a_words: Column, b_words: Column, same_label: Column) -> Column:
-    score = F.greatest(0.68 * sequence + 0.32 * jaccard(a_words, b_words), 0.90 * containment(a_words, b_words))
-    return F.least(score + F.when(same_label, 0.08).otherwise(0.0), F.lit(1.0))
+    side = lambda c: (F.col(f"old_{c}"), F.col(f"new_{c}"))
+    keys = {f"__{n}_{c}": lineage_key_col(F.coalesce(F.col(f"{n}_{c}"), F.lit(""))) for n in ("old", "new") for c in ("title", "body")}
+    k = lambda n, c: F.col(f"__{n}_{c}")
+    titled = (k("old", "title") != "") & (k("new", "title") != "")
+    concepts, words = [title_concepts(F.coalesce(c, F.lit(""))) for c in side("title")], [word_set(F.coalesce(c, F.lit(""))) for c in side("body")]
+    title = F.when(titled, F.greatest(indel_ratio_col(k("old", "title"), k("new", "title")), jaccard(*concepts), 0.94 * containment(*concepts))).otherwise(F.lit(0.0))
+    body = F.when(k("old", "body") == k("new", "body"), F.lit(1.0)).otherwise(F.greatest(indel_ratio_col(k("old", "body"), k("new", "body")), 0.88 * containment(*words), 0.82 * jaccard(*words)))
+    structure = structure_similarity(*[structure_signature(F.coalesce(c, F.lit(""))) for c in side("body")])
+    out = pairs.withColumns(keys).withColumns({"title": title, "body": body, "structure": structure})
+    same = F.lower(F.coalesce("old_number", F.lit(""))) == F.lower(F.coalesce("new_number", F.lit("")))
+    plain = F.when(titled, 0.54 * F.col("title") + 0.40 * F.col("body") + 0.06 * F.col("structure")).otherwise(0.90 * F.col("body") + 0.10 * F.col("structure")) + F.when(same, 0.015).otherwise(0.0)
+    floor = F.when(titled & (F.col("title") >= 0.98), 0.84).when(F.col("body") >= 0.98, 0.74).otherwise(0.0)
+    return out.withColumn("lineage", F.least(F.lit(1.0), F.greatest(plain, floor))).drop(*keys)
 
 
-def paragraph_cost(similarity: Column, same_container: Column) -> Column:
-    """Cost of pairing two paragraphs; leaving both alone costs 1."""
-    return F.when(similarity >= 0.38, 0.92 * (1 - similarity)).otherwise(F.lit(1.04)) + F.when(same_container, 0.0).otherwise(0.10)
+def structure_similarity(a: Column, b: Column) -> Column:
+    """1 - L1 distance over total of two structure signatures."""
+    names = ("circled", "numbers", "letters")
+    diff = sum((F.abs(a[n] - b[n]) for n in names), F.lit(0))
+    total = sum((a[n] + b[n] for n in names), F.lit(0))
+    return F.when(total > 0, 1 - diff / total).otherwise(F.lit(1.0))

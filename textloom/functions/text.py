@@ -135,6 +135,7 @@ LEXERS = {
     "similarity": re.compile(r"\w+"),
     "hangul": re.compile(r"[가-힣]+|[A-Za-z]+|\d+|[^\s]"),
     "code": re.compile(r"\w+|[^\w\s]+"),
+    "words": re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]\w*"),
 }
 
 
@@ -160,6 +161,29 @@ def definition_head(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*[\"“‘'「『]([^\"”’'」』]{1,80})[\"”’'」』]", 1)
 
 
+def title_concept_set(title: str) -> set[str]:
+    """title_concepts() of one title."""
+    words = set(LEXERS["words"].findall(title.lower())) - set(LIGHT_WORDS)
+    return {_FAMILY.sub(r"\1", w) for w in words}
+
+
+_FAMILY = re.compile(r"^([^\W\d_]{4,}?)(?:ations?|ings?|ments?|ions?|ies|es|ed|s)$")
+
+
+def structure_counts(body: str) -> tuple[int, int, int]:
+    """structure_signature() of one body."""
+    return tuple(len(re.findall(p, body)) for p in _SIGNATURE)
+
+
+_SIGNATURE = (r"(?m)^\s*\([0-9]+\)|[①-⑳]", r"(?m)^\s*[0-9]{1,3}[.)]\s", r"(?m)^\s*\(?[a-z가-하][.)]\s")
+
+
+def has_light_title(title: str) -> bool:
+    """low_information_title() of one title."""
+    t = " ".join(title.split())
+    return t.lower() in LIGHT_TITLES or len(t) < 2
+
+
 #: Words that say little in a title; our own list.
 LIGHT_TITLES = "general others miscellaneous other provisions definitions purpose scope appendix annex supplement introduction overview summary".split()
 LIGHT_WORDS = "a an and the of for to in on by with or et al general".split()
@@ -177,8 +201,7 @@ def title_concepts(c: Column) -> Column:
 
 def structure_signature(c: Column) -> Column:
     """How many list labels of each of three styles a body has."""
-    at = lambda p: F.regexp_count(c, F.lit(p))
-    return F.struct(at(r"(?m)^\s*\([0-9]+\)|[①-⑳]").alias("circled"), at(r"(?m)^\s*[0-9]{1,3}[.)]\s").alias("numbers"), at(r"(?m)^\s*\(?[a-z가-하][.)]\s").alias("letters"))
+    return F.struct(*[F.regexp_count(c, F.lit(p)).alias(n) for p, n in zip(_SIGNATURE, ("circled", "numbers", "letters"))])
 
 
 def hangul_prefix(a: str, b: str) -> str:
@@ -338,7 +361,7 @@ def label_ordinal(label: str) -> int | None:
         return None
     if "①" <= bare[0] <= "⑳":
         return ord(bare[0]) - ord("①") + 1
-    if bare.isdigit():
+    if bare.isdecimal():
         return int(bare)
     if bare[0] in HANGUL_LABELS and len(bare) == 1:
         return HANGUL_LABELS.index(bare) + 1

@@ -1,30 +1,36 @@
-"""One-to-one alignment of units, parts, paragraphs and tables of two versions.
+"""One-to-one alignment of units, paragraphs and tables of two versions.
 
 Exact keys are matched by equi-joins first, in Catalyst. What is left of a
 comparison (a few hundred units) is one group whose scores are computed in the
 group's task: comparisons are spread, and a pair never meets another's units.
-Selections are greedy from the best score, so each unit is used once.
+
+The thresholds, costs and weights below are fixed values: results must agree with
+those of other implementations that use them.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import indel_ratio, sequence_ratio, token_similarity
-from ..functions.text import label_ordinal, lineage_key, match_key
+from ..functions.similarity import body_score, paragraph_cost, structure_score, title_score, token_similarity, unit_score
+from ..functions.text import LEXERS, has_light_title, lineage_key, match_key, structure_counts, title_concept_set
 from ..storage import spread
 from .diff import lcs_pairs
 
 Cand = tuple[int, int, float]
+GAP, MATCH_COST, NO_MATCH = 0.48, 0.94, 1.08
 
 
 def greedy(cands: list[Cand], floor: float = 0.0) -> list[Cand]:
-    """Best score first, ties to the lower indexes; each index once."""
+    """Best score first, ties to the closer and the lower indexes; each index once."""
     left, right, out = set(), set(), []
     for i, j, s in sorted(cands, key=lambda c: (-c[2], abs(c[0] - c[1]), c[0], c[1])):
         if s >= floor and i not in left and j not in right:
@@ -34,62 +40,58 @@ def greedy(cands: list[Cand], floor: float = 0.0) -> list[Cand]:
     return sorted(out)
 
 
-def first_choice(cands: list[Cand], floor: float = 0.0) -> list[Cand]:
-    """Each old index tries its best candidate only."""
-    best: dict[int, Cand] = {}
-    for c in sorted(cands, key=lambda c: (-c[2], c[1])):
-        best.setdefault(c[0], c)
-    return greedy(list(best.values()), floor)
-
-
-def mutual_best(cands: list[Cand], floor: float = 0.82, margin: float = 0.10) -> list[Cand]:
-    """Pairs that are each other's best by a margin over the second best."""
-
-    def ranked(side):
-        by: dict[int, list[Cand]] = {}
-        for c in cands:
-            by.setdefault(c[side], []).append(c)
-        return {k: sorted(v, key=lambda c: -c[2]) for k, v in by.items()}
-
-    rows, cols = ranked(0), ranked(1)
+def mutual_best(cands: list[Cand], floor: float = 0.82, margin: float = 0.10) -> list[tuple[int, int, float, bool]]:
+    """(i, j, score, clear): pairs that are each other's best (ties to the lower
+    index); clear: by a margin over the second best on both sides."""
+    rows: dict[int, list[Cand]] = {}
+    cols: dict[int, list[Cand]] = {}
+    for c in cands:
+        rows.setdefault(c[0], []).append(c)
+        cols.setdefault(c[1], []).append(c)
+    for of, other in ((rows, 1), (cols, 0)):
+        for k, v in of.items():
+            of[k] = heapq.nsmallest(2, v, key=lambda c: (-c[2], c[other]))
     clear = lambda v: len(v) < 2 or v[0][2] - v[1][2] >= margin
-    return sorted(v[0] for v in rows.values() if v[0][2] >= floor and clear(v) and cols[v[0][1]][0] == v[0] and clear(cols[v[0][1]]))
+    best = (v[0] for v in rows.values() if v[0][2] >= floor)
+    return sorted((*c, clear(rows[c[0]]) and clear(cols[c[1]])) for c in best if cols[c[1]][0] == c)
 
 
-def monotone(n: int, m: int, score: Callable[[int, int], float], gap: float = 0.0, floor: float = 0.3) -> list[Cand]:
-    """The order-preserving alignment of highest total score (Needleman and Wunsch, 1970)."""
-    best = [[0.0] * (m + 1)]
-    value = [[score(i, j) for j in range(m)] for i in range(n)]
+def cheapest(n: int, m: int, cost: Callable[[int, int], float], gap: float = GAP) -> list[tuple[int, int]]:
+    """The order-preserving alignment of least cost (Needleman and Wunsch, 1970);
+    of equal ways a pair is taken before a deletion, and that before an insertion."""
+    row, came = [gap * j for j in range(m + 1)], [bytes([2]) * (m + 1)]
     for i in range(n):
-        row = [0.0]
+        new, way = [row[0] + gap], bytearray([1])
         for j in range(m):
-            pair = best[i][j] + value[i][j] if value[i][j] >= floor else -1.0
-            row.append(max(pair, best[i][j + 1] - gap, row[j] - gap))
-        best.append(row)
-    i, j, out = n, m, []
+            pair, gone, come = row[j] + cost(i, j), row[j + 1] + gap, new[j] + gap
+            least = min(pair, gone, come)
+            new.append(least)
+            way.append(0 if pair == least else 1 if gone == least else 2)
+        row = new
+        came.append(bytes(way))
+    out, i, j = [], n, m
     while i and j:
-        if value[i - 1][j - 1] >= floor and best[i][j] == best[i - 1][j - 1] + value[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j, value[i][j]))
-        elif best[i][j] == best[i - 1][j] - gap:
-            i -= 1
-        else:
-            j -= 1
+        step = came[i][j]
+        if step == 0:
+            out.append((i - 1, j - 1))
+        i, j = i - (step != 2), j - (step != 1)
     return out[::-1]
 
 
 def paragraphs(a: list[str], b: list[str], cells: int = 250_000) -> list[tuple[int, int]]:
-    """Order-preserving pairs of paragraphs; beyond `cells` the lists are split
-    at the middle by linear-space rows (Hirschberg, 1975)."""
-    cost = lambda i, j: 0.92 * (1 - s) if (s := token_similarity(a[i], b[j])) >= 0.38 else 2.08
+    """Order-preserving pairs of paragraphs that are alike; beyond `cells` pairs
+    the lists are split at the middle by linear-space rows (Hirschberg, 1975)."""
+
+    @lru_cache(maxsize=cells)
+    def cost(i, j):
+        return paragraph_cost(1.0 if a[i] == b[j] else token_similarity(a[i], b[j]))
 
     def rows(i0, i1, j0, j1, back):
-        row = [float(k) for k in range(j1 - j0 + 1)]
+        row = [GAP * k for k in range(j1 - j0 + 1)]
         for i in range(i1 - 1, i0 - 1, -1) if back else range(i0, i1):
-            new = [row[0] + 1]
+            new = [row[0] + GAP]
             for k in range(1, j1 - j0 + 1):
-                j = j1 - k if back else j0 + k - 1
-                new.append(min(row[k - 1] + cost(i, j), row[k] + 1, new[k - 1] + 1))
+                new.append(min(row[k - 1] + cost(i, j1 - k if back else j0 + k - 1), row[k] + GAP, new[k - 1] + GAP))
             row = new
         return row
 
@@ -97,7 +99,7 @@ def paragraphs(a: list[str], b: list[str], cells: int = 250_000) -> list[tuple[i
         if i0 == i1 or j0 == j1:
             return []
         if (i1 - i0) * (j1 - j0) <= cells or i1 - i0 == 1:
-            return [(i0 + i, j0 + j) for i, j, _ in monotone(i1 - i0, j1 - j0, lambda i, j: 2 - cost(i0 + i, j0 + j), floor=0.01)]
+            return [(i0 + i, j0 + j) for i, j in cheapest(i1 - i0, j1 - j0, lambda i, j: cost(i0 + i, j0 + j))]
         mid = (i0 + i1) // 2
         up, down = rows(i0, mid, j0, j1, False), rows(mid, i1, j0, j1, True)
         cut = min(range(j1 - j0 + 1), key=lambda k: up[k] + down[j1 - j0 - k])
@@ -128,101 +130,281 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- units
 
 
-def _unit_score(a: pd.Series, b: pd.Series) -> tuple[float, float, float]:
-    """(unit, title, body) similarity of two unit rows with keys."""
-    words = lambda s: set(s.split())
-    jac = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
-    con = lambda x, y: len(x & y) / min(len(x), len(y)) if x and y else 0.0
-    ta, tb, wa, wb = words(a.title_key), words(b.title_key), words(a.body_key), words(b.body_key)
-    title = max(indel_ratio(a.title_line, b.title_line), jac(ta, tb), 0.94 * con(ta, tb)) if a.title_line and b.title_line else 0.0
-    body = 1.0 if a.body_line == b.body_line else max(indel_ratio(a.body_line, b.body_line), 0.88 * con(wa, wb), 0.82 * jac(wa, wb))
-    titled = bool(a.title_line and b.title_line)
-    s = 0.54 * title + 0.40 * body + 0.06 if titled else 0.9 * body + 0.1
-    s += 0.015 if a.number and a.number == b.number else 0.0
-    s = max(s, 0.84) if titled and title >= 0.98 else max(s, 0.74) if body >= 0.98 else s
-    return min(s, 1.0), title, body
-
-
-def align_units(old: pd.DataFrame, new: pd.DataFrame, floor: float = 0.46) -> list[tuple[int, int, float, str]]:
-    """(old index, new index, score, mode) of the units of two versions.
-
-    Equal units first (unique keys, then in order), then mutual best titles, an
-    order-preserving alignment of the rest, and last a greedy choice that finds
-    what moved. mode: same, renumbered or moved."""
-
-    def keyed(df):
-        df = df.reset_index(drop=True)
-        return df.assign(title_key=[match_key(t) for t in df.title], body_key=[match_key(t) for t in df.body], title_line=[lineage_key(t) for t in df.title], body_line=[lineage_key(t) for t in df.body])
-
-    a, b = keyed(old), keyed(new)
-    whole = lambda df: list(zip(df.kind, df.title_key, df.body_key))
-    ka, kb = whole(a), whole(b)
-    found: dict[int, tuple[int, float]] = {i: (j, 1.0) for i, j in lcs_pairs(ka, kb)}
-    used = {j for j, _ in found.values()}
-    spare: dict = {}
-    for j, k in enumerate(kb):
-        if j not in used:
-            spare.setdefault(k, []).append(j)
-    for i, k in enumerate(ka):
-        if i not in found and spare.get(k):
-            found[i] = (spare[k].pop(0), 1.0)
-    used = {j for j, _ in found.values()}
-    ra, rb = [i for i in range(len(a)) if i not in found], [j for j in range(len(b)) if j not in used]
-    rows_a, rows_b = list(a.itertuples()), list(b.itertuples())
-    cell = lambda df, i: bool(getattr(df[i], "kind") == "cell")
-    scores = {(i, j): _unit_score(rows_a[i], rows_b[j]) for i in ra for j in rb if cell(rows_a, i) == cell(rows_b, j)}
-
-    def take(pairs):
-        for i, j, s in pairs:
-            found[i] = (j, s)
-        done = {j for j, _ in found.values()}
-        ra[:], rb[:] = [i for i in ra if i not in found], [j for j in rb if j not in done]
-
-    take(mutual_best([(i, j, s[0]) for (i, j), s in scores.items() if s[1] >= 0.82 and (s[2] >= 0.2 or len(rows_a[i].title_line) > 3)]))
-    na, nb = list(ra), list(rb)
-    take([(na[i], nb[j], s) for i, j, s in monotone(len(na), len(nb), lambda i, j: scores.get((na[i], nb[j]), (0,))[0], floor=floor)])
-    take(greedy([(i, j, scores[i, j][0]) for i in ra for j in rb if (i, j) in scores], 0.6))
-    order = longest_increasing([(i, j) for i, (j, _) in found.items()])
-    kept = set(order)
-    mode = lambda i, j: "moved" if (i, j) not in kept else "renumbered" if rows_a[i].number != rows_b[j].number else "same"
-    return [(i, j, s, mode(i, j)) for i, (j, s) in sorted(found.items())]
+class Units:
+    """One side's units with their keys."""
+
+    def __init__(self, frame: pd.DataFrame):
+        get = lambda c: [x if isinstance(x, str) else "" for x in frame[c]] if c in frame else [""] * len(frame)
+        self.kind, self.title, self.body, self.number = get("kind"), get("title"), get("body"), [x.lower() for x in get("number")]
+        self.title_key, self.body_key = [lineage_key(x) for x in self.title], [lineage_key(x) for x in self.body]
+        self.concepts = [title_concept_set(x) for x in self.title]
+        self.words = [set(LEXERS["words"].findall(x.lower())) for x in self.body]
+        self.counts = [structure_counts(x) for x in self.body]
+        self.light = [has_light_title(x) for x in self.title]
+
+    def of(self, *kinds: str) -> list[int]:
+        return [i for i, k in enumerate(self.kind) if k in kinds]
+
+
+class Evidence:
+    """Scores of pairs of articles, computed when they are first asked for."""
+
+    def __init__(self, a: Units, b: Units):
+        self.a, self.b = a, b
+        self.rows, self.cols = a.of("article"), b.of("article")
+        self.title = lru_cache(maxsize=None)(self._title)
+        self.body = lru_cache(maxsize=None)(lambda i, j: body_score(a.body_key[i], b.body_key[j], a.words[i], b.words[j]))
+        repeated = lambda u, at: {k for k, n in Counter(u.body_key[i] for i in at).items() if k and n > 1}
+        self.repeated = repeated(a, self.rows) | repeated(b, self.cols)
+        self.best_row = {i: max((self.title(i, j) for j in self.cols), default=0.0) for i in self.rows}
+        self.best_col = {j: max((self.title(i, j) for i in self.rows), default=0.0) for j in self.cols}
+
+    def _title(self, i, j):
+        return title_score(self.a.title_key[i], self.b.title_key[j], self.a.concepts[i], self.b.concepts[j])
+
+    def same(self, i, j) -> bool:
+        return self.a.number[i] == self.b.number[j]
+
+    def lineage(self, i, j) -> float:
+        titled = bool(self.a.title_key[i] and self.b.title_key[j])
+        return unit_score(self.title(i, j), self.body(i, j), structure_score(self.a.counts[i], self.b.counts[j]), self.same(i, j), titled)
+
+    def adjusted(self, i, j) -> tuple[float, float, bool]:
+        """(score, title score, ambiguous). Titles that say little prove little
+        without an equal number or an alike body, and a repeated body, or one whose
+        titles fit better elsewhere, proves little against unlike titles."""
+        title, body, score = self.title(i, j), self.body(i, j), self.lineage(i, j)
+        weak = title >= 0.82 and self.a.light[i] and self.b.light[j] and not self.same(i, j) and body < 0.72
+        if weak:
+            title = min(title, 0.34)
+        conflict = bool(self.a.title[i] and self.b.title[j]) and title < 0.35
+        key = self.a.body_key[i]
+        repeated = key == self.b.body_key[j] and key in self.repeated
+        fits_elsewhere = any(t >= 0.72 and t >= title + 0.20 for t in (self.best_row[i], self.best_col[j]))
+        ambiguous = weak or (conflict and body >= 0.84 and (repeated or fits_elsewhere))
+        return (min(score, 0.42) if ambiguous else score), title, ambiguous
+
+    def anchors(self) -> list[Cand]:
+        """Pairs whose titles are each other's best, clearly so or as the only equal ones."""
+        a, b = self.a, self.b
+        once = lambda u, at: {k for k, n in Counter(u.title_key[i] for i in at).items() if k and n == 1}
+        only = once(a, self.rows) & once(b, self.cols)
+        out = []
+        for i, j, s, clear in mutual_best([(i, j, self.title(i, j)) for i in self.rows for j in self.cols]):
+            if not (a.title[i] and b.title[j]):
+                continue
+            exact = a.title_key[i] == b.title_key[j] and a.title_key[i] in only
+            if (clear or exact) and (not (a.light[i] and b.light[j]) or self.same(i, j) or self.body(i, j) >= 0.72):
+                out.append((i, j, s))
+        return out
+
+
+def _articles(a: Units, b: Units) -> dict[int, tuple[int, float, str]]:
+    """old index -> (new index, score, mode) of articles."""
+    e = Evidence(a, b)
+    found = {i: (j, max(s, e.lineage(i, j)), "same" if e.same(i, j) else "moved") for i, j, s in e.anchors()}
+    used = {j for j, _, _ in found.values()}
+    rows, cols = [i for i in e.rows if i not in found], [j for j in e.cols if j not in used]
+
+    def cost(x, y):
+        s = e.adjusted(rows[x], cols[y])[0]
+        return (MATCH_COST * (1 - s) if s >= 0.43 else NO_MATCH) - (0.015 if e.same(rows[x], cols[y]) else 0.0)
+
+    for x, y in cheapest(len(rows), len(cols), cost):
+        i, j = rows[x], cols[y]
+        if (s := e.adjusted(i, j)[0]) >= 0.43:
+            found[i] = (j, s, "same" if e.same(i, j) else "renumbered")
+            used.add(j)
+    moves = []
+    for i in e.rows:
+        for j in e.cols if i not in found else ():
+            if j in used:
+                continue
+            s, title, ambiguous = e.adjusted(i, j)
+            body = e.body(i, j)
+            if s >= 0.70 or title >= 0.82 or (title >= 0.68 and body >= 0.48) or (not ambiguous and body >= 0.84):
+                moves.append((s + 0.10 * title + 0.04 * body, i, j, s))
+    for _, i, j, s in sorted(moves, key=lambda c: -c[0]):
+        if i not in found and j not in used:
+            found[i] = (j, s, "moved")
+            used.add(j)
+    crossed = _crossed(found)
+    return {i: (j, s, "moved" if i in crossed else m) for i, (j, s, m) in found.items()}
+
+
+def _crossed(found: dict[int, tuple]) -> set[int]:
+    """Old indexes of pairs that cross another pair."""
+    order = sorted((i, v[0]) for i, v in found.items())
+    out, high, low = set(), -1, float("inf")
+    for i, j in order:
+        if j < high:
+            out.add(i)
+        high = max(high, j)
+    for i, j in reversed(order):
+        if j > low:
+            out.add(i)
+        low = min(low, j)
+    return out
+
+
+def _others(a: Units, b: Units) -> dict[int, tuple[int, float, str]]:
+    """Preambles, sections and blocks beside articles, in order, kind by kind."""
+    skip = ("article", "cell")
+    rows, cols = [i for i, k in enumerate(a.kind) if k not in skip], [j for j, k in enumerate(b.kind) if k not in skip]
+
+    @lru_cache(maxsize=None)
+    def score(x, y):
+        """(score, least score that counts)."""
+        i, j = rows[x], cols[y]
+        if a.kind[i] != b.kind[j]:
+            return 0.0, 2.0
+        text = lambda u, k: f"{u.title[k]}\n{u.body[k]}"
+        s = token_similarity(text(a, i), text(b, j))
+        if a.kind[i] != "section":
+            return s, 0.48
+        if a.number[i] == b.number[j]:
+            return max(s, 0.88), 0.30
+        return (max(s, 0.70 * token_similarity(a.title[i], b.title[j])) if a.title[i] and b.title[j] else s), 0.48
+
+    ok = lambda x, y: score(x, y)[0] >= score(x, y)[1]
+    pairs = cheapest(len(rows), len(cols), lambda x, y: MATCH_COST * (1 - score(x, y)[0]) if ok(x, y) else NO_MATCH)
+    return {rows[x]: (cols[y], score(x, y)[0], "same") for x, y in pairs if ok(x, y)}
+
+
+def generic_pairs(old: list[str], new: list[str], pairs: int = 1_000_000) -> list[Cand]:
+    """Texts without articles, by words: a pair counts from 0.48 on, ranked by its
+    score and a little by its place. Each old text tries its best pair in rank
+    order only, so one whose best is taken stays alone; beyond `pairs` candidate
+    pairs it tries its best free one instead, from a queue of one pair a text."""
+    n, m = len(old), len(new)
+    tokens = lambda x: len(LEXERS["similarity"].findall(x))
+    sizes = [tokens(x) for x in old], [tokens(x) for x in new]
+
+    def candidate(i, j):
+        if old[i] == new[j]:
+            s = 1.0
+        else:
+            x, y = sizes[0][i], sizes[1][j]
+            if 2 * min(x, y) < 0.48 * (x + y):  # no order of the words could reach the floor
+                return None
+            s = token_similarity(old[i], new[j])
+        return (s + (1 - min(abs(i - j) / max(n, m, 1), 1.0)) * 0.015, i, j, s) if s >= 0.48 else None
+
+    tried, taken, out = set(), set(), []
+    if n * m <= pairs:
+        ranked = sorted(filter(None, (candidate(i, j) for i in range(n) for j in range(m))), key=lambda c: -c[0])
+        for _, i, j, s in ranked:
+            if i not in tried:
+                tried.add(i)
+                if j not in taken:
+                    taken.add(j)
+                    out.append((i, j, s))
+        return sorted(out)
+    best = lambda i: min(((-c[0], i, c[2], c[3]) for j in range(m) if j not in taken and (c := candidate(i, j))), default=None)
+    queue = [c for i in range(n) if (c := best(i))]
+    heapq.heapify(queue)
+    while queue:
+        _, i, j, s = heapq.heappop(queue)
+        if j in taken:
+            if c := best(i):
+                heapq.heappush(queue, c)
+            continue
+        taken.add(j)
+        out.append((i, j, s))
+    return sorted(out)
+
+
+def align_units(old: pd.DataFrame, new: pd.DataFrame) -> list[tuple[int, int, float, str]]:
+    """(old index, new index, score, mode) of the units of two versions; mode: same,
+    renumbered or moved.
+
+    Where both versions have articles these are matched by titles, then in order,
+    then as moves, and what stands beside them in order; otherwise all texts are
+    matched by their words. Cells of tables only meet cells: tables by the cells
+    they share, rows by unique equal rows and gaps of one size."""
+    a, b = Units(old), Units(new)
+    if a.of("article") and b.of("article"):
+        found = _articles(a, b) | _others(a, b)
+    else:
+        rows, cols = [i for i, k in enumerate(a.kind) if k != "cell"], [j for j, k in enumerate(b.kind) if k != "cell"]
+        found = {rows[i]: (cols[j], s, "same") for i, j, s in generic_pairs([a.body[i] for i in rows], [b.body[j] for j in cols])}
+    found |= _cells(old, new)
+    return [(i, *found[i]) for i in sorted(found)]
+
+
+def _cells(old: pd.DataFrame, new: pd.DataFrame) -> dict[int, tuple[int, float, str]]:
+    """Cells by their place (table, row, col) in matched rows of matched tables."""
+    if not all({"table", "row", "col"} <= set(f.columns) for f in (old, new)):
+        return {}
+
+    def tables(frame):
+        out: dict = {}
+        for i, r in enumerate(frame.itertuples()):
+            if r.kind == "cell" and r.table == r.table and r.table is not None:
+                out.setdefault(int(r.table), {}).setdefault(int(r.row), {})[int(r.col)] = (i, r.body if isinstance(r.body, str) else "")
+        return [[[t[r][c] for c in sorted(t[r])] for r in sorted(t)] for _, t in sorted(out.items())]
+
+    x, y = tables(old), tables(new)
+    plain = lambda ts: [{"rows": [[text for _, text in r] for r in t]} for t in ts]
+    pairs, rows = match_tables(plain(x), plain(y))
+    out = {}
+    for i, j, _ in pairs:
+        for p, q in rows[i, j]:
+            for (u, old_text), (v, new_text) in zip(x[i][p], y[j][q]):
+                out[u] = (v, 1.0 if old_text == new_text else token_similarity(old_text, new_text), "same")
+    return out
 
 
 MATCH = "old_ix int, new_ix int, score double, mode string"
+#: What match_units() reads of a unit, where it is there.
+UNIT_COLUMNS = ("unit_ix", "kind", "number", "title", "body", "table", "row", "col")
 
 
 def match_units(units: DataFrame, keys: tuple[str, ...] = ("comparison_id",), side: str = "doc_ord") -> DataFrame:
     """(keys, old_ix, new_ix, score, mode) of units (keys, doc_ord 0 or 1, unit_ix,
-    kind, number, title, body). A comparison whose two sides are equal is
-    matched by a join; the others are groups of one comparison each."""
-    k = list(keys)
+    kind, number, title, body, and for cells table, row, col). A comparison whose
+    two sides are equal is matched by a join; the others are groups of one
+    comparison each. The units are read once."""
+    k, cols = list(keys), [c for c in UNIT_COLUMNS if c in units.columns]
     text = F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in ("kind", "number", "title", "body")])
-    marked = units.withColumn("h", F.xxhash64(text))
-    digest = marked.groupBy(*k, side).agg(F.sort_array(F.collect_list(F.struct("unit_ix", "h"))).alias("all")).groupBy(*k).agg(F.count("*").alias("sides"), F.size(F.collect_set("all")).alias("kinds"))
-    equal = digest.where("sides = 2 AND kinds = 1").select(*k)
-    same = marked.where(F.col(side) == 0).join(equal, k, "left_semi").select(*k, F.col("unit_ix").alias("old_ix"), F.col("unit_ix").alias("new_ix"), F.lit(1.0).alias("score"), F.lit("same").alias("mode"))
-    rest = units.join(digest.where("sides = 2 AND kinds > 1").select(*k), k, "left_semi")
-    cols = ["unit_ix", "kind", "number", "title", "body"]
-    schema = ", ".join([f"{c} {dict(units.dtypes)[c]}" for c in k] + [MATCH])
+    unit = F.struct(*cols)
+    sides = spread(units.withColumn("__h", F.xxhash64(text)), *k).groupBy(*k).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col(side) == i, unit))).alias(n) for i, n in enumerate(("old", "new"))],
+        *[F.sort_array(F.collect_list(F.when(F.col(side) == i, F.struct("unit_ix", "__h")))).alias(f"h{i}") for i in (0, 1)],
+    )
+    equal = (F.col("h0") == F.col("h1")) & (F.size("h0") > 0)
+    same = sides.where(equal).select(*k, F.explode("old").alias("u")).select(*k, F.col("u.unit_ix").alias("old_ix"), F.col("u.unit_ix").alias("new_ix"), F.lit(1.0).alias("score"), F.lit("same").alias("mode"))
+    rest = sides.where(~equal & (F.size("h0") > 0) & (F.size("h1") > 0)).select(*k, "old", "new")
+    schema = ", ".join([f"`{c}` {dict(units.dtypes)[c]}" for c in k] + [MATCH])
+
+    def run(batches):
+        for g in batches:
+            out = []
+            for r in g.itertuples(index=False):
+                old, new = (pd.DataFrame([dict(u) if isinstance(u, dict) else u.asDict() for u in x], columns=cols) for x in (r.old, r.new))
+                out += [(*[getattr(r, c) for c in k], int(old.unit_ix[i]), int(new.unit_ix[j]), s, m) for i, j, s, m in align_units(old, new)]
+            yield pd.DataFrame(out, columns=[*k, "old_ix", "new_ix", "score", "mode"])
+
+    return same.unionByName(rest.mapInPandas(run, schema))
+
+
+def unique_titles(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("comparison_id",)) -> DataFrame:
+    """(keys, old_ix, new_ix): articles whose equal title stands once on each side,
+    by an equi-join; no unit is scored. Units are (keys, unit_ix, kind, title)."""
+    from ..functions.text import lineage_key_col, low_information_title
+
+    k = list(keys)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("unit_ix")
-        old, new = (g[g[side] == s][cols].fillna("").reset_index(drop=True) for s in (0, 1))
-        found = align_units(old, new)
-        return pd.DataFrame([(*g.iloc[0][k], int(old.unit_ix[i]), int(new.unit_ix[j]), s, m) for i, j, s, m in found], columns=[*k, "old_ix", "new_ix", "score", "mode"])
+    def once(df, name):
+        titled = df.where((F.col("kind") == "article") & ~low_information_title(F.coalesce("title", F.lit("")))).withColumn("t", lineage_key_col(F.coalesce("title", F.lit("")))).where("t <> ''")
+        return titled.groupBy(*k, "t").agg(F.count("*").alias("n"), F.min("unit_ix").alias(name)).where("n = 1").drop("n")
 
-    return same.unionByName(spread(rest, *k).groupBy(*k).applyInPandas(run, schema))
+    return once(old, "old_ix").join(once(new, "new_ix"), [*k, "t"]).select(*k, "old_ix", "new_ix")
 
 
 def match_blocks(old: list[str], new: list[str]) -> list[Cand]:
-    """Blocks of texts without articles: exact keys, then order-preserving, then greedy."""
-    n, m = [match_key(x) for x in old], [match_key(x) for x in new]
-    found = [(i, j, 1.0) for i, j in lcs_pairs(n, m)]
-    ra, rb = sorted(set(range(len(n))) - {i for i, _, _ in found}), sorted(set(range(len(m))) - {j for _, j, _ in found})
-    more = monotone(len(ra), len(rb), lambda i, j: token_similarity(n[ra[i]], m[rb[j]]), floor=0.5)
-    found += [(ra[i], rb[j], s) for i, j, s in more]
-    ra, rb = sorted(set(ra) - {i for i, _, _ in found}), sorted(set(rb) - {j for _, j, _ in found})
-    return sorted(found + greedy([(i, j, sequence_ratio(n[i], m[j])) for i in ra for j in rb], 0.62))
+    """Blocks of texts without articles."""
+    return generic_pairs(old, new)
 
 
 def match_tables(old: list[dict], new: list[dict]) -> tuple[list[Cand], dict[tuple[int, int], list[tuple[int, int]]]]:
@@ -252,66 +434,6 @@ def match_tables(old: list[dict], new: list[dict]) -> tuple[list[Cand], dict[tup
     return tables, rows
 
 
-# ---------------------------------------------------------------- parts
-
-
-def match_parts(old: pd.DataFrame, new: pd.DataFrame, most: int = 256) -> list[Cand]:
-    """Pairs of list items (label, family, level, parent, core) of two bodies.
-
-    Level by level, parents first: equal texts (nearest unused), equal quoted
-    heads, same label, same ordinal, moved items by score, items one level off,
-    and last bodies. One body against a list pairs only if it is alike."""
-    a, b = list(old.itertuples()), list(new.itertuples())
-    ka, kb = [match_key(x.core) for x in a], [match_key(x.core) for x in b]
-    if len(a) > most or len(b) > most:
-        return [(i, j, 1.0) for i, j in lcs_pairs(ka, kb)]
-    found: dict[int, tuple[int, float]] = {}
-
-    def free():
-        used = {j for j, _ in found.values()}
-        return [i for i in range(len(a)) if i not in found], [j for j in range(len(b)) if j not in used]
-
-    def take(pairs):
-        found.update({i: (j, s) for i, j, s in pairs})
-
-    ia, ib = free()
-    for i in ia:
-        near = sorted((j for j in free()[1] if kb[j] == ka[i] and ka[i]), key=lambda j: (abs(i - j), j))
-        if near:
-            found[i] = (near[0], 1.0)
-    words = [set(k.split()) for k in ka], [set(k.split()) for k in kb]
-    memo: dict[tuple[int, int], float] = {}
-
-    def score(i, j):
-        if (i, j) not in memo:
-            x, y = words[0][i], words[1][j]
-            jac = len(x & y) / len(x | y) if x | y else 0.0
-            con = len(x & y) / min(len(x), len(y)) if x and y else 0.0
-            memo[i, j] = min(1.0, max(0.68 * sequence_ratio(ka[i], kb[j]) + 0.32 * jac, 0.9 * con) + (0.08 if a[i].label and a[i].label == b[j].label else 0))
-        return memo[i, j]
-
-    parent_ok = lambda i, j: (a[i].parent < 0) == (b[j].parent < 0) and (a[i].parent < 0 or found.get(a[i].parent, (None,))[0] == b[j].parent)
-    head = lambda t: t[1 : t.find(t[0].translate(str.maketrans("“‘「『", "”’」』")), 1)] if t[:1] in "\"“‘「『'" and len(t) > 2 else ""
-    ia, ib = free()
-    take(greedy([(i, j, max(0.9, score(i, j))) for i in ia for j in ib if head(ka[i]) and head(ka[i]) == head(kb[j])]))
-    for level in sorted({x.level for x in a} | {x.level for x in b}):
-        at = lambda s, side: [i for i in s if side[i].level == level]
-        ia, ib = free()
-        take(first_choice([(i, j, score(i, j)) for i in at(ia, a) for j in at(ib, b) if a[i].label and a[i].label == b[j].label and parent_ok(i, j)], 0.18))
-        ia, ib = free()
-        take(first_choice([(i, j, score(i, j)) for i in at(ia, a) for j in at(ib, b) if a[i].family == b[j].family and label_ordinal(a[i].label or "-") == label_ordinal(b[j].label or "-") is not None and parent_ok(i, j)], 0.30))
-        ia, ib = free()
-        take(greedy([(i, j, score(i, j)) for i in at(ia, a) for j in at(ib, b) if a[i].label and b[j].label], 0.74))
-    ia, ib = free()
-    take(greedy([(i, j, score(i, j)) for i in ia for j in ib if abs(a[i].level - b[j].level) == 1 and a[i].label and b[j].label], 0.82))
-    ia, ib = free()
-    listed = sum(bool(x.label) for x in a) > 0, sum(bool(x.label) for x in b) > 0
-    take(greedy([(i, j, score(i, j)) for i in ia for j in ib if not a[i].label and not b[j].label], 0.32 if listed[0] != listed[1] else 0.20))
-    ia, ib = free()
-    take(greedy([(i, j, score(i, j)) for i in ia for j in ib], 0.82))
-    return sorted((i, j, s) for i, (j, s) in found.items())
-
-
 # ---------------------------------------------------------------- three versions
 
 
@@ -333,9 +455,12 @@ def grid(bases: DataFrame, matches: DataFrame, additions: DataFrame, keys: tuple
 
 
 def nth_occurrence_join(left: DataFrame, right: DataFrame, key: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The n-th row of a text key with the n-th one of the other side."""
-    n = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, key).orderBy(order)))
-    return n(left).join(n(right).withColumnRenamed(order, f"{order}_right"), [*keys, key, "nth"])
+    """The n-th row of a text key with the n-th one of the other side. Rows are
+    numbered and joined by a hash of the key, its text is compared at the end."""
+    w = Window.partitionBy(*keys, "__h").orderBy(order)
+    n = lambda df: df.withColumn("__h", F.sha2(F.col(key), 256)).withColumn("nth", F.row_number().over(w))
+    other = n(right).withColumnRenamed(order, f"{order}_right").drop(key)
+    return n(left).join(other, [*keys, "__h", "nth"]).drop("__h")
 
 
 def vote_map(pairs: DataFrame, keys: tuple[str, ...], old: str, new: str) -> DataFrame:
@@ -344,6 +469,3 @@ def vote_map(pairs: DataFrame, keys: tuple[str, ...], old: str, new: str) -> Dat
     votes = pairs.groupBy(*keys, old, new).agg(F.count("*").alias("votes"))
     best = lambda own, other: F.row_number().over(Window.partitionBy(*keys, own).orderBy(F.col("votes").desc(), other))
     return votes.withColumn("a", best(old, new)).withColumn("b", best(new, old)).where("a = 1 AND b = 1").drop("a", "b")
-
-
-__all__ = ["align_units", "first_choice", "greedy", "grid", "longest_increasing", "match_blocks", "match_parts", "match_tables", "match_units", "monotone", "mutual_best", "nth_occurrence_join", "paragraphs", "vote_map"]

@@ -21,36 +21,41 @@ CELLS = 4_000_000
 Block = tuple[int, int, int]
 
 
-def lcs_pairs(a: Sequence, b: Sequence, cells: int = CELLS) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; of equal ways the one that
-    deletes first. Beyond `cells`, matching blocks.
+def lcs_pairs(a: Sequence, b: Sequence, cells: float = CELLS) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence: from the start on, equal
+    elements are kept, and where either side could go the element of a is dropped
+    first. Beyond `cells`, matching blocks.
 
-    Rows of the table are kept as whole numbers, a bit a column
-    (Hyyrö, 2004), so a step costs a few machine words.
+    The lengths of common subsequences of all suffixes are kept as whole numbers,
+    a bit a place of a (Hyyrö, 2004), so a step costs a few machine words.
     """
     n, m = len(a), len(b)
-    if n * m > cells:
+    if (n + 1) * (m + 1) > cells:
         return [(i + k, j + k) for i, j, size in matching_blocks(a, b) for k in range(size)]
     where: dict = {}
-    for i, x in enumerate(a):
+    for i, x in enumerate(reversed(a)):
         where[x] = where.get(x, 0) | (1 << i)
     full = (1 << n) - 1
     rows, v = [full], full
-    for y in b:
+    for y in reversed(b):
         u = v & where.get(y, 0)
         v = ((v + u) | (v - u)) & full
         rows.append(v)
-    length = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
-    out, i, j = [], n, m
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
+
+    def left(i, j):
+        """Length of the longest common subsequence of a[i:] and b[j:]."""
+        return (n - i) - (rows[m - j] & ((1 << (n - i)) - 1)).bit_count()
+
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
             out.append((i, j))
-        elif length(i - 1, j) > length(i, j - 1):
-            i -= 1
+            i, j = i + 1, j + 1
+        elif left(i + 1, j) >= left(i, j + 1):
+            i += 1
         else:
-            j -= 1
-    return out[::-1]
+            j += 1
+    return out
 
 
 def matching_blocks(a: Sequence, b: Sequence) -> list[Block]:
@@ -74,7 +79,9 @@ def _gaps(pairs: list[tuple[int, int]], n: int, m: int) -> list[tuple[str, int,
 
 
 def line_hunks(before: str, after: str, cells: int = CELLS) -> list[tuple[str, int, int, int, int]]:
-    """(kind, before start, end, after start, end), half-open line ranges."""
+    """(kind, before start, end, after start, end), half-open line ranges. Where
+    the changed middles have more than `cells` pairs of lines, they are one
+    replacement (limited_hunks() tells)."""
     a, b = (re.findall(r"[^\n]*\n|[^\n]+", x) for x in (before, after))
     n = min(len(a), len(b))
     pre = next((i for i in range(n) if a[i] != b[i]), n)
@@ -86,11 +93,16 @@ def line_hunks(before: str, after: str, cells: int = CELLS) -> list[tuple[str, i
     if not x or not y or len(x) * len(y) > cells:
         kind = "insert" if not x else "delete" if not y else "replace"
         return [(kind, pre, pre + len(x), pre, pre + len(y))]
-    return [(k, p + pre, q + pre, r + pre, s + pre) for k, p, q, r, s in _gaps(lcs_pairs(x, y, cells), len(x), len(y))]
+    return [(k, p + pre, q + pre, r + pre, s + pre) for k, p, q, r, s in _gaps(lcs_pairs(x, y, float("inf")), len(x), len(y))]
+
+
+def limited_hunks(before: str, after: str, cells: int = CELLS) -> list[tuple]:
+    """line_hunks() with a flag: the limit made this hunk one replacement."""
+    return [(*h, h[0] == "replace" and (h[2] - h[1]) * (h[4] - h[3]) > cells) for h in line_hunks(before, after, cells)]
 
 
-HUNK = "array<struct<kind:string,before_start:int,before_end:int,after_start:int,after_end:int>>"
-line_hunks_col = vectorized(line_hunks, HUNK)
+HUNK = "array<struct<kind:string,before_start:int,before_end:int,after_start:int,after_end:int,limited:boolean>>"
+line_hunks_col = vectorized(limited_hunks, HUNK)
 
 
 def diff_lines(pairs: DataFrame, before: str = "before", after: str = "after", keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
