@@ -34,18 +34,6 @@ def test_rename_candidates_and_blobs(spark):
     assert sorted(r.state for r in ledger.resolve_versions(versions, blobs).collect()) == ["missing", "ok", "ok"]
 
 
-RUST = 'mod a {\n  // fn no() {}\n  struct S { x: i32 }\n  impl S {\n    fn get(&self) -> i32 { let s = "}"; self.x + 1 }\n  }\n}\nfn top() { a::go(); }\n'
-CS = "namespace N {\n  public class C {\n    public int Add(int a, int b) { return a + b; }\n    string Name() => \"x\";\n  }\n}\n"
-
-
-def test_declarations():
-    got = symbols.declarations(RUST, "rust")
-    assert [(k, s, n) for k, s, n, *_ in got] == [("mod", "", "a"), ("struct", "a", "S"), ("impl", "a", "S"), ("fn", "a::S", "get"), ("fn", "", "top")]
-    assert all(RUST.encode()[a:b].decode() == src for *_, src, a, b in got)
-    assert [(k, s, n) for k, s, n, *_ in symbols.declarations(CS, "csharp")] == [("namespace", "", "N"), ("class", "N", "C"), ("method", "N::C", "Add"), ("method", "N::C", "Name")]
-    assert symbols.declarations("fn a() {", "rust") is None
-
-
 def test_ast_diff_and_moves(spark):
     f = "path string, content string"
     body = "{ let total = items.iter().map(|i| i.price * i.count).sum(); log(total); total + tax(total) - discount }"

@@ -339,19 +339,36 @@ section_number_col = vectorized(section_number, "double")
 HANGUL_LABELS = "가나다라마바사아자차카타파하"
 
 
+#: The kinds of list labels, the first pattern that fits; fixed values.
+FAMILIES = (
+    ("circled", r"^[①-⑳]"),
+    ("paren_number", r"^\([0-9]+\)"),
+    ("paren_roman", r"^\((?:[ivxlc]{2,}|[ivxIVX]|[IVXLC]{2,})\)"),
+    ("paren_alpha", r"^\([A-Za-z]\)"),
+    ("number", r"^[0-9]+[.)]"),
+    ("alpha", r"^[A-Za-z][.)]"),
+    ("hangul", f"^[{HANGUL_LABELS}][.)]"),
+)
+
+
 def label_family(c: Column) -> Column:
     """The kind of a list label."""
-    return (
-        F.when(F.coalesce(c, F.lit("")) == "", "body")
-        .when(c.rlike(r"^[①-⑳]"), "circled")
-        .when(c.rlike(r"^\([0-9]+\)"), "paren_number")
-        .when(c.rlike(r"^\((?:[ivxlc]{2,}|[ivxIVX]|[IVXLC]{2,})\)"), "paren_roman")
-        .when(c.rlike(r"^\([A-Za-z]\)"), "paren_alpha")
-        .when(c.rlike(r"^[0-9]+[.)]"), "number")
-        .when(c.rlike(r"^[A-Za-z][.)]"), "alpha")
-        .when(c.rlike(f"^[{HANGUL_LABELS}][.)]"), "hangul")
-        .otherwise("other")
-    )
+    out = F.when(F.coalesce(c, F.lit("")) == "", "body")
+    for name, pattern in FAMILIES:
+        out = out.when(c.rlike(pattern), name)
+    return out.otherwise("other")
+
+
+def families(labels: list[str]) -> list[str]:
+    """label_family() of a body's labels, where a single i, v or x is Roman only if
+    a neighbour proves it."""
+    out = []
+    for i, x in enumerate(labels):
+        kind = "body" if not x else next((n for n, p in FAMILIES if re.match(p, x)), "other")
+        if kind == "paren_roman" and len(x) == 3 and not any(re.match(r"^\([ivxlc]{2,}\)$", y or "") for y in labels[max(0, i - 1) : i] + labels[i + 1 : i + 2]):
+            kind = "paren_alpha"
+        out.append(kind)
+    return out
 
 
 def label_ordinal(label: str) -> int | None:

@@ -55,16 +55,45 @@ def token_counts(files: DataFrame, text: str, keys: tuple[str, ...]) -> DataFram
 
 def dice_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b: str, text: str = "body", least: int = 880, tokens: int = 12, distinct: int = 8) -> DataFrame:
     """(on, a, b, permille): multiset Dice of code tokens of pairs that agree in
-    `on`, as join on tokens and sum of the smaller counts."""
+    `on`, from `least` permille on.
+
+    A pair at Dice t shares t / (2 - t) of either side's tokens at least, so it
+    agrees in one of the rarest of them (prefix filter, with the n-th use of a
+    token as a token of its own), and the sizes differ by that factor at most. Only
+    pairs that do are counted, by a join on their tokens and a sum of the smaller
+    counts; with least <= 0 all pairs that share a token are."""
     x, y = token_counts(left, text, (*on, a)), token_counts(right, text, (*on, b))
     size = lambda t, key, name: t.groupBy(*on, key).agg(F.sum("n").alias(name), F.count("*").alias(f"{name}_kinds"))
-    shared = x.withColumnRenamed("n", "nx").join(y.withColumnRenamed("n", "ny"), [*on, "token"]).groupBy(*on, a, b).agg(F.sum(F.least("nx", "ny")).alias("shared"))
-    scored = shared.join(size(x, a, "sx"), [*on, a]).join(size(y, b, "sy"), [*on, b])
+    sx, sy = size(x, a, "sx"), size(y, b, "sy")
+    shared = F.sum(F.least("nx", "ny")).alias("shared")
+    x, y = x.withColumnRenamed("n", "nx"), y.withColumnRenamed("n", "ny")
+    if least <= 0:
+        met = x.join(y, [*on, "token"])
+    else:
+        met = _rare_pairs(x, y, sx, sy, on, a, b, least / 1000).join(x, [*on, a]).join(y, [*on, b, "token"])
+    scored = met.groupBy(*on, a, b).agg(shared).join(sx, [*on, a]).join(sy, [*on, b])
     permille = F.floor(2000 * F.col("shared") / (F.col("sx") + F.col("sy"))).cast("int")
     fit = (F.col("sx") >= tokens) & (F.col("sy") >= tokens) & (F.col("sx_kinds") >= distinct)
     return scored.where(fit).select(*on, a, b, permille.alias("permille")).where(F.col("permille") >= least)
 
 
+def _rare_pairs(x: DataFrame, y: DataFrame, sx: DataFrame, sy: DataFrame, on: tuple[str, ...], a: str, b: str, t: float) -> DataFrame:
+    """Distinct (on, a, b) that may reach Dice t."""
+    each = lambda d, key, n: d.select(*on, key, "token", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("use"))
+    ex, ey = each(x, a, "nx"), each(y, b, "ny")
+    often = ex.select(*on, "token", "use").unionByName(ey.select(*on, "token", "use")).groupBy(*on, "token", "use").agg(F.count("*").alias("df"))
+    share = t / (2 - t)
+
+    def prefix(e, sizes, key, name):
+        w = Window.partitionBy(*on, key).orderBy("df", "token", "use")
+        kept = e.join(often, [*on, "token", "use"]).join(sizes.select(*on, key, F.col(name).alias("size")), [*on, key]).withColumn("at", F.row_number().over(w))
+        return kept.where(F.col("at") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1).select(*on, key, "token", "use", F.col("size").alias(f"__{name}"))
+
+    near = prefix(ex, sx, a, "sx").join(prefix(ey, sy, b, "sy"), [*on, "token", "use"])
+    fits = (F.col("__sx") >= share * F.col("__sy") - 1e-9) & (F.col("__sy") >= share * F.col("__sx") - 1e-9)
+    return near.where(fits).select(*on, a, b).distinct()
+
+
 def rename_candidates(ledger: DataFrame, before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (), least: int = 750) -> DataFrame:
     """Edited renames among the ledger's added and deleted files: mutual best
     pairs by token Dice of files that share an extension."""
@@ -88,8 +117,10 @@ def changes_by_kind(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def missing_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:
     """Blobs to append: contents by hash, one each, that the store lacks."""
     content = F.coalesce(F.col("content"), F.lit("")).cast("binary")
-    new = files.select(F.sha2(content, 256).alias("sha"), content.alias("content")).groupBy("sha").agg(F.first("content").alias("content"))
-    return new.join(blobs.select("sha"), "sha", "left_anti")
+    # Known contents go before any content moves; of the others one a task does.
+    new = files.select(F.sha2(content, 256).alias("sha"), content.alias("content"))
+    lacking = new.select("sha").distinct().join(blobs.select("sha"), "sha", "left_anti")
+    return new.join(lacking, "sha", "left_semi").groupBy("sha").agg(F.first("content").alias("content"))
 
 
 def resolve_versions(versions: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -104,10 +135,18 @@ def import_report(candidates: DataFrame, known: DataFrame) -> DataFrame:
     known (path, sha); a second row of the same path and content is a duplicate."""
     from ..functions.text import supported_file
 
-    first = F.row_number().over(Window.partitionBy("path", "sha").orderBy("path"))
-    seen = candidates.withColumn("first", first).join(known.select("path", "sha").distinct().withColumn("known", F.lit(True)), ["path", "sha"], "left")
-    kind = F.when(~supported_file(F.col("path")), "unsupported").when(F.col("sha").isNull(), "missing").when(F.col("known") | (F.col("first") > 1), "duplicate").otherwise("added")
-    return seen.groupBy().agg(*[F.count_if(kind == n).alias(n) for n in ("added", "duplicate", "unsupported", "missing")])
+    # Rows of a path and content are counted before the join, so that none of them is hot.
+    counted = candidates.groupBy("path", "sha").agg(F.count("*").alias("n"))
+    seen = counted.join(known.select("path", "sha").distinct().withColumn("known", F.lit(True)), ["path", "sha"], "left")
+    bad, none, old = ~supported_file(F.col("path")), F.col("sha").isNull(), F.coalesce("known", F.lit(False))
+    n = F.col("n")
+    parts = {
+        "added": F.when(~bad & ~none & ~old, 1),
+        "duplicate": F.when(~bad & ~none, F.when(old, n).otherwise(n - 1)),
+        "unsupported": F.when(bad, n),
+        "missing": F.when(~bad & none, n),
+    }
+    return seen.agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in parts.items()])
 
 
 def source_state(files: DataFrame) -> DataFrame:

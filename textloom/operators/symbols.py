@@ -1,9 +1,15 @@
 """Declarations of Rust and C# sources and their changes.
 
-Declarations come from a scanner of our own that masks comments and literals,
-finds declaration heads and matches brackets; a source whose brackets don't
-match is unsupported, like one with a syntax error. Matching is relational:
+Declarations come from a scanner of our own: it masks comments and literals
+(nested comments, raw, verbatim and interpolated strings), matches brackets, and
+finds declaration heads where the grammar allows them; a source whose brackets
+don't match is unsupported, like one with a syntax error. Matching is relational:
 unique equi-joins from strict to loose, each on what the one before left over.
+
+Kinds: function, struct, enum, trait, type and const of Rust; class, struct,
+interface, enum, record, method and constructor of C#. Modules, implementations,
+traits, namespaces and types are scopes, named kind:name and joined by a slash;
+modules, implementations and namespaces are no declarations.
 """
 
 from __future__ import annotations
@@ -21,26 +27,58 @@ from .ledger import dice_pairs
 MOST_BYTES, MOST_SYMBOLS, MOST_DEPTH = 2 << 20, 5_000, 128
 LANGUAGES = {"rs": "rust", "cs": "csharp"}
 
-_LITERALS = {
-    "rust": re.compile(r'//[^\n]*|/\*.*?\*/|r(#*)".*?"\1|"(?:\\.|[^"\\])*"|\'(?:\\.[^\']*|[^\'\\])\'', re.S),
-    "csharp": re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:""|[^"])*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.[^\']*|[^\'\\])\'', re.S),
-}
-_HEADS = {
-    "rust": re.compile(r"\b(?:(?P<kind>fn|struct|enum|trait|mod)\s+(?P<name>[A-Za-z_]\w*)|(?P<impl>impl)\b(?P<of>[^{;]*))"),
-    "csharp": re.compile(
-        r"\b(?:(?P<kind>namespace|class|struct|interface|enum|record)\s+(?P<name>[A-Za-z_][\w.]*)"
-        r"|(?P<method>(?:[\w<>\[\],.?]+\s+)+)(?P<mname>[A-Za-z_]\w*)\s*(?:<[^<>(){};]*>)?\s*\((?P<args>[^(){};]*)\)\s*(?:where[^{;]*)?(?=\{|=>|;))"
-    ),
-}
-_NOT_TYPES = {"return", "new", "else", "await", "throw", "in", "is", "as", "using", "yield", "case", "goto", "out", "ref"}
+_RUST_TOKEN = re.compile(r'//[^\n]*|/\*|\b(?:b|c|br|cr)?r(?P<hash>#*)".*?"(?P=hash)|\b[bc]?"(?:\\.|[^"\\])*"|"(?:\\.|[^"\\])*"|b?\'(?:\\(?:u\{[^}]*\}|x..|.)|[^\'\\\n])\'', re.S)
+_SHARP_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|(?m:^[ \t]*\#[^\n]*)|\$*(?P<q>"{3,}).*?(?P=q)"*|(?P<open>(?:\$@|@\$|\$)")|@"(?:""|[^"])*"|"(?:\\.|[^"\\\n])*"|\'(?:\\(?:u....|x[0-9a-fA-F]+|.)|[^\'\\\n])\'', re.S)
+
+
+def _comment_end(text: str, start: int) -> int:
+    """The end of a comment that may hold others."""
+    depth = 0
+    for m in re.compile(r"/\*|\*/").finditer(text, start):
+        depth += 1 if m.group() == "/*" else -1
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+def _interpolated_end(text: str, start: int) -> int:
+    """The end of an interpolated string whose opening quote ends at start."""
+    verbatim, at, depth = "@" in text[start - 3 : start], start, 0
+    while at < len(text):
+        c, two = text[at], text[at : at + 2]
+        if depth:
+            if c == '"' or (c in "$@" and (m := _SHARP_TOKEN.match(text, at))):
+                m = _SHARP_TOKEN.match(text, at)
+                at = _interpolated_end(text, m.end()) if m and m.group("open") else m.end() if m else at + 1
+                continue
+            depth += (c == "{") - (c == "}")
+        elif two in ("{{", "}}") or (verbatim and two == '""') or (c == "\\" and not verbatim):
+            at += 2
+            continue
+        elif c == '"':
+            return at + 1
+        elif c == "{":
+            depth = 1
+        at += 1
+    return len(text)
 
 
 def _masked(text: str, language: str) -> str:
-    return _LITERALS[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    """The text with comments and literals blank, of the same length."""
+    token, out, at = _RUST_TOKEN if language == "rust" else _SHARP_TOKEN, [], 0
+    while m := token.search(text, at):
+        end = m.end()
+        if m.group() == "/*":
+            end = _comment_end(text, m.start())
+        elif language == "csharp" and m.group("open"):
+            end = _interpolated_end(text, m.end())
+        out += [text[at : m.start()], re.sub(r"[^\n]", " ", text[m.start() : end])]
+        at = max(end, m.start() + 1)
+    return "".join([*out, text[at:]])
 
 
-def _closing(text: str) -> dict[int, int] | None:
-    """Places of matching braces; None if brackets don't match or nest too deep."""
+def _brackets(text: str) -> dict[int, int] | None:
+    """Places of matching brackets; None if they don't match or nest too deep."""
     pairs, stack = {}, []
     for m in re.finditer(r"[(){}\[\]]", text):
         c = m.group()
@@ -55,51 +93,149 @@ def _closing(text: str) -> dict[int, int] | None:
     return None if stack else pairs
 
 
+_ANGLED = r"<(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>"
+_RUST = re.compile(
+    r"\b(?P<whole>(?:pub\b\s*(?:\([^()]*\)\s*)?)?(?:default\s+)?(?:(?:const|async|unsafe|safe|auto)\s+)*(?:extern\s+)?"
+    r"(?:(?P<kind>fn|struct|enum|trait|type|const|mod)\s+(?P<name>(?:r#)?[A-Za-z_]\w*)|(?P<impl>impl)\b))"
+)
+_RUST_KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "type": "type", "const": "const"}
+_MODIFIER = r"(?:public|private|protected|internal|static|abstract|sealed|partial|virtual|override|async|extern|unsafe|new|readonly|ref|required|file)"
+_LEAD = rf"(?P<whole>(?:\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]\s*)*(?:{_MODIFIER}\s+)*"
+_SHARP_TYPE = re.compile(rf"{_LEAD}(?<![\w.])(?:(?P<kind>class|struct|interface|enum|record)\s+(?:(?:class|struct)\s+)?(?P<name>[A-Za-z_]\w*)|(?P<space>namespace)\s+(?P<path>[A-Za-z_][\w.]*)))")
+_SHARP_METHOD = re.compile(rf"{_LEAD}(?:(?P<type>(?<![\w.])[A-Za-z_](?:[\w.]|::)*\s*(?:{_ANGLED})?(?:\.\w+(?:{_ANGLED})?)*(?:\s*(?:\[[,\s]*\]|\?|\*))*|\([^()]*\)\??)\s+)?(?<![\w.])(?:[\w.]+(?:{_ANGLED})?\.)?(?P<name>[A-Za-z_]\w*)\s*(?:{_ANGLED})?\s*)(?=\()")
+_NOT_TYPES = {"return", "new", "else", "await", "throw", "in", "is", "as", "using", "yield", "case", "goto", "out", "ref", "delegate", "event", "where", "operator", "implicit", "explicit", "this", "base", "get", "set"}
+
+
+def _impl_type(text: str) -> str:
+    """The type of what follows `impl`: after its generics, and after `for`."""
+    text, depth, at = " ".join(text.split()), 0, 0
+    if text.startswith("<"):
+        for at, c in enumerate(text):
+            depth += (c == "<") - (c == ">" and text[at - 1] != "-")
+            if not depth:
+                break
+        text = text[at + 1 :].strip()
+    text = re.split(r"\bwhere\b", text)[0].strip()
+    return re.split(r"\bfor\b(?!\s*<)", text)[-1].strip()
+
+
+def _rust(masked: str, closing: dict[int, int]):
+    """(kind or None, scope name or None, name, start, body start or None, end) of heads."""
+    macros = [(m.end() - 1, closing[m.end() - 1]) for m in re.finditer(r"\b\w+!\s*(?:\w+\s*)?[({\[]", masked)]
+    for m in _RUST.finditer(masked):
+        if any(a < m.start() < z for a, z in macros):
+            continue
+        word, at, depth = m["kind"], m.end(), 0
+        while at < len(masked):  # the body or the end, outside of brackets and generics
+            c = masked[at]
+            if c in "([":
+                at = closing[at]
+            elif c in "{;" or c in ")]}" or (c == "," and depth <= 0):
+                break
+            elif word in ("const", "type") and c == "=" and masked[at + 1 : at + 2] not in ("=", ">"):
+                word = "value"  # a value may hold blocks; only the semicolon ends it
+            elif c in "<>":
+                depth += (c == "<") - (c == ">" and masked[at - 1] != "-")
+            at += 1
+            if word == "value":
+                while at < len(masked) and masked[at] != ";":
+                    at = closing[at] + 1 if masked[at] in "([{" else at + 1
+                break
+        if at >= len(masked) or masked[at] not in "{;":
+            continue
+        block = masked[at] == "{"
+        end = closing[at] + 1 if block else at + 1
+        if m["impl"]:
+            if block:
+                yield None, f"impl:{_impl_type(masked[m.end():at])}", "", m.start(), at, end
+            continue
+        name, kind = m["name"], m["kind"]
+        if kind == "mod":
+            yield None, f"mod:{name}", name, m.start(), at if block else None, end
+        elif kind == "fn" and not block:
+            continue  # a signature of a trait or of foreign code
+        elif kind == "type" and "=" not in masked[m.end() : at]:
+            continue  # an associated type without a value
+        else:
+            body = at if block else None
+            if kind == "struct" and not block and "(" in masked[m.end() : at]:
+                body = masked.index("(", m.end())
+            yield _RUST_KINDS[kind], f"trait:{name}" if kind == "trait" else None, name, m.start(), body, end
+
+
+def _sharp(masked: str, closing: dict[int, int]):
+    types: dict[int, str] = {}
+    for m in _SHARP_TYPE.finditer(masked):
+        stop = re.compile(r"[{;]").search(masked, m.end())
+        if not stop or (m["kind"] == "record" and m["name"] in _NOT_TYPES) or re.search(r"[=)]", masked[m.end() : stop.start()].replace("=>", "").replace(")", "", masked[m.end() : stop.start()].count("("))):
+            continue
+        block = stop.group() == "{"
+        if m["space"]:
+            yield None, f"namespace:{m['path']}", "", m.start(), stop.start(), closing[stop.start()] + 1 if block else len(masked)
+            continue
+        scope = None if m["kind"] == "enum" else f"{m['kind']}:{m['name']}"
+        if scope and block:
+            types[stop.start()] = m["name"]
+        yield m["kind"], scope, m["name"], m.start(), stop.start() if block else None, closing[stop.start()] + 1 if block else stop.end()
+    owner, opened = {}, []
+    for at, c in enumerate(masked):
+        if c == "{":
+            opened.append(at)
+        elif c == "}":
+            opened.pop()
+        elif c == "(":
+            owner[at] = opened[-1] if opened else None
+    for m in _SHARP_METHOD.finditer(masked):
+        home = types.get(owner.get(m.end()))
+        if home is None or m["name"] in _NOT_TYPES or (m["type"] and set(re.findall(r"\w+", m["type"])[:1]) & _NOT_TYPES):
+            continue
+        if re.search(r"(?:\bdelegate|\boperator|[=~.,(])\s*$", masked[: m.start()]) or (m["type"] is None and m["name"] != home):
+            continue
+        stop = re.compile(r"=>|[{;=]").search(masked, closing[m.end()])
+        if not stop or stop.group() == "=":
+            continue
+        start = m.start() + len(m["whole"]) - len(m["whole"].lstrip())
+        kind = "method" if m["type"] else "constructor"
+        if stop.group() == "{":
+            yield kind, None, m["name"], start, stop.start(), closing[stop.start()] + 1
+        elif stop.group() == ";":
+            yield kind, None, m["name"], start, None, stop.end()
+        else:
+            at = stop.end()
+            while masked[at] != ";":
+                at = closing[at] + 1 if masked[at] in "([{" else at + 1
+            yield kind, None, m["name"], start, stop.start(), at + 1
+
+
 def declarations(text: str, language: str) -> list[tuple] | None:
     """(kind, scope, name, signature, body, source, byte start, byte end) in
-    order of place; None if the source is not supported."""
-    if language not in _HEADS or len(text.encode()) > MOST_BYTES:
+    order of place; None if the source is not supported. A declaration without a
+    body has no signature either."""
+    if language not in LANGUAGES.values() or len(text.encode()) > MOST_BYTES:
         return None
     masked = _masked(text, language)
-    closing = _closing(masked)
+    closing = _brackets(masked)
     if closing is None:
         return None
-    found = []
-    for m in _HEADS[language].finditer(masked):
-        g = m.groupdict()
-        if language == "rust":
-            kind, name = ("impl", " ".join(g["of"].split())) if g["impl"] else (g["kind"], g["name"])
-        elif g["kind"]:
-            kind, name = g["kind"], g["name"]
-        else:
-            words = g["method"].split()
-            if _NOT_TYPES & set(words) or g["mname"] in ("if", "for", "while", "switch", "catch", "lock", "using", "foreach"):
-                continue
-            kind, name = "method", g["mname"]
-        stop = re.compile(r"[{;]").search(masked, m.end())
-        if not stop:
-            continue
-        start = masked.rfind("\n", 0, m.start()) + 1
-        if not re.fullmatch(r"[\s\w<>\[\],.?()#]*", masked[start : m.start()]):
-            start = m.start()
-        start += len(masked[start : m.start()]) - len(masked[start : m.start()].lstrip())
-        end = closing[stop.start()] + 1 if stop.group() == "{" else stop.end()
-        signature = " ".join(text[start : stop.start()].split())
-        found.append((kind, name, signature, text[stop.start() : end] if stop.group() == "{" else "", start, end))
-        if len(found) > MOST_SYMBOLS:
-            return None
-    out, open_scopes = [], []
-    at = 0
-    size = 0
-    for kind, name, signature, body, start, end in sorted(found, key=lambda x: (x[4], -x[5])):
-        while open_scopes and open_scopes[-1][1] < end:
-            open_scopes.pop()
-        size += len(text[at:start].encode())
-        at = start
-        scope = "::".join(s for s, _ in open_scopes)
-        out.append((kind, scope, name, signature, body, text[start:end], size, size + len(text[start:end].encode())))
-        if kind in ("mod", "impl", "trait", "namespace", "class", "struct", "interface", "record"):
-            open_scopes.append((name, end))
+    try:
+        found = list((_rust if language == "rust" else _sharp)(masked, closing))
+    except IndexError:  # a member that nothing ends
+        return None
+    out, scopes, at, size = [], [], 0, 0
+    for kind, scope, name, start, body, end in sorted(found, key=lambda x: (x[3], -x[5])):
+        while scopes and scopes[-1][1] <= start:
+            scopes.pop()
+        if kind:
+            size += len(text[at:start].encode())
+            at = start
+            whole = text[start:end]
+            inner = "" if body is None else text[body:end] if text[body] == "{" else text[body:end].rstrip(";").rstrip()
+            signature = "" if body is None else text[start:body].rstrip()
+            out.append((kind, "/".join(s for s, _ in scopes), name, signature, inner, whole, size, size + len(whole.encode())))
+            if len(out) > MOST_SYMBOLS:
+                return None
+        if scope:
+            scopes.append((scope, end))
     return out
 
 
@@ -140,6 +276,7 @@ def ast_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path
     left, right = saved(left), saved(right)
     body = [*k, "kind", "body"]
     moved = cols(_single(left.where(meaningful_body(F.col("body"))), body), "before").withColumn("body", F.col("before_body")).join(cols(_single(right.where(meaningful_body(F.col("body"))), body), "after").withColumn("body", F.col("after_body")), body)
+    moved = moved.where((F.col("before_scope") != F.col("after_scope")) | (F.col("before_name") != F.col("after_name")))
     moved = moved.withColumn("change", F.when(F.col("before_scope") == F.col("after_scope"), "rename").otherwise("move")).select(*k, *out)
     moved = saved(moved)
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -154,7 +291,7 @@ def symbol_moves(before: DataFrame, after: DataFrame, ledger: DataFrame) -> Data
     """(before_path, after_path, kind, before_name, after_name, how, permille) of
     functions and methods that went to another file: exact, edited with the same
     signature, or renamed with a nearly equal body."""
-    eligible = F.col("kind").isin("fn", "method") & (F.length("signature") > 0) & meaningful_body(F.col("body"))
+    eligible = F.col("kind").isin("function", "method") & (F.length("signature") > 0) & meaningful_body(F.col("body"))
     renamed = ledger.where("kind = 'renamed'")
     b = before.where(eligible).join(renamed.select(F.col("before_path").alias("path")), "path", "left_anti")
     a = after.where(eligible).join(renamed.select(F.col("after_path").alias("path")), "path", "left_anti")
