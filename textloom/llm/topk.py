@@ -6,20 +6,21 @@ their contribution to the score, from the list's top where the query's component
 is positive and from its bottom where it is negative (zero components have no
 list). The NRA algorithm (Fagin, Lotem and Naor, 2001) reads all lists in step:
 
-- only list entries that have been reached are used; a vector that no list has
-  shown yet has no state;
+- only list entries that have been reached are used, and each is added once;
 - a vector met has a lower bound (what is known of it, and the worst value of
   each list that has not shown it) and an upper bound (the same with the last
-  value read there);
-- a vector not met is an outsider, whose upper bound is the sum of the last
-  values read; outsiders are out once that lies below the k-th best lower bound;
-- from then on, those met whose upper bound lies below it are dropped as well,
-  until at most RESOLVE * k are left or the lists end; their final scores are
-  then resolved.
-
-The k-th best of the blocks that a task has read before for the same queries
-counts as a bound from the start, so later blocks are read less deep. nra()
-returns the depth it read to.
+  value read there); all vectors not met, the outsiders, share one upper bound,
+  the sum of the last values read;
+- once that lies below the k-th best lower bound, outsiders cannot qualify, and
+  those met whose upper bound lies below it are dropped as well;
+- a query stops when few are left (RESOLVE * k, or an eighth of what the lists have
+  left), and their final scores are resolved.
+
+Which entries a step adds depends on a query's signs only, so a step of STEP
+queries is a product of their components with the entries just reached; queries
+leave it one by one as they stop. The k-th best of the blocks that a task has read
+before for the same queries counts as a bound from the start, so later blocks are
+read less deep. nra() returns the depths it read to.
 
 Each block of queries meets each block of candidates (a stated query set against
 all rows); a task keeps k rows a query for all the blocks that it reads, and one
@@ -47,72 +48,80 @@ from .common import saved, trimmed
 
 #: Components of a block of candidates and of one of queries.
 BLOCK, QUERIES = 1 << 19, 1 << 18
-#: Entries of each list that a step reads at least (a quarter of the depth, later on).
+#: Entries of each list that the first step reads; every step doubles the depth.
 FIRST, RESOLVE = 64, 8
+#: Queries that are read for together.
+STEP = 256
 
 
 class Lists:
-    """A block of vectors and its sorted lists, a column a dimension."""
+    """A block of vectors and its lists: the values of each dimension in ascending
+    order, and the place of each vector there."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
         self.most = int(max(-int(vectors.min(initial=0)), int(vectors.max(initial=0))))
-
-
-def nra(query: np.ndarray, lists: Lists, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, depth): the k best vectors of a block, best first, other
-    than those with the id `own`, and how many entries of each list were read.
-
-    least: a score that k vectors of other blocks reach already."""
-    n, dims = len(lists.vectors), np.flatnonzero(query)
-    q = query[dims]
-    exact = lists.most * int(np.abs(query).sum()) < 2**53
-    q = q.astype(np.float64) if exact else q
-    up = q > 0
-    worst = np.where(up, lists.sorted[0, dims], lists.sorted[-1, dims]) * q
-    known, behind = np.zeros(n, q.dtype), np.full(n, worst.sum())
-    seen = np.zeros((n, len(dims)), bool)
-    mine = lists.ids != own
-    depth, live = 0, None
-    while depth < n and len(dims):
-        at = np.arange(depth, min(n, depth + max(FIRST, depth // 4)))
-        depth = int(at[-1]) + 1
-        # The next entries of each list, from its top or from its bottom.
-        place = np.where(up[None, :], n - 1 - at[:, None], at[:, None])
-        row, value = lists.order[place, dims], lists.sorted[place, dims] * q
-        last = value[-1]
-        seen[row, np.arange(len(dims))] = True
-        if exact:
-            known += np.bincount(row.ravel(), value.ravel(), n)
-            behind -= np.bincount(row.ravel(), np.broadcast_to(worst, row.shape).ravel(), n)
-        else:
-            np.add.at(known, row, value)
-            np.subtract.at(behind, row, np.broadcast_to(worst, row.shape))
-        if live is None:
-            met = np.flatnonzero(seen.any(axis=1) & mine)
-            bound = _kth(known[met] + behind[met], k, least)
-            if bound is None or last.sum() >= bound:
-                continue
-            live = met  # outsiders are out: nobody joins any more
-        bound = _kth(known[live] + behind[live], k, least)
-        if bound is not None:
-            upper = known[live] + np.where(seen[live], 0, last).sum(axis=1)
-            live = live[upper >= bound]
-        if len(live) <= RESOLVE * k:
-            break
-    if live is None:  # read to the end, or no component to ask for
-        live = np.flatnonzero(mine)
-    score = (lists.vectors[live].astype(np.int64) @ query.astype(np.int64)).astype(np.int64)
-    best = np.lexsort((lists.ids[live], -score))[:k]
-    return live[best], score[best], depth
-
-
-def _kth(lower: np.ndarray, k: int, least: int | None):
-    """The k-th best lower bound, or a better one known before."""
-    own = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else None
-    return least if own is None else own if least is None else max(own, least)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(vectors), dtype=np.int32)[:, None], order.shape), axis=0)
+
+
+def nra(queries: np.ndarray, lists: Lists, own: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query (rows, scores, depth): its k best vectors of a block, best
+    first, other than those with the id `own`, and how many entries of each list
+    were read.
+
+    least: for each query a score that k vectors of other blocks reach already
+    (-inf: none)."""
+    n, out = len(lists.vectors), [None] * len(queries)
+    exact = lists.most * int(np.abs(queries).sum(axis=1).max(initial=0)) < 2**53
+    kind = np.float64 if exact else np.int64
+    none = -np.inf if exact else np.iinfo(np.int64).min
+    v, values = lists.vectors.astype(kind), lists.sorted.astype(kind)
+    plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+    least = np.full(len(queries), none, kind) if least is None else np.where(np.isfinite(least), least, none).astype(kind)
+    mine = lists.ids[None, :] != np.asarray(own)[:, None]
+    active, known, depth = np.arange(len(queries)), np.zeros((len(queries), n), kind), 0
+
+    def product(top, bottom, rows=slice(None)):
+        """Sums over the lists of active queries of what the tops and bottoms hold."""
+        return plus[active] @ top[rows].T + minus[active] @ bottom[rows].T
+
+    while depth < n and len(active):
+        start, depth = depth, min(n, depth + max(FIRST, depth))
+        hidden = lists.place < n - depth, lists.place >= depth
+        new = (lists.place < n - start) & ~hidden[0], (lists.place >= start) & ~hidden[1]
+        rows = np.flatnonzero((new[0] | new[1]).any(axis=1))
+        known[:, rows] += product(v * new[0], v * new[1], rows)
+        if n > k:
+            lower = np.where(mine[active], known + product(hidden[0] * values[0], hidden[1] * values[-1]), none)
+            least[active] = np.maximum(least[active], np.partition(lower, n - k, axis=1)[:, n - k])
+        last = values[n - depth], values[depth - 1]
+        closed = np.flatnonzero(plus[active] @ last[0] + minus[active] @ last[1] < least[active])
+        done = np.zeros(len(active), bool)
+        if len(closed) and depth < n:
+            at = active[closed]
+            upper = known[closed] + plus[at] @ (hidden[0] * last[0]).T + minus[at] @ (hidden[1] * last[1]).T
+            live = (upper >= least[at, None]) & mine[at]
+            few = live.sum(axis=1) <= max(RESOLVE * k, (n - depth) // 8)
+            for i in np.flatnonzero(few):
+                out[at[i]] = (*_best(queries[at[i]], lists, np.flatnonzero(live[i]), k), depth)
+            done[closed[few]] = True
+        active, known = active[~done], known[~done]
+    for i in active:
+        out[i] = (*_best(queries[i], lists, np.flatnonzero(mine[i]), k), depth)
+    return out
+
+
+def _best(query: np.ndarray, lists: Lists, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The final scores of those left: (rows, scores) of the k best."""
+    score = (lists.vectors[rows].astype(np.int64) @ query.astype(np.int64)).astype(np.int64)
+    if len(rows) > k:
+        near = score >= np.partition(score, len(score) - k)[len(score) - k]
+        rows, score = rows[near], score[near]
+    order = np.lexsort((lists.ids[rows], -score))[:k]
+    return rows[order], score[order]
 
 
 class Best:
@@ -123,10 +132,11 @@ class Best:
         self.held: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def meet(self, lists: Lists) -> None:
-        for i, own in enumerate(self.ids.tolist()):
-            held = self.held[i]
-            rows, scores, _ = nra(self.vectors[i], lists, own, self.k, -held[-1][0] if len(held) == self.k else None)
-            self.held[i] = sorted(held + list(zip((-scores).tolist(), lists.ids[rows].tolist())))[: self.k]
+        for at in range(0, len(self.ids), STEP):
+            ids = self.ids[at : at + STEP]
+            least = np.array([-h[-1][0] if len(h) == self.k else -np.inf for h in self.held[at : at + STEP]])
+            for i, (rows, scores, _) in enumerate(nra(self.vectors[at : at + STEP], lists, ids, self.k, least), at):
+                self.held[i] = sorted(self.held[i] + list(zip((-scores).tolist(), lists.ids[rows].tolist())))[: self.k]
 
     def batch(self) -> pa.RecordBatch:
         rows = [(q, i, -s) for q, held in zip(self.ids.tolist(), self.held) for s, i in held]
