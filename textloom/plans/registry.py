@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import align, diff, ledger, review, structure
+from ..operators import align, compare, diff, ledger, mapping, review, structure, symbols
 from ..sources.decode import decode_col
 from ..sources.package import paragraph_context as context_of
 from ..storage import spread
@@ -64,7 +64,8 @@ def changes_by_kind(spark, sf_dir):
 
 
 def file_events(spark, sf_dir):
-    return review.change_events(_ledger(spark, sf_dir), ("cmp",))
+    e = review.change_events(_ledger(spark, sf_dir).withColumn("cmp", F.col("cmp").cast("long")), ("cmp",))
+    return e.select("cmp", "kind", F.col("before.path").alias("before_path"), F.col("after.path").alias("after_path"), "description", "evidence", "event_id")
 
 
 def document_copies_ledger(spark, sf_dir):
@@ -85,7 +86,17 @@ _TURNS = "WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS old, lead(text)
 
 
 def line_hunks(spark, sf_dir):
-    return diff.diff_lines(_turns(spark, sf_dir), "old", "new", ("conv_id", "turn"))
+    h = diff.diff_lines(_turns(spark, sf_dir), "old", "new", ("conv_id", "turn"))
+    return h.select("conv_id", "turn", "kind", *[F.col(c).cast("long").alias(c) for c in ("ord", "before_start", "before_end", "after_start", "after_end")], "limited")
+
+
+def document_hunks(spark, sf_dir):
+    """Every document against the one before it of its source, by lines cut to
+    three characters, so that lines repeat."""
+    cut = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^(.{0,3}).*$", "$1")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", cut.alias("new")), "source")
+    pairs = d.withColumn("old", F.lag("new").over(Window.partitionBy("source").orderBy("doc_id"))).where("old IS NOT NULL")
+    return diff.diff_lines(pairs, "old", "new", ("doc_id",)).select("doc_id", "kind", *[F.col(c).cast("long").alias(c) for c in ("ord", "before_start", "before_end", "after_start", "after_end")])
 
 
 def review_events(spark, sf_dir):
@@ -126,12 +137,12 @@ def text_keys(spark, sf_dir):
 
 
 def unicode_keys(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = _table(spark, sf_dir, "documents")
     return d.select("doc_id", text.match_key_col("text").alias("match_key"), text.visible_key_col("text").alias("visible_key"), text.lineage_key_col("text").alias("lineage_key"))
 
 
 def decoded_texts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = _table(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(decode_col(F.encode("text", "UTF-16LE")), 256).alias("utf16_id"), F.sha2(decode_col(F.encode("text", "UTF-8")), 256).alias("utf8_id"))
 
 
@@ -239,9 +250,137 @@ def unmatched_units(spark, sf_dir):
     return review.missing_units(old, met.where("old_ix IS NOT NULL AND new_ix IS NOT NULL"), side="old")
 
 
-FLAGSHIP = "file_ledger"
-QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units)}
+def document_comparison(spark, sf_dir):
+    """Each turn of a conversation with the next one, units aligned, markers numbered."""
+    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
+    return compare.compare_texts(t)[1]
+
+
+def page_rows(spark, sf_dir):
+    return mapping.page(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ("o_orderkey",), 2)
+
+
+def renumbered_lines(spark, sf_dir):
+    m = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("comparison_id"), F.col("l_orderkey").alias("row_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("num"))
+    out = mapping.renumbered(m.withColumn("line", F.col("num")))
+    return out.select("comparison_id", "row_id", "line.l_linenumber", "line.l_partkey", F.col("num").cast("long").alias("num"))
+
+
+def clipped_ranges(spark, sf_dir):
+    """A range of 100 units in the middle of each document, by line."""
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = review.line_offsets(d.select("doc_id", F.col("text").alias("content")), ("doc_id",)).select("doc_id", "line_no", F.col("utf16_start").alias("start"), F.col("utf16_end").alias("end"))
+    middle = F.floor(text.utf16_length(F.col("text")) / 2)
+    marks = d.select("doc_id", F.lit("delete").alias("kind"), (middle - 50).alias("start"), (middle + 50).alias("end"))
+    out = mapping.clipped(lines, marks, ("doc_id",))
+    return out.select("doc_id", "kind", *[F.col(c).cast("long").alias(c) for c in ("line_no", "start", "end")])
+
+
+def _table_pairs(spark, sf_dir) -> DataFrame:
+    """Lines of an order as matched units: some prose, some cells of two tables."""
+    o = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    old, new = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*cols)) for cols in (("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"), ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")))
+    m = o.withColumns({"old_ix": old.cast("long"), "new_ix": new.cast("long")})
+    cell = F.col("l_partkey") % 3 > 0
+    when = lambda c: F.when(cell, c.cast("long"))
+    return m.select("l_orderkey", "old_ix", "new_ix", when(F.col("l_partkey") % 3).alias("old_table"), when(F.col("old_ix")).alias("old_row"), when(F.lit(0)).alias("old_col"), when(F.col("l_partkey") % 3).alias("new_table"), when(F.col("new_ix")).alias("new_row"), when(F.lit(0)).alias("new_col"))
+
+
+def table_moves(spark, sf_dir):
+    return mapping.table_moves(_table_pairs(spark, sf_dir), ("l_orderkey",))
+
+
+def label_changes(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.select("conv_id", "turn", mapping.label_change(F.col("role"), F.col("next_role")).alias("c")).select("conv_id", "turn", "c.*")
 
+
+def excerpt_lines(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(mapping.excerpt_text(F.col("text"), 40), 256).alias("excerpt_id"))
+
+
+def concrete_messages(spark, sf_dir):
+    """Lines of orders as messages: returned ones as status, the others as what changed."""
+    m = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "N", "status").otherwise("retitled").alias("code"), F.when(F.col("l_returnflag") == "R", "changed").otherwise("moved").alias("old"))
+    return mapping.concrete_messages(m, ("l_orderkey",)).select("l_orderkey", "l_linenumber", "l_partkey", "code", "old")
+
+
+def byte_lines(spark, sf_dir):
+    """The line that the middle byte of each document is on."""
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    lines = review.line_offsets(d.select("doc_id", F.col("text").alias("content")), ("doc_id",))
+    points = d.select("doc_id", F.floor(F.octet_length("text") / 2).alias("byte"))
+    return mapping.lines_of(points, lines, ("doc_id",)).select("doc_id", "byte", F.col("line_no").cast("long").alias("line_no"))
+
+
+def hunk_excerpts(spark, sf_dir):
+    """Lines of documents with the made-up hunk (three lines of every ten) that they are in."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.code_lines(F.col("text"))).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    hunks = d.where("line_no % 10 = 2").select("doc_id", F.floor(F.col("line_no") / 10).alias("ord"), F.col("line_no").alias("after_start"), (F.col("line_no") + 3).alias("after_end"))
+    return mapping.excerpts(d, hunks, ("doc_id",))
+
+
+def _sources(spark, sf_dir, version: int) -> DataFrame:
+    """Two versions of a source file for each part, made from its columns."""
+    p = _table(spark, sf_dir, "part")
+    key, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 5
+    head = F.lit(chr(47) * 2 + " fn not_here() {}\nconst MARK: &str = \"struct No {}\";\n")
+    name = F.when((kind == 1) & F.lit(version == 1), F.concat(F.lit("renamed_"), key)).otherwise(F.concat(F.lit("part_"), key))
+    value = F.when((kind == 2) & F.lit(version == 1), size + 1).otherwise(size)
+    body = F.concat(F.lit("pub fn "), name, F.lit("(n: i32) -> i32 { n * "), value, F.lit(" + "), key, F.lit(" }\n"))
+    extra = F.when((kind == 3) & F.lit(version == 1), F.lit("")).otherwise(F.concat(F.lit("mod inner { pub struct Size_"), size, F.lit(" { a: i32 } }\n")))
+    return p.select(F.format_string("p%d.rs", key).alias("path"), F.concat(head, body, extra).alias("content"))
+
+
+def declared_symbols(spark, sf_dir):
+    found, _ = symbols.parse_symbols(_sources(spark, sf_dir, 0))
+    return found.select("path", "language", "kind", "scope", "name", F.col("byte_start").cast("long").alias("byte_start"))
+
+
+def symbol_changes(spark, sf_dir):
+    before, after = (symbols.parse_symbols(_sources(spark, sf_dir, v))[0] for v in (0, 1))
+    return symbols.ast_diff(before, after).select("path", "change", "kind", "before_name", "after_name")
+
+
+def near_turns(spark, sf_dir):
+    """Turns of one role, even against odd, that share half of their tokens."""
+    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("role", F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("turn") % 2, F.col("text").alias("body")).toDF("role", "id", "odd", "body")
+    return ledger.dice_pairs(t.where("odd = 0").withColumnRenamed("id", "x"), t.where("odd = 1").withColumnRenamed("id", "y"), ("role",), "x", "y", least=500).select("x", "y", F.col("permille").cast("long").alias("permille"))
+
+
+FLAGSHIP = "file_ledger"
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, symbol_changes, near_turns)}
+
+#: Hunks of pairs p(id, old, new): a table of common subsequences of suffixes, filled
+#: a cell a step from its end, then walked from its start; middles only.
+_HUNKS = r"""
+, l AS (SELECT id, regexp_extract_all(old, '[^\n]*\n|[^\n]+') AS a, regexp_extract_all(new, '[^\n]*\n|[^\n]+') AS b FROM p WHERE old <> new),
+f AS (SELECT *, coalesce(list_min(list_filter(range(least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS pre FROM l),
+g AS (SELECT *, coalesce(list_min(list_filter(range(least(len(a), len(b)) - pre), lambda i: a[len(a) - i] <> b[len(b) - i])), least(len(a), len(b)) - pre) AS suf FROM f),
+h AS (SELECT id, pre, a[pre + 1 : len(a) - suf] AS a, b[pre + 1 : len(b) - suf] AS b FROM g),
+z AS (SELECT *, len(a) AS n, len(b) AS m FROM h),
+t(id, k, c) AS (
+  SELECT id, (n + 1) * (m + 1), CAST([] AS INTEGER[]) FROM z
+  UNION ALL
+  SELECT t.id, k - 1, list_append(c, CAST(CASE WHEN (k - 1) // (m + 1) = n OR (k - 1) % (m + 1) = m THEN 0
+    WHEN a[(k - 1) // (m + 1) + 1] = b[(k - 1) % (m + 1) + 1] THEN 1 + c[(n + 1) * (m + 1) - (k - 1 + m + 2)]
+    ELSE greatest(c[(n + 1) * (m + 1) - (k - 1 + m + 1)], c[(n + 1) * (m + 1) - k]) END AS INTEGER))
+  FROM t JOIN z ON t.id = z.id WHERE k > 0
+),
+d AS (SELECT z.*, c, (n + 1) * (m + 1) AS total FROM z JOIN t ON z.id = t.id WHERE k = 0),
+s(id, i, j, step, nth) AS (
+  SELECT id, 0, 0, 'start', 0 FROM d
+  UNION ALL
+  SELECT id, i + CASE WHEN w = 'add' THEN 0 ELSE 1 END, j + CASE WHEN w = 'cut' THEN 0 ELSE 1 END, w, nth + 1 FROM (
+    SELECT s.id, i, j, nth, CASE WHEN i < n AND j < m AND a[i + 1] = b[j + 1] THEN 'keep'
+      WHEN i < n AND (j = m OR c[total - ((i + 1) * (m + 1) + j)] >= c[total - (i * (m + 1) + j + 1)]) THEN 'cut' ELSE 'add' END AS w
+    FROM s JOIN d ON s.id = d.id WHERE i < n OR j < m)
+),
+q AS (SELECT id, i, j, step, nth, sum(CASE WHEN step IN ('keep', 'start') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY nth) AS run FROM s),
+u AS (SELECT q.id, run, min(i - CASE WHEN step = 'cut' THEN 1 ELSE 0 END) AS p0, max(i) AS p1, min(j - CASE WHEN step = 'add' THEN 1 ELSE 0 END) AS r0, max(j) AS r1 FROM q WHERE step IN ('cut', 'add') GROUP BY q.id, run),
+o AS (SELECT u.id, row_number() OVER (PARTITION BY u.id ORDER BY run) AS ord, CASE WHEN p1 > p0 AND r1 > r0 THEN 'replace' WHEN p1 > p0 THEN 'delete' ELSE 'insert' END AS kind,
+  CAST(p0 + pre AS BIGINT) AS before_start, CAST(p1 + pre AS BIGINT) AS before_end, CAST(r0 + pre AS BIGINT) AS after_start, CAST(r1 + pre AS BIGINT) AS after_end FROM u JOIN z ON u.id = z.id)
+"""
 _W = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}\p{Nd}]*"
 _C = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]+"
 ORACLE_SQL = {
@@ -267,7 +406,7 @@ ORACLE_SQL = {
       sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, (NOT regexp_matches(text, '[\p{L}\p{Nd}]')) AND length(text) > 0 AS punctuation,
       CAST(len(regexp_extract_all(text, '(?m)^\s*[0-9]{1,3}[.)]\s')) AS BIGINT) AS numbers,
       len(regexp_extract_all(text, '(?im)^\s*(?:(?:article|section|clause|§)\s*(?:\d+|[IVXLC]+)\b|제\s*\d+\s*조)')) >= 2 AS legal FROM documents""",
-    "decoded_texts": "SELECT doc_id, sha256(text) AS utf16_id, sha256(text) AS utf8_id FROM documents WHERE text IS NOT NULL",
+    "decoded_texts": "SELECT doc_id, sha256(text) AS utf16_id, sha256(text) AS utf8_id FROM documents",
     "url_paths": rf"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages), e AS (SELECT *, lower(regexp_extract(p, '\.([^./\\]+)$', 1)) AS x, string_split_regex(p, '[/\\]') AS s FROM u)
       SELECT page_id, x AS extension, x IN ({', '.join(repr(x) for x in text.CODE_EXTENSIONS + ['docx', 'txt'])}) AS supported,
       length(p) > 0 AND NOT regexp_matches(p, '^([/\\]|[A-Za-z]:)') AND len(list_filter(s, lambda q: q IN ('', '.', '..') OR lower(q) IN ({', '.join(repr(x) for x in text.EXCLUDED_FOLDERS)}))) = 0 AS safe FROM e""",
@@ -294,4 +433,43 @@ ORACLE_SQL = {
     "changed_turns": _TURNS + "SELECT conv_id, turn, CASE WHEN old <> new THEN CAST(1 AS BIGINT) ELSE 0 END AS n_markers, old <> new AS changed FROM p",
     "turn_moves": """WITH t AS (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations), v AS (SELECT role, next_role, count(*) AS votes FROM t WHERE next_role IS NOT NULL GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY votes DESC, next_role) AS a, row_number() OVER (PARTITION BY next_role ORDER BY votes DESC, role) AS b FROM v) SELECT role, next_role, votes FROM r WHERE a = 1 AND b = 1""",
+    "line_hunks": _TURNS.replace("WITH t", "WITH RECURSIVE t0").replace("FROM t WHERE", "FROM t0 WHERE").replace("p AS (SELECT *", "p AS (SELECT conv_id || '/' || turn AS id, *") + _HUNKS + """SELECT CAST(split_part(id, '/', 1) AS BIGINT) AS conv_id, CAST(split_part(id, '/', 2) AS BIGINT) AS turn, kind, ord, before_start, before_end, after_start, after_end, false AS limited FROM o""",
+    "document_hunks": r"""WITH RECURSIVE x AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '(?m)^(.{0,3}).*$', '\1', 'g') AS new FROM documents),
+      p AS (SELECT * FROM (SELECT doc_id AS id, new, lag(new) OVER (PARTITION BY source ORDER BY doc_id) AS old FROM x) WHERE old IS NOT NULL)""" + _HUNKS + "SELECT id AS doc_id, kind, ord, before_start, before_end, after_start, after_end FROM o",
+    "file_events": _SNAP + """, e AS (SELECT cmp, kind, before_path, after_path, concat_ws(' -> ', before_path, CASE WHEN kind = 'renamed' THEN after_path END) AS description,
+        CASE WHEN kind = 'renamed' THEN 'equal content, unique on both sides' ELSE 'content hash' END AS evidence FROM l)
+      SELECT *, sha256('{"kind":"' || kind || '","before":{' || coalesce('"path":"' || before_path || '",', '') || '"location":"file"},"after":{' || coalesce('"path":"' || after_path || '",', '') || '"location":"file"},"description":"' || description || '","evidence":"' || evidence || '","cmp":' || cmp || '}') AS event_id FROM e""",
+    "page_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 500",
+    "renumbered_lines": "SELECT l_orderkey % 50 AS comparison_id, l_orderkey AS row_id, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS num FROM lineitem",
+    "clipped_ranges": r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS line_no FROM documents),
+      s AS (SELECT doc_id, line_no, length(line) + len(regexp_extract_all(line, '[\x{10000}-\x{10FFFF}]')) AS u FROM l),
+      r AS (SELECT doc_id, line_no, sum(u) OVER (PARTITION BY doc_id ORDER BY line_no) - u AS a, sum(u) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM s),
+      m AS (SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'))) // 2 AS c FROM documents)
+      SELECT r.doc_id, 'delete' AS kind, CAST(line_no AS BIGINT) AS line_no, CAST(greatest(a, c - 50) - a AS BIGINT) AS start, CAST(least(b, c + 50) - a AS BIGINT) AS "end" FROM r JOIN m ON r.doc_id = m.doc_id WHERE c - 50 < b AND c + 50 > a""",
+    "table_moves": """WITH u AS (SELECT l_orderkey, l_partkey % 3 AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+      f AS (SELECT l_orderkey, t, min(o) AS o, arg_min(n, o) AS n FROM u WHERE t > 0 GROUP BY ALL),
+      m AS (SELECT DISTINCT f.l_orderkey, f.t FROM f JOIN u ON f.l_orderkey = u.l_orderkey AND u.t <> f.t AND (f.o < u.o) <> (f.n < u.n)),
+      r AS (SELECT DISTINCT a.l_orderkey, a.o FROM u a JOIN u b ON a.l_orderkey = b.l_orderkey AND a.t = b.t AND a.t > 0 AND a.o <> b.o AND (a.o < b.o) <> (a.n < b.n))
+      SELECT u.l_orderkey, u.o AS old_ix, u.n AS new_ix, CASE WHEN m.t IS NOT NULL THEN 'table moved' ELSE 'row moved' END AS reason
+      FROM u LEFT JOIN m ON u.l_orderkey = m.l_orderkey AND u.t = m.t LEFT JOIN r ON u.l_orderkey = r.l_orderkey AND u.o = r.o WHERE u.t > 0 AND (m.t IS NOT NULL OR r.o IS NOT NULL)""",
+    "label_changes": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS old, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS new FROM conversations)
+      SELECT conv_id, turn, CASE WHEN old = new THEN NULL WHEN old = '' THEN 'insert' ELSE 'original' END AS kind, CASE WHEN old <> new THEN old END AS old, CASE WHEN old <> new THEN new END AS new FROM t""",
+    "excerpt_lines": r"""WITH l AS (SELECT doc_id, regexp_extract(text, '^([^\r\n]*)', 1) AS x FROM documents) SELECT doc_id, sha256(CASE WHEN length(x) > 40 THEN substring(x, 1, 39) || '…' ELSE x END) AS excerpt_id FROM l""",
+    "concrete_messages": """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'N' THEN 'status' ELSE 'retitled' END AS code, CASE WHEN l_returnflag = 'R' THEN 'changed' ELSE 'moved' END AS old FROM lineitem)
+      SELECT * FROM m WHERE code <> 'status' OR (old <> 'changed' AND l_orderkey NOT IN (SELECT l_orderkey FROM m WHERE code <> 'status'))""",
+    "byte_lines": r"""WITH l AS (SELECT doc_id, strlen(text) // 2 AS byte, strlen(text) AS size, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS line_no FROM documents),
+      r AS (SELECT doc_id, line_no, byte, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM l)
+      SELECT d.doc_id, CAST(strlen(d.text) // 2 AS BIGINT) AS byte, CAST((SELECT min(line_no) FROM r WHERE r.doc_id = d.doc_id AND b > strlen(d.text) // 2) AS BIGINT) AS line_no FROM documents d WHERE text IS NOT NULL""",
+    "hunk_excerpts": r"""WITH l AS (SELECT doc_id, unnest(range(len(regexp_extract_all(text, '[^\n]*\n|[^\n]+')))) AS line_no FROM documents)
+      SELECT doc_id, line_no, CASE WHEN line_no % 10 BETWEEN 2 AND 4 THEN line_no // 10 END AS hunk_ord FROM l""",
+    "declared_symbols": """WITH p AS (SELECT p_partkey, p_size, 'p' || p_partkey || '.rs' AS path, 'part_' || p_partkey AS fn, '// fn not_here() {}' || chr(10) || 'const MARK: &str = "struct No {}";' || chr(10) AS head FROM part),
+      q AS (SELECT *, head || 'pub fn ' || fn || '(n: i32) -> i32 { n * ' || p_size || ' + ' || p_partkey || ' }' || chr(10) || 'mod inner { ' AS before_struct FROM p)
+      SELECT path, 'rust' AS language, 'const' AS kind, '' AS scope, 'MARK' AS name, CAST(strpos(head, 'const') - 1 AS BIGINT) AS byte_start FROM q
+      UNION ALL SELECT path, 'rust', 'function', '', fn, strlen(head) FROM q UNION ALL SELECT path, 'rust', 'struct', 'mod:inner', 'Size_' || p_size, strlen(before_struct) FROM q""",
+    "symbol_changes": """SELECT 'p' || p_partkey || '.rs' AS path, CASE p_partkey % 5 WHEN 1 THEN 'rename' WHEN 2 THEN 'modify' ELSE 'delete' END AS change, CASE p_partkey % 5 WHEN 3 THEN 'struct' ELSE 'function' END AS kind,
+      CASE p_partkey % 5 WHEN 3 THEN 'Size_' || p_size ELSE 'part_' || p_partkey END AS before_name, CASE p_partkey % 5 WHEN 1 THEN 'renamed_' || p_partkey WHEN 2 THEN 'part_' || p_partkey END AS after_name FROM part WHERE p_partkey % 5 IN (1, 2, 3)""",
+    "near_turns": f"""WITH t AS (SELECT role, conv_id || '/' || turn AS id, turn % 2 AS odd, w, count(*) AS n FROM (SELECT role, conv_id, turn, unnest(regexp_extract_all(text, '{_C}')) AS w FROM conversations) GROUP BY ALL),
+      s AS (SELECT id, sum(n) AS n, count(*) AS k FROM t GROUP BY id),
+      c AS (SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS c FROM t a JOIN t b ON a.role = b.role AND a.odd = 0 AND b.odd = 1 AND a.w = b.w GROUP BY ALL)
+      SELECT x, y, CAST(floor(2000 * c / (sx.n + sy.n)) AS BIGINT) AS permille FROM c JOIN s sx ON sx.id = x JOIN s sy ON sy.id = y WHERE sx.n >= 12 AND sy.n >= 12 AND sx.k >= 8 AND floor(2000 * c / (sx.n + sy.n)) >= 500""",
 }
