@@ -110,6 +110,94 @@ def test_write_and_read_files(spark, tmp_path):
     assert {r.text for r in decode.read_texts(spark, str(tmp_path / "t")).collect()} == {"한글", "no"}
 
 
+def test_files_are_never_lost(spark, tmp_path, monkeypatch):
+    """Names differ where keys do, files that exist stay, files that are too large are told."""
+    pairs = spark.createDataFrame([("a b", "x", "y"), ("a/b", "x", "z"), ("ä", "x", "y")], "pair_id string, old string, new string")
+    out = [office.write_files(pairs, str(tmp_path), key="pair_id").collect() for _ in range(2)]
+    assert len({r.path for r in out[0]}) == 3 and sorted(out[0]) == sorted(out[1])
+    with pytest.raises(Exception, match="exists already"):
+        office.write_files(pairs.replace("y", "other"), str(tmp_path), key="pair_id").collect()
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("text")
+    (tmp_path / "in" / "b.md").write_text("other")
+    (tmp_path / "in" / "c.docx").write_bytes(package(p("para")))
+    (tmp_path / "in" / "d.rs").write_bytes(b"fn a() {}")
+    (tmp_path / "in" / "e.rs").write_bytes(b"\xff")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.state) for r in decode.read_documents(spark, str(tmp_path / "in")).collect()}
+    assert got["a.txt"] == ("text", "ok") and got["c.docx"] == ("para", "ok") and got["b.md"] == (None, "unsupported")
+    assert {r.path.rsplit("/", 1)[1]: (r.content, r.state) for r in decode.read_code(spark, str(tmp_path / "in")).collect()} == {"d.rs": ("fn a() {}", "ok"), "e.rs": (None, "invalid")}
+    files = decode._files(spark, str(tmp_path / "in")).where("path LIKE '%.txt'")
+    assert [(r.text, r.state) for r in decode._told(files, decode.decode_col, most=3).collect()] == [(None, "too large")]
+    root = str(tmp_path / "in")
+    (tmp_path / "in" / "link").symlink_to(tmp_path)
+    (tmp_path / "in" / "link.txt").symlink_to(tmp_path / "in" / "a.txt")
+    assert sorted(r.path for r in decode.read_snapshot(spark, root).collect()) == ["a.txt", "b.md", "c.docx", "d.rs", "e.rs"]
+    for limits in ({"most_files": 2}, {"most_bytes": 3}):
+        with pytest.raises(ValueError):
+            decode.read_snapshot(spark, root, **limits)
+
+
+def test_plausible_byte_orders():
+    text = "계약서 본문 日本語の文章"
+    assert decode.utf16_by_plausibility(text.encode("utf-16-le")) == text == decode.utf16_by_plausibility(text.encode("utf-16-be"))
+    assert decode.utf16_by_plausibility(b"abc") is None and decode.plausibility("") == float("-inf")
+    assert decode.plausibility("a") == 3.5 and decode.plausibility("가") == 6.0 and decode.plausibility("a\x00") == (3.5 - 12) / 2 and decode.plausibility("a" * 9000 + "\x00" * 9000) < 0
+
+
+def test_git_output_is_bounded(tmp_path):
+    subprocess.run(["git", "-C", str(tmp_path), "init", "-q"], check=True)
+    with pytest.raises(ValueError, match="more than 3 bytes"):
+        git.git(str(tmp_path), "rev-parse", "--git-dir", most=3)
+    with pytest.raises(ValueError, match="failed|fatal|ambiguous|unknown"):
+        git.git(str(tmp_path), "rev-parse", "--verify", "HEAD")
+    with pytest.raises(ValueError):
+        git.fields(b"open")
+
+
+def test_spreadsheet_formats():
+    raw = office.spreadsheet(["A", "B"], [[[("insert", "x")], [("normal", "m")]], [[("both", "Part")], []]], [10, 10], kinds=["text", "section"])
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        sheet, styles = (z.read(f"xl/{n}.xml").decode() for n in ("worksheets/sheet1", "styles"))
+    assert '<color rgb="FF14746F"/><u/>' in sheet and '<strike/><color rgb="FF6A4C93"/><u/>' in sheet
+    assert 'r="A1" t="inlineStr" s="2"' in sheet and 'r="A2" t="inlineStr" s="1"' in sheet and 'r="B2" t="inlineStr" s="5"' in sheet and 'r="A3" t="inlineStr" s="3"' in sheet
+    assert styles.count("<xf ") == 5 and 'ht="24"' in sheet and 'ht="21"' in sheet
+    assert office.row_height(["a" * 25, ""], [10, 10]) == 51 and office.row_height(["é" * 10], [10]) == 36
+    assert office.positional_lines("a\nb\nc", "a\nx\ny\nc") == [("a", "a"), ("b", "x"), (None, "y"), ("c", "c")]
+
+
+def test_number_levels_of_an_instance():
+    level = lambda fmt, text: f'<w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text}"/></w:lvl>'
+    num = f'<w:abstractNum w:abstractNumId="0">{level("decimal", "%1.")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0">{level("upperRoman", "(%1)")}</w:lvlOverride></w:num>'
+    ref = '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>'
+    assert [b[0] for b in docx.blocks(package(p("a", ref) + p("b", ref), num))] == ["(I) a", "(II) b"]
+
+
+def test_registered_functions(spark, tmp_path):
+    from textloom.functions.register import FUNCTIONS, register
+
+    names = register(spark)
+    assert set(FUNCTIONS) < set(names)
+    r = spark.sql("SELECT match_key('Ａ b') AS k, indel_ratio('ab', 'ac') AS r, line_hunks('a\nb', 'a\nc')[0].kind AS h, size(declarations('fn a() {}', 'rust')) AS d").first()
+    assert (r.k, r.r, r.h, r.d) == ("a b", 0.5, "replace", 1)
+    assert [tuple(r) for r in spark.sql("SELECT ord, kind FROM line_hunk_rows('a\nb', 'b\nc')").collect()] == [(1, "delete"), (2, "insert")] or spark.sql("SELECT * FROM line_hunk_rows('a', 'b')").count() == 1
+    assert spark.sql("SELECT kind FROM document_unit_rows('Article 1 (A)\nx\nArticle 2 (B)\ny')").count() == 2
+    (tmp_path / "a.docx").write_bytes(package(p("one") + p("two")))
+    assert [(r.block_ix, r.text) for r in spark.read.format("docx").load(str(tmp_path)).orderBy("block_ix").collect()] == [(0, "one"), (1, "two")]
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    from textloom.streaming.versions import distinct_versions
+
+    rows = [("f", "1", "2024-01-01 00:00:00"), ("f", "1", "2024-01-01 00:01:00"), ("f", "2", "2024-01-01 00:02:00")]
+    spark.createDataFrame(rows, "path string, sha string, t string").selectExpr("path", "sha", "CAST(t AS timestamp) AS added_at").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("path string, sha string, added_at timestamp").parquet(str(tmp_path / "in"))
+    q = distinct_versions(s).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.sha for r in spark.table("once").collect()) == ["1", "2"]
+
+
 def test_project_round_trip(spark, tmp_path):
     decode.write_project("p", [{"label": "v1", "path": "a.txt", "sha256": "x", "addedAt": "2024-01-01T00:00:00Z"}], str(tmp_path / "p.json"))
     assert decode.read_project(spark, str(tmp_path / "p.json")).first().label == "v1"
@@ -163,7 +251,7 @@ def test_queries_against_sql(spark):
     from textloom.plans import registry
 
     cx = duckdb.connect()
-    for t in "documents pages benchmark conversations lineitem".split():
+    for t in "documents pages benchmark conversations lineitem orders part".split():
         cx.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     tidy = lambda rs: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rs), key=str)
     for name, query in registry.QUERIES.items():

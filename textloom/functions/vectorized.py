@@ -42,4 +42,5 @@ def vectorized(kernel: Callable, kind: str, nulls: bool = False) -> Callable:
         # Made when it is used: a UDF needs a session, and executors import this module without one.
         return F.pandas_udf(fixed, kind)(*cols)
 
+    column.udf = lambda: F.pandas_udf(fixed, kind)
     return column

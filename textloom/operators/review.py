@@ -177,8 +177,10 @@ def messages_on_lines(lines: DataFrame, markers: DataFrame, keys: tuple[str, ...
     return met.groupBy(*keys, "line_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("num", "message"))), lambda m: m["message"]).alias("messages"))
 
 
-def row_height(text: Column, width: int) -> Column:
-    """Estimated height in points of a cell; wide characters count double."""
+def row_height(text: Column, width: int, heading: Column | None = None) -> Column:
+    """Estimated height in points of a cell: 15 a line and 6, at most 409, at least 24
+    where heading is true; wide characters count double."""
     units = lambda line: F.length(line) + F.length(F.regexp_replace(line, r"[\x00-\x7F]", ""))
     lines = F.aggregate(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.greatest(F.lit(1), F.ceil(units(x) / width).cast("int"))), F.lit(0), lambda a, b: a + b)
-    return F.least(F.lit(409), lines * 15)
+    high = F.least(F.lit(409), lines * 15 + 6)
+    return high if heading is None else F.when(heading, F.greatest(high, F.lit(24))).otherwise(high)

@@ -157,7 +157,7 @@ def xml_escaped(spark, sf_dir):
 
 
 def row_heights(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", review.row_height(F.col("text"), 40).cast("long").alias("height"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", review.row_height(F.col("text"), 40, F.col("role") == "system").cast("long").alias("height"))
 
 
 def search_rows(spark, sf_dir):
@@ -411,7 +411,7 @@ ORACLE_SQL = {
       SELECT page_id, x AS extension, x IN ({', '.join(repr(x) for x in text.CODE_EXTENSIONS + ['docx', 'txt'])}) AS supported,
       length(p) > 0 AND NOT regexp_matches(p, '^([/\\]|[A-Za-z]:)') AND len(list_filter(s, lambda q: q IN ('', '.', '..') OR lower(q) IN ({', '.join(repr(x) for x in text.EXCLUDED_FOLDERS)}))) = 0 AS safe FROM e""",
     "xml_escaped": r"SELECT page_id, sha256(replace(replace(replace(replace(regexp_replace(html, '[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS xml_id FROM pages".replace('\\"', '"'),
-    "row_heights": r"SELECT conv_id, turn, CAST(least(409, 15 * list_sum(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: greatest(1, CAST(ceil((length(x) + length(regexp_replace(x, '[\x00-\x7F]', '', 'g'))) / 40.0) AS BIGINT))))) AS BIGINT) AS height FROM conversations",
+    "row_heights": r"SELECT conv_id, turn, CAST(greatest(CASE WHEN role = 'system' THEN 24 ELSE 0 END, least(409, 6 + 15 * list_sum(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: greatest(1, CAST(ceil((length(x) + length(regexp_replace(x, '[\x00-\x7F]', '', 'g'))) / 40.0) AS BIGINT)))))) AS BIGINT) AS height FROM conversations",
     "search_rows": r"SELECT doc_id FROM documents WHERE contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the of') OR contains(lower(regexp_replace(text, '\s+', '', 'g')), 'theof')",
     "section_labels": "WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, CASE WHEN coalesce(b, '') <> coalesce(role, '') THEN role END AS section_label FROM t",
     "moved_rows": """WITH o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey) AS old_ix, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS new_ix FROM lineitem)

@@ -11,6 +11,7 @@ import os
 import re
 import uuid
 import zipfile
+from urllib.parse import quote
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -49,22 +50,42 @@ def column_name(n: int) -> str:
     return s
 
 
-_FONT = {"normal": "", "delete": "<strike/><color rgb=\"FFC00000\"/>", "insert": "<u/><color rgb=\"FF0050C0\"/>", "both": "<strike/><u/><color rgb=\"FF7030A0\"/>"}
+#: Run properties in the order of the schema; the colours are our own.
+_FONT = {"normal": "", "delete": "<strike/><color rgb=\"FFA8201A\"/>", "insert": "<color rgb=\"FF14746F\"/><u/>", "both": "<strike/><color rgb=\"FF6A4C93\"/><u/>"}
+#: Cell formats by what a row is: number of the format in styles.xml.
+FORMATS = {"text": 1, "header": 2, "section": 3, "changed": 4, "message": 5}
 
 
-def spreadsheet(header: list[str], rows: list[list[list[tuple[str, str]]]], widths: list[int], name: str = "Review") -> bytes:
-    """A one-sheet workbook; a cell is a list of (style, text) runs."""
+#: Column widths of texts and of messages, in characters.
+WIDTHS = [46, 46, 46, 24]
 
-    def cell(r, c, runs):
+
+def _xf(font: int, fill: int) -> str:
+    return f'<xf fontId="{font}" fillId="{fill}" applyFont="1" applyFill="1" applyAlignment="1"><alignment wrapText="1" vertical="top"/></xf>'
+
+
+def row_height(cells: list[str], widths: list[int], heading: bool = False) -> int:
+    """Points of a row: 15 a line and 6, at most 409, at least 24 for headings;
+    characters beyond ASCII count double."""
+    lines = [sum(max(1, -(-sum(1 + (ord(x) > 127) for x in line) // w)) for line in text.split("\n")) for text, w in zip(cells, widths)]
+    high = min(409, 6 + 15 * max(lines, default=1))
+    return max(24, high) if heading else high
+
+
+def spreadsheet(header: list[str], rows: list[list[list[tuple[str, str]]]], widths: list[int], name: str = "Review", kinds: list[str] | None = None) -> bytes:
+    """A one-sheet workbook; a cell is a list of (style, text) runs, and kinds are the
+    FORMATS of rows (the last column of text rows holds messages)."""
+    kinds = kinds or ["text"] * len(rows)
+
+    def cell(r, c, runs, kind):
         at = f"{column_name(c)}{r}"
+        form = FORMATS["message" if kind == "text" and c == len(widths) - 1 else kind]
         body = "".join(f'<r><rPr>{_FONT[s]}</rPr><t xml:space="preserve">{xml(t)}</t></r>' if _FONT[s] else f'<r><t xml:space="preserve">{xml(t)}</t></r>' for s, t in runs if t)
-        return f'<c r="{at}" t="inlineStr" s="1"><is>{body or "<t/>"}</is></c>'
-
-    def height(cells):
-        lines = [sum(max(1, -(-sum(1 + (ord(x) > 127) for x in line) // w)) for line in "".join(t for _, t in runs).split("\n")) for runs, w in zip(cells, widths)]
-        return min(409, 15 * max(lines, default=1))
+        return f'<c r="{at}" t="inlineStr" s="{form}"><is>{body or "<t/>"}</is></c>'
 
-    body = "".join(f'<row r="{i}" ht="{height(cells)}" customHeight="1">{"".join(cell(i, c, runs) for c, runs in enumerate(cells))}</row>' for i, cells in enumerate([[[("normal", h)] for h in header], *rows], 1))
+    every = [([[("normal", h)] for h in header], "header"), *zip(rows, kinds)]
+    high = lambda cells, kind: row_height(["".join(t for _, t in runs) for runs in cells], widths, kind in ("header", "section"))
+    body = "".join(f'<row r="{i}" ht="{high(cells, kind)}" customHeight="1">{"".join(cell(i, c, runs, kind) for c, runs in enumerate(cells))}</row>' for i, (cells, kind) in enumerate(every, 1))
     cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -74,7 +95,7 @@ def spreadsheet(header: list[str], rows: list[list[list[tuple[str, str]]]], widt
             "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
             "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{xml(name[:31])}" sheetId="1" r:id="rId1"/></sheets></workbook>',
             "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-            "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf applyAlignment="1"><alignment wrapText="1" vertical="top"/></xf></cellXfs></styleSheet>',
+            "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="3"><font/><font><b/></font><font><color rgb="FF555555"/></font></fonts><fills count="5"><fill/><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFD9E2E1"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFEFEFEF"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFF8E6"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="6"><xf/>{_xf(0, 0)}{_xf(1, 2)}{_xf(1, 3)}{_xf(0, 4)}{_xf(2, 0)}</cellXfs></styleSheet>',
             "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><cols>{cols}</cols><sheetData>{body}</sheetData></worksheet>',
         }
     )
@@ -102,13 +123,26 @@ def aligned_lines(old: str, new: str) -> list[tuple[str | None, str | None]]:
     return out
 
 
+def positional_lines(old: str, new: str) -> list[tuple[str | None, str | None]]:
+    """Lines of two texts side by side: equal lines in order, and between them the
+    first with the first."""
+    a, b = old.split("\n"), new.split("\n")
+    out, i, j = [], 0, 0
+    for p, q in [*lcs_pairs(a, b), (len(a), len(b))]:
+        out += [(a[i + k] if i + k < p else None, b[j + k] if j + k < q else None) for k in range(max(p - i, q - j))]
+        if p < len(a) and q < len(b):
+            out.append((a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
 def pair_sheet(old: str, new: str) -> bytes:
     """Before, after and what changed, a line a row."""
     rows = []
     for x, y in aligned_lines(old, new):
         runs = _runs(x, y) if x is not None and y is not None else [("delete", x)] if y is None else [("insert", y)]
         rows.append([[(s, t) for s, t in runs if s != "insert"], [(s, t) for s, t in runs if s != "delete"], [("normal", "" if x == y else "added" if x is None else "deleted" if y is None else "changed")]])
-    return spreadsheet(["Before", "After", "Change"], rows, [40, 40, 20])
+    return spreadsheet(["Before", "After", "Change"], rows, WIDTHS[:2] + WIDTHS[-1:], kinds=["changed" if r[-1][0][1] else "text" for r in rows])
 
 
 def three_way_lines(a: str, b: str, c: str) -> list[tuple[str | None, str | None, str | None]]:
@@ -130,16 +164,17 @@ def three_way_lines(a: str, b: str, c: str) -> list[tuple[str | None, str | None
 
 def three_way_sheet(a: str, b: str, c: str) -> bytes:
     rows = [[*[[("normal", t or "")] for t in row], [("normal", "" if len(set(row)) == 1 else "changed")]] for row in three_way_lines(a, b, c)]
-    return spreadsheet(["A", "B", "C", "Changes"], rows, [40, 40, 40, 20])
+    return spreadsheet(["A", "B", "C", "Changes"], rows, WIDTHS, kinds=["changed" if r[-1][0][1] else "text" for r in rows])
 
 
 def tracked_document(old: str, new: str, author: str = "textloom", date: str = "2000-01-01T00:00:00Z") -> bytes:
     """The new text as a document with tracked changes from the old one: accepting
     all gives the new text, rejecting all the old one."""
     ident = iter(range(1, 1 << 30))
+    lines = positional_lines(old, new)
     mark = lambda tag: f'<w:{tag} w:id="{next(ident)}" w:author="{xml(author)}" w:date="{date}"'
     body = []
-    for x, y in aligned_lines(old, new):
+    for x, y in lines:
         whole = "ins" if x is None else "del" if y is None else ""
         runs = [("insert", y)] if x is None else [("delete", x)] if y is None else _runs(x, y)
         props = f"<w:pPr><w:rPr>{mark(whole)}/></w:rPr></w:pPr>" if whole else ""
@@ -167,21 +202,38 @@ def has_revisions(raw: bytes) -> bool:
         return bool(re.search(rb"<w:(?:ins|del|moveFrom|moveTo|rPrChange|pPrChange)\b", z.read("word/document.xml")))
 
 
+def placed(raw: bytes, path: str) -> None:
+    """Write a new file whole. One that is there is never replaced: it is left if it
+    holds the same bytes (a repeated task), else it is an error."""
+    part = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(raw)
+    try:
+        os.link(part, path)
+    except FileExistsError:
+        with open(path, "rb") as f:
+            if f.read() != raw:
+                raise FileExistsError(f"{path} exists already") from None
+    finally:
+        os.remove(part)
+
+
 def write_files(pairs: DataFrame, folder: str, make=pair_sheet, suffix: str = ".xlsx", key: str = "pair_id", old: str = "old", new: str = "new") -> DataFrame:
-    """(key, path, bytes) of one file for each pair in a shared folder; an input
-    file is never overwritten since names are new ones by key."""
+    """(key, path, bytes) of one file for each pair, in a folder that executors share.
+    Names are the keys, other characters than letters, digits, _ . - as %xx, so two
+    keys never share a file; a file that exists with other bytes is an error. old and
+    new are texts, or packages where make takes them."""
+    kinds = dict(pairs.dtypes)
+    empty = b"" if kinds[old] == "binary" else ""
 
     def run(batches):
         for g in batches:
             rows = []
             for k, a, b in zip(g[key], g[old], g[new]):
-                raw = make(a or "", b or "")
-                path = f"{folder}/{re.sub(r'[^0-9A-Za-z._-]', '_', str(k))}{suffix}"
-                part = f"{folder}/.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(raw)
-                os.replace(part, path)
+                raw = make(empty if a is None else a, empty if b is None else b)
+                path = f"{folder}/{quote(str(k), safe='')}{suffix}"
+                placed(raw, path)
                 rows.append((k, path, len(raw)))
             yield pd.DataFrame(rows, columns=[key, "path", "bytes"])
 
-    return pairs.select(key, old, new).mapInPandas(run, f"`{key}` {dict(pairs.dtypes)[key]}, path string, bytes long")
+    return pairs.select(key, old, new).mapInPandas(run, f"`{key}` {kinds[key]}, path string, bytes long")

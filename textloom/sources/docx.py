@@ -46,16 +46,21 @@ def _val(e: ET.Element | None, name: str = "val") -> str | None:
     return None if e is None else e.get(f"{_W}{name}")
 
 
+def _level(v: ET.Element) -> dict:
+    return {"start": int(_val(v.find(f"{_W}start")) or 1), "format": _val(v.find(f"{_W}numFmt")) or "decimal", "text": _val(v.find(f"{_W}lvlText")) or "", "restart": _val(v.find(f"{_W}lvlRestart"))}
+
+
 class Numbering:
     """List levels, their instances and running counters."""
 
     def __init__(self, numbering: ET.Element | None, styles: ET.Element | None):
         self.abstract, self.instance, self.style, self.count = {}, {}, {}, {}
         for a in numbering.iter(f"{_W}abstractNum") if numbering is not None else ():
-            self.abstract[_val(a, "abstractNumId")] = {int(_val(v, "ilvl") or 0): {"start": int(_val(v.find(f"{_W}start")) or 1), "format": _val(v.find(f"{_W}numFmt")) or "decimal", "text": _val(v.find(f"{_W}lvlText")) or "", "restart": _val(v.find(f"{_W}lvlRestart"))} for v in a.iter(f"{_W}lvl")}
+            self.abstract[_val(a, "abstractNumId")] = {int(_val(v, "ilvl") or 0): _level(v) for v in a.iter(f"{_W}lvl")}
         for n in numbering.iter(f"{_W}num") if numbering is not None else ():
             starts = {int(_val(o, "ilvl") or 0): int(s) for o in n.iter(f"{_W}lvlOverride") if (s := _val(o.find(f"{_W}startOverride")))}
-            self.instance[_val(n, "numId")] = (_val(n.find(f"{_W}abstractNumId")), starts)
+            levels = {int(_val(o, "ilvl") or 0): _level(v) for o in n.iter(f"{_W}lvlOverride") if (v := o.find(f"{_W}lvl")) is not None}
+            self.instance[_val(n, "numId")] = (_val(n.find(f"{_W}abstractNumId")), starts, levels)
         for s in styles.iter(f"{_W}style") if styles is not None else ():
             self.style[_val(s, "styleId")] = (s.find(f"{_W}pPr"), _val(s.find(f"{_W}basedOn")))
 
@@ -78,8 +83,8 @@ class Numbering:
         if not ref or ref[0] not in self.instance:
             return ""
         ident, level = ref
-        abstract, starts = self.instance[ident]
-        levels = self.abstract.get(abstract, {})
+        abstract, starts, own = self.instance[ident]
+        levels = self.abstract.get(abstract, {}) | own
         if level not in levels:
             return ""
         count = self.count.setdefault(ident, {})
@@ -248,9 +253,11 @@ styles_col = vectorized(_styles, STYLE)
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block_ix, text, table, row, col, …) of the .docx files under a path."""
+    """(path, block_ix, text, table, row, col, …) of the .docx files under a path; a
+    file over 40 MiB is an error, as is one that is no package."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
-    return files.where(F.col("length") <= 40 << 20).select("path", F.posexplode(blocks_col("content")).alias("block_ix", "b")).select("path", "block_ix", "b.*")
+    fit = F.when(F.col("length") > 40 << 20, F.raise_error(F.concat(F.col("path"), F.lit(" is larger than 40 MiB")))).otherwise(F.col("length"))
+    return files.where(fit >= 0).select("path", F.posexplode(blocks_col("content")).alias("block_ix", "b")).select("path", "block_ix", "b.*")
 
 
 def formatting_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

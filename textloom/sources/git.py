@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import subprocess
+import threading
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,29 @@ MOST_FILES, MOST_OUT, MOST_BLOB, SECONDS, MOST_STEPS = 20_000, 16 << 20, 2 << 20
 
 
 def git(repo: str, *args: str, most: int = MOST_OUT) -> bytes:
-    done = subprocess.run(["git", "-c", "core.quotepath=off", "--no-optional-locks", "-C", repo, *args], capture_output=True, timeout=SECONDS, check=False, stdin=subprocess.DEVNULL)
-    if done.returncode:
-        raise ValueError(done.stderr.decode("utf-8", "replace").strip() or f"git {args[0]} failed")
-    if len(done.stdout) > most:
-        raise ValueError(f"git {args[0]} gave more than {most} bytes")
-    return done.stdout
+    """Output of a git command, of `most` bytes at most: it is read as it comes, and
+    the command is ended where it gives more or takes longer than SECONDS."""
+    done = subprocess.Popen(["git", "-c", "core.quotepath=off", "--no-optional-locks", "-C", repo, *args], stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    late = threading.Timer(SECONDS, done.kill)
+    late.start()
+    said: list[bytes] = []
+    errors = threading.Thread(target=lambda: said.append(done.stderr.read()))
+    errors.start()
+    try:
+        out = done.stdout.read(most + 1)
+        if len(out) > most:
+            raise ValueError(f"git {args[0]} gave more than {most} bytes")
+        if done.wait():
+            errors.join()
+            raise ValueError(b"".join(said).decode("utf-8", "replace").strip() or f"git {args[0]} failed or took too long")
+        return out
+    finally:
+        late.cancel()
+        done.kill()
+        errors.join()
+        done.stdout.close()
+        done.stderr.close()
+        done.wait()
 
 
 def fields(raw: bytes) -> list[str]:
@@ -58,7 +77,15 @@ def read_tree(spark: SparkSession, repo: str, ref: str) -> DataFrame:
 
 
 def read_blobs(spark: SparkSession, repo: str, blobs: list[str]) -> DataFrame:
-    return spark.createDataFrame([(b, bytearray(git(repo, "cat-file", "blob", b, most=MOST_BLOB))) for b in blobs], "sha string, content binary")
+    """(sha, content) of blobs, read by the tasks: the repository must be a folder that
+    executors see alike. A blob that is missing or larger than MOST_BLOB is an error."""
+
+    def run(batches):
+        for g in batches:
+            yield pd.DataFrame({"sha": g["sha"], "content": [git(repo, "cat-file", "blob", b, most=MOST_BLOB) for b in g["sha"]]})
+
+    names = spark.createDataFrame([(b,) for b in blobs], "sha string")
+    return names.repartition(max(1, min(64, len(blobs)))).mapInPandas(run, "sha string, content binary")
 
 
 def first_parents(repo: str, before: str, after: str, most: int = 16) -> list[str]:
