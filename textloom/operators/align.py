@@ -277,16 +277,16 @@ def generic_pairs(old: list[str], new: list[str], pairs: int = 1_000_000) -> lis
     order only, so one whose best is taken stays alone; beyond `pairs` candidate
     pairs it tries its best free one instead, from a queue of one pair a text."""
     n, m = len(old), len(new)
-    tokens = lambda x: len(LEXERS["similarity"].findall(x))
-    sizes = [tokens(x) for x in old], [tokens(x) for x in new]
+    bags = [[Counter(LEXERS["similarity"].findall(x.lower())) for x in side] for side in (old, new)]
+    sizes = [[b.total() for b in side] for side in bags]
 
     def candidate(i, j):
         if old[i] == new[j]:
             s = 1.0
         else:
-            x, y = sizes[0][i], sizes[1][j]
-            if 2 * min(x, y) < 0.48 * (x + y):  # no order of the words could reach the floor
-                return None
+            least = 0.24 * (sizes[0][i] + sizes[1][j])
+            if min(sizes[0][i], sizes[1][j]) < least or (bags[0][i] & bags[1][j]).total() < least:
+                return None  # no order of the words could reach the floor
             s = token_similarity(old[i], new[j])
         return (s + (1 - min(abs(i - j) / max(n, m, 1), 1.0)) * 0.015, i, j, s) if s >= 0.48 else None
 

@@ -15,7 +15,7 @@ from ..functions import similarity, text
 from ..operators import align, compare, diff, ledger, mapping, review, structure, symbols
 from ..sources.decode import decode_col
 from ..sources.package import paragraph_context as context_of
-from ..storage import spread
+from ..storage import saved, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -209,10 +209,22 @@ def list_parts(spark, sf_dir):
     return structure.part_levels(structure.parse_parts(units)).drop("core")
 
 
+def _versions(spark, sf_dir) -> DataFrame:
+    """(doc_id, old, new): each document and a version of it whose every fifth line
+    is gone, whose every seventh begins anew, and whose first line is last."""
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("old")), "doc_id")
+    lines = F.filter(F.transform(F.split("old", "\n"), lambda x, i: F.when(i % 5 == 4, F.lit(None).cast("string")).when(i % 7 == 3, F.concat(F.lit("Anew "), x)).otherwise(x)), lambda x: x.isNotNull())
+    turned = F.concat(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)), F.slice(lines, 1, 1))
+    return d.withColumn("new", F.array_join(turned, "\n"))
+
+
+def _version_units(spark, sf_dir) -> DataFrame:
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("doc_ord"), structure.units_col(F.col(c), F.lit("auto")).alias("us")) for i, c in enumerate(("old", "new"))])).alias("s")
+    return _versions(spark, sf_dir).select("doc_id", sides).select("doc_id", "s.doc_ord", F.posexplode("s.us").alias("unit_ix", "u")).select("doc_id", "doc_ord", "unit_ix", "u.*")
+
+
 def unit_matches(spark, sf_dir):
-    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
-    sides = [structure.parse_units(t.select("comparison_id", F.col(c).alias("text")), keys=("comparison_id",)).withColumn("doc_ord", F.lit(i)) for i, c in enumerate(("old", "new"))]
-    return align.match_units(sides[0].unionByName(sides[1]))
+    return align.match_units(_version_units(spark, sf_dir), ("doc_id",))
 
 
 def paragraph_context(spark, sf_dir):
@@ -244,16 +256,13 @@ def turn_moves(spark, sf_dir):
 
 
 def unmatched_units(spark, sf_dir):
-    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
-    old, new = (structure.parse_units(t.select("comparison_id", F.col(c).alias("text")), keys=("comparison_id",)) for c in ("old", "new"))
-    met = align.match_units(old.withColumn("doc_ord", F.lit(0)).unionByName(new.withColumn("doc_ord", F.lit(1))))
-    return review.missing_units(old, met.where("old_ix IS NOT NULL AND new_ix IS NOT NULL"), side="old")
+    u = saved(_version_units(spark, sf_dir))
+    return review.missing_units(u.where("doc_ord = 0"), align.match_units(u, ("doc_id",)), ("doc_id",), side="old")
 
 
 def document_comparison(spark, sf_dir):
-    """Each turn of a conversation with the next one, units aligned, markers numbered."""
-    t = _turns(spark, sf_dir).withColumn("comparison_id", F.concat_ws("/", "conv_id", "turn"))
-    return compare.compare_texts(t)[1]
+    """Each document with its version, units aligned, markers numbered."""
+    return compare.compare_texts(_versions(spark, sf_dir), ("doc_id",))[1]
 
 
 def page_rows(spark, sf_dir):
@@ -342,14 +351,16 @@ def symbol_changes(spark, sf_dir):
     return symbols.ast_diff(before, after).select("path", "change", "kind", "before_name", "after_name")
 
 
-def near_turns(spark, sf_dir):
-    """Turns of one role, even against odd, that share half of their tokens."""
-    t = _table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("role", F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("turn") % 2, F.col("text").alias("body")).toDF("role", "id", "odd", "body")
-    return ledger.dice_pairs(t.where("odd = 0").withColumnRenamed("id", "x"), t.where("odd = 1").withColumnRenamed("id", "y"), ("role",), "x", "y", least=500).select("x", "y", F.col("permille").cast("long").alias("permille"))
+def near_documents(spark, sf_dir):
+    """Documents of one language, even ids against odd, that share 90% of their tokens."""
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", "doc_id", F.col("text").alias("body"))
+    odd = F.pmod("doc_id", F.lit(2))
+    left, right = d.where(odd == 0).withColumnRenamed("doc_id", "x"), d.where(odd == 1).withColumnRenamed("doc_id", "y")
+    return ledger.dice_pairs(left, right, ("lang",), "x", "y", least=900).select("x", "y", F.col("permille").cast("long").alias("permille"))
 
 
 FLAGSHIP = "file_ledger"
-QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, symbol_changes, near_turns)}
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, symbol_changes, near_documents)}
 
 #: Hunks of pairs p(id, old, new): a table of common subsequences of suffixes, filled
 #: a cell a step from its end, then walked from its start; middles only.
@@ -468,8 +479,8 @@ ORACLE_SQL = {
       UNION ALL SELECT path, 'rust', 'function', '', fn, strlen(head) FROM q UNION ALL SELECT path, 'rust', 'struct', 'mod:inner', 'Size_' || p_size, strlen(before_struct) FROM q""",
     "symbol_changes": """SELECT 'p' || p_partkey || '.rs' AS path, CASE p_partkey % 5 WHEN 1 THEN 'rename' WHEN 2 THEN 'modify' ELSE 'delete' END AS change, CASE p_partkey % 5 WHEN 3 THEN 'struct' ELSE 'function' END AS kind,
       CASE p_partkey % 5 WHEN 3 THEN 'Size_' || p_size ELSE 'part_' || p_partkey END AS before_name, CASE p_partkey % 5 WHEN 1 THEN 'renamed_' || p_partkey WHEN 2 THEN 'part_' || p_partkey END AS after_name FROM part WHERE p_partkey % 5 IN (1, 2, 3)""",
-    "near_turns": f"""WITH t AS (SELECT role, conv_id || '/' || turn AS id, turn % 2 AS odd, w, count(*) AS n FROM (SELECT role, conv_id, turn, unnest(regexp_extract_all(text, '{_C}')) AS w FROM conversations) GROUP BY ALL),
-      s AS (SELECT id, sum(n) AS n, count(*) AS k FROM t GROUP BY id),
-      c AS (SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS c FROM t a JOIN t b ON a.role = b.role AND a.odd = 0 AND b.odd = 1 AND a.w = b.w GROUP BY ALL)
-      SELECT x, y, CAST(floor(2000 * c / (sx.n + sy.n)) AS BIGINT) AS permille FROM c JOIN s sx ON sx.id = x JOIN s sy ON sy.id = y WHERE sx.n >= 12 AND sy.n >= 12 AND sx.k >= 8 AND floor(2000 * c / (sx.n + sy.n)) >= 500""",
+    "near_documents": f"""WITH t AS (SELECT lang, doc_id, w, count(*) AS n FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{_C}')) AS w FROM documents) GROUP BY ALL),
+      s AS (SELECT doc_id, sum(n) AS n, count(*) AS k FROM t GROUP BY doc_id),
+      c AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS c FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.w = b.w GROUP BY ALL)
+      SELECT x, y, CAST(floor(2000 * c / (sx.n + sy.n)) AS BIGINT) AS permille FROM c JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE sx.n >= 12 AND sy.n >= 12 AND sx.k >= 8 AND floor(2000 * c / (sx.n + sy.n)) >= 900""",
 }
