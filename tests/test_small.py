@@ -76,3 +76,30 @@ def test_formatting_changes(spark):
     sides = [spark.createDataFrame([(1, bytearray(r))], "doc_id int, content binary").select("doc_id", styles_col("content").alias("styles")) for r in raws]
     got = formatting_changes(*sides).collect()
     assert [(r.text, '"bold":true' in r.old, '"italic":true' in r.new) for r in got] == [("same", True, True)]
+
+
+def test_inline_labels_and_breaks():
+    labels = lambda t: [x[0] for x in structure.parts(t)]
+    assert labels("(1) one (2) two") == ["(1)", "(2)"]  # two, the first of which opens the line
+    assert labels("see (1) and (2) here") == [""] and labels("lead (1) a (2) b (3) c") == ["", "(1)", "(2)", "(3)"]
+    assert labels("(1) one\nsee (2) two") == ["(1)"]
+    assert structure.recover_breaks("The end. 제3조(목적) text") == "The end.\n제3조(목적) text" and structure.recover_breaks("under Article 3 (x)") == "under Article 3 (x)"
+
+
+def test_projection():
+    assert diff.project("alpha beta", "alpha gamma beta", 5) == 5 and diff.project("alpha beta", "alpha gamma beta", 8) == 14
+    assert diff.project("xaby", "zabw", 2) == 2 and diff.project("abc", "", 2) == 0  # no word in common: by characters
+    assert diff.project("One. Two", 'One." Two', 4) == 5
+
+
+def test_additions_votes_anchors_and_counters(spark):
+    from textloom.operators import align, symbols
+
+    add = [("c", 1, 1, 5, "article", "5", "Term", "the term is one year"), ("c", 1, 2, 6, "article", "6", "Term", "the term is one year long"), ("c", 1, 2, 7, "article", "7", "Fees", "ten euros"), ("c", 2, 1, 9, "article", "9", "Term", "the term is one year")]
+    got = {(r.slot, r.row, r.doc, r.unit_ix) for r in align.merged_additions(spark.createDataFrame(add, "comparison_id string, slot int, doc int, unit_ix int, kind string, number string, title string, body string")).collect()}
+    assert got == {(1, 1, 1, 5), (1, 1, 2, 6), (1, 2, 2, 7), (2, 1, 1, 9)}
+    votes = spark.createDataFrame([("c", 1, 1)] * 3 + [("c", 1, 2)] * 2 + [("c", 2, 1)] * 2 + [("c", 2, 2)], "k string, o int, n int")
+    assert {(r.o, r.n, r.votes) for r in align.greedy_votes(votes, ("k",), "o", "n").collect()} == {(1, 1, 3), (2, 2, 1)}
+    assert align.paragraph_anchors(["a", "b", "b", "c"], ["c", "a", "b"], [(1, 2), (0, 2)]) == [(0, 1), (1, 2)]
+    files = symbols.parse_symbols(spark.createDataFrame([("a.rs", "fn a() {}"), ("b.rs", "fn {"), ("c.txt", "x")], "path string, content string"))[1]
+    assert tuple(symbols.scan_counters(files, spark.range(3), 1).first()) == (1, 1, 3, True)

@@ -469,3 +469,60 @@ def vote_map(pairs: DataFrame, keys: tuple[str, ...], old: str, new: str) -> Dat
     votes = pairs.groupBy(*keys, old, new).agg(F.count("*").alias("votes"))
     best = lambda own, other: F.row_number().over(Window.partitionBy(*keys, own).orderBy(F.col("votes").desc(), other))
     return votes.withColumn("a", best(old, new)).withColumn("b", best(new, old)).where("a = 1 AND b = 1").drop("a", "b")
+
+
+def merged_additions(additions: DataFrame, keys: tuple[str, ...] = ("comparison_id",), least: float = 0.84) -> DataFrame:
+    """(keys, slot, row, doc, unit_ix): units that only other versions have (keys,
+    slot, doc, unit_ix, kind, number, title, body), of which two of different
+    versions at one slot share a row if they are alike: a lineage score of `least`,
+    and equal numbers, alike titles, or alike bodies. Best pairs first."""
+    k = list(keys)
+    cols = ["doc", "unit_ix", "kind", "number", "title", "body"]
+    schema = ", ".join([f"`{c}` {dict(additions.dtypes)[c]}" for c in (*k, "slot")] + ["row int", "doc int", "unit_ix int"])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["doc", "unit_ix"]).reset_index(drop=True)
+        u = Units(g.assign(kind="article"))
+        e = Evidence(u, u)
+        near = lambda i, j: e.lineage(i, j) >= least and (e.same(i, j) or e.title(i, j) >= 0.82 or e.body(i, j) >= 0.72)
+        cands = [(i, j, e.lineage(i, j)) for i in range(len(g)) for j in range(i + 1, len(g)) if g.doc[i] < g.doc[j] and near(i, j)]
+        first, held = list(range(len(g))), [{g.doc[i]} for i in range(len(g))]
+        for i, j, _ in sorted(cands, key=lambda c: (-c[2], c[0], c[1])):
+            p, q = first[i], first[j]
+            if p != q and not held[p] & held[q]:
+                held[min(p, q)] |= held[max(p, q)]
+                first = [min(p, q) if x in (p, q) else x for x in first]
+        order = {x: n for n, x in enumerate(dict.fromkeys(sorted(first)), 1)}
+        return pd.DataFrame({**{c: g[c] for c in (*k, "slot")}, "row": [order[x] for x in first], "doc": g.doc, "unit_ix": g.unit_ix})
+
+    return spread(additions.select(*k, "slot", *cols), *k, "slot").groupBy(*k, "slot").applyInPandas(run, schema)
+
+
+def greedy_votes(pairs: DataFrame, keys: tuple[str, ...], old: str, new: str) -> DataFrame:
+    """(keys, old, new, votes): containers by the votes of their matched members, the
+    most votes first and each container once. Votes are counted before they are
+    grouped, so a group is the containers of one comparison."""
+    k = list(keys)
+    votes = pairs.groupBy(*k, old, new).agg(F.count("*").alias("votes"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, kept = set(), set(), []
+        for n, r in enumerate(g.sort_values(["votes", old, new], ascending=[False, True, True]).itertuples(index=False)):
+            a, b = getattr(r, old), getattr(r, new)
+            if a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                kept.append(r)
+        return pd.DataFrame(kept, columns=g.columns)
+
+    return votes.groupBy(*k).applyInPandas(run, votes.schema)
+
+
+def paragraph_anchors(old: list[str], new: list[str], hints: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Certain pairs of paragraphs, in order on both sides: those that stand once with
+    an equal key, and hints (pairs known from elsewhere) of equal texts."""
+    a, b = [match_key(x) for x in old], [match_key(x) for x in new]
+    once = {k for k, n in Counter(a).items() if n == 1 and k} & {k for k, n in Counter(b).items() if n == 1}
+    where = {k: j for j, k in enumerate(b)}
+    pairs = {(i, where[k]) for i, k in enumerate(a) if k in once} | {(i, j) for i, j in hints if a[i] == b[j]}
+    return longest_increasing(list(pairs))

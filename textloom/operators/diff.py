@@ -175,18 +175,29 @@ def _cut(text: str, start: int, end: int) -> str:
 
 def project(a: str, b: str, position: int) -> int:
     """The place in b that an offset in a stands for: that of the nearest word
-    before it that both have."""
+    before it that both have, without one the place by matching characters; after
+    the end of a sentence its closing marks are passed."""
     x, y = tokens(a, "boundary"), tokens(b, "boundary")
-    best = 0
+    best = None
     for i, j, n in matching_blocks([t for _, _, t in x], [t for _, _, t in y]):
         for k in range(n):
             if x[i + k][1] <= position:
                 best = y[j + k][1]
             elif x[i + k][0] <= position:
                 return y[j + k][0] + position - x[i + k][0]
+    if best is None:
+        ua, ub, best = utf16_offsets(a), utf16_offsets(b), 0
+        for i, j, n in matching_blocks(a, b):
+            if n and ua[i] <= position:
+                best = ub[j] + position - ua[i] if position <= ua[i + n] else ub[j + n]
+    while _cut(b, best - 1, best) in _ENDS and best and _cut(b, best, best + 1) in _CLOSING:
+        best += 1
     return best
 
 
+_ENDS, _CLOSING = set(".!?。！？…\"'”’)]"), set(".!?。！？…\"'”’)]")
+
+
 def review_events(a: str, b: str, punctuation: bool = True) -> list[tuple[str, int, int, int, int, str, str]]:
     """(kind, a start, a end, b start, b end, old text, new text) of a pair of
     texts, in UTF-16 units; kind is change, insert, delete or space."""

@@ -18,7 +18,7 @@ _ARTICLE = re.compile(r"^\s*(?:(?:article|section|clause|§)\s*(?P<n>\d+(?:[.\-]
 _GROUP = re.compile(r"^\s*(?:(?:part|chapter|title|book)\s+(?:\d+|[IVXLC]+)\b|제\s*\d+\s*(?:편|장|절|관))\s*(?P<rest>.*)$", re.I)
 _MODAL = re.compile(r"\b(?:shall|must|may|will|should|is|are|was|were)\b|(?:다|요)\.?$", re.I)
 _NUMBERED = re.compile(r"^\s*(?P<n>\d{1,2}(?:\.\d{1,2}){0,3})[.)]?\s+(?P<title>\S.{0,79})$")
-_INLINE = re.compile(r"(?<=[.;:!?。])[ \t]+(?=(?:Article|Section)\s+\d+\s*[.(:])")
+_INLINE = re.compile(r"(?<=[.;:!?。])[ \t]+(?=(?:(?:Article|Section|Clause)\s+\d+(?:[.\-]\d+)*\s*[.(:\[]|제\s*\d+\s*조(?:의\s*\d+)?\s*[(\[（【]))")
 LEGAL_HEADINGS = 2
 
 
@@ -176,21 +176,20 @@ _AFTER_SPACE = re.compile(rf"(?<=\S)[ \t]({_LABEL})[ \t]*")
 def parts(body: str) -> list[tuple]:
     """(label, start, end, core start, core end, core) of a body's list items in
     UTF-16 units. Text before the first label is a part without one. A label
-    inside a line counts after two spaces, or after one if it goes on a run of
-    three labels."""
+    inside a line counts after two spaces, or after one in a run of three labels
+    that go on from each other, or of two whose first opens the line."""
     marks = {m.start(1): (m.group(1), m.end()) for p in (_AT_LINE, _AFTER_GAP) for m in p.finditer(body)}
-    soft = [m for m in _AFTER_SPACE.finditer(body) if m.start(1) not in marks]
-    run: list = []
-    for m in soft:
-        n = label_ordinal(m.group(1))
-        if run and label_ordinal(run[-1].group(1)) == (n or 0) - 1:
-            run.append(m)
-        else:
-            run = [m]
-        if len(run) >= 3:
-            marks.update({r.start(1): (r.group(1), r.end()) for r in run})
+    opens = {m.start(1) for m in _AT_LINE.finditer(body)}
+    soft = {m.start(1): (m.group(1), m.end()) for m in _AFTER_SPACE.finditer(body) if m.start(1) not in marks}
+    run: list[int] = []
+    for at, (label, _) in sorted((marks | soft).items()):
+        n = label_ordinal(label)
+        goes_on = run and n is not None and label_ordinal((marks | soft)[run[-1]][0]) == n - 1 and "\n" not in body[run[-1] : at]
+        run = [*run, at] if goes_on else [at]
+        if len(run) >= (2 if run[0] in opens else 3):
+            marks.update({x: soft[x] for x in run if x in soft})
     starts = sorted(marks)
-    if len(starts) < 1:
+    if not starts:
         return [_part("", 0, len(body), 0, body)] if body.strip() else []
     out = [_part("", 0, starts[0], 0, body)] if body[: starts[0]].strip() else []
     for s, e in zip(starts, [*starts[1:], len(body)]):

@@ -324,3 +324,14 @@ def outermost(moves: DataFrame) -> DataFrame:
     m, o = moves.alias("m"), moves.alias("o")
     inside = (F.col("m.before_path") == F.col("o.before_path")) & (F.col("m.after_path") == F.col("o.after_path")) & (F.col("o.before_start") <= F.col("m.before_start")) & (F.col("o.before_end") >= F.col("m.before_end")) & (F.col("o.before_end") - F.col("o.before_start") > F.col("m.before_end") - F.col("m.before_start"))
     return m.join(o, inside, "left_anti")
+
+
+def scan_counters(files: DataFrame, moves: DataFrame, most: int | None = None) -> DataFrame:
+    """One row (analyzed, skipped, n_moves, stage_skipped): how many files were parsed,
+    how many were not, how many moves were found, and whether more files than `most`
+    ended a scan. files is the second table of parse_symbols()."""
+    one = lambda a, s, m: (a.cast("long").alias("analyzed"), s.cast("long").alias("skipped"), m.cast("long").alias("n_moves"))
+    zero, ok = F.lit(0), F.col("supported").cast("int")
+    each = files.select(*one(ok, 1 - ok, zero)).unionByName(moves.select(*one(zero, zero, F.lit(1))))
+    n = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("analyzed", "skipped", "n_moves")])
+    return n.withColumn("stage_skipped", F.lit(False) if most is None else F.col("analyzed") + F.col("skipped") > most)
