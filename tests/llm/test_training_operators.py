@@ -655,7 +655,7 @@ def test_registered_sql(spark):
     from textloom.llm.queries import ORACLE_SQL, QUERIES
 
     cx = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "documents"):
         cx.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, DATA)
