@@ -23,7 +23,12 @@ PLAIN_BITS, START_BITS = 8.0, 64.0
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language that can be told."""
+    """Rows in a language that can be told.
+
+    Null and empty texts and texts without a letter go, whatever their lang; so
+    does a text that all languages code in more bits than its bytes. Repeated rows
+    and rows with a null id stay or go like any other; without labelled rows no
+    language can be told and all rows go."""
     trees = language.learn(docs.where(remainder(F.col("doc_id"), 4) != 2))
     names = ("__lang_pred", "__lang_score", "__lang_bits")
     told = language.predict(docs, trees, out=names)
@@ -32,7 +37,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are not predicted to be toxic."""
+    """Rows that are not predicted to be toxic.
+
+    Null and empty texts match nothing and stay unless the labels make even those
+    toxic; repeated rows are decided alike; ids without a label, and null ones, are
+    decided by their text like all others; without labels the grammar decides."""
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
     counts = toxicity.match_counts(toxicity.learn_stems(docs, labels))(F.col("text").cast("string"))
     matched = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), counts.alias("f")), "toxic")
@@ -42,17 +51,24 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies."""
+    """One row of each group of near copies, the one with the smallest id.
+
+    Null and empty texts and texts without a word are copies of each other; of
+    repeated rows one stays; a row without an id only stays if no copy has one."""
     return simhash.near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture takes it."""
+    """Each row as often as the mixture takes it, at most twice.
+
+    A null source is a source, ranked last; rows of no words are taken at their
+    source's rate; rows that are equal in all columns share their copies."""
     return mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of each row."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of each row, repeated ones and those
+    without an id included; a null text has the begin and end ids only."""
     return pieces.encode_documents(docs, outputs=("n_tokens", "ids", "decoded_sha256"))
 
 

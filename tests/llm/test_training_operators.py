@@ -663,6 +663,37 @@ def test_registered_sql(spark):
         assert sorted(map(tuple, df.select(*cols).collect()), key=str) == sorted(cx.sql(sql).select(*cols).fetchall(), key=str), name
 
 
+def test_pipeline_stages_keep_and_drop(spark):
+    """Which rows stay in each stage, extra columns and odd rows included."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    real = docs(spark).select("doc_id", "text", "lang", "source").withColumn("w", F.lit(1))
+    odd = [(-1, None, "en", "s", 1), (-2, "", "en", "s", 1), (-3, "12 ² %", "en", "s", 1), (-4, "\u4e00\u4e8c" * 60, None, "s", 1), (None, "The house of the river and the water.", None, "s", 1), (-5, "A.", None, None, 1)]
+    rows = real.unionByName(spark.createDataFrame(odd, real.schema)).unionByName(real.where("doc_id = 3"))
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = key(rows)
+    kept = stage["language"](spark, rows, DATA)
+    assert every - key(kept) == Counter([(-1, None), (-2, ""), (-3, "12 ² %"), (-4, "\u4e00\u4e8c" * 60)]) and kept.columns == rows.columns
+    # Toxic rows go, by their text alone; null and empty ones stay.
+    bad = " ".join(["You are a worthless idiot and a pathetic loser."] * 3)
+    some = spark.createDataFrame([(900_001, bad, None, "s", 1), (900_002, bad, None, "s", 1), (900_002, bad, None, "s", 1), (None, bad, None, "s", 1), (900_003, None, None, "s", 1), (900_004, "", None, "s", 1), (900_005, "It was not a stupid plan, she said.", None, "s", 1)], real.schema)
+    kept = key(stage["toxicity"](spark, real.unionByName(some), DATA))
+    assert {d for d, t in kept if t in (bad, None, "")} == {900_003, 900_004} and kept[900_005, "It was not a stupid plan, she said."] == 1
+    assert sum(kept.values()) > 0.8 * real.count()
+    # Of copies the smallest id stays, whatever else differs; a null id only alone.
+    text = " ".join(f"w{i}" for i in range(60))
+    some = spark.createDataFrame([(7, text, "a", "s", 1), (5, text, "b", None, 2), (5, text, "b", None, 2), (None, text, "c", "s", 1), (8, text.replace("w30", "x"), "d", "s", 1), (None, "alone " * 9, "e", "s", 1), (3, None, "f", "s", 1), (4, " ", "g", "s", 1)], real.schema)
+    assert key(stage["near_duplicates"](spark, some, DATA)) == Counter([(5, text), (None, "alone " * 9), (3, None)])
+    # A source below its target is taken twice at most; nothing comes from nowhere.
+    some = spark.createDataFrame([(i, "a b c", "x", "big", 1) for i in range(90)] + [(100 + i, "d e f", "x", None, 1) for i in range(6)] + [(200, None, "x", "big", 1)] * 3, real.schema)
+    got = key(stage["mixing"](spark, some, DATA))
+    assert all(n <= 2 for (d, _), n in got.items() if d != 200) and {d for d, _ in got} <= {r.doc_id for r in some.collect()}
+    assert sum(n for (d, _), n in got.items() if d is not None and 100 <= d < 200) == 12
+    out = stage["tokens"](spark, spark.createDataFrame([(1, None, "x", "s", 1), (1, "a b", "x", "s", 1), (None, "a b", "x", "s", 1)], real.schema), DATA).collect()
+    assert sorted(r.n_tokens for r in out)[0] == 2 and len(out) == 3
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline
 
