@@ -226,6 +226,8 @@ def test_symbol_history(spark, tmp_path):
     changes, skipped = git.symbol_history(spark, str(tmp_path), "HEAD~2", "HEAD")
     assert [(r.step, r.path, r.change, r.before_name, r.after_name) for r in changes.orderBy("step").collect()][0] == (0, "a.rs", "modify", "one", "one")
     assert {r.step for r in changes.collect()} == {0, 1} and skipped.count() == 0
+    events = [(r.step, r.kind, r.location) for r in git.commit_events(spark, str(tmp_path), "HEAD~2", "HEAD").orderBy("step", "location").collect()]
+    assert events == [(0, "modified", "file"), (0, "modify", "function one"), (1, "modified", "file"), (1, "rename", "function one -> two")]
     none, skipped = git.symbol_history(spark, str(tmp_path), "HEAD", "HEAD")
     assert none.count() == skipped.count() == 0
 

@@ -33,8 +33,7 @@ def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _ledger(spark, sf_dir):
     before, after = _snapshots(spark, sf_dir)
-    last = before.agg(F.max("cmp")).first()[0]
-    return ledger.file_ledger(before.where(F.col("cmp") < last), after, ("cmp",))
+    return ledger.file_ledger(before.join(after.select("cmp").distinct(), "cmp", "left_semi"), after, ("cmp",))
 
 
 _SNAP = """

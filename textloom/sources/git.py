@@ -127,3 +127,19 @@ def symbol_history(spark: SparkSession, repo: str, before: str, after: str, most
     (a, fa), (b, fb) = side("old"), side("new")
     skipped = fa.unionByName(fb).where(~F.col("supported")).select(*keys).distinct()
     return ast_diff(a.join(skipped, list(keys), "left_anti"), b.join(skipped, list(keys), "left_anti"), keys), skipped
+
+
+def commit_events(spark: SparkSession, repo: str, before: str, after: str, most: int = 16, symbols: bool = True) -> DataFrame:
+    """(step, kind, before_path, after_path, location, event_id): what each step along
+    first parents did to files, by blob, and to declarations of the files it modified.
+    Steps are numbered from the oldest; files come before their declarations."""
+    from ..operators.ledger import event_id, file_ledger
+
+    old, new = timeline(spark, repo, before, after, most)
+    cols = ["step", "kind", "before_path", "after_path", "location"]
+    files = file_ledger(old, new, ("step",), whole_tree=True).select("step", "kind", "before_path", "after_path", F.lit("file").alias("location"))
+    if symbols:
+        changes, _ = symbol_history(spark, repo, before, after, most)
+        named = F.concat_ws(" -> ", "before_name", F.when(F.col("after_name") != F.coalesce("before_name", F.lit("")), F.col("after_name")))
+        files = files.unionByName(changes.select("step", F.col("change").alias("kind"), F.col("path").alias("before_path"), F.col("path").alias("after_path"), F.concat(F.col("kind"), F.lit(" "), named).alias("location")))
+    return files.withColumn("event_id", event_id(*map(F.col, cols)))
