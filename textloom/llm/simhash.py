@@ -385,16 +385,17 @@ def _both(links: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return links
 
 
-def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the nodes."""
-    # A text's copies are dropped before they are dealt by node: one row a task at most moves.
-    once = texts.select("node", "t").dropDuplicates(["node"]).join(nodes.distinct(), "node", "left_semi")
-    return saved(once.select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary"), "sets")
+def _sets(nodes: DataFrame, texts: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the nodes. first (node, i) names one row of each text, so that
+    its copies are told apart, and dealt, by their ids before they are dropped."""
+    wanted = saved(first.join(nodes.distinct(), "node"), "wanted")
+    sets = texts.join(wanted, ["node", "i"], "left_semi").select("node", "t").mapInArrow(_shingle_sets(k), "node string, set binary")
+    return saved(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
-def _decided(links: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+def _decided(links: DataFrame, texts: DataFrame, first: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b) of the links (a, b) whose texts are `least` or more alike."""
-    sets = _sets(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), texts, k)
+    sets = _sets(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))), texts, first, k)
     return saved(_both(links, sets, "set").select("a", "b", "x", "y").mapInArrow(_alike(least), "a string, b string"), "alike")
 
 
@@ -428,9 +429,11 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEA
     smallest key (of repeated rows one; a null key only if there is no other)."""
     node = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
     ids = saved(docs.select(F.col(key).cast("long").alias("id"), node.alias("node")).groupBy("node", "id").agg(F.count("*").alias("n")), "copies")
-    texts = bounded_batches(docs).select(node.alias("node"), F.col(text).cast("string").alias("t"))
+    named = F.coalesce(F.col(key).cast("long").cast("string"), F.lit(""))
+    texts = bounded_batches(docs).select(node.alias("node"), F.col(text).cast("string").alias("t"), named.alias("i"))
+    one = ids.groupBy("node").agg(F.min(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("i"))
     # Sketches of whole texts before the shuffle: a text's copies have equal sketches, one stays.
-    made = texts.mapInArrow(_sketches(k), "node string, fp long, keys array<long>, marks binary")
+    made = texts.select("node", "t").mapInArrow(_sketches(k), "node string, fp long, keys array<long>, marks binary")
     made = saved(made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "sketches")
     low = saved(made.groupBy("fp").agg(F.min("node").alias("low")), "fp")
     same = made.select("node", "fp").join(low, "fp").select(F.col("node").alias("a"), F.col("low").alias("b"))
@@ -442,12 +445,12 @@ def near_copies(docs: DataFrame, k: int = 5, radius: int = 4, least: float = LEA
     marks = made.select("node", "marks")
     agree = F.pandas_udf(agreement, "double")
     shares = _both(links, marks, "marks").select("a", "b", agree("x", "y").alias("share")).where(F.col("share") >= DOUBT)
-    alike = _decided(saved(shares.select("a", "b"), "shares"), texts, k, least)
+    alike = _decided(saved(shares.select("a", "b"), "shares"), texts, one, k, least)
     parts = saved(connected_components(alike), "parts")
     met = _opened(stars, parts).join(marks, "node").select("key", "tile", "side", "node", "label", "marks")
     met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node").mapInArrow(_in_question(DOUBT), "key long, tile long, side int, node string, label string")
     asked = saved(met, "asked")
-    met = bounded_batches(asked).join(marks, "node").join(_sets(asked.select("node"), texts, k), "node").select("key", "tile", "side", "label", "marks", "set")
+    met = bounded_batches(asked).join(marks, "node").join(_sets(asked.select("node"), texts, one, k), "node").select("key", "tile", "side", "label", "marks", "set")
     met = met.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "label").mapInArrow(_joined(DOUBT, least), "a string, b string")
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met))
     members = ids.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
