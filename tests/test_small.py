@@ -103,3 +103,16 @@ def test_additions_votes_anchors_and_counters(spark):
     assert align.paragraph_anchors(["a", "b", "b", "c"], ["c", "a", "b"], [(1, 2), (0, 2)]) == [(0, 1), (1, 2)]
     files = symbols.parse_symbols(spark.createDataFrame([("a.rs", "fn a() {}"), ("b.rs", "fn {"), ("c.txt", "x")], "path string, content string"))[1]
     assert tuple(symbols.scan_counters(files, spark.range(3), 1).first()) == (1, 1, 3, True)
+
+
+def test_expressions_are_the_kernels(spark):
+    """Built-in expressions give what the kernels on plain values give."""
+    from textloom.operators.structure import header_spans, header_spans_col
+
+    texts = ["iv", "XIV", "iiii", "", "mcmxciv", "vx", "12", " 12-3", "12의3", "7. ", "x.", "ix ", "...a b", "a.", "—x", "mmmm"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(tx.roman_value_col(F.col("t")), tx.section_number_col(F.col("t")), tx.split_punctuation_col(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(tx.roman_value(t), tx.section_number(t), tx.split_punctuation(t)) for t in texts]
+    rows = [("Article 12 (Fee)", "12", "Fee"), ("😀 1 x 1", "1", "1"), ("x", "", "y"), ("", "", ""), ("a b", "b", "a")]
+    got = spark.createDataFrame(rows, "h string, n string, t string").select(header_spans_col(F.col("h"), F.col("n"), F.col("t")).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [header_spans(*r) for r in rows]

@@ -17,15 +17,16 @@ from pyspark.sql.functions import udtf
 from ..operators import compare, diff, mapping, parts, structure, symbols
 from ..sources import decode, docx, package
 from . import similarity, text
+from .vectorized import vectorized
 
 #: Name -> column function made by vectorized().
 FUNCTIONS = {
     "match_key": text.match_key_col, "visible_key": text.visible_key_col, "lineage_key": text.lineage_key_col, "text_tokens": text.tokens_col, "text_sentences": text.sentences_col,
-    "roman_value": text.roman_value_col, "section_number": text.section_number_col, "label_ordinal": text.label_ordinal_col, "stable_edge": text.stable_edge_col, "stable_sentence": text.stable_sentence_col,
-    "byte_to_utf16": text.byte_to_utf16_col, "utf16_to_byte": text.utf16_to_byte_col, "split_punctuation": text.split_punctuation_col, "hangul_prefix": text.hangul_prefix_col,
+    "roman_value": vectorized(text.roman_value, "int"), "section_number": vectorized(text.section_number, "double"), "label_ordinal": text.label_ordinal_col, "stable_edge": text.stable_edge_col, "stable_sentence": text.stable_sentence_col,
+    "byte_to_utf16": text.byte_to_utf16_col, "utf16_to_byte": text.utf16_to_byte_col, "split_punctuation": vectorized(text.split_punctuation, "array<string>"), "hangul_prefix": text.hangul_prefix_col,
     "indel_ratio": similarity.indel_ratio_col, "sequence_ratio": similarity.sequence_ratio_col, "token_similarity": similarity.token_similarity_col, "hangul_word_cost": similarity.hangul_word_cost_col,
     "line_hunks": diff.line_hunks_col, "review_events": diff.review_events_col, "whitespace_events": diff.whitespace_events_col, "project_offset": diff.project_col, "text_segments": diff.segments_col,
-    "document_units": structure.units_col, "header_spans": structure.header_spans_col, "list_parts": structure.parts_col, "list_levels": structure.hierarchy_col, "match_parts": parts.match_parts_col,
+    "document_units": structure.units_col, "list_parts": structure.parts_col, "list_levels": structure.hierarchy_col, "match_parts": parts.match_parts_col,
     "declarations": symbols.declarations_col, "boundary_tokens": mapping.boundary_tokens_col, "block_units": compare.block_units_col, "text_units": compare.text_units_col,
     "decode_text": decode.decode_col, "docx_blocks": docx.blocks_col, "docx_text": docx.flat_text_col, "docx_styles": docx.styles_col,
     "docx_parts": package.ancillary_col, "docx_special": package.special_content_col, "docx_tables": package.table_geometry_col, "tracks_changes": package.tracks_changes_col,

@@ -220,7 +220,10 @@ def split_punctuation(text: str) -> list[str]:
     return [p for p in ((m.group(), text[m.end() :]) if m else (text,)) if p]
 
 
-split_punctuation_col = vectorized(split_punctuation, "array<string>")
+def split_punctuation_col(c: Column) -> Column:
+    """split_punctuation() as an expression."""
+    head = r"(?U)^[^\w\s]+"
+    return F.filter(F.array(F.regexp_extract(c, head, 0), F.regexp_replace(c, head, "")), lambda x: x != "")
 
 
 def stable_edge(a: str, b: str, least: int = 40, edge: int = 18) -> bool:
@@ -332,8 +335,21 @@ def section_number(text: str) -> float | None:
     return float(r) if r is not None else None
 
 
-roman_value_col = vectorized(roman_value, "int")
-section_number_col = vectorized(section_number, "double")
+def roman_value_col(c: Column) -> Column:
+    """roman_value() as an expression: of a canonical number, its pairs and what is left."""
+    low = F.lower(c)
+    rest = F.regexp_replace(low, "cm|cd|xc|xl|ix|iv", "")
+    pairs = sum((F.when(F.instr(low, p) > 0, v).otherwise(0) for p, v in (("cm", 900), ("cd", 400), ("xc", 90), ("xl", 40), ("ix", 9), ("iv", 4))), F.lit(0))
+    singles = sum(((F.length(rest) - F.length(F.replace(rest, F.lit(x), F.lit("")))) * v for x, v in _ROMAN.items()), F.lit(0))
+    return F.when(low.rlike("^(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"), (pairs + singles).cast("int"))
+
+
+def section_number_col(c: Column) -> Column:
+    """section_number() as an expression."""
+    pattern = r"^\s*([0-9]+)(?:\s*(?:[-.]|의)\s*([0-9]+))?"
+    major, minor = (F.regexp_extract(c, pattern, i) for i in (1, 2))
+    number = major.cast("double") + F.when(minor != "", minor.cast("double") / 1000).otherwise(F.lit(0.0))
+    return F.when(major != "", number).otherwise(roman_value_col(F.regexp_replace(c, r"^\s+|\s+$", "")).cast("double"))
 
 #: Syllables of Korean lists in their usual order.
 HANGUL_LABELS = "가나다라마바사아자차카타파하"

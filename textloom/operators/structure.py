@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HANGUL_LABELS, label_ordinal, section_number, utf16_offsets
+from ..functions.text import HANGUL_LABELS, label_ordinal, section_number, utf16_length, utf16_offsets
 from ..functions.vectorized import vectorized
 
 _ARTICLE = re.compile(r"^\s*(?:(?:article|section|clause|§)\s*(?P<n>\d+(?:[.\-]\d+)*|[IVXLC]+)|제\s*(?P<k>\d+)\s*조(?:의\s*(?P<kk>\d+))?)\s*(?P<rest>.*)$", re.I)
@@ -163,7 +163,15 @@ def header_spans(header: str, number: str, title: str) -> tuple[int, int, int, i
     return (u[i] if i >= 0 else -1, u[i + len(number)] if i >= 0 else -1, u[j] if j >= 0 else -1, u[j + len(title)] if j >= 0 else -1)
 
 
-header_spans_col = vectorized(header_spans, "struct<number_start:int,number_end:int,title_start:int,title_end:int>")
+def header_spans_col(header: Column, number: Column, title: Column) -> Column:
+    """header_spans() as an expression: a struct of four offsets."""
+    none = F.lit(-1)
+    i = F.when(number != "", F.call_function("locate", number, header) - 1).otherwise(none)
+    j = F.when(title != "", F.call_function("locate", title, header, F.greatest(i, F.lit(0)) + 1) - 1).otherwise(none)
+    at = lambda n: utf16_length(F.substring(header, F.lit(1), n))
+    ends = [x for p, t in ((i, number), (j, title)) for x in (F.when(p >= 0, at(p)).otherwise(none), F.when(p >= 0, at(p + F.length(t))).otherwise(none))]
+    return F.struct(*[x.alias(n) for x, n in zip(ends, ("number_start", "number_end", "title_start", "title_end"))])
+
 
 # ---------------------------------------------------------------- list items
 
