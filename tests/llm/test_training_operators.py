@@ -115,6 +115,14 @@ def test_mixing_meets_keep_mass():
     assert len(left) <= 1 and (out.p * out.mass).sum() == pytest.approx((g.p * g.mass).sum())
 
 
+def _folded(counts, *places):
+    """Counts of some places of tuples."""
+    out = Counter()
+    for k, n in counts.items():
+        out[tuple(k[p] for p in places)] += n
+    return out
+
+
 def test_pieces_and_token_counts(spark, odd, none):
     import sentencepiece
 
@@ -132,6 +140,10 @@ def test_pieces_and_token_counts(spark, odd, none):
             assert counted[d].n_tokens == len(sp.encode(t)) and counted[d].n_bytes == len(t.encode())
     assert pieces.encode_documents(odd).count() == token_count.count_tokens(odd).count() == odd.count()
     assert pieces.encode_documents(none).count() == token_count.count_tokens(none).count() == 0
+    # Repeated rows and the null id, too: the same rows as the library gives, one by one.
+    want = Counter((r.doc_id, len(sp.encode(r.text or "", add_bos=True, add_eos=True)), len(sp.encode(r.text or "")), len((r.text or "").encode())) for r in odd.collect())
+    ids, counts = (Counter(map(tuple, df.collect())) for df in (pieces.encode_documents(odd, outputs=("n_tokens",)), token_count.count_tokens(odd)))
+    assert ids == _folded(want, 0, 1) and counts == _folded(want, 0, 3, 2)
     back = pieces.decode_ids(pieces.encode_documents(odd))
     assert back.count() == odd.count()
 
@@ -546,6 +558,7 @@ def test_spots_and_likeness_against_plain_strings(spark):
         edited = t[: len(t) - len(t) // 2] + o[: len(t) // 2]
         g, e = got[r.doc_id], plain_spots(edited)
         assert g.near_next == pytest.approx(like(sets[i], sets[i - 1])) and g.near_edited == pytest.approx(like(sets[i], e))
+        assert g.similar_next == (like(sets[i], sets[i - 1]) >= 0.8) and g.similar_edited == (like(sets[i], e) >= 0.8)
         for s, f in ((sets[i], g.fingerprint), (e, g.edited_fingerprint)):
             assert names.setdefault(frozenset(s), f) == f
     assert len(set(names.values())) == len(names)

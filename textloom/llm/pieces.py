@@ -12,8 +12,9 @@ with a dummy prefix and kept white space; check_model() tests the pieces and the
 prefix, and refuses other models.
 
 Defined cases: null and empty texts have only the begin and end ids and decode
-to the empty text; texts of only spaces are one chunk; repeated rows give
-repeated results; an empty table gives an empty result.
+to the empty text; texts of only spaces are one chunk; repeated rows and null ids
+give a row each; other columns don't matter, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -86,6 +86,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(both / whole)
 
 
+def length_class(n: Column, threshold: float) -> Column:
+    """The partition of sets of n spots: sets at `threshold` or above lie in the same
+    one or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -F.log(F.lit(threshold)) + 1e-9)
+
+
+def alike(a: Column, b: Column, threshold: float = 0.8) -> Column:
+    """Whether two sets reach a Jaccard similarity. Their partitions by length, then
+    their lengths, rule most pairs out before any spot is compared."""
+    n, m = F.size(a), F.size(b)
+    far = F.abs(length_class(n, threshold) - length_class(m, threshold)) > 1
+    short = F.least(n, m) < threshold * F.greatest(n, m) - 1e-9
+    return F.when(far | short, F.lit(False)).otherwise(jaccard(a, b) >= threshold - 1e-12)
+
+
 def similar(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members has (key, set_id) of each row; pairs has
     (a, b, jaccard) of all pairs of different non-empty sets at the threshold or above."""
@@ -96,7 +111,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     order = Window.partitionBy("set_id").orderBy("df", "spot")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     # Partitions by length: a set meets its own length class and the next one only.
-    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)) + 1e-9)
+    band = length_class(F.col("n"), threshold)
     kept = each.join(often.where("df > 1"), "spot", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(order)).where(F.col("at") <= prefix).where("df > 1").select("set_id", "n", "spot", band.alias("band"))
     left, right = kept.alias("l"), kept.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("r")
     near = (F.col("l.spot") == F.col("r.spot")) & (F.col("l.band") == F.col("r.band"))
@@ -167,6 +182,4 @@ def query(spark, sf_dir):
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_text")))
     rows = rows.withColumn("e", spots(F.col("edited")))
-    return rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), jaccard(F.col("s"), F.col("e")).alias("near_edited"), jaccard(F.col("s"), F.col("next_s")).alias("near_next"))
-
-
+    return rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), jaccard(F.col("s"), F.col("e")).alias("near_edited"), jaccard(F.col("s"), F.col("next_s")).alias("near_next"), alike(F.col("s"), F.col("e")).alias("similar_edited"), alike(F.col("s"), F.col("next_s")).alias("similar_next"))

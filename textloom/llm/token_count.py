@@ -12,8 +12,9 @@ A pre-token of over LONG characters, where a merge a round would be quadratic,
 is merged by the same rule with a heap.
 
 Defined cases: null and empty texts have no tokens; strings of control tokens
-inside a text are ordinary characters, as the library has it; an empty table
-gives an empty result.
+inside a text are ordinary characters, as the library has it; repeated rows and
+null ids give a row each; other columns don't matter, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
