@@ -69,13 +69,20 @@ def test_states(spark):
 
 
 def test_formatting_changes(spark):
-    from textloom.sources.docx import formatting_changes, styles_col
-    from tests_docx import package, p
-
-    raws = [package(p("same", "<w:b/>") + p("other", "")), package(p("same", "<w:i/>") + p("other", ""))]
-    sides = [spark.createDataFrame([(1, bytearray(r))], "doc_id int, content binary").select("doc_id", styles_col("content").alias("styles")) for r in raws]
-    got = formatting_changes(*sides).collect()
+    from textloom.sources.docx import formatting_changes, named_styles_col, run_changes, run_styles_col, style_changes, styles_col, table_format_changes
+    from tests_docx import p, package
+
+    table = lambda w: f"<w:tbl><w:tblGrid><w:gridCol w:w='{w}'/></w:tblGrid><w:tr><w:tc>{p('cell', '')}</w:tc></w:tr></w:tbl>"
+    two = "<w:p><w:pPr><w:pStyle w:val='A'/></w:pPr><w:r><w:t>plain </w:t></w:r><w:r><w:rPr>{}</w:rPr><w:t>word</w:t></w:r></w:p>"
+    style = "<w:style w:styleId='A' w:rsid='{}'><w:rPr><w:sz w:val='{}'/></w:rPr></w:style>{}"
+    raws = [package(p("same", "<w:b/>") + p("other", "") + two.format("") + table(10), style.format(1, 20, "")), package(p("same", "<w:i/>") + p("other", "") + two.format("<w:u w:val='single'/>") + table(12), style.format(2, 20, "<w:style w:styleId='B'/>"))]
+    files = [spark.createDataFrame([(1, bytearray(r))], "doc_id int, content binary") for r in raws]
+    got = formatting_changes(*[f.select("doc_id", styles_col("content").alias("styles")) for f in files]).collect()
     assert [(r.text, '"bold":true' in r.old, '"italic":true' in r.new) for r in got] == [("same", True, True)]
+    got = run_changes(*[f.select("doc_id", run_styles_col("content").alias("runs")) for f in files]).collect()
+    assert {(r.text, '"underline":true' in r.new, '"half_points":"20"' in r.new) for r in got} == {("same", False, False), ("word", True, True)}
+    assert [tuple(r) for r in style_changes(*files).collect()] == [(1, "B", "added")] and files[0].select(named_styles_col("content")[0].id).first()[0] == "A"
+    assert [tuple(r) for r in table_format_changes(*files).collect()] == [(1, 0, "modified")]
 
 
 def test_inline_labels_and_breaks():

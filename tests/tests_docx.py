@@ -6,10 +6,12 @@ import zipfile
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def package(body):
+def package(body, styles=""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        if styles:
+            z.writestr("word/styles.xml", f"<w:styles {W}>{styles}</w:styles>")
     return out.getvalue()
 
 

@@ -221,35 +221,81 @@ blocks_col = vectorized(blocks, BLOCK)
 flat_text_col = vectorized(flat_text, "string")
 
 
-def _styles(raw: bytes) -> list[tuple]:
-    """(ordinal, text, style, bold, italic, underline, strike, size, colour, font,
-    left, hanging) of paragraphs: defaults, style chain, own properties, last wins."""
-    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-        body, styles = xml_part(z, "word/document.xml"), xml_part(z, "word/styles.xml")
-    chain = {_val(s, "styleId"): s for s in styles.iter(f"{_W}style")} if styles is not None else {}
-    on = lambda e: e is not None and _val(e) not in ("0", "false", "none")
-    out = []
-    for i, p in enumerate(body.iter(f"{_W}p")):
+class Formats:
+    """The formatting of paragraphs and runs: defaults, style chains, own properties,
+    the last of which wins."""
+
+    def __init__(self, styles: ET.Element | None):
+        self.chain = {_val(s, "styleId"): s for s in styles.iter(f"{_W}style")} if styles is not None else {}
+        defaults = styles.find(f"{_W}docDefaults") if styles is not None else None
+        self.defaults = [x for x in defaults.iter() if x.tag.endswith("PrDefault")] if defaults is not None else []
+
+    def layers(self, name: str | None) -> list[ET.Element]:
+        """A style and those that it is based on, the nearest first."""
+        out, seen = [], set()
+        while name in self.chain and name not in seen:
+            seen.add(name)
+            out.append(self.chain[name])
+            name = _val(self.chain[name].find(f"{_W}basedOn"))
+        return out
+
+    def of(self, p: ET.Element, run: ET.Element | None) -> tuple:
+        """(style, bold, italic, underline, strike, size, colour, font, left, hanging)."""
         pr = p.find(f"{_W}pPr")
         name = _val(pr.find(f"{_W}pStyle")) if pr is not None else None
-        layers, seen, at = [], set(), name
-        while at in chain and at not in seen:
-            seen.add(at)
-            layers.append(chain[at])
-            at = _val(chain[at].find(f"{_W}basedOn"))
-        if styles is not None and (d := styles.find(f"{_W}docDefaults")) is not None:
-            layers += [x for x in d.iter() if x.tag.endswith("PrDefault")]
-        run = p.find(f"{_W}r")
-        runs = ([run.find(f"{_W}rPr")] if run is not None else []) + [x.find(f"{_W}rPr") for x in layers]
+        own = run.find(f"{_W}rPr") if run is not None else None
+        by_run = self.layers(_val(own.find(f"{_W}rStyle")) if own is not None else None)
+        layers = self.layers(name) + self.defaults
+        runs = [own] + [x.find(f"{_W}rPr") for x in by_run + layers]
         paras = [pr] + [x.find(f"{_W}pPr") for x in layers]
         first = lambda ls, tag: next((x for e in ls if e is not None and (x := e.find(f"{_W}{tag}")) is not None), None)
+        on = lambda e: e is not None and _val(e) not in ("0", "false", "none")
         ind = first(paras, "ind")
-        out.append((i, run_text(p), name, on(first(runs, "b")), on(first(runs, "i")), on(first(runs, "u")), on(first(runs, "strike")), _val(first(runs, "sz")), _val(first(runs, "color")), _val(first(runs, "rFonts"), "ascii"), _val(ind, "left"), _val(ind, "hanging")))
+        return (name, *(on(first(runs, t)) for t in ("b", "i", "u", "strike")), _val(first(runs, "sz")), _val(first(runs, "color")), _val(first(runs, "rFonts"), "ascii"), _val(ind, "left"), _val(ind, "hanging"))
+
+
+def _parts(raw: bytes) -> tuple[ET.Element, ET.Element | None]:
+    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+        return xml_part(z, "word/document.xml"), xml_part(z, "word/styles.xml")
+
+
+def _styles(raw: bytes) -> list[tuple]:
+    """(ordinal, text, style, bold, italic, underline, strike, size, colour, font,
+    left, hanging) of paragraphs, with the formatting of their first run."""
+    body, styles = _parts(raw)
+    formats = Formats(styles)
+    return [(i, run_text(p), *formats.of(p, p.find(f"{_W}r"))) for i, p in enumerate(body.iter(f"{_W}p"))]
+
+
+def _run_styles(raw: bytes) -> list[tuple]:
+    """The same of runs with a text: (paragraph, ordinal in it, text, style, …)."""
+    body, styles = _parts(raw)
+    formats, out = Formats(styles), []
+    for i, p in enumerate(body.iter(f"{_W}p")):
+        n = 0
+        for r in p.iter(f"{_W}r"):
+            text = "".join(t.text or "" for t in r.findall(f"{_W}t"))
+            if text:
+                out.append((i, n, text, *formats.of(p, r)))
+                n += 1
     return out
 
 
+def _named_styles(raw: bytes) -> list[tuple[str, str, str]]:
+    """(id, kind, definition) of named styles, attributes in order, ids of saves left out."""
+    _, styles = _parts(raw)
+
+    def shown(e):
+        kept = sorted((k.removeprefix(_W), v) for k, v in e.attrib.items() if not k.removeprefix(_W).startswith("rsid"))
+        return f"<{e.tag.removeprefix(_W)}{''.join(f' {k}={v!r}' for k, v in kept)}>{''.join(shown(c) for c in e if not c.tag.endswith('}rsid'))}</>"
+
+    return [(_val(s, "styleId") or "", _val(s, "type") or "paragraph", "".join(map(shown, s))) for s in styles.iter(f"{_W}style")] if styles is not None else []
+
+
 STYLE = "array<struct<ordinal:int,text:string,style:string,bold:boolean,italic:boolean,underline:boolean,strike:boolean,half_points:string,colour:string,font:string,left:string,hanging:string>>"
 styles_col = vectorized(_styles, STYLE)
+run_styles_col = vectorized(_run_styles, STYLE.replace("ordinal:int", "paragraph:int,ordinal:int"))
+named_styles_col = vectorized(_named_styles, "array<struct<id:string,kind:string,definition:string>>")
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -268,3 +314,38 @@ def formatting_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...
     props = F.to_json(F.struct("style", "bold", "italic", "underline", "strike", "half_points", "colour", "font", "left", "hanging"))
     sides = [d.select(*keys, F.explode("styles").alias("s")).select(*keys, "s.*").where(F.trim("text") != "").select(*keys, "text", "ordinal", props.alias(n)) for d, n in ((before, "old"), (after, "new"))]
     return nth_occurrence_join(*sides, key="text", order="ordinal", keys=keys).where("old <> new")
+
+
+_PROPERTIES = ("style", "bold", "italic", "underline", "strike", "half_points", "colour", "font", "left", "hanging")
+
+
+def run_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text, old, new, …): runs whose text, at the same count of it in the same
+    document, has other properties; before and after are (keys, runs of run_styles_col)."""
+    from ..operators.align import nth_occurrence_join
+
+    props = F.to_json(F.struct(*_PROPERTIES))
+    place = (F.col("paragraph").cast("long") * (1 << 32) + F.col("ordinal")).alias("place")
+    sides = [d.select(*keys, F.explode("runs").alias("s")).select(*keys, "s.*").where(F.trim("text") != "").select(*keys, "text", place, props.alias(n)) for d, n in ((before, "old"), (after, "new"))]
+    return nth_occurrence_join(*sides, key="text", order="place", keys=keys).where("old <> new").drop("nth")
+
+
+def style_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",), content: str = "content") -> DataFrame:
+    """(keys, id, change): named styles that are new, gone or defined otherwise."""
+    side = lambda d, n: d.select(*keys, F.explode(named_styles_col(F.col(content))).alias("s")).select(*keys, "s.id", F.struct("s.kind", "s.definition").alias(n))
+    both = side(before, "old").join(side(after, "new"), [*keys, "id"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(*keys, "id", change.alias("change"))
+
+
+def table_format_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",), content: str = "content") -> DataFrame:
+    """(keys, table, change): tables, by their place, whose widths, spans or fills differ."""
+    from .package import table_geometry_col
+
+    def side(d, n):
+        cells = d.select(*keys, F.explode(table_geometry_col(F.col(content))).alias("c"))
+        return cells.groupBy(*keys, F.col("c.table").alias("table")).agg(F.array_sort(F.collect_list(F.struct("c.row", "c.column", "c.span", "c.width", "c.grid", "c.fill"))).alias(n))
+
+    both = side(before, "old").join(side(after, "new"), [*keys, "table"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(*keys, "table", change.alias("change"))
