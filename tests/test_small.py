@@ -21,6 +21,9 @@ def test_text_columns(spark):
     assert [set(x) for x in one(tx.title_concepts(c), "The Payments of Obligations")] == [{"payment", "oblig"}] == [tx.title_concept_set("The Payments of Obligations")]
     assert one(tx.twips_to_points(F.lit(240)), "x") == [12.0] and one(tx.half_points_to_points(F.lit(21)), "x") == [10.5]
     assert one(tx.line_spacing(F.lit(360), F.lit(None).cast("string")), "x") == ["1.50x"] and one(tx.line_spacing(F.lit(300), F.lit("exact")), "x") == ["15.0 pt"]
+    from textloom.functions.similarity import table_overlap
+
+    assert values(spark, [(["a", "b", "b"], ["b", "c", "d"]), ([], [])], "a array<string>, b array<string>", F.round(table_overlap(F.col("a"), F.col("b")), 3)) == [(0.333,), (0.0,)]
     two = values(spark, [("a​ b", "a b"), ("A b", "a b")], "a string, b string", tx.semantically_equal(F.col("a"), F.col("b")))
     assert two == [(True,), (False,)]
     long = "This sentence is long enough to count here."

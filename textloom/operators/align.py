@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions.similarity import body_score, paragraph_cost, structure_score, title_score, token_similarity, unit_score
 from ..functions.text import LEXERS, has_light_title, lineage_key, match_key, structure_counts, title_concept_set
 from ..storage import spread
-from .diff import lcs_pairs
 
 Cand = tuple[int, int, float]
 GAP, MATCH_COST, NO_MATCH = 0.48, 0.94, 1.08
@@ -402,11 +401,6 @@ def unique_titles(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("comp
     return once(old, "old_ix").join(once(new, "new_ix"), [*k, "t"]).select(*k, "old_ix", "new_ix")
 
 
-def match_blocks(old: list[str], new: list[str]) -> list[Cand]:
-    """Blocks of texts without articles."""
-    return generic_pairs(old, new)
-
-
 def match_tables(old: list[dict], new: list[dict]) -> tuple[list[Cand], dict[tuple[int, int], list[tuple[int, int]]]]:
     """Tables by shared cell keys (a sole pair always), then their rows: unique
     equal rows first, then gaps of equal length by position.
