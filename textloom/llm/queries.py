@@ -1,7 +1,8 @@
 """Queries of the training-data operators, and the SQL of those it can express.
 
-Beside the ten, `mixing_targets` and `token_statistics` give those columns of op1
-and op4 that SQL can check: sizes and targets, and counts and base scores.
+Beside the ten, `mixing_targets`, `token_statistics` and `edited_texts` give those
+columns of op1, op4 and op9 that SQL can check: sizes and targets, counts and base
+scores, and what a text becomes with its neighbour's beginning as its end.
 """
 
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ def token_statistics(spark, sf_dir):
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
+def edited_texts(spark, sf_dir):
+    return spotsigs.query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_pieces": pieces.query,
@@ -32,6 +37,7 @@ QUERIES = {
     "op10_urls": urls.query,
     "mixing_targets": mixing_targets,
     "token_statistics": token_statistics,
+    "edited_texts": edited_texts,
 }
 
 #: The level at which the weighted shares of open sources take what is left, from the sums at each source's cap.
@@ -61,4 +67,10 @@ SELECT w.doc_id, w.held_out, count(*) AS n_tokens, count(v.c) AS n_known, any_va
 FROM w LEFT JOIN v ON w.token = v.token, a GROUP BY w.doc_id, w.held_out
 """
 
-ORACLE_SQL = {"op7_topk": topk.SQL, "op10_urls": urls.SQL, "mixing_targets": _TARGETS, "token_statistics": _STATISTICS}
+_EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS o FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, n - n // 2) || substring(o, 1, n // 2)) AS edited_sha256 FROM n
+"""
+
+ORACLE_SQL = {"op7_topk": topk.SQL, "op10_urls": urls.SQL, "mixing_targets": _TARGETS, "token_statistics": _STATISTICS, "edited_texts": _EDITED}
