@@ -193,3 +193,92 @@ def test_dice_pairs_find_all(spark):
             if permille >= 880 and len(p) >= 8:
                 want[x, y] = permille
     assert got == want and want
+
+
+def _dice(left, right, least, tokens, distinct):
+    """Every pair (x, y) of two lists (group, key, text) at `least`; the texts of one key are one bag."""
+    from collections import Counter, defaultdict
+
+    sides = defaultdict(Counter), defaultdict(Counter)
+    for bags, rows in zip(sides, (left, right)):
+        for g, k, t in rows:
+            if None not in (g, k, t):
+                bags[g, k].update(t.split())
+    out = {}
+    for (g, x), p in sides[0].items():
+        for (h, y), q in sides[1].items():
+            n, m = sum(p.values()), sum(q.values())
+            if g == h and n >= tokens and m >= tokens and len(p) >= distinct and 2000 * sum((p & q).values()) // (n + m) >= least:
+                out[g, x, y] = 2000 * sum((p & q).values()) // (n + m)
+    return out
+
+
+def test_dice_pairs_of_copies_and_odd_rows(spark, monkeypatch):
+    """Large groups in tiles, an order learned from few texts, ids too many to send, repeated and null keys."""
+    import random
+
+    from textloom.operators import bags
+
+    for name, n in (("SAMPLE", 20), ("NAMED", 30), ("SENT", 0), ("TILE", 3), ("BLOCK", 5)):
+        monkeypatch.setattr(bags, name, n)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    base = [[rng.choice(words[: 80 - 20 * (i % 2)]) for _ in range(14 + 6 * i)] for i in range(8)]
+    side = lambda: [(f"g{i % 2}", i, " ".join(rng.choice(words) if rng.random() < 0.04 * (i % 3) else w for w in base[i % 8])) for i in range(64)]
+    long = " ".join(rng.choice(words) for _ in range(9000))
+    odd = [("g0", 900, None), (None, 901, "a " * 20), ("g0", None, "a " * 20), ("g0", 902, "a " * 20), ("g1", 903, ""), ("g1", 904, long), ("g1", 905, long + " " + "w1 " * 400), ("g0", 906, "a b c d e f g"), ("g0", 906, "h i j k l m"), ("g0", 907, "a b c d e f g h i j k l m")]
+    left, right = side() + odd, side() + odd
+    frames = [spark.createDataFrame(rows, f"id string, {n} {kind}, body string") for rows, n, kind in ((left, "x", "int"), (right, "y", "long"))]
+    for least in (880, 600):
+        got = ledger.dice_pairs(*frames, ("id",), "x", "y", least=least)
+        assert got.dtypes == [("id", "string"), ("x", "int"), ("y", "bigint"), ("permille", "int")]
+        want = _dice(left, right, least, 12, 8)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and {r[:3]: r[3] for r in rows} == want
+        assert want["g0", 906, 907] == 1000 and ("g1", 904, 905) in want
+
+
+def test_meetings_across_batches(monkeypatch):
+    """Sorted uses that come in any batches, with few pairs held, meet as in one."""
+    import random
+
+    import pyarrow as pa
+
+    from textloom.operators import bags
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(4), (rng.randrange(20, 40) << 32) | (rng.randrange(1, 9) << 2) | rng.randrange(1, 4), rng.randrange(3), i) for i in range(300))
+    t, share = 0.8, 0.8 / 1.2
+    want = set()
+    for i, (e, at, before, x) in enumerate(rows):
+        for f, to, prior, y in rows[i + 1 :]:
+            s, r, p, q = at >> 32, to >> 32, (at >> 2) & 63, (to >> 2) & 63
+            sides = (at & 1 and to & 2) or (at & 2 and to & 1)
+            if e == f and sides and r <= s / share + 1e-6 and 1 + min(s - p, r - q) >= t / 2 * (s + r) - 1e-6 and (before != prior or not before):
+                want.add((min(x, y), max(x, y)))
+    for swept, held, step in ((10**6, 10**6, 300), (7, 5, 3), (1, 1, 1), (50, 20, 11)):
+        monkeypatch.setattr(bags, "SWEPT", swept)
+        monkeypatch.setattr(bags, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + step])], ["use", "at", "before", "id"]) for i in range(0, 300, step)]
+        got = [tuple(r.values()) for b in bags._meetings(t, share)(iter(batches)) for r in b.to_pylist()]
+        assert want and set(got) == want and len(got) == len(set(got))
+
+
+def test_dice_pairs_move_little(spark):
+    """Texts that are not alike are not dealt token by token: less than twice their own bytes is shuffled."""
+    import random
+
+    rng = random.Random(4)
+    side = lambda n: spark.createDataFrame([("g", f"{n}{i}", " ".join(f"word{int(rng.paretovariate(0.4)) % 50_000}" for _ in range(400))) for i in range(200)], f"g string, {n} string, body string")
+    left, right = side("x"), side("y")
+    size = sum(len(r.body) for d in (left, right) for r in d.collect())
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    ledger.dice_pairs(left, right, ("g",), "x", "y").collect()
+    assert sum(n for k, n in written().items() if k not in before) < 2 * size

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bags
+
 
 def snapshot(files: DataFrame, path: str = "path", content: str = "content", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, path, sha, length): what a ledger needs of a tree of files."""
@@ -57,43 +59,23 @@ def dice_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b
     """(on, a, b, permille): multiset Dice of code tokens of pairs that agree in
     `on`, from `least` permille on.
 
-    A pair at Dice t shares t / (2 - t) of either side's tokens at least, so it
-    agrees in one of the rarest of them (prefix filter, with the n-th use of a
-    token as a token of its own), and the sizes differ by that factor at most. Only
-    pairs that do are counted, by a join on their tokens and a sum of the smaller
-    counts; with least <= 0 all pairs that share a token are."""
+    With least > 0 pairs are found by the rarest tokens of their bags, and no bag is moved
+    but those of likely pairs (bags.like_pairs); with least <= 0 all pairs that share a token are joined."""
+    if least > 0:
+        from ..functions.text import code_tokens
+
+        return bags.like_pairs(left, right, on, a, b, text, code_tokens, least, tokens, distinct)
     x, y = token_counts(left, text, (*on, a)), token_counts(right, text, (*on, b))
     size = lambda t, key, name: t.groupBy(*on, key).agg(F.sum("n").alias(name), F.count("*").alias(f"{name}_kinds"))
     sx, sy = size(x, a, "sx"), size(y, b, "sy")
     shared = F.sum(F.least("nx", "ny")).alias("shared")
-    x, y = x.withColumnRenamed("n", "nx"), y.withColumnRenamed("n", "ny")
-    if least <= 0:
-        met = x.join(y, [*on, "token"])
-    else:
-        met = _rare_pairs(x, y, sx, sy, on, a, b, least / 1000).join(x, [*on, a]).join(y, [*on, b, "token"])
+    met = x.withColumnRenamed("n", "nx").join(y.withColumnRenamed("n", "ny"), [*on, "token"])
     scored = met.groupBy(*on, a, b).agg(shared).join(sx, [*on, a]).join(sy, [*on, b])
     permille = F.floor(2000 * F.col("shared") / (F.col("sx") + F.col("sy"))).cast("int")
     fit = (F.col("sx") >= tokens) & (F.col("sy") >= tokens) & (F.col("sx_kinds") >= distinct)
     return scored.where(fit).select(*on, a, b, permille.alias("permille")).where(F.col("permille") >= least)
 
 
-def _rare_pairs(x: DataFrame, y: DataFrame, sx: DataFrame, sy: DataFrame, on: tuple[str, ...], a: str, b: str, t: float) -> DataFrame:
-    """Distinct (on, a, b) that may reach Dice t."""
-    each = lambda d, key, n: d.select(*on, key, "token", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("use"))
-    ex, ey = each(x, a, "nx"), each(y, b, "ny")
-    often = ex.select(*on, "token", "use").unionByName(ey.select(*on, "token", "use")).groupBy(*on, "token", "use").agg(F.count("*").alias("df"))
-    share = t / (2 - t)
-
-    def prefix(e, sizes, key, name):
-        w = Window.partitionBy(*on, key).orderBy("df", "token", "use")
-        kept = e.join(often, [*on, "token", "use"]).join(sizes.select(*on, key, F.col(name).alias("size")), [*on, key]).withColumn("at", F.row_number().over(w))
-        return kept.where(F.col("at") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1).select(*on, key, "token", "use", F.col("size").alias(f"__{name}"))
-
-    near = prefix(ex, sx, a, "sx").join(prefix(ey, sy, b, "sy"), [*on, "token", "use"])
-    fits = (F.col("__sx") >= share * F.col("__sy") - 1e-9) & (F.col("__sy") >= share * F.col("__sx") - 1e-9)
-    return near.where(fits).select(*on, a, b).distinct()
-
-
 def rename_candidates(ledger: DataFrame, before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (), least: int = 750) -> DataFrame:
     """Edited renames among the ledger's added and deleted files: mutual best
     pairs by token Dice of files that share an extension."""
