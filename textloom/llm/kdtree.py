@@ -9,7 +9,7 @@ the shards of the two. Leaves are shards of nearly equal bytes. Nearby metadata
 Medians are distributed: all nodes of a level are cut at once, by histograms of BINS
 bins between a node's bounds, of which each task sends at most nodes * BINS sums.
 The bin that holds the median is the next range, until it weighs next to nothing
-(ERROR of a shard) or is one value. Within one value a tie number decides, a hash
+(ERROR of a shard) or holds one unit. Behind a dimension stands a tie number, a hash
 of the text, so any number of equal coordinates can be cut. The driver sees a row a
 node and pass; rows are never sorted or moved by node, so a hot value costs nothing.
 
@@ -35,15 +35,17 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 #: Bins of a histogram, and what of a shard's bytes the last bin may hold.
-BINS, ERROR = 4096, 0.0005
+BINS, ERROR = 1 << 14, 0.0005
+#: Bits of a dimension, and of a source's or language's number.
+WIDE, NAMES = 18, 12
 #: A group of more than 1 / ATOMS of a shard is dealt in parts.
-ATOMS = 10
+ATOMS = 32
 #: Tie numbers have TIE bits, of which the last PART name the part of a group.
 TIE, PART = 44, 16
 #: Rows of a bucket that is numbered by one task, and of a run of repeated rows.
@@ -51,61 +53,57 @@ SLOTS = 16_384
 GROUP = ("h", "text_crc32", "size")
 
 
-def _local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """Rows of whole numbers (one a node: never more than there are shards) as a table."""
-    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+def _of_node(values: dict[int, int], shards: int) -> Column:
+    """The value of a row's node: a literal array with a number a shard."""
+    listed = ",".join(str(values[i]) if i in values else "" for i in range(shards))
+    return F.try_element_at(F.split(F.lit(listed), ",").try_cast("array<bigint>"), (F.col("shard") + 1).cast("int"))
 
 
 def kd_split(units: DataFrame, dims: list[str], shards: int, error: float = ERROR, bins: int = BINS) -> DataFrame:
-    """units (bytes, tie and the dimensions as whole numbers, ties below 2 ** TIE)
+    """units (bytes, tie and the dimensions, whole numbers below 2 ** TIE and 2 ** WIDE)
     with `shard`: the leaf of each, of `shards` leaves.
 
     Each cut lies between two units next to each other in the order of the widest
     dimension and tie, as near to the median as `error` of a shard's bytes lets it."""
-    spark, units = units.sparkSession, units.withColumn("shard", F.lit(0).cast("long"))
-    nodes, cut, root, level = {0: shards}, {}, None, 0
+    units = units.withColumn("shard", F.lit(0).cast("long"))
+    nodes, root, done = {0: shards}, None, None
+    key = lambda dim: F.element_at(F.array(*dims), (dim + 1).cast("int")) * (1 << TIE) + F.col("tie")
     while any(n > 1 for n in nodes.values()):
         found = units.groupBy("shard").agg(F.sum("bytes").alias("bytes"), *[f(d).alias(f"{name}_{d}") for d in dims for name, f in (("lo", F.min), ("hi", F.max))]).collect()
         root = root or {d: max(1, r[f"hi_{d}"] - r[f"lo_{d}"]) for r in found for d in dims}
-        open_ = {}
+        # Of each node the dimension, the range that holds the median, the bytes left of it, and the median's place in bytes.
+        dim, lo, hi, before, want, slack = ({} for _ in range(6))
         for r in found:
             node, n = r["shard"], nodes[r["shard"]]
             if n == 1:
                 continue
-            d = max(range(len(dims)), key=lambda i: ((r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / root[dims[i]], -i))
-            open_[node] = {"dim": d, "tied": 0, "value": 0, "lo": r[f"lo_{dims[d]}"], "hi": r[f"hi_{dims[d]}"], "before": 0, "want": max(1, r["bytes"] * (n // 2) // n), "slack": error * r["bytes"] / n}
-        cut = {}
-        while open_:
-            at = [(node, s["dim"], s["tied"], s["value"], s["lo"], s["hi"], (s["hi"] - s["lo"]) // bins + 1, s["want"] - s["before"]) for node, s in open_.items()]
-            asked = F.broadcast(_local(spark, at, "shard, dim, tied, value, lo, hi, width, need"))
-            on = F.element_at(F.array(*dims), (F.col("dim") + 1).cast("int"))
-            key = F.when(F.col("tied") == 1, F.col("tie")).otherwise(on)
-            inside = units.join(asked, "shard").withColumn("key", key).where(F.col("key").between(F.col("lo"), F.col("hi")) & ((F.col("tied") == 0) | (on == F.col("value"))))
-            counts = inside.groupBy("shard", "need", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("bytes").alias("w"))
-            counts = counts.withColumn("to", F.sum("w").over(Window.partitionBy("shard").orderBy("bin")))
-            for r in counts.where((F.col("to") >= F.col("need")) & (F.col("to") - F.col("w") < F.col("need"))).collect():
-                s, width = open_[r["shard"]], (open_[r["shard"]]["hi"] - open_[r["shard"]]["lo"]) // bins + 1
-                s["lo"], s["before"] = s["lo"] + r["bin"] * width, s["before"] + r["to"] - r["w"]
-                s["hi"] = min(s["hi"], s["lo"] + width - 1)
-                if width > 1 and r["w"] > s["slack"]:
-                    continue
-                if not s["tied"] and r["w"] > s["slack"]:  # one value: its ties are cut
-                    s.update(tied=1, value=s["lo"], lo=0, hi=(1 << TIE) - 1)
-                    continue
-                edge = s["lo"] if 2 * (s["want"] - s["before"]) <= r["w"] else s["hi"] + 1
-                cut[r["shard"]] = (s["dim"], s["value"] if s["tied"] else edge, edge if s["tied"] else 0)
-                del open_[r["shard"]]
+            i = max(range(len(dims)), key=lambda j: ((r[f"hi_{dims[j]}"] - r[f"lo_{dims[j]}"]) / root[dims[j]], -j))
+            dim[node], before[node], want[node], slack[node] = i, 0, max(1, r["bytes"] * (n // 2) // n), error * r["bytes"] / n
+            lo[node], hi[node] = r[f"lo_{dims[i]}"] << TIE, (r[f"hi_{dims[i]}"] + 1 << TIE) - 1
+        at = key(_of_node(dim, shards))
+        cut, left = {}, set(dim)
+        while left:
+            width = {x: (hi[x] - lo[x]) // bins + 1 for x in left}
+            of = lambda values: _of_node({x: values[x] for x in left}, shards)
+            inside = units.select("shard", "bytes", at.alias("key"), of(lo).alias("lo"), of(hi).alias("hi"), of(width).alias("width")).where(F.col("key").between(F.col("lo"), F.col("hi")))
+            counts = inside.groupBy("shard", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("bytes").alias("w"), F.count("*").alias("units"))
+            need = of({x: want[x] - before[x] for x in left})
+            counts = counts.withColumn("to", F.sum("w").over(Window.partitionBy("shard").orderBy("bin"))).where((F.col("to") >= need) & (F.col("to") - F.col("w") < need))
+            for r in counts.collect():
+                x = r["shard"]
+                lo[x], before[x] = lo[x] + r["bin"] * width[x], before[x] + r["to"] - r["w"]
+                hi[x] = min(hi[x], lo[x] + width[x] - 1)
+                if width[x] == 1 or r["units"] == 1 or r["w"] <= slack[x]:
+                    cut[x] = lo[x] if 2 * (want[x] - before[x]) <= r["w"] else hi[x] + 1
+                    left.discard(x)
         if not cut:
             break
-        made = F.broadcast(_local(spark, [(node, *c, node + nodes[node] // 2) for node, c in cut.items()], "shard, dim, value, at, right"))
-        on = F.element_at(F.array(*dims), (F.col("dim") + 1).cast("int"))
-        left = F.col("right").isNull() | (on < F.col("value")) | ((on == F.col("value")) & (F.col("tie") < F.col("at")))
-        units = units.join(made, "shard", "left").withColumn("shard", F.when(left, F.col("shard")).otherwise(F.col("right"))).drop("dim", "value", "at", "right")
-        nodes = {a: n for node, k in nodes.items() for a, n in (((node, k // 2), (node + k // 2, k - k // 2)) if k > 1 else ((node, k),))}
-        level += 1
-        if level % 6 == 0:
-            units = saved(units, "kd")
+        right = at >= _of_node(cut, shards)
+        units = units.withColumn("shard", F.when(right, _of_node({x: x + nodes[x] // 2 for x in cut}, shards)).otherwise(F.col("shard")))
+        nodes = {a: n for x, k in nodes.items() for a, n in (((x, k // 2), (x + k // 2, k - k // 2)) if k > 1 else ((x, k),))}
+        deeper = saved(units, "kd")  # else each level's conditions would be planned into all later ones
+        dropped(done)
+        units = done = deeper
     return units
 
 
@@ -113,7 +111,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     """(doc_id, text_crc32, size, h, source, lang): a text's checksum, weight and hash,
     and the numbers of source and language, which as names have no order of their own."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1).cast("long")).alias(c)
+    name = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit((1 << NAMES) - 1)) + 1, F.lit(0)).cast("long").alias(c)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(body.cast("binary")).alias("text_crc32"), (F.octet_length(body) + 8).cast("long").alias("size"), F.xxhash64(body).alias("h"), name("source"), name("lang"))
 
 
@@ -124,7 +122,8 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     """(doc_id, size, text_crc32, shard, slot) of each row of docs, in `shards` shards,
     or as many as target_bytes asks for."""
     counted = saved(metadata(docs).groupBy("doc_id", *GROUP, "source", "lang").agg(F.count("*").alias("n")), "rows")
-    weight, rows = counted.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least, most = (f("doc_id").cast("decimal(20, 0)") for f in (F.min, F.max))
+    weight, rows, least, most = counted.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(least, F.lit(0)), F.coalesce(most, F.lit(0))).first()
     shards = shards or max(1, -(-weight // (target_bytes or 1 << 30)))
     atom, many = max(1, weight // (shards * ATOMS)), max(SLOTS, rows // (shards * ATOMS))
     # Groups that are heavy or have many rows: less than ATOMS * shards of either kind.
@@ -139,9 +138,11 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     units = pieces.groupBy(*GROUP, "part").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.min(F.coalesce("first", F.struct("doc_id", "source", "lang"))).alias("first"), F.max("heavy").alias("heavy"))
     top = F.shiftrightunsigned("h", 64 - TIE)
     tie = F.when(F.col("heavy"), F.shiftleft(F.shiftrightunsigned("h", 64 - TIE + PART), PART) + F.col("part")).otherwise(top)
-    # Lengths count by their order of magnitude; halves of ids so that no difference leaves 64 bits.
-    length, half = F.floor(F.log2("size") * 65536), F.shiftright(F.coalesce("first.doc_id", F.lit(-(1 << 63)).cast("long")), 1)
-    units = saved(units.select(*GROUP, "part", "bytes", tie.alias("tie"), "first.source", "first.lang", length.alias("length"), half.alias("id")), "units")
+    # Lengths count by their order of magnitude, ids by where they lie between the least and the largest.
+    step = (int(most) - int(least)) // ((1 << WIDE) - 1) + 1
+    place = F.expr(f"(cast(first.doc_id AS decimal(20, 0)) - {int(least)}) div {step}").cast("long") + 1
+    length = F.floor(F.log2("size") * 128)
+    units = saved(units.select(*GROUP, "part", "bytes", tie.alias("tie"), "first.source", "first.lang", length.alias("length"), F.coalesce(place, F.lit(0)).cast("long").alias("id")), "units")
     leaf = kd_split(units, DIMS, shards, error).select(*GROUP, "part", F.col("shard").cast("int").alias("shard"))
     buckets = max(1, rows // (shards * SLOTS))
     bucket = F.pmod(F.xxhash64("doc_id", "h", "run"), F.lit(buckets)).alias("bucket")
