@@ -1,13 +1,13 @@
 """Queries of the training-data operators, and the SQL of those it can express.
 
-Beside the ten, `mixing_targets`, `token_statistics` and `edited_texts` give those
+Beside the thirteen, `mixing_targets`, `token_statistics` and `edited_texts` give those
 columns of op1, op4 and op9 that SQL can check: sizes and targets, counts and base
 scores, and what a text becomes with its neighbour's beginning as its end.
 """
 
 from pyspark.sql import functions as F
 
-from . import kneser_ney, language, mixing, pieces, simhash, spotsigs, token_count, topk, toxicity, urls
+from . import kdtree, kneser_ney, language, middle, mixing, pieces, simhash, spotsigs, token_count, topk, toxicity, urls, vafile
 
 
 def mixing_targets(spark, sf_dir):
@@ -35,6 +35,9 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_spotsigs": spotsigs.query,
     "op10_urls": urls.query,
+    "op11_middle": middle.query,
+    "op12_shards": kdtree.query,
+    "op13_codes": vafile.query,
     "mixing_targets": mixing_targets,
     "token_statistics": token_statistics,
     "edited_texts": edited_texts,
@@ -73,4 +76,4 @@ n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id D
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, n - n // 2) || substring(o, 1, n // 2)) AS edited_sha256 FROM n
 """
 
-ORACLE_SQL = {"op7_topk": topk.SQL, "op10_urls": urls.SQL, "mixing_targets": _TARGETS, "token_statistics": _STATISTICS, "edited_texts": _EDITED}
+ORACLE_SQL = {"op7_topk": topk.SQL, "op10_urls": urls.SQL, "op11_middle": middle.SQL, "op13_codes": vafile.SQL, "mixing_targets": _TARGETS, "token_statistics": _STATISTICS, "edited_texts": _EDITED}
