@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, meaningful_body
@@ -103,7 +103,7 @@ _MODIFIER = r"(?:public|private|protected|internal|static|abstract|sealed|partia
 _LEAD = rf"(?P<whole>(?:\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]\s*)*(?:{_MODIFIER}\s+)*"
 _SHARP_TYPE = re.compile(rf"{_LEAD}(?<![\w.])(?:(?P<kind>class|struct|interface|enum|record)\s+(?:(?:class|struct)\s+)?(?P<name>[A-Za-z_]\w*)|(?P<space>namespace)\s+(?P<path>[A-Za-z_][\w.]*)))")
 _SHARP_METHOD = re.compile(rf"{_LEAD}(?:(?P<type>(?<![\w.])[A-Za-z_](?:[\w.]|::)*\s*(?:{_ANGLED})?(?:\.\w+(?:{_ANGLED})?)*(?:\s*(?:\[[,\s]*\]|\?|\*))*|\([^()]*\)\??)\s+)?(?<![\w.])(?:[\w.]+(?:{_ANGLED})?\.)?(?P<name>[A-Za-z_]\w*)\s*(?:{_ANGLED})?\s*)(?=\()")
-_NOT_TYPES = {"return", "new", "else", "await", "throw", "in", "is", "as", "using", "yield", "case", "goto", "out", "ref", "delegate", "event", "where", "operator", "implicit", "explicit", "this", "base", "get", "set"}
+_NOT_TYPES = {"return", "new", "else", "await", "throw", "in", "is", "as", "using", "yield", "case", "goto", "out", "ref", "delegate", "event", "where", "operator", "implicit", "explicit", "this", "base", "get", "set", "record", "struct"}
 
 
 def _impl_type(text: str) -> str:
@@ -244,14 +244,20 @@ declarations_col = vectorized(declarations, SYMBOL)
 
 
 def parse_symbols(files: DataFrame, keys: tuple[str, ...] = ("path",), text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(symbols, files): symbols has a row a declaration; files tells which are supported."""
+    """(symbols, files): symbols has a row a declaration; files tells which are supported.
+
+    Each distinct content is parsed once (see grammar.py), and met again by its hash."""
     from ..functions.text import extension
+    from .grammar import declared
 
     e = extension(F.col("path"))
     language = F.when(e == "rs", "rust").when(e == "cs", "csharp")
-    code = files.withColumn("language", language).where(F.col("language").isNotNull())
-    parsed = code.withColumn("parsed", declarations_col(F.col(text), F.col("language")))
-    return parsed.select(*keys, "language", F.explode("parsed").alias("s")).select(*keys, "language", "s.*"), parsed.select(*keys, "language", F.col("parsed").isNotNull().alias("supported"))
+    content = F.col(text).cast("string")
+    code = files.select(*keys, content.alias("text"), language.alias("language")).where(F.col("language").isNotNull())
+    code = code.withColumn("cid", F.concat_ws(":", "language", F.coalesce(F.sha2("text", 256), F.lit("none"))))
+    symbols, told = declared(code.select("cid", "language", "text").dropDuplicates(["cid"]))
+    code = code.select(*keys, "language", "cid")
+    return code.join(symbols, "cid").drop("cid"), code.join(told, "cid").drop("cid")
 
 
 def _single(df: DataFrame, on: list[str]) -> DataFrame:
@@ -314,8 +320,14 @@ def symbol_moves(before: DataFrame, after: DataFrame, ledger: DataFrame) -> Data
     rest_l, rest_r = saved(rest_l.join(edited, "before_id", "left_anti")), saved(rest_r.join(edited, "after_id", "left_anti"))
     rich = (F.size(code_tokens(F.col("body"))) >= 20) & (F.size(F.array_distinct(code_tokens(F.col("body")))) >= 12)
     loose = dice_pairs(rest_l.where(rich), rest_r.where(rich), ("language", "kind"), "before_id", "after_id", least=950, tokens=20, distinct=12)
-    once = lambda c: F.count("*").over(Window.partitionBy(c))
-    loose = named(loose.withColumn("n1", once("before_id")).withColumn("n2", once("after_id")).where("n1 = 1 AND n2 = 1").select("before_id", "after_id", "permille"), "renamed")
+    about = lambda d, side: d.select(f"{side}_id", *[F.col(c).alias(f"{side}_{c}") for c in ("path", "name", "signature")])
+    same = lambda c: F.col(f"before_{c}") == F.col(f"after_{c}")
+    loose = loose.select("before_id", "after_id", "permille").join(about(rest_l, "before"), "before_id").join(about(rest_r, "after"), "after_id")
+    loose = saved(loose.where(~same("path") & ~(same("name") & same("signature"))))
+    alone = lambda d, own, other: d.groupBy(own).agg(F.count("*").alias("n"), F.max(other).alias(other), F.max("permille").alias("permille")).where("n = 1").drop("n")
+    # The only partner of the old one, claimed by no other, and the only one of the new one with neither its name nor its signature.
+    rivals = loose.where(~same("name") & ~same("signature")).groupBy("after_id").count().where("count = 1")
+    loose = named(alone(alone(loose, "before_id", "after_id"), "after_id", "before_id").join(rivals, "after_id", "left_semi").select("before_id", "after_id", "permille"), "renamed")
     return outermost(exact.unionByName(edited).unionByName(loose)).select("before_path", "after_path", "kind", "before_name", "after_name", "how", "permille")
 
 

@@ -170,20 +170,24 @@ def ancillary_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...]
 def export_refusals(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
     """pairs with `refusals`, the reasons why new must not be exported as tracked
     changes of old (empty: it may be). old and new are packages; one that is null
-    is plain text, which must not meet special content on the other side."""
+    is plain text, which must not meet special content on the other side. Special
+    content of two packages is compared by what surrounds it (special.py)."""
+    from .special import special_changes
+
     a, b = F.col(old), F.col(new)
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    told = lambda c: empty(F.transform(special_content_col(c), lambda s: F.concat_ws("\u0001", s["kind"], s["value"], s["owner"])))
     signed = lambda c: empty(F.transform(ancillary_col(c), lambda s: F.concat_ws("\u0001", s["kind"], s["ordinal"], s["signature"])))
     plain = a.isNull() != b.isNull()
-    held = told(F.coalesce(a, b))
+    held = F.coalesce(F.size(special_content_col(F.coalesce(a, b))), F.lit(0))
+    moved = special_changes(pairs, old, new).select(F.col("old").alias("__old"), F.col("new").alias("__new")).distinct()
+    on = (F.sha2(a, 256) == F.col("__old")) & (F.sha2(b, 256) == F.col("__new"))
     reasons = [
         (F.coalesce(tracks_changes_col(b), F.lit(False)), "revisions"),
-        (plain & (F.size(held) > 0), "formats"),
-        (~plain & (told(a) != told(b)), "special content"),
+        (plain & (held > 0), "formats"),
+        (F.col("__old").isNotNull(), "special content"),
         (~plain & (signed(a) != signed(b)), "ancillary parts"),
     ]
-    return pairs.withColumn("refusals", F.filter(F.array(*[F.when(c, r) for c, r in reasons]), lambda x: x.isNotNull()))
+    return pairs.join(moved, on, "left").withColumn("refusals", F.filter(F.array(*[F.when(c, r) for c, r in reasons]), lambda x: x.isNotNull())).drop("__old", "__new")
 
 
 def paragraph_context(rows: DataFrame, keys: tuple[str, ...], order: str, text: str = "text", reach: int = 8) -> DataFrame:
@@ -191,5 +195,5 @@ def paragraph_context(rows: DataFrame, keys: tuple[str, ...], order: str, text:
     the number of this text among its equals."""
     w = Window.partitionBy(*keys).orderBy(order)
     near: Column = F.collect_list(text)
-    nth = F.row_number().over(Window.partitionBy(*keys, text).orderBy(order))
+    nth = F.row_number().over(Window.partitionBy(*keys, F.xxhash64(text)).orderBy(order))
     return rows.withColumns({"before": near.over(w.rowsBetween(-reach, -1)), "after": near.over(w.rowsBetween(1, reach)), "nth": nth})
