@@ -1,7 +1,6 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-The candidates are dealt into blocks and the queries into blocks of their own.
-For a query, each dimension of a block is a list: the block's vectors sorted by
+The candidates are dealt into blocks, and queries go to every block. For a query, each dimension of a block is a list: the block's vectors sorted by
 their contribution to the score, from the list's top where the query's component
 is positive and from its bottom where it is negative (zero components have no
 list). The NRA algorithm (Fagin, Lotem and Naor, 2001) reads all lists in step:
@@ -22,9 +21,10 @@ leave it one by one as they stop. The k-th best of the blocks that a task has re
 before for the same queries counts as a bound from the start, so later blocks are
 read less deep. nra() returns the depths it read to.
 
-Each block of queries meets each block of candidates (a stated query set against
-all rows); a task keeps k rows a query for all the blocks that it reads, and one
-ranking merges the tasks. No pair of vectors is ever a row.
+Each query meets each block of candidates (a stated query set against all rows): a
+candidate moves once and its block's lists are sorted once. A task keeps k rows a
+query for the blocks that it reads, and one ranking merges the tasks. No pair of
+vectors is ever a row, and nothing is joined.
 
 Components are whole numbers, and sums stay exact: in doubles below 2 ** 53,
 else in 64-bit integers.
@@ -46,8 +46,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, trimmed
 
-#: Components of a block of candidates and of one of queries.
-BLOCK, QUERIES = 1 << 19, 1 << 18
+#: Components of a block of candidates, and queries whose best a task holds at most.
+BLOCK, QUERIES = 1 << 18, 100_000
 #: Entries of each list that the first step reads; every step doubles the depth.
 FIRST, RESOLVE = 64, 8
 #: Queries that are read for together.
@@ -125,31 +125,25 @@ def _best(query: np.ndarray, lists: Lists, rows: np.ndarray, k: int) -> tuple[np
 
 
 class Best:
-    """The k best (score, id) of each query of a block over candidate blocks."""
+    """The k best (score, id) of queries over the candidate blocks that a task reads."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.held: list[list[tuple[int, int]]] = [[] for _ in ids]
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
 
-    def meet(self, lists: Lists) -> None:
-        for at in range(0, len(self.ids), STEP):
-            ids = self.ids[at : at + STEP]
-            least = np.array([-h[-1][0] if len(h) == self.k else -np.inf for h in self.held[at : at + STEP]])
-            for i, (rows, scores, _) in enumerate(nra(self.vectors[at : at + STEP], lists, ids, self.k, least), at):
-                self.held[i] = sorted(self.held[i] + list(zip((-scores).tolist(), lists.ids[rows].tolist())))[: self.k]
+    def meet(self, lists: Lists, ids: np.ndarray, vectors: np.ndarray) -> None:
+        found = [self.held.get(i, []) for i in ids.tolist()]
+        least = np.array([-h[-1][0] if len(h) == self.k else -np.inf for h in found])
+        for i, h, (rows, scores, _) in zip(ids.tolist(), found, nra(vectors, lists, ids, self.k, least)):
+            self.held[i] = sorted(h + list(zip((-scores).tolist(), lists.ids[rows].tolist())))[: self.k]
 
     def batch(self) -> pa.RecordBatch:
-        rows = [(q, i, -s) for q, held in zip(self.ids.tolist(), self.held) for s, i in held]
+        rows = [(q, i, -s) for q, held in self.held.items() for s, i in held]
+        self.held = {}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
 
-def _packed(frame: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks (dim, name, rows) of about `size` components of vectors of one
-    length. Rows are dealt by id and place, so an id with very many rows is
-    spread like any others."""
-    n = frame.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / size).alias("blocks"))
-    dealt = frame.withColumn("place", F.xxhash64("id", F.monotonically_increasing_id())).join(n, "dim").withColumn(name, F.pmod("place", F.col("blocks")))
-    return dealt.groupBy("dim", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+def _components(frame: DataFrame) -> int:
+    return frame.agg(F.sum("dim")).first()[0] or 0
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -160,29 +154,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         v = F.col(vector).cast("array<long>")
         return df.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.col("dim") > 0))
 
-    blocks = _packed(clean(vectors), BLOCK, "block")
-    once = clean(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    asked = _packed(once, QUERIES, "asked")
-    # Each candidate block meets each query block: a stated query set against all rows.
-    met = blocks.join(asked, "dim").repartition("dim", "block", "asked").sortWithinPartitions("dim", "asked")
-
-    def arrays(one, name, dim):
-        rows = one.column(f"{name}_rows")[0].values
-        return np.asarray(rows.field("id")), np.asarray(rows.field("v").flatten()).reshape(-1, dim)
+    candidates = clean(vectors)
+    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    # Each candidate block meets each query (a stated query set against all rows): a candidate moves once, to its
+    # block, by its id and place, so that an id with very many rows is spread like any others; queries go to all blocks.
+    blocks = max(1, -(-_components(candidates) // BLOCK))
+    own = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = candidates.select("dim", own.alias("block"), F.lit(0).alias("asks"), "id", "v").unionByName(asked.select("dim", every.alias("block"), F.lit(1).alias("asks"), "id", "v"))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(n, "dim", "block").sortWithinPartitions("dim", "block", "asks", "id")
+
+    def arrays(parts, dim):
+        ids = np.concatenate([np.asarray(p.column("id")) for p in parts])
+        return ids, np.concatenate([np.asarray(p.column("v").flatten()) for p in parts]).reshape(-1, dim)
 
     def run(batches):
-        best, now = None, None
+        best, now, held, lists = Best(k), None, [], None
         for b in batches:
-            for row in range(b.num_rows):
-                one = b.slice(row, 1)
-                dim, asked = one.column("dim")[0].as_py(), one.column("asked")[0].as_py()
-                if now != (dim, asked):
-                    if best:
-                        yield best.batch()
-                    best, now = Best(*arrays(one, "asked", dim), k), (dim, asked)
-                ids, v = arrays(one, "block", dim)
-                best.meet(Lists(v, ids))
-        if best:
+            place = [np.asarray(b.column(c)) for c in ("dim", "block", "asks")]
+            cuts = [0, *(np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                dim, block, asks = (int(p[start]) for p in place)
+                if now != (dim, block):
+                    now, held, lists = (dim, block), [], None
+                part = b.slice(start, end - start)
+                if not asks:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue  # no candidate of this length is in the block
+                if lists is None:
+                    ids, v = arrays(held, dim)
+                    lists = Lists(v, ids)
+                for at in range(0, end - start, STEP):
+                    best.meet(lists, *arrays([part.slice(at, STEP)], dim))
+                if len(best.held) > QUERIES:
+                    yield best.batch()
+        if best.held:
             yield best.batch()
         trimmed()
 
