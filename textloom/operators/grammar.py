@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import saved, spread
 
 MOST_BYTES, MOST_SYMBOLS, MOST_DEPTH = 2 << 20, 5_000, 128
 
@@ -84,8 +84,9 @@ def _tokens(contents: DataFrame) -> DataFrame:
     byte places; c is word, literal, arguments, open, broken or sign."""
     rust = F.col("language") == "rust"
     cut = F.when(rust, F.regexp_extract_all("text", F.lit(_RUST_TOKENS), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_SHARP_TOKENS), F.lit(0)))
-    rows = contents.select("cid", "language", F.posexplode(cut).alias("pos", "t"))
-    end = F.sum(F.octet_length("t")).over(Window.partitionBy("cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # An outer one: of a plain explode a filter is inferred that cuts all texts a second time.
+    rows = contents.select("k", "cid", "language", F.posexplode_outer(cut).alias("pos", "t")).where(F.col("t").isNotNull())
+    end = F.sum(F.octet_length("t")).over(Window.partitionBy("k", "cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = F.col("t")
     first = t.substr(1, 1)
     broken = (t == '"') | (t.startswith("/*") & (~t.endswith("*/") | (F.length(t) < 4))) | (~rust & (t == "'")) | (rust & (t == "'"))
@@ -94,7 +95,7 @@ def _tokens(contents: DataFrame) -> DataFrame:
         .when(t.rlike(r"^(?:r#|@)?[\p{L}_]"), "word").when((first == "<") & (F.length(t) > 2), "arguments").otherwise("sign")
     )
     trivia = t.rlike(r"^(?:\s*+$|//|/\*[\s\S]*\*/$|[^\S\n]*+#[^\n]++$)") & ~(rust & (t == "#"))
-    return rows.withColumn("end", end).where(~trivia).select("cid", "language", "t", (F.col("end") - F.octet_length("t")).alias("at"), "end", c.alias("c"))
+    return rows.withColumn("end", end).where(~trivia).select("k", "cid", "language", "t", (F.col("end") - F.octet_length("t")).alias("at"), "end", c.alias("c"))
 
 
 def _bracketed(tokens: DataFrame) -> DataFrame:
@@ -103,27 +104,27 @@ def _bracketed(tokens: DataFrame) -> DataFrame:
     bad (brackets that don't match)."""
     t = F.col("t")
     opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
-    by = Window.partitionBy("cid").orderBy("at")
+    by = Window.partitionBy("k", "cid").orderBy("at")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = tokens.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
     p1, p2 = F.lag("t").over(by), F.lag("t", 2).over(by)
     c1, c2, e2, e3 = F.lag("c").over(by), F.lag("c", 2).over(by), F.lag("end", 2).over(by), F.lag("end", 3).over(by)
     named = (F.col("language") == "rust") & ((p1 == "!") & (c2 == "word") & (F.lag("at").over(by) == e2) | (p2 == "!") & (c1 == "word") & (F.lag("c", 3).over(by) == "word") & (F.lag("at", 2).over(by) == e3))
     out = out.withColumn("macro", opens & F.coalesce(named, F.lit(False))).withColumn("level", F.when(opens, F.col("depth")).when(closes, F.col("depth") + 1))
-    pair = Window.partitionBy("cid", "level").orderBy("at")
+    pair = Window.partitionBy("k", "cid", "level").orderBy("at")
     mate = F.struct("t", "at", "macro")
     out = out.withColumn("mate", F.when(closes, F.lag(mate).over(pair)))
     fits = F.concat(F.col("mate.t"), t).isin("()", "[]", "{}")
     out = out.withColumn("bad", (closes & ~F.coalesce(fits, F.lit(False))) | (F.col("depth") < 0) | (F.col("c") == "broken") | (F.col("depth") > MOST_DEPTH))
     out = out.withColumn("inside", F.sum(F.when(F.col("macro"), 1).when(F.col("mate.macro"), -1).otherwise(0)).over(so_far))
-    around = F.last(F.when(opens, F.struct("at", "t")), ignorenulls=True).over(Window.partitionBy("cid", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    around = F.last(F.when(opens, F.struct("at", "t")), ignorenulls=True).over(Window.partitionBy("k", "cid", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.withColumn("around", F.when(F.col("depth") > 0, around))
-    return out.select("cid", "language", "t", "c", "at", "end", "depth", "bad", "inside", F.coalesce("mate.at", "at").alias("open"), F.coalesce("around.at", F.lit(-1)).alias("parent"), F.coalesce("around.t", F.lit("{")).alias("around"), opens.alias("opens"))
+    return out.select("k", "cid", "language", "t", "c", "at", "end", "depth", "bad", "inside", F.coalesce("mate.at", "at").alias("open"), F.coalesce("around.at", F.lit(-1)).alias("parent"), F.coalesce("around.t", F.lit("{")).alias("around"), opens.alias("opens"))
 
 
 def _follow() -> Column:
     """True where a token can never be followed by the next one."""
-    by = Window.partitionBy("cid").orderBy("at")
+    by = Window.partitionBy("k", "cid").orderBy("at")
     t, c, rust = F.col("t"), F.col("c"), F.col("language") == "rust"
     nt, nc, gap = F.lead("t").over(by), F.lead("c").over(by), F.lead("inside").over(by)
     pt = F.coalesce(F.lag("t").over(by), F.lit(";"))
@@ -142,13 +143,13 @@ def _follow() -> Column:
 def _segments(bracketed: DataFrame) -> DataFrame:
     """(cid, language, parent, a): the siblings of each segment inside of braces or of
     nothing, in order; a bracketed group stands there as its closing bracket."""
-    siblings = Window.partitionBy("cid", "parent").orderBy("at")
+    siblings = Window.partitionBy("k", "cid", "parent").orderBy("at")
     ends = F.col("t").isin(";", "}")
     rows = bracketed.where(~F.col("opens") & (F.col("inside") == 0) & (F.col("around") == "{"))
     seg = F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     semi = F.first(F.when(F.col("t") == ";", F.col("end")), ignorenulls=True).over(siblings.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     rows = rows.withColumn("seg", seg).withColumn("semi", semi)
-    return rows.groupBy("cid", "language", "parent", "seg").agg(F.array_sort(F.collect_list(F.struct("open", "end", "t", "c", "semi"))).alias("a")).where(F.exists("a", lambda x: x["c"] == "word") & F.element_at("a", -1)["t"].isin(";", "}"))
+    return rows.groupBy("k", "cid", "language", "parent", "seg").agg(F.array_sort(F.collect_list(F.struct("open", "end", "t", "c", "semi"))).alias("a")).where(F.exists("a", lambda x: x["c"] == "word") & F.element_at("a", -1)["t"].isin(";", "}"))
 
 
 def _where(a: Column, test) -> Column:
@@ -226,13 +227,15 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols: (cid, kind, scope, name, signature, body, source, byte_start, byte_end) in
     contents that are supported; told: (cid, supported)."""
     fit = contents.where(F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES))
-    tokens = saved(_bracketed(_tokens(fit)))
-    wrong = tokens.withColumn("wrong", _follow()).groupBy("cid").agg(F.max(F.col("bad") | F.col("wrong")).alias("bad"), F.max_by("depth", "at").alias("open_"))
-    segments = _segments(tokens)
+    # Contents are dealt over tasks by k, not merged by their bytes: a text is many rows of work.
+    tokens = saved(_bracketed(_tokens(spread(fit.withColumn("k", F.xxhash64("cid")), "k"))))
+    held = spread(tokens, "k")
+    wrong = held.withColumn("wrong", _follow()).groupBy("k", "cid").agg(F.max(F.col("bad") | F.col("wrong")).alias("bad"), F.max_by("depth", "at").alias("open_"))
+    segments = _segments(held)
     items = saved(_rust_items(segments).unionByName(_sharp_items(segments)).where("`end` IS NOT NULL"))
     # A file-scoped namespace holds what follows it.
     listed = items.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "head", "name", "body", "scoped", "of"))).alias("items"))
-    whole = contents.join(wrong, "cid", "left").join(listed, "cid", "left")
+    whole = contents.join(wrong.drop("k"), "cid", "left").join(listed, "cid", "left")
     count = F.coalesce(F.size(F.filter("items", lambda x: x["kind"].isNotNull())), F.lit(0))
     ok = F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES) & ~F.coalesce(F.col("bad"), F.lit(False)) & (F.coalesce(F.col("open_"), F.lit(0)) == 0) & (count <= MOST_SYMBOLS)
     whole = saved(whole.withColumn("supported", F.coalesce(ok, F.lit(False))).select("cid", "text", "items", "supported"))

@@ -345,6 +345,18 @@ def declared_symbols(spark, sf_dir):
     return found.select("path", "language", "kind", "scope", "name", F.col("byte_start").cast("long").alias("byte_start"))
 
 
+def declared_kinds(spark, sf_dir):
+    """Declarations of a Rust and a C# source for each part, of all kinds of both
+    languages; every tenth source has a syntax error and declares nothing."""
+    p = _table(spark, sf_dir, "part")
+    key, size, wrong = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 10 == 7
+    value = F.when(wrong, "").otherwise(size.cast("string"))
+    rust = F.format_string("use a::{b, c};\npub trait Priced%1$d { fn price(&self) -> i32 { 1 } fn sign(&self); }\npub enum Brand%1$d { A, B(u8) }\ntype Alias%1$d = Vec<i32>;\nconst SIZE: i32 = %2$s;\nstruct Part(i32);\nimpl<T> Priced%1$d for Brand%1$d where T: Copy { fn price(&self) -> i32 { match self { Self::A => %3$d, _ => 0 } } }\n", key, value, size)
+    sharp = F.format_string("using System;\nnamespace Shop%1$d {\n  public interface ISold { void Sell(); }\n  [Serializable] public class Part%1$d : ISold { public Part%1$d(int n) : base() { } public void Sell() { int x = %2$s; } enum State { New } int F = G(3); }\n  public record Price(int Amount);\n  record struct Pair%1$d(int A, int B) { int Sum() => A + B; }\n  struct Box { int a; }\n}\n", key, value)
+    files = p.select(F.format_string("p%d.rs", key).alias("path"), rust.alias("content")).unionByName(p.select(F.format_string("p%d.cs", key).alias("path"), sharp.alias("content")))
+    return symbols.parse_symbols(files)[0].select("path", "kind", "scope", "name")
+
+
 def symbol_changes(spark, sf_dir):
     before, after = (symbols.parse_symbols(_sources(spark, sf_dir, v))[0] for v in (0, 1))
     return symbols.ast_diff(before, after).select("path", "change", "kind", "before_name", "after_name")
@@ -359,7 +371,7 @@ def near_documents(spark, sf_dir):
 
 
 FLAGSHIP = "file_ledger"
-QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, symbol_changes, near_documents)}
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, declared_kinds, symbol_changes, near_documents)}
 
 #: Hunks of pairs p(id, old, new): a table of common subsequences of suffixes, filled
 #: a cell a step from its end, then walked from its start; middles only.
@@ -476,6 +488,11 @@ ORACLE_SQL = {
       q AS (SELECT *, head || 'pub fn ' || fn || '(n: i32) -> i32 { n * ' || p_size || ' + ' || p_partkey || ' }' || chr(10) || 'mod inner { ' AS before_struct FROM p)
       SELECT path, 'rust' AS language, 'const' AS kind, '' AS scope, 'MARK' AS name, CAST(strpos(head, 'const') - 1 AS BIGINT) AS byte_start FROM q
       UNION ALL SELECT path, 'rust', 'function', '', fn, strlen(head) FROM q UNION ALL SELECT path, 'rust', 'struct', 'mod:inner', 'Size_' || p_size, strlen(before_struct) FROM q""",
+    "declared_kinds": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part WHERE p_partkey % 10 <> 7),
+      r AS (SELECT k, unnest([['trait', '', 'Priced' || k], ['function', 'trait:Priced' || k, 'price'], ['enum', '', 'Brand' || k], ['type', '', 'Alias' || k], ['const', '', 'SIZE'], ['struct', '', 'Part'], ['function', 'impl:Brand' || k, 'price']]) AS d FROM p),
+      c AS (SELECT k, 'namespace:Shop' || k AS n, 'namespace:Shop' || k || '/class:Part' || k AS m FROM p),
+      s AS (SELECT k, unnest([['interface', n, 'ISold'], ['method', n || '/interface:ISold', 'Sell'], ['class', n, 'Part' || k], ['constructor', m, 'Part' || k], ['method', m, 'Sell'], ['enum', m, 'State'], ['record', n, 'Price'], ['record', n, 'Pair' || k], ['method', n || '/record:Pair' || k, 'Sum'], ['struct', n, 'Box']]) AS d FROM c)
+      SELECT 'p' || k || '.rs' AS path, d[1] AS kind, d[2] AS scope, d[3] AS name FROM r UNION ALL SELECT 'p' || k || '.cs', d[1], d[2], d[3] FROM s""",
     "symbol_changes": """SELECT 'p' || p_partkey || '.rs' AS path, CASE p_partkey % 5 WHEN 1 THEN 'rename' WHEN 2 THEN 'modify' ELSE 'delete' END AS change, CASE p_partkey % 5 WHEN 3 THEN 'struct' ELSE 'function' END AS kind,
       CASE p_partkey % 5 WHEN 3 THEN 'Size_' || p_size ELSE 'part_' || p_partkey END AS before_name, CASE p_partkey % 5 WHEN 1 THEN 'renamed_' || p_partkey WHEN 2 THEN 'part_' || p_partkey END AS after_name FROM part WHERE p_partkey % 5 IN (1, 2, 3)""",
     "near_documents": f"""WITH t AS (SELECT lang, doc_id, w, count(*) AS n FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{_C}')) AS w FROM documents) GROUP BY ALL),
