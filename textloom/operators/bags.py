@@ -32,6 +32,8 @@ SENT = 500_000
 BLOCK, LEAST_BLOCKS = 400_000, 8
 #: Likely pairs of one group of texts from which it is dealt in tiles.
 TILE = 20_000
+#: Rows of one use that meet in one task; a use that the sample shows to have more is dealt in pairs of tiles.
+USE_TILE = 20_000
 #: Rows that are swept at once, and pairs that are held until they are handed on.
 SWEPT, HELD = 200_000, 1_000_000
 LEFT, RIGHT = 1, 2
@@ -130,9 +132,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _prefixes(named, share: float) -> Callable:
+def _dealt(kept: np.ndarray, at: np.ndarray, before: np.ndarray, i: int, scale: float) -> list[np.ndarray]:
+    """The uses of one row, each once, or, if as many rows as its count in the sample tells
+    have it, once for each pair of tiles that the row's tile makes: `at` tells the side in such a
+    pair (1 or 2; 0: not dealt, or the tile with itself)."""
+    tiles = np.maximum(1, np.ceil((kept >> 49) * (scale / USE_TILE))).astype(np.int64)
+    if (tiles == 1).all():
+        return [kept, at, before, np.full(len(kept), i)]
+    row = np.repeat(np.arange(len(kept)), tiles)
+    n, other = tiles[row], np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    mine = (np.uint64(i) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % n
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    mixed = (kept[row].astype(np.uint64) + (low * n + high).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
+    use = np.where(n == 1, kept[row], (mixed >> np.uint64(1)).astype(np.int64))
+    side = np.where(low == high, 0, 1 + (mine == high))
+    return [use, at[row] | (side << 30), before[row], np.full(len(row), i)]
+
+
+def _prefixes(named, share: float, scale: float) -> Callable:
     """(id, group, flags, bag) to (use, at, before, id) of each row's rarest uses: `at` has
-    the size, place and flags in one number that sorts by size, `before` the use ahead."""
+    the size, side, place and flags in one number that sorts by size, `before` the use ahead.
+    scale: rows for each row of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses, df = named.value
@@ -145,10 +165,9 @@ def _prefixes(named, share: float) -> Callable:
                     j = np.minimum(np.searchsorted(uses, e), len(uses) - 1)
                     often = np.where(uses[j] == e, df[j], often)
                 kept = np.sort((often << np.uint64(49)) | e)[: size - math.ceil(share * size - 1e-9) + 1].astype(np.int64)
-                out[0].append(kept)
-                out[1].append((size << 32) | (np.arange(1, len(kept) + 1) << 2) | flags)
-                out[2].append(np.concatenate([[0], kept[:-1]]))
-                out[3].append(np.full(len(kept), i))
+                at = (size << 32) | (np.arange(1, len(kept) + 1) << 2) | flags
+                for c, x in zip(out, _dealt(kept, at, np.concatenate([[0], kept[:-1]]), i, scale)):
+                    c.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["use", "at", "before", "id"])
 
@@ -164,7 +183,7 @@ def _meetings(t: float, share: float) -> Callable:
 
     def swept(rows: list[np.ndarray], old: int) -> Iterator[pa.RecordBatch]:
         e, at, before, ids = rows
-        size, place, flags = at >> 32, (at >> 2) & (1 << 30) - 1, at & 3
+        size, side, place, flags = at >> 32, (at >> 30) & 3, (at >> 2) & (1 << 28) - 1, at & 3
         limit, found, n, i, k = size / share + 1e-6, [], 0, np.arange(len(e)), 0
         while len(i):
             k += 1
@@ -174,7 +193,7 @@ def _meetings(t: float, share: float) -> Callable:
             i, j = i[near], j[near]
             fit = (j >= old) & (((flags[i] & LEFT) != 0) & ((flags[j] & RIGHT) != 0) | ((flags[i] & RIGHT) != 0) & ((flags[j] & LEFT) != 0))
             fit &= 1 + np.minimum(size[i] - place[i], size[j] - place[j]) >= t / 2 * (size[i] + size[j]) - 1e-6
-            fit &= ((before[i] != before[j]) | (before[i] == 0)) & (ids[i] != ids[j])
+            fit &= ((before[i] != before[j]) | (before[i] == 0)) & (ids[i] != ids[j]) & ((side[i] == 0) | (side[i] != side[j]))
             found.append((ids[i[fit]], ids[j[fit]]))
             n += len(found[-1][0])
             if n >= HELD or n and not len(i):
@@ -340,22 +359,20 @@ def _pooled(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.join(twice, keys, "left_anti").unionByName(rows.join(twice, keys, "left_semi").groupBy(*keys).agg(F.concat_ws("\n", F.collect_list(text)).alias(text)))
 
 
-def like_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b: str, text: str, words: Callable[[Column], Column], least: int, tokens: int, distinct: int) -> DataFrame:
-    """(on, a, b, permille): all pairs that agree in `on` and whose bags of `words` have a Dice of `least`
-    permille (over 0), where both have `tokens` tokens and the left has `distinct` different ones."""
-    spark, t = left.sparkSession, least / 1000
+def _alike(rows: DataFrame, names: list[str], words: Callable[[Column], Column], least: int, tokens: int, distinct: int, alone: bool) -> tuple[DataFrame, DataFrame]:
+    """rows (names, key, text, left) -> (members, found): members (names, key, left, id, rep, n, first,
+    l, r) has the class of each row's bag, of which rep is a row and first the smallest key; found
+    (a, b, permille) the pairs of classes. alone: all rows are on both sides."""
+    spark, t = rows.sparkSession, least / 1000
     share = t / (2 - t)
-    names = [f"on{i}" for i in range(len(on))]
-    side = lambda d, key, is_left: _pooled(d.select(*(F.col(c).alias(k) for c, k in zip(on, names)), F.col(key).alias("key"), F.col(text).alias("text")).dropna(), [*names, "key"], "text").withColumn("left", F.lit(is_left))
-    # A union deals with keys of two types; the result has each side's own.
-    rows = side(left, a, True).unionByName(side(right, b, False))
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     rows = rows.select(*names, "key", F.xxhash64(F.lit(0), *names).alias("group"), "left", F.monotonically_increasing_id().alias("id"), hashed.alias("tokens"))
     width = len(names) + 1
     schema = StructType([*rows.schema.fields[:width], StructField("group", LongType()), StructField("left", BooleanType()), StructField("id", LongType()), StructField("size", IntegerType()), *(StructField(c, BinaryType()) for c in ("class", "sketch", "bag"))])
     read = saved(_bounded(rows, _read(width, tokens, distinct), schema))
 
-    classes = read.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.max(F.when(F.col("left"), LEFT).otherwise(0)).alias("l"), F.max(F.when(F.col("left"), 0).otherwise(RIGHT)).alias("r"))
+    sides = (F.lit(LEFT), F.lit(RIGHT)) if alone else (F.max(F.when(F.col("left"), LEFT).otherwise(0)), F.max(F.when(F.col("left"), 0).otherwise(RIGHT)))
+    classes = read.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("key").alias("first"), sides[0].alias("l"), sides[1].alias("r"))
     members = saved(read.select(*names, "key", "left", "id", "class").join(classes, "class").drop("class"))
     several = members.where("n > 1").select("id", (F.col("id") == F.col("rep")).alias("first"), (F.col("l") + F.col("r")).alias("both"))
     counts = members.agg(F.count("*").alias("n"), F.sum((F.col("n") > 1).cast("long")).alias("several")).first()
@@ -369,14 +386,41 @@ def like_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b
     order = np.argsort(uses)
     named = spark.sparkContext.broadcast((uses[order], np.minimum(df[order], (1 << 14) - 1)))
 
-    flags = F.coalesce("both", F.when(F.col("left"), LEFT).otherwise(RIGHT)).cast("int")
+    flags = F.lit(LEFT + RIGHT) if alone else F.coalesce("both", F.when(F.col("left"), LEFT).otherwise(RIGHT)).cast("int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = _bounded(own.select("id", "group", flags.alias("flags"), "bag"), _prefixes(named, share), "use long, at long, before long, id long")
+    starts = _bounded(own.select("id", "group", flags.alias("flags"), "bag"), _prefixes(named, share, 1 / part), "use long, at long, before long, id long")
     met = _bounded(starts.repartition(n, "use").sortWithinPartitions("use", "at"), _meetings(t, share), "a long, b long")
     near = saved(_sketched(met, own, counts["n"], t))
     named.unpersist()
-    found = saved(_verified(near, read, least))
+    return members, saved(_verified(near, read, least))
+
 
+def like_classes(rows: DataFrame, on: tuple[str, ...], key: str, text: str, words: Callable[[Column], Column], least: int, tokens: int, distinct: int) -> DataFrame:
+    """(on, key, class_id, n_links, first_link, permille): each row with its class, the smallest key
+    whose text has the same bag of `words` (and `on`), and of the other classes whose Dice is `least`
+    permille (over 0) or more the number, the smallest, and the largest permille.
+
+    Texts of fewer than `tokens` tokens or `distinct` different ones are in no class and have no
+    link; rows with a null have no row; the texts of repeated keys are one bag. Copies are a class, so the
+    rows of the result are those of the input, however large a group of copies is."""
+    names = [f"on{i}" for i in range(len(on))]
+    given = _pooled(rows.select(*(F.col(c).alias(k) for c, k in zip(on, names)), F.col(key).alias("key"), F.col(text).alias("text")).dropna(), [*names, "key"], "text").withColumn("left", F.lit(True))
+    members, found = _alike(given, names, words, least, tokens, distinct, True)
+    reps = saved(members.where("id = rep").select("rep", "first"))
+    ends = found.select("a", "b", "permille").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "permille"))
+    links = ends.join(reps.select(F.col("rep").alias("b"), F.col("first").alias("link")), "b").groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"), F.min("link").alias("first_link"), F.max("permille").alias("permille"))
+    classed = members.select(*names, "key", "rep", F.col("first").alias("class_id")).join(links, "rep", "left").drop("rep")
+    out = given.select(*names, "key").join(classed, [*names, "key"], "left")
+    return out.select(*(F.col(k).alias(c) for c, k in zip(on, names)), F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first_link", F.col("permille").cast("int").alias("permille"))
+
+
+def like_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b: str, text: str, words: Callable[[Column], Column], least: int, tokens: int, distinct: int) -> DataFrame:
+    """(on, a, b, permille): all pairs that agree in `on` and whose bags of `words` have a Dice of `least`
+    permille (over 0), where both have `tokens` tokens and the left has `distinct` different ones."""
+    names = [f"on{i}" for i in range(len(on))]
+    side = lambda d, key, is_left: _pooled(d.select(*(F.col(c).alias(k) for c, k in zip(on, names)), F.col(key).alias("key"), F.col(text).alias("text")).dropna(), [*names, "key"], "text").withColumn("left", F.lit(is_left))
+    # A union deals with keys of two types; the result has each side's own.
+    members, found = _alike(side(left, a, True).unionByName(side(right, b, False)), names, words, least, tokens, distinct, False)
     x = members.where("left").select(*names, F.col("key").alias("x"), F.col("rep").alias("cx"))
     y = members.where("NOT left").select(*names, F.col("key").alias("y"), F.col("rep").alias("cy"))
     same = members.where("id = rep AND l > 0 AND r > 0").select(F.col("rep").alias("cx"), F.col("rep").alias("cy"), F.lit(1000).cast("long").alias("permille"))

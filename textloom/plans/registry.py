@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import align, compare, diff, ledger, mapping, review, structure, symbols
+from ..operators import align, bags, compare, diff, ledger, mapping, review, structure, symbols
 from ..sources.decode import decode_col
 from ..sources.package import paragraph_context as context_of
 from ..storage import saved, spread
@@ -363,14 +363,13 @@ def symbol_changes(spark, sf_dir):
 
 
 def near_documents(spark, sf_dir):
-    """Documents of one language, even ids against odd, that share 90% of their tokens."""
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", "doc_id", F.col("text").alias("body"))
-    odd = F.pmod("doc_id", F.lit(2))
-    left, right = d.where(odd == 0).withColumnRenamed("doc_id", "x"), d.where(odd == 1).withColumnRenamed("doc_id", "y")
-    return ledger.dice_pairs(left, right, ("lang",), "x", "y", least=900).select("x", "y", F.col("permille").cast("long").alias("permille"))
+    """Documents with the class of those of the same language that have the same tokens, and
+    its links to classes that share 90% of their tokens."""
+    d = _table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    found = bags.like_classes(d, ("lang",), "doc_id", "text", text.code_tokens, 900, 12, 8)
+    return found.select("lang", "doc_id", "class_id", "n_links", "first_link", F.col("permille").cast("long").alias("permille"))
 
 
-FLAGSHIP = "file_ledger"
 QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, declared_kinds, symbol_changes, near_documents)}
 
 #: Hunks of pairs p(id, old, new): a table of common subsequences of suffixes, filled
@@ -495,8 +494,12 @@ ORACLE_SQL = {
       SELECT 'p' || k || '.rs' AS path, d[1] AS kind, d[2] AS scope, d[3] AS name FROM r UNION ALL SELECT 'p' || k || '.cs', d[1], d[2], d[3] FROM s""",
     "symbol_changes": """SELECT 'p' || p_partkey || '.rs' AS path, CASE p_partkey % 5 WHEN 1 THEN 'rename' WHEN 2 THEN 'modify' ELSE 'delete' END AS change, CASE p_partkey % 5 WHEN 3 THEN 'struct' ELSE 'function' END AS kind,
       CASE p_partkey % 5 WHEN 3 THEN 'Size_' || p_size ELSE 'part_' || p_partkey END AS before_name, CASE p_partkey % 5 WHEN 1 THEN 'renamed_' || p_partkey WHEN 2 THEN 'part_' || p_partkey END AS after_name FROM part WHERE p_partkey % 5 IN (1, 2, 3)""",
-    "near_documents": f"""WITH t AS (SELECT lang, doc_id, w, count(*) AS n FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{_C}')) AS w FROM documents) GROUP BY ALL),
-      s AS (SELECT doc_id, sum(n) AS n, count(*) AS k FROM t GROUP BY doc_id),
-      c AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS c FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.w = b.w GROUP BY ALL)
-      SELECT x, y, CAST(floor(2000 * c / (sx.n + sy.n)) AS BIGINT) AS permille FROM c JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE sx.n >= 12 AND sy.n >= 12 AND sx.k >= 8 AND floor(2000 * c / (sx.n + sy.n)) >= 900""",
+    "near_documents": f"""WITH g AS (SELECT DISTINCT lang, doc_id FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL),
+      t AS (SELECT lang, doc_id, w, count(*) AS n FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{_C}')) AS w FROM documents) GROUP BY ALL),
+      s AS (SELECT lang, doc_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(w || chr(0) || n, chr(0) ORDER BY w)) AS bag FROM t GROUP BY lang, doc_id HAVING sum(n) >= 12 AND count(*) >= 8),
+      k AS (SELECT lang, doc_id, n, min(doc_id) OVER (PARTITION BY lang, bag) AS class_id FROM s),
+      r AS (SELECT t.*, k.n AS size FROM t JOIN k ON t.lang = k.lang AND t.doc_id = k.doc_id AND k.class_id = k.doc_id),
+      c AS (SELECT a.doc_id AS x, b.doc_id AS y, CAST(floor(2000 * sum(least(a.n, b.n)) / (any_value(a.size) + any_value(b.size))) AS BIGINT) AS permille FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id <> b.doc_id AND a.w = b.w GROUP BY a.doc_id, b.doc_id),
+      l AS (SELECT x, count(*) AS n_links, min(y) AS first_link, max(permille) AS permille FROM c WHERE permille >= 900 GROUP BY x)
+      SELECT g.lang, g.doc_id, k.class_id, coalesce(n_links, 0) AS n_links, first_link, permille FROM g LEFT JOIN k USING (lang, doc_id) LEFT JOIN l ON l.x = k.class_id""",
 }
