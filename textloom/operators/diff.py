@@ -247,15 +247,80 @@ def whole_rewrite(a: str, b: str, score: float, parts: int) -> bool:
     return parts <= 1 and score < 0.72 and not stable_edge(a, b) and max(utf16_len(a), utf16_len(b)) < 96
 
 
+#: A deletion and an insertion are near within a tenth of their texts, from 6 to 28 units, and
+#: twice that in one list item, which also counts for 4 units (fixed values).
+NEAREST, FARTHEST, OF_TEXT, SAME_ITEM = 6, 28, 0.1, 4
+
+
+def assigned(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(deletion, insertion) pairs of (score, deletion, insertion) candidates: from the least
+    score on, each deletion once and each insertion once. A deletion whose best insertion is
+    taken stays alone."""
+    tried, taken, out = set(), set(), []
+    for _, d, a in sorted(candidates):
+        if d not in tried:
+            tried.add(d)
+            if a not in taken:
+                taken.add(a)
+                out.append((d, a))
+    return sorted(out)
+
+
+_assigned_col = vectorized(lambda c: assigned([(int(x["score"]), int(x["deletion"]), int(x["addition"])) for x in c]), "array<struct<deletion:int,addition:int>>")
+
+
+def replacement_pairs(markers: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """(keys, part, deletion, addition) of deletions and insertions that are one replacement.
+
+    markers: (keys, part, ix, kind, visible, old_start, old_end, new_start, new_end,
+    text_length, item). A pair lies in one part, shows different texts, and the
+    insertion's place is near the deletion's old range as the deletion's place is to
+    the insertion's new range. Candidates meet by ranges of old places (BIN units), since
+    none is farther than twice FARTHEST; the sum of both distances decides.
+
+    Markers of no text, of other kinds or with both ranges take no part; null keys and parts are
+    values like others; repeated markers are told once."""
+    k = [*keys, "part"]
+    reach, width = 2 * FARTHEST, 64
+    some = F.col("visible").isNotNull()
+    m = markers.where(some).distinct()
+    d = m.where("kind = 'delete' AND old_end > old_start AND new_end = new_start")
+    a = m.where("kind = 'insert' AND old_end = old_start AND new_end > new_start")
+    named = lambda f, side: f.select(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in k]).alias("k"), *k, *[F.col(c).alias(f"{side}_{c}") for c in ("ix", "visible", "old_start", "old_end", "new_start", "new_end", "text_length", "item")])
+    bin_ = lambda c: F.floor(c / width)
+    x = named(d, "d").withColumn("bin", F.explode(F.sequence(bin_(F.col("d_old_start") - reach), bin_(F.col("d_old_end") + reach))))
+    y = named(a, "a").drop(*k).withColumn("bin", bin_(F.col("a_old_start")))
+    far = lambda at, start, end: F.greatest(F.lit(0), start - at, at - end)
+    old = far(F.col("a_old_start"), F.col("d_old_start"), F.col("d_old_end"))
+    new = far(F.col("d_new_start"), F.col("a_new_start"), F.col("a_new_end"))
+    near = F.least(F.lit(FARTHEST), F.greatest(F.lit(NEAREST), F.bround(OF_TEXT * (F.col("d_text_length") + F.col("a_text_length"))))).cast("int")
+    same = F.col("d_item").eqNullSafe(F.col("a_item"))
+    met = x.join(y, ["k", "bin"]).withColumns({"old": old, "new": new, "near": near * F.when(same, 2).otherwise(1)})
+    met = met.where((F.col("d_visible") != F.col("a_visible")) & (F.col("old") <= F.col("near")) & (F.col("new") <= F.col("near")))
+    score = (F.col("old") + F.col("new") - F.when(same, SAME_ITEM).otherwise(0)).cast("int").alias("score")
+    held = met.groupBy("k", *k).agg(F.collect_list(F.struct(score, F.col("d_ix").cast("int").alias("deletion"), F.col("a_ix").cast("int").alias("addition"))).alias("c"))
+    return held.select(*k, F.explode(_assigned_col("c")).alias("p")).select(*k, "p.deletion", "p.addition")
+
+
 def coalesce_events(events: list[tuple], length: int) -> list[tuple]:
-    """A deletion and an insertion close to it as one change; close is a tenth
-    of the text, from 6 to 28 units."""
-    near, out = min(28, max(6, round(length / 10))), []
-    for e in events:
-        if out and {out[-1][0], e[0]} == {"delete", "insert"} and e[1] - out[-1][2] <= near and e[3] - out[-1][4] <= near:
-            p = out.pop()
-            out.append(("change", p[1], max(p[2], e[2]), p[3], max(p[4], e[4]), p[5] + e[5], p[6] + e[6]))
-        else:
+    """The events of one item of a text pair of `length` units in all, with deletions and
+    insertions that are one replacement (replacement_pairs) as one change, in the deletion's place."""
+    near = 2 * min(FARTHEST, max(NEAREST, round(OF_TEXT * length)))
+    far = lambda at, start, end: max(0, start - at, at - end)
+    found = []
+    for i, d in enumerate(events):
+        for j, a in enumerate(events):
+            if d[0] == "delete" and a[0] == "insert" and d[5] != a[6]:
+                old, new = far(a[1], d[1], d[2]), far(d[3], a[3], a[4])
+                if max(old, new) <= near:
+                    found.append((old + new - SAME_ITEM, i, j))
+    pairs = dict(assigned(found))
+    out = []
+    for i, e in enumerate(events):
+        if i in pairs:
+            a = events[pairs[i]]
+            out.append(("change", min(e[1], a[1]), max(e[2], a[2]), min(e[3], a[3]), max(e[4], a[4]), e[5] + a[5], e[6] + a[6]))
+        elif i not in pairs.values():
             out.append(e)
     return out
 

@@ -6,16 +6,18 @@ are spread by their rows.
 
 from __future__ import annotations
 
+import bisect
 import io
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_text
 from ..functions.vectorized import vectorized
+from ..storage import saved
 
 MOST_XML, MOST_DEPTH = 128 << 20, 16
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -306,28 +308,79 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.where(fit >= 0).select("path", F.posexplode(blocks_col("content")).alias("block_ix", "b")).select("path", "block_ix", "b.*")
 
 
-def formatting_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Paragraphs of equal text (n-th to n-th) whose properties differ; before
-    and after are (keys, struct of styles_col)."""
-    from ..operators.align import nth_occurrence_join
+_PROPERTIES = ("style", "bold", "italic", "underline", "strike", "half_points", "colour", "font", "left", "hanging")
 
-    props = F.to_json(F.struct("style", "bold", "italic", "underline", "strike", "half_points", "colour", "font", "left", "hanging"))
-    sides = [d.select(*keys, F.explode("styles").alias("s")).select(*keys, "s.*").where(F.trim("text") != "").select(*keys, "text", "ordinal", props.alias(n)) for d, n in ((before, "old"), (after, "new"))]
-    return nth_occurrence_join(*sides, key="text", order="ordinal", keys=keys).where("old <> new")
 
+def nearest_free(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """(old, new) places of equal texts: each new one, in order, takes the nearest old
+    one that is free, of two equally near the earlier. Both lists ascend.
 
-_PROPERTIES = ("style", "bold", "italic", "underline", "strike", "half_points", "colour", "font", "left", "hanging")
+    Taken places form runs; each place leads to the next free one on either side."""
+    below, above = list(range(len(old) + 1)), list(range(len(old) + 1))  # by place + 1 and by place; 0 and len(old): none
 
+    def find(to: list[int], i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    out = []
+    for n in new:
+        at = bisect.bisect_left(old, n)
+        i, j = find(below, at) - 1, find(above, at)
+        if i < 0 and j == len(old):
+            continue
+        k = j if i < 0 or (j < len(old) and old[j] - n < n - old[i]) else i
+        below[k + 1], above[k] = k, k + 1
+        out.append((old[k], n))
+    return out
+
+
+_nearest_col = vectorized(lambda old, new: nearest_free([int(x) for x in old], [int(x) for x in new]), "array<struct<old:int,new:int>>")
 
-def run_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, text, old, new, …): runs whose text, at the same count of it in the same
-    document, has other properties; before and after are (keys, runs of run_styles_col)."""
-    from ..operators.align import nth_occurrence_join
 
+def nearest_equal(before: DataFrame, after: DataFrame, keys: tuple[str, ...], text: str, order: str) -> DataFrame:
+    """(keys, old_order, new_order) of rows with equal text: each row of after, in
+    order, meets the row of before that is free and nearest by its number among the rows of its keys.
+
+    Texts that are there once on both sides, nearly all, need no more than the join; the
+    places of others are matched a text at a time (a document's, so bounded)."""
+    k = list(keys)
+    w = Window.partitionBy(*k).orderBy(order)
+    side = lambda d, name: d.withColumn("at", F.row_number().over(w)).groupBy(*k, F.sha2(text, 256).alias("h")).agg(F.array_sort(F.collect_list(F.struct("at", order))).alias(name))
+    met = saved(side(before, "x").join(side(after, "y"), [*k, "h"]))
+    single = (F.size("x") == 1) & (F.size("y") == 1)
+    one = met.where(single).select(*k, F.col("x")[0][order].alias("old_order"), F.col("y")[0][order].alias("new_order"))
+    several = met.where(~single).withColumn("pair", F.explode(_nearest_col(F.transform("x", lambda r: r["at"]), F.transform("y", lambda r: r["at"]))))
+    found = lambda side, at: F.filter(side, lambda r: r["at"] == at)[0][order]
+    return one.unionByName(several.select(*k, found("x", F.col("pair.old")).alias("old_order"), found("y", F.col("pair.new")).alias("new_order")))
+
+
+def formatting_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text, ordinal, old, new) of paragraphs of equal text (the nearest free one)
+    whose properties differ; before and after are (keys, struct of styles_col)."""
+    props = F.to_json(F.struct(*_PROPERTIES))
+    side = lambda d, n: d.select(*keys, F.explode("styles").alias("s")).select(*keys, "s.*").where("text <> ''").select(*keys, "text", "ordinal", props.alias(n))
+    x, y = side(before, "old"), side(after, "new")
+    pairs = nearest_equal(x, y, keys, "text", "ordinal")
+    met = pairs.join(x.select(*keys, F.col("ordinal").alias("old_order"), "old"), [*keys, "old_order"]).join(y.withColumnRenamed("ordinal", "new_order"), [*keys, "new_order"])
+    return met.where("old <> new").select(*keys, "text", F.col("new_order").alias("ordinal"), "old", "new")
+
+
+def run_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, text, paragraph, old, new): runs whose text, at the same count of it in the
+    paragraph that its own one meets (by nearest_equal), has other properties; before and
+    after are (keys, runs of run_styles_col)."""
     props = F.to_json(F.struct(*_PROPERTIES))
-    place = (F.col("paragraph").cast("long") * (1 << 32) + F.col("ordinal")).alias("place")
-    sides = [d.select(*keys, F.explode("runs").alias("s")).select(*keys, "s.*").where(F.trim("text") != "").select(*keys, "text", place, props.alias(n)) for d, n in ((before, "old"), (after, "new"))]
-    return nth_occurrence_join(*sides, key="text", order="place", keys=keys).where("old <> new").drop("nth")
+    side = lambda d, n: d.select(*keys, F.explode("runs").alias("s")).select(*keys, "s.*").select(*keys, "paragraph", "ordinal", "text", props.alias(n))
+    x, y = side(before, "old"), side(after, "new")
+    whole = lambda d: d.groupBy(*keys, "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda r: r["text"]), "").alias("text"))
+    pairs = nearest_equal(whole(x), whole(y), keys, "text", "paragraph")
+    nth = F.row_number().over(Window.partitionBy(*keys, "paragraph", F.sha2("text", 256)).orderBy("ordinal"))
+    old = x.withColumn("nth", nth).select(*keys, F.col("paragraph").alias("old_order"), "text", "nth", "old")
+    new = y.withColumn("nth", nth).select(*keys, F.col("paragraph").alias("new_order"), "text", "nth", "new")
+    met = new.join(pairs, [*keys, "new_order"]).join(old, [*keys, "old_order", "text", "nth"])
+    return met.where("old <> new").select(*keys, "text", F.col("new_order").alias("paragraph"), "old", "new")
 
 
 def style_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",), content: str = "content") -> DataFrame:
