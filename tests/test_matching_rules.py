@@ -122,5 +122,22 @@ def test_distant_events_are_assigned_by_score():
     assert diff.coalesce_events([d, a], 100) == [("change", 10, 30, 10, 29, "gone", "far")] and diff.coalesce_events([d, ("insert", 60, 60, 56, 57, "", "x")], 100)[0] == d
 
 
+def test_grid_shares_rows(spark):
+    """One row for a base unit with its matches, and for like additions of several versions at one place."""
+    from textloom.operators import align
+
+    unit = lambda doc, ix, title, body: ("c", doc, ix, "article", "", title, body)
+    units = [unit(1, 0, "Fees", "The fee is ten euros a month."), unit(1, 1, "Notice", "Notice is given in writing to the other party."), unit(1, 2, "Term", "The term is one year."), unit(2, 0, "Notice", "Notice is given in writing to the other party."), unit(2, 1, "Fees", "The fee is ten euros a month."), unit(2, 2, "Notice", "Notice is given in writing to the other party."), unit(2, 3, "Law", "Courts decide.")]
+    u = spark.createDataFrame(units, "comparison_id string, doc int, unit_ix int, kind string, number string, title string, body string")
+    bases = spark.createDataFrame([("c", 0), ("c", 1)], "comparison_id string, unit_ix int")
+    matches = spark.createDataFrame([("c", 1, 0, 0), ("c", 2, 0, 1), ("c", 1, 1, 2)], "comparison_id string, doc int, base_ix int, other_ix int")
+    got = {(r.row_id, r.base_ix, r.doc, r.other_ix) for r in align.grid(bases, matches, u.select("comparison_id", "doc", "unit_ix"), units=u).collect()}
+    # The notices behind the fees share a row, the one ahead of them does not.
+    rows = {}
+    for row, base, doc, ix in got:
+        rows.setdefault(row, set()).add((base, doc, ix))
+    assert [rows[i] for i in sorted(rows)] == [{(None, 2, 0)}, {(0, 1, 0), (0, 2, 1)}, {(None, 1, 1), (None, 2, 2)}, {(None, 2, 3)}, {(1, 1, 2)}] and sorted(rows) == [1, 2, 3, 4, 5]
+
+
 if __name__ == "__main__":
     pytest.main([__file__])

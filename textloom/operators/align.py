@@ -431,21 +431,30 @@ def match_tables(old: list[dict], new: list[dict]) -> tuple[list[Cand], dict[tup
 # ---------------------------------------------------------------- three versions
 
 
-def grid(bases: DataFrame, matches: DataFrame, additions: DataFrame, keys: tuple[str, ...] = ("comparison_id",)) -> DataFrame:
+def grid(bases: DataFrame, matches: DataFrame, additions: DataFrame, keys: tuple[str, ...] = ("comparison_id",), units: DataFrame | None = None) -> DataFrame:
     """(keys, row_id, base_ix, other_ix, doc): the base's units in order, each
     with its matches, and units that only another version has after the last
     unit before them that the base has.
 
     bases (keys, unit_ix); matches (keys, doc, base_ix, other_ix); additions
-    (keys, doc, unit_ix): all units of the other versions."""
+    (keys, doc, unit_ix): all units of the other versions. With units (keys, doc,
+    unit_ix, kind, number, title, body) of the other versions too, rows are shared:
+    a base unit and its matches have one row_id, and so have units of several versions
+    at one place that are alike (merged_additions). Without, each match is a row."""
     k = list(keys)
     rows = bases.select(*k, F.col("unit_ix").alias("base_ix")).join(matches, [*k, "base_ix"], "left").select(*k, F.col("base_ix").alias("slot"), F.lit(0).alias("added"), "base_ix", "other_ix", "doc")
     lone = additions.join(matches.select(*k, "doc", F.col("other_ix").alias("unit_ix"), "base_ix"), [*k, "doc", "unit_ix"], "left")
     w = Window.partitionBy(*k, "doc").orderBy("unit_ix")
-    lone = lone.withColumn("slot", F.coalesce(F.last("base_ix", ignorenulls=True).over(w), F.lit(-1))).where("base_ix IS NULL")
-    lone = lone.select(*k, "slot", F.lit(1).alias("added"), F.lit(None).cast("int").alias("base_ix"), F.col("unit_ix").alias("other_ix"), "doc")
-    order = Window.partitionBy(*k).orderBy("slot", "added", "doc", "other_ix")
-    return rows.unionByName(lone).withColumn("row_id", F.row_number().over(order)).select(*k, "row_id", "base_ix", "other_ix", "doc")
+    lone = lone.withColumn("slot", F.coalesce(F.last("base_ix", ignorenulls=True).over(w), F.lit(-1))).where("base_ix IS NULL").select(*k, "slot", "doc", "unit_ix")
+    order, number = ["slot", "added", "doc", "other_ix"], F.row_number
+    if units is None:
+        lone = lone.withColumn("added", F.lit(1))
+    else:
+        merged = merged_additions(lone.join(units.select(*k, "doc", "unit_ix", "kind", "number", "title", "body"), [*k, "doc", "unit_ix"]), keys)
+        lone = lone.drop("slot").join(merged.withColumnRenamed("row", "added"), [*k, "doc", "unit_ix"])
+        order, number = order[:2], F.dense_rank
+    lone = lone.select(*k, "slot", "added", F.lit(None).cast("int").alias("base_ix"), F.col("unit_ix").alias("other_ix"), "doc")
+    return rows.unionByName(lone).withColumn("row_id", number().over(Window.partitionBy(*k).orderBy(*order))).select(*k, "row_id", "base_ix", "other_ix", "doc")
 
 
 def nth_occurrence_join(left: DataFrame, right: DataFrame, key: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:

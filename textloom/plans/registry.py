@@ -370,7 +370,17 @@ def near_documents(spark, sf_dir):
     return found.select("lang", "doc_id", "class_id", "n_links", "first_link", F.col("permille").cast("long").alias("permille"))
 
 
-QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, declared_kinds, symbol_changes, near_documents)}
+def version_grid(spark, sf_dir):
+    """Lines of a document as a base, and two made-up versions that lack some and add others."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.code_lines(F.col("text"))).alias("ix", "line")).select("doc_id", "ix")
+    n = F.col("ix")
+    kept = lines.where(n % 4 != 1).select("doc_id", F.lit(1).alias("doc"), n.alias("base_ix"), (n * 2).alias("other_ix")).unionByName(lines.where(n % 3 != 0).select("doc_id", F.lit(2).alias("doc"), n.alias("base_ix"), (n * 2).alias("other_ix")))
+    new = lines.where(n % 5 == 2).select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("doc"), (n * 2 + 1).alias("unit_ix")).unionByName(lines.where(n % 7 == 0).select("doc_id", F.lit(2).alias("doc"), (n * 2).alias("unit_ix")).where("unit_ix % 6 = 0"))
+    every = kept.select("doc_id", "doc", F.col("other_ix").alias("unit_ix")).unionByName(new)
+    return align.grid(lines.select("doc_id", n.alias("unit_ix")), kept, every, ("doc_id",))
+
+
+QUERIES = {f.__name__: f for f in (file_ledger, changes_by_kind, file_events, document_copies_ledger, line_hunks, review_events, set_similarity, text_similarity, body_dice, code_lines, line_offsets, text_keys, unicode_keys, decoded_texts, url_paths, xml_escaped, row_heights, search_rows, section_labels, moved_rows, vote_map, nth_occurrence, missing_blobs, import_report, document_units, list_parts, unit_matches, paragraph_context, marker_numbers, changed_turns, turn_moves, unmatched_units, document_hunks, document_comparison, page_rows, renumbered_lines, clipped_ranges, table_moves, label_changes, excerpt_lines, concrete_messages, byte_lines, hunk_excerpts, declared_symbols, declared_kinds, symbol_changes, near_documents, version_grid)}
 
 #: Hunks of pairs p(id, old, new): a table of common subsequences of suffixes, filled
 #: a cell a step from its end, then walked from its start; middles only.
@@ -494,6 +504,13 @@ ORACLE_SQL = {
       SELECT 'p' || k || '.rs' AS path, d[1] AS kind, d[2] AS scope, d[3] AS name FROM r UNION ALL SELECT 'p' || k || '.cs', d[1], d[2], d[3] FROM s""",
     "symbol_changes": """SELECT 'p' || p_partkey || '.rs' AS path, CASE p_partkey % 5 WHEN 1 THEN 'rename' WHEN 2 THEN 'modify' ELSE 'delete' END AS change, CASE p_partkey % 5 WHEN 3 THEN 'struct' ELSE 'function' END AS kind,
       CASE p_partkey % 5 WHEN 3 THEN 'Size_' || p_size ELSE 'part_' || p_partkey END AS before_name, CASE p_partkey % 5 WHEN 1 THEN 'renamed_' || p_partkey WHEN 2 THEN 'part_' || p_partkey END AS after_name FROM part WHERE p_partkey % 5 IN (1, 2, 3)""",
+    "version_grid": r"""WITH l AS (SELECT doc_id, unnest(range(len(regexp_extract_all(text, '[^\n]*\n|[^\n]+')))) AS n FROM documents),
+      m AS (SELECT doc_id, 1 AS doc, n AS base_ix, n * 2 AS other_ix FROM l WHERE n % 4 <> 1 UNION ALL SELECT doc_id, 2, n, n * 2 FROM l WHERE n % 3 <> 0),
+      a AS (SELECT doc_id, doc, other_ix AS unit_ix FROM m UNION ALL SELECT doc_id, unnest([1, 2]), n * 2 + 1 FROM l WHERE n % 5 = 2 UNION ALL SELECT doc_id, 2, n * 2 FROM l WHERE n % 7 = 0 AND n % 3 = 0),
+      o AS (SELECT a.doc_id, a.doc, a.unit_ix, m.base_ix, last_value(m.base_ix IGNORE NULLS) OVER (PARTITION BY a.doc_id, a.doc ORDER BY a.unit_ix) AS slot FROM a LEFT JOIN m ON m.doc_id = a.doc_id AND m.doc = a.doc AND m.other_ix = a.unit_ix),
+      r AS (SELECT l.doc_id, l.n AS slot, 0 AS added, l.n AS base_ix, m.other_ix, m.doc FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.base_ix = l.n
+        UNION ALL SELECT doc_id, coalesce(slot, -1), 1, NULL, unit_ix, doc FROM o WHERE base_ix IS NULL)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY slot, added, doc NULLS FIRST, other_ix NULLS FIRST) AS row_id, base_ix, other_ix, doc FROM r""",
     "near_documents": f"""WITH g AS (SELECT DISTINCT lang, doc_id FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL),
       t AS (SELECT lang, doc_id, w, count(*) AS n FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{_C}')) AS w FROM documents) GROUP BY ALL),
       s AS (SELECT lang, doc_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(w || chr(0) || n, chr(0) ORDER BY w)) AS bag FROM t GROUP BY lang, doc_id HAVING sum(n) >= 12 AND count(*) >= 8),
