@@ -281,9 +281,37 @@ class _Bags:
         return [a[keep], b[keep], out[keep]]
 
 
+class _Links(_Bags):
+    """The same, but of each id of a tile the number of its pairs and the largest permille: a group
+    of near copies makes as many rows as it has members, not as it has pairs."""
+
+    names = ("id", "n", "permille")
+
+    def __init__(self, ids: np.ndarray, values: list[bytes], least: int):
+        super().__init__(ids, values, least)
+        self.ids = np.unique(ids)
+        self.n, self.best = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        *ends, permille = super().__call__(a, b)
+        for e in ends:
+            at = np.searchsorted(self.ids, e)
+            np.add.at(self.n, at, 1)
+            np.maximum.at(self.best, at, permille)
+        return [e[:0] for e in (*ends, permille)]
+
+    def rest(self) -> list[np.ndarray]:
+        some = self.n > 0
+        return [c[some] for c in (self.ids, self.n, self.best)]
+
+
 def _tiles(kind: type, least: float) -> Callable:
     """Rows (tile, a, b, value) sorted by (tile, b, a): the values of a tile's ids (b null), then its pairs, each judged once."""
 
+    def ended(made) -> Iterator[pa.RecordBatch]:
+        if isinstance(made, _Links):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made.rest()], list(kind.names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, ids, values, made, last = None, [], [], None, None
         for batch in batches:
@@ -294,6 +322,7 @@ def _tiles(kind: type, least: float) -> Callable:
             cuts = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(a)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if tiles[lo] != tile:
+                    yield from ended(made)
                     tile, ids, values, made, last = tiles[lo], [], [], None, None
                 if not pair[lo]:
                     ids.append(a[lo:hi])
@@ -307,6 +336,7 @@ def _tiles(kind: type, least: float) -> Callable:
                 got = made(x[new], y[new])
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], list(kind.names))
+        yield from ended(made)
 
     return run
 
@@ -332,8 +362,8 @@ def _sketched(met: DataFrame, own: DataFrame, n: int, t: float) -> DataFrame:
     return _judged(met.select(tile(block("a"), block("b")), "a", "b"), values.select(tile(block("id"), F.col("other")), "id", "value"), _Sketches, t)
 
 
-def _verified(near: DataFrame, read: DataFrame, least: int) -> DataFrame:
-    """near (a, b) with the permille of their bags.
+def _verified(near: DataFrame, read: DataFrame, least: int, kind: type = _Bags) -> DataFrame:
+    """near (a, b) with the permille of their bags, or what else `kind` makes of them.
 
     Texts that are alike have the same smallest neighbour more often than not, and pairs are dealt by those
     of their two texts, so that most bags go to one place; pairs of a large group go to several tiles."""
@@ -347,7 +377,7 @@ def _verified(near: DataFrame, read: DataFrame, least: int) -> DataFrame:
     dealt = saved(both.join(F.broadcast(large), ["g", "h"], "left").select(F.xxhash64("g", "h", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("tile"), "a", "b"))
     needed = saved(dealt.select("tile", F.col("a").alias("id")).unionByName(dealt.select("tile", F.col("b").alias("id"))).distinct())
     bags = read.select("id", F.col("bag").alias("value")).join(_sent(needed, needed.count()), "id")
-    return _judged(dealt, bags, _Bags, least)
+    return _judged(dealt, bags, kind, least)
 
 
 def _pooled(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -362,7 +392,8 @@ def _pooled(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def _alike(rows: DataFrame, names: list[str], words: Callable[[Column], Column], least: int, tokens: int, distinct: int, alone: bool) -> tuple[DataFrame, DataFrame]:
     """rows (names, key, text, left) -> (members, found): members (names, key, left, id, rep, n, first,
     l, r) has the class of each row's bag, of which rep is a row and first the smallest key; found
-    (a, b, permille) the pairs of classes. alone: all rows are on both sides."""
+    (a, b, permille) the pairs of classes. alone: all rows are on both sides, and found (id, n, permille)
+    has the number of pairs of each class and the largest permille."""
     spark, t = rows.sparkSession, least / 1000
     share = t / (2 - t)
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
@@ -392,13 +423,13 @@ def _alike(rows: DataFrame, names: list[str], words: Callable[[Column], Column],
     met = _bounded(starts.repartition(n, "use").sortWithinPartitions("use", "at"), _meetings(t, share), "a long, b long")
     near = saved(_sketched(met, own, counts["n"], t))
     named.unpersist()
-    return members, saved(_verified(near, read, least))
+    return members, saved(_verified(near, read, least, _Links if alone else _Bags))
 
 
 def like_classes(rows: DataFrame, on: tuple[str, ...], key: str, text: str, words: Callable[[Column], Column], least: int, tokens: int, distinct: int) -> DataFrame:
-    """(on, key, class_id, n_links, first_link, permille): each row with its class, the smallest key
+    """(on, key, class_id, n_links, permille): each row with its class, the smallest key
     whose text has the same bag of `words` (and `on`), and of the other classes whose Dice is `least`
-    permille (over 0) or more the number, the smallest, and the largest permille.
+    permille (over 0) or more the number and the largest permille.
 
     Texts of fewer than `tokens` tokens or `distinct` different ones are in no class and have no
     link; rows with a null have no row; the texts of repeated keys are one bag. Copies are a class, so the
@@ -406,12 +437,10 @@ def like_classes(rows: DataFrame, on: tuple[str, ...], key: str, text: str, word
     names = [f"on{i}" for i in range(len(on))]
     given = _pooled(rows.select(*(F.col(c).alias(k) for c, k in zip(on, names)), F.col(key).alias("key"), F.col(text).alias("text")).dropna(), [*names, "key"], "text").withColumn("left", F.lit(True))
     members, found = _alike(given, names, words, least, tokens, distinct, True)
-    reps = saved(members.where("id = rep").select("rep", "first"))
-    ends = found.select("a", "b", "permille").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "permille"))
-    links = ends.join(reps.select(F.col("rep").alias("b"), F.col("first").alias("link")), "b").groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"), F.min("link").alias("first_link"), F.max("permille").alias("permille"))
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"), F.max("permille").alias("permille"))
     classed = members.select(*names, "key", "rep", F.col("first").alias("class_id")).join(links, "rep", "left").drop("rep")
     out = given.select(*names, "key").join(classed, [*names, "key"], "left")
-    return out.select(*(F.col(k).alias(c) for c, k in zip(on, names)), F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first_link", F.col("permille").cast("int").alias("permille"))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(on, names)), F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("permille").cast("int").alias("permille"))
 
 
 def like_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], a: str, b: str, text: str, words: Callable[[Column], Column], least: int, tokens: int, distinct: int) -> DataFrame:

@@ -367,7 +367,7 @@ def near_documents(spark, sf_dir):
     its links to classes that share 90% of their tokens."""
     d = _table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
     found = bags.like_classes(d, ("lang",), "doc_id", "text", text.code_tokens, 900, 12, 8)
-    return found.select("lang", "doc_id", "class_id", "n_links", "first_link", F.col("permille").cast("long").alias("permille"))
+    return found.select("lang", "doc_id", "class_id", "n_links", F.col("permille").cast("long").alias("permille"))
 
 
 def version_grid(spark, sf_dir):
@@ -517,6 +517,6 @@ ORACLE_SQL = {
       k AS (SELECT lang, doc_id, n, min(doc_id) OVER (PARTITION BY lang, bag) AS class_id FROM s),
       r AS (SELECT t.*, k.n AS size FROM t JOIN k ON t.lang = k.lang AND t.doc_id = k.doc_id AND k.class_id = k.doc_id),
       c AS (SELECT a.doc_id AS x, b.doc_id AS y, CAST(floor(2000 * sum(least(a.n, b.n)) / (any_value(a.size) + any_value(b.size))) AS BIGINT) AS permille FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id <> b.doc_id AND a.w = b.w GROUP BY a.doc_id, b.doc_id),
-      l AS (SELECT x, count(*) AS n_links, min(y) AS first_link, max(permille) AS permille FROM c WHERE permille >= 900 GROUP BY x)
-      SELECT g.lang, g.doc_id, k.class_id, coalesce(n_links, 0) AS n_links, first_link, permille FROM g LEFT JOIN k USING (lang, doc_id) LEFT JOIN l ON l.x = k.class_id""",
+      l AS (SELECT x, count(*) AS n_links, max(permille) AS permille FROM c WHERE permille >= 900 GROUP BY x)
+      SELECT g.lang, g.doc_id, k.class_id, coalesce(n_links, 0) AS n_links, permille FROM g LEFT JOIN k USING (lang, doc_id) LEFT JOIN l ON l.x = k.class_id""",
 }
