@@ -158,12 +158,22 @@ def _where(a: Column, test) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
+def _headed(segments: DataFrame) -> DataFrame:
+    """segments with h, where the head is (behind attributes and modifiers), and of Rust
+    s, where the item starts (behind attributes)."""
+    a = F.col("a")
+    attribute = lambda x: x["t"].isin("#", "!", "]")
+    rust = lambda x, i: attribute(x) | x["t"].isin(*_RUST_MODIFIERS, ")") | (x["c"] == "literal") | ((x["t"] == "const") & F.get(a, i + 1)["t"].isin("fn", "async", "unsafe", "extern"))
+    sharp = lambda x: x["t"].isin(*_SHARP_MODIFIERS, "]")
+    is_rust = F.col("language") == "rust"
+    h = F.when(is_rust, _where(a, lambda x, i: ~rust(x, i))).otherwise(_where(a, lambda x, i: ~sharp(x)))
+    return segments.withColumns({"h": h, "s": F.when(is_rust, _where(a, lambda x, i: ~attribute(x)))})
+
+
 def _rust_items(segments: DataFrame) -> DataFrame:
     a = F.col("a")
     token = lambda i: F.get(a, i)
-    attribute = lambda x: x["t"].isin("#", "!", "]")
-    modifier = lambda x, i: attribute(x) | x["t"].isin(*_RUST_MODIFIERS, ")") | (x["c"] == "literal") | ((x["t"] == "const") & token(i + 1)["t"].isin("fn", "async", "unsafe", "extern"))
-    out = segments.where("language = 'rust'").withColumn("h", _where(a, lambda x, i: ~modifier(x, i))).withColumn("s", _where(a, lambda x, i: ~attribute(x)))
+    out = segments.where("language = 'rust'")
     head, last = token(F.col("h"))["t"], F.element_at(a, -1)
     out = out.where(head.isin(*_RUST_HEADS)).withColumn("head", head).withColumn("named", token(F.col("h") + 1))
     block, valued = last["t"] == "}", F.exists("a", lambda x: x["t"] == "=")
@@ -182,8 +192,7 @@ def _rust_items(segments: DataFrame) -> DataFrame:
 def _sharp_items(segments: DataFrame) -> DataFrame:
     a = F.col("a")
     token = lambda i: F.get(a, i)
-    modifier = lambda x: x["t"].isin(*_SHARP_MODIFIERS, "]")
-    out = segments.where("language = 'csharp'").withColumn("h", _where(a, lambda x, i: ~modifier(x))).where("h IS NOT NULL")
+    out = segments.where("language = 'csharp' AND h IS NOT NULL")
     head, last = token(F.col("h"))["t"], F.element_at(a, -1)
     out = out.withColumn("head", head).withColumn("n", F.col("h") + F.when((head == "record") & token(F.col("h") + 1)["t"].isin("class", "struct"), 2).otherwise(1)).withColumn("named", token(F.col("n")))
     typed = F.col("head").isin(*_SHARP_TYPES) & (F.col("named.c") == "word") & ((F.col("head") != "record") | F.coalesce(token(F.col("n") + 1)["t"].isin(")", "}", ";", ":") | (token(F.col("n") + 1)["c"] == "arguments"), F.lit(False)))
@@ -231,7 +240,8 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = saved(_bracketed(_tokens(spread(fit.withColumn("k", F.xxhash64("cid")), "k"))))
     held = spread(tokens, "k")
     wrong = held.withColumn("wrong", _follow()).groupBy("k", "cid").agg(F.max(F.col("bad") | F.col("wrong")).alias("bad"), F.max_by("depth", "at").alias("open_"))
-    segments = _segments(held)
+    # Written, so that what follows reads the head's place and does not look for it at every use.
+    segments = saved(_headed(_segments(held)))
     items = saved(_rust_items(segments).unionByName(_sharp_items(segments)).where("`end` IS NOT NULL"))
     # A file-scoped namespace holds what follows it.
     listed = items.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "head", "name", "body", "scoped", "of"))).alias("items"))
