@@ -276,6 +276,26 @@ def test_like_classes_of_hot_uses(spark, monkeypatch):
     assert bags.like_classes(df.limit(0), ("g",), "id", "t", code_tokens, 900, 12, 8).count() == 0
 
 
+def test_near_documents_of_short_texts(spark, tmp_path):
+    """Every document has a row, and no text is too short for a class or a link; the SQL agrees."""
+    import duckdb
+
+    from textloom.plans import registry
+
+    ten = "a b c d e f g h i j"
+    texts = [("en", 1, "x y"), ("en", 2, "y x"), ("en", 3, ten), ("en", 4, ten[:-1] + "k"), ("de", 5, ten), ("en", 6, None), ("en", 7, " "), (None, 8, ten), (None, 8, ten), ("en", None, ten)]
+    texts += [("en", 10, "p q r s t u v " * 3), ("en", 11, "p q r s t u v " * 3 + "w"), ("en", 12, "one")]
+    spark.createDataFrame(texts, "lang string, doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.near_documents(spark, str(tmp_path)).collect()]
+    assert {r[:2]: r[2:] for r in got} == {
+        ("en", 1): (1, 0, None), ("en", 2): (1, 0, None), ("en", 3): (3, 1, 900), ("en", 4): (4, 1, 900), ("de", 5): (5, 0, None), ("en", 6): (None, 0, None), ("en", 7): (None, 0, None),
+        (None, 8): (None, 0, None), ("en", None): (None, 0, None), ("en", 10): (10, 1, 976), ("en", 11): (11, 1, 976), ("en", 12): (12, 0, None),
+    }
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.sql(registry.ORACLE_SQL["near_documents"]).fetchall(), key=str)
+
+
 def test_meetings_across_batches(monkeypatch):
     """Sorted uses that come in any batches, with few pairs held, meet as in one."""
     import random
