@@ -253,3 +253,16 @@ def test_missing_units_and_collapsed_wrappers(spark):
     old = part({"yes": [(1, "a"), (1, "wrap"), (2, "x"), (2, "y"), (1, "z")], "leaf": [(1, "a"), (1, "b")], "edited": [(1, "w"), (2, "x")], "last": [(1, "w"), (2, "x")], "gone": [(1, "only")]})
     new = part({"yes": [(1, "a"), (1, "x"), (1, "y"), (1, "z")], "leaf": [(1, "a")], "edited": [(1, "other")], "last": [(1, "x")]})
     assert sorted(map(tuple, review.collapsed_wrappers(old, new, ("u",)).collect())) == [("last", 0), ("yes", 1)]
+
+
+def test_windows_of_orders_get_tasks_by_rows(spark, tmp_path, monkeypatch):
+    """A larger table is dealt over more tasks, so that the sorts of one task don't grow with it."""
+    from textloom import storage
+    from textloom.plans import registry
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 50)
+    lines = spark.range(1000).selectExpr("id DIV 4 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "timestamp_seconds(id * 7919 % 1000) AS l_shipdate", "IF(id % 3 = 0, 'O', 'F') AS l_linestatus")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for query in (registry.moved_rows,):
+        out = query(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
