@@ -263,6 +263,6 @@ def test_windows_of_orders_get_tasks_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 50)
     lines = spark.range(1000).selectExpr("id DIV 4 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "timestamp_seconds(id * 7919 % 1000) AS l_shipdate", "IF(id % 3 = 0, 'O', 'F') AS l_linestatus")
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
-    for query in (registry.moved_rows,):
+    for query in (registry.moved_rows, registry.marker_numbers):
         out = query(spark, str(tmp_path))
         assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
