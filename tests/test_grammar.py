@@ -69,3 +69,15 @@ def test_limits_and_long_tokens(spark, monkeypatch):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_contents_get_tasks_by_bytes(spark, monkeypatch):
+    """More text is dealt over more tasks, so that the sorts of one task don't grow with it."""
+    from textloom.operators import grammar
+
+    dealt, write = [], grammar.saved
+    monkeypatch.setattr(grammar, "TASK_BYTES", 100)
+    monkeypatch.setattr(grammar, "saved", lambda df: (dealt.append(df.rdd.getNumPartitions()), write(df))[1])
+    rows = [(f"c{i}", "rust", f"fn name_{i:03}() {{ }}") for i in range(50)]  # 17 bytes each
+    symbols, _ = grammar.declared(spark.createDataFrame(rows, "cid string, language string, text string"))
+    assert sorted(r["name"] for r in symbols.collect()) == [f"name_{i:03}" for i in range(50)] and dealt[0] == 9

@@ -34,9 +34,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import saved, spread
+from ..storage import saved
 
 MOST_BYTES, MOST_SYMBOLS, MOST_DEPTH = 2 << 20, 5_000, 128
+#: Bytes of text that one task cuts into tokens.
+TASK_BYTES = 2 << 20
 
 # Lexical patterns. Loops are possessive, so that long tokens need no stack; a comment that
 # does not end is one token to the end of the text, so that no later start is tried again.
@@ -95,7 +97,7 @@ def _tokens(contents: DataFrame) -> DataFrame:
         .when(t.rlike(r"^(?:r#|@)?[\p{L}_]"), "word").when((first == "<") & (F.length(t) > 2), "arguments").otherwise("sign")
     )
     trivia = t.rlike(r"^(?:\s*+$|//|/\*[\s\S]*\*/$|[^\S\n]*+#[^\n]++$)") & ~(rust & (t == "#"))
-    return rows.withColumn("end", end).where(~trivia).select("k", "cid", "language", "t", (F.col("end") - F.octet_length("t")).alias("at"), "end", c.alias("c"))
+    return rows.withColumn("end", end).where(~trivia).select("k", "cid", "language", "pos", "t", (F.col("end") - F.octet_length("t")).alias("at"), "end", c.alias("c"))
 
 
 def _bracketed(tokens: DataFrame) -> DataFrame:
@@ -104,7 +106,8 @@ def _bracketed(tokens: DataFrame) -> DataFrame:
     bad (brackets that don't match)."""
     t = F.col("t")
     opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
-    by = Window.partitionBy("k", "cid").orderBy("at")
+    # By pos, as the rows come: in the order of at, but not sorted once more.
+    by = Window.partitionBy("k", "cid").orderBy("pos")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = tokens.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
     p1, p2 = F.lag("t").over(by), F.lag("t", 2).over(by)
@@ -236,9 +239,12 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols: (cid, kind, scope, name, signature, body, source, byte_start, byte_end) in
     contents that are supported; told: (cid, supported)."""
     fit = contents.where(F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES))
-    # Contents are dealt over tasks by k, not merged by their bytes: a text is many rows of work.
-    tokens = saved(_bracketed(_tokens(spread(fit.withColumn("k", F.xxhash64("cid")), "k"))))
-    held = spread(tokens, "k")
+    # Contents are dealt over tasks by k, not merged by their bytes: a text is many rows of work,
+    # and the sorts of a task hold the tokens of TASK_BYTES of text, however many contents there are.
+    size = fit.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tokens = saved(_bracketed(_tokens(fit.withColumn("k", F.xxhash64("cid")).repartition(n, "k"))))
+    held = tokens.repartition(n, "k")
     wrong = held.withColumn("wrong", _follow()).groupBy("k", "cid").agg(F.max(F.col("bad") | F.col("wrong")).alias("bad"), F.max_by("depth", "at").alias("open_"))
     # Written, so that what follows reads the head's place and does not look for it at every use.
     segments = saved(_headed(_segments(held)))
