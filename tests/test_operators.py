@@ -266,3 +266,19 @@ def test_windows_of_orders_get_tasks_by_rows(spark, tmp_path, monkeypatch):
     for query in (registry.moved_rows, registry.marker_numbers):
         out = query(spark, str(tmp_path))
         assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Columns and operators in Python end their Arrow batches by bytes, whatever the session had; a smaller setting stays."""
+    from textloom.functions.text import match_key_col
+    from textloom.operators.align import match_units
+    from textloom.sources.decode import decode_col
+    from textloom.storage import BATCH_BYTES
+
+    name, units = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([], "comparison_id int, doc_ord int, unit_ix int, kind string, number string, title string, body string")
+    for use in (lambda: match_key_col("t"), lambda: decode_col("t"), lambda: match_units(units)):
+        for given, want in ((BATCH_BYTES * 8, BATCH_BYTES), (1000, 1000)):
+            spark.conf.set(name, str(given))
+            use()
+            assert spark.conf.get(name) == str(want)
+        spark.conf.unset(name)
