@@ -141,3 +141,18 @@ def test_grid_shares_rows(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_texts_without_articles_are_cut_once(monkeypatch):
+    """Matching by words cuts each text into words once, and makes no keys of titles and bodies."""
+    import pandas as pd
+
+    from textloom.operators import align
+
+    cut, lexer = [], align.similarity_words
+    monkeypatch.setattr(align, "similarity_words", lambda x: (cut.append(x), lexer(x))[1])
+    monkeypatch.setattr(align, "lineage_key", lambda x: 1 / 0)
+    frame = lambda bodies: pd.DataFrame({"kind": "block", "title": "", "number": "", "body": bodies})
+    old, new = ["one two three four", "five six seven eight", "nine ten"], ["five six seven nine", "one two three four", "nine ten eleven"]
+    assert [(i, j) for i, j, *_ in align.align_units(frame(old), frame(new))] == [(0, 1), (1, 0), (2, 2)]
+    assert sorted(cut) == sorted(old + new)
