@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections import namedtuple
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ def _body_markers(old: str, new: str, base: tuple[int, int], punctuation: bool):
     """(markers, messages) of two bodies by their list items."""
     (fa, a), (fb, b) = _parsed(old), _parsed(new)
     markers, messages = [], []
-    pairs = match_parts(a, b)
+    pairs = match_parts(a, b, scored=False)
     shapes = [[(x.level, x.parent, x.family) for x in s] for s in (a, b)]
     if shapes[0] != shapes[1] and any(x.label for x in a) and any(x.label for x in b):
         messages.append(("structure", _summary([x.label for x in a]), _summary([x.label for x in b])))
@@ -99,8 +101,9 @@ def _body_markers(old: str, new: str, base: tuple[int, int], punctuation: bool):
         if text_a == text_b or visible_key(text_a) == visible_key(text_b) and "".join(text_a.split()) == "".join(text_b.split()) and text_a.strip() == text_b.strip():
             continue
         if len(a) == len(b) == 1 and not label_a and not label_b:
-            keys, words = (lineage_key(text_a), lineage_key(text_b)), [set(w.lower() for w in LEXERS["boundary"].findall(t)) for t in (text_a, text_b)]
-            if whole_rewrite(match_key(text_a), match_key(text_b), part_score(*keys, *words, False), 1):
+            shown = match_key(text_a), match_key(text_b)
+            # A score of 0 passes where any does: long texts and those of an equal edge are not scored.
+            if whole_rewrite(*shown, 0.0, 1) and whole_rewrite(*shown, _plain_score(text_a, text_b), 1):
                 markers.append(("change", "body", j, 0, base[0] + core_a, base[0] + end_a, base[1] + core_b, base[1] + end_b, text_a, text_b))
                 continue
         for n, (kind, p, q, r, s, x, y) in enumerate(review_events(text_a, text_b, punctuation)):
@@ -121,6 +124,11 @@ def _body_markers(old: str, new: str, base: tuple[int, int], punctuation: bool):
     return markers, messages
 
 
+def _plain_score(a: str, b: str) -> float:
+    words = [set(w.lower() for w in LEXERS["boundary"].findall(t)) for t in (a, b)]
+    return part_score(lineage_key(a), lineage_key(b), *words, False)
+
+
 def _cut(text: str, start: int, end: int) -> str:
     return text.encode("utf-16-le", "surrogatepass")[2 * start : 2 * end].decode("utf-16-le", "surrogatepass")
 
@@ -206,7 +214,8 @@ def compare_units(units: DataFrame, keys: tuple[str, ...] = ("comparison_id",),
     order = [F.coalesce("old_ix", "__slot"), F.col("old_ix").isNull(), F.col("new_ix")]
     slot = F.coalesce(F.last("old_ix", ignorenulls=True).over(Window.partitionBy(*k).orderBy(F.col("new_ix").asc_nulls_first())), F.lit(-1))
     rows = saved(rows.withColumn("__slot", slot).withColumn("row_id", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).drop("__slot"))
-    both = rows.where("old IS NOT NULL AND new IS NOT NULL").where(F.to_json(F.struct(*[F.col(f"old.{c}") for c in FIELDS[1:]])) != F.to_json(F.struct(*[F.col(f"new.{c}") for c in FIELDS[1:]])))
+    equal = reduce(and_, [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in FIELDS[1:]])
+    both = rows.where("old IS NOT NULL AND new IS NOT NULL").where(~equal)
     made = saved(spread(both, *k, "row_id").select(*k, "row_id", "old", "new", compare_pair_col(F.col("old"), F.col("new"), F.col("mode") == "moved", punctuation).alias("m")))
     markers = made.select(*k, "row_id", F.explode("m.markers").alias("e")).select(*k, "row_id", "e.*")
     part = lambda c, p, kind: F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("part"), F.lit(-1 if p == "header" else 0).alias("item_order"), F.lit(0).alias("hunk_order"), *_whole(c, p, kind))

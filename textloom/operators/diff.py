@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import matching_blocks
 from ..functions.text import LEXERS, hangul_prefix, match_key, sentences, split_punctuation, stable_edge, tokens, utf16_len, utf16_offsets, visible_key
 from ..functions.vectorized import vectorized
 
@@ -58,12 +58,6 @@ def lcs_pairs(a: Sequence, b: Sequence, cells: float = CELLS) -> list[tuple[int,
     return out
 
 
-def matching_blocks(a: Sequence, b: Sequence) -> list[Block]:
-    """Longest contiguous blocks, earliest first among equals, and again on both
-    sides; the last one is empty and marks the ends."""
-    return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
-
-
 def opcodes(blocks: list[Block]) -> list[tuple[str, int, int, int, int]]:
     """Gaps between blocks as (insert | delete | replace, a0, a1, b0, b1)."""
     out, i, j = [], 0, 0
