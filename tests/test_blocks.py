@@ -34,3 +34,10 @@ def test_long_bodies_are_matched_by_their_words(monkeypatch):
 
 def test_generic_pairs_share_words_or_have_none():
     assert align.generic_pairs(["---", "a b", "", "q"], ["***", "a b c", "z"]) == [(0, 0, 1.0), (1, 1, pytest.approx(0.8))]
+
+
+def test_units_are_aligned_from_arrow_columns(spark):
+    rows = [(7, s, i, "block", "", "", f"text {i} of side {s * (i % 2)}") for s in (0, 1) for i in range(4)]
+    found = align.match_units(spark.createDataFrame(rows, "doc_id long, doc_ord int, unit_ix int, kind string, number string, title string, body string"), ("doc_id",))
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.old_ix, r.new_ix, r.mode) for r in found.collect()) == [(7, i, i, "same") for i in range(4)]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import part_score
 from ..functions.text import LEXERS, families, label_ordinal, lineage_key, match_key, utf16_len, visible_key
-from ..functions.vectorized import vectorized
+from ..functions.vectorized import arrowed, vectorized
 from ..storage import saved, spread
 from . import review
 from .align import match_units
@@ -64,7 +64,7 @@ def text_units(text: str, mode: str = "auto") -> list[tuple]:
 
 
 block_units_col = vectorized(lambda blocks: block_units(list(blocks)), UNITS)
-text_units_col = vectorized(lambda text: text_units(text), UNITS)
+text_units_col = arrowed(lambda text: text_units(text), UNITS)
 
 
 # ---------------------------------------------------------------- one pair
