@@ -81,3 +81,9 @@ def test_contents_get_tasks_by_bytes(spark, monkeypatch):
     rows = [(f"c{i}", "rust", f"fn name_{i:03}() {{ }}") for i in range(50)]  # 17 bytes each
     symbols, _ = grammar.declared(spark.createDataFrame(rows, "cid string, language string, text string"))
     assert sorted(r["name"] for r in symbols.collect()) == [f"name_{i:03}" for i in range(50)] and dealt[0] == 9
+
+
+def test_what_cannot_follow_is_told_with_the_brackets(spark):
+    rows = [(1, "a", "rust", "const A: i32 = 1;"), (2, "b", "rust", "const A: i32 = ;"), (3, "c", "rust", "fn f() { m!(a b = ;) }")]
+    found = grammar._bracketed(grammar._tokens(spark.createDataFrame(rows, "k long, cid string, language string, text string")))
+    assert {r.cid for r in found.where("bad").select("cid").collect()} == {"b"}

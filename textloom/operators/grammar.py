@@ -103,7 +103,7 @@ def _tokens(contents: DataFrame) -> DataFrame:
 def _bracketed(tokens: DataFrame) -> DataFrame:
     """tokens with depth (after each), open (of a closing bracket: where its pair
     began), parent (the bracket around, -1: none), inside (of how many macros) and
-    bad (brackets that don't match)."""
+    bad (brackets that don't match, a token that the next one can never follow)."""
     t = F.col("t")
     opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
     # By pos, as the rows come: in the order of at, but not sorted once more.
@@ -120,14 +120,15 @@ def _bracketed(tokens: DataFrame) -> DataFrame:
     fits = F.concat(F.col("mate.t"), t).isin("()", "[]", "{}")
     out = out.withColumn("bad", (closes & ~F.coalesce(fits, F.lit(False))) | (F.col("depth") < 0) | (F.col("c") == "broken") | (F.col("depth") > MOST_DEPTH))
     out = out.withColumn("inside", F.sum(F.when(F.col("macro"), 1).when(F.col("mate.macro"), -1).otherwise(0)).over(so_far))
+    # Here, where rows lie in the order of their places, and not in a sort of its own.
+    out = out.withColumn("bad", F.col("bad") | _follow(by))
     around = F.last(F.when(opens, F.struct("at", "t")), ignorenulls=True).over(Window.partitionBy("k", "cid", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.withColumn("around", F.when(F.col("depth") > 0, around))
     return out.select("k", "cid", "language", "t", "c", "at", "end", "depth", "bad", "inside", F.coalesce("mate.at", "at").alias("open"), F.coalesce("around.at", F.lit(-1)).alias("parent"), F.coalesce("around.t", F.lit("{")).alias("around"), opens.alias("opens"))
 
 
-def _follow() -> Column:
-    """True where a token can never be followed by the next one."""
-    by = Window.partitionBy("k", "cid").orderBy("at")
+def _follow(by) -> Column:
+    """True where a token can never be followed by the next one of the window."""
     t, c, rust = F.col("t"), F.col("c"), F.col("language") == "rust"
     nt, nc, gap = F.lead("t").over(by), F.lead("c").over(by), F.lead("inside").over(by)
     pt = F.coalesce(F.lag("t").over(by), F.lit(";"))
@@ -244,10 +245,9 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = fit.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     tokens = saved(_bracketed(_tokens(fit.withColumn("k", F.xxhash64("cid")).repartition(n, "k"))))
-    held = tokens.repartition(n, "k")
-    wrong = held.withColumn("wrong", _follow()).groupBy("k", "cid").agg(F.max(F.col("bad") | F.col("wrong")).alias("bad"), F.max_by("depth", "at").alias("open_"))
+    wrong = tokens.groupBy("k", "cid").agg(F.max("bad").alias("bad"), F.max_by("depth", "at").alias("open_"))
     # Written, so that what follows reads the head's place and does not look for it at every use.
-    segments = saved(_headed(_segments(held)))
+    segments = saved(_headed(_segments(tokens.repartition(n, "k"))))
     items = saved(_rust_items(segments).unionByName(_sharp_items(segments)).where("`end` IS NOT NULL"))
     # A file-scoped namespace holds what follows it.
     listed = items.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "head", "name", "body", "scoped", "of"))).alias("items"))

@@ -255,7 +255,8 @@ def parse_symbols(files: DataFrame, keys: tuple[str, ...] = ("path",), text: str
     content = F.col(text).cast("string")
     code = files.select(*keys, content.alias("text"), language.alias("language")).where(F.col("language").isNotNull())
     code = code.withColumn("cid", F.concat(F.coalesce(F.sha2("text", 256), F.lit("none")), "language"))
-    symbols, told = declared(code.select("cid", "language", "text").dropDuplicates(["cid"]))
+    # Written, since declared() reads the contents three times, and each time their texts would be hashed and shuffled.
+    symbols, told = declared(saved(code.select("cid", "language", "text").dropDuplicates(["cid"])))
     code = code.select(*keys, "language", "cid")
     return code.join(symbols, "cid").drop("cid"), code.join(told, "cid").drop("cid")
 
