@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,26 @@ def test_kneser_ney(spark, none, monkeypatch):
         kneser_ney.train(frame, model_dir="hdfs://host/x")
 
 
+def test_kneser_ney_words_are_summed_as_they_come(monkeypatch, tmp_path):
+    """Memory for the tables of words follows the distinct words of a part, not the tables of all slices."""
+    import tracemalloc
+
+    words, table = np.arange(3, 2_003, dtype=np.uint64), np.arange(12_000).reshape(6, -1)
+    row = lambda part, word, t: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([word], pa.binary()), pa.array([kneser_ney._squeezed(t)], pa.binary())], names=["part", "word", "table"])
+    batches = [row(-2, b"", np.array([k, 7])) for k in (0, 1)] + [row(-1, b"", np.arange(4))] * 3 + [row(0, kneser_ney._six(words), table)] * 200 + [row(1, kneser_ney._six(words[:5]), table[:, :5])]
+    monkeypatch.setattr(kneser_ney, "FOLD_ENTRIES", 4_000, raising=False)
+    run = kneser_ney._words(str(tmp_path))
+    tracemalloc.start()
+    got = [(r["part"], r["stats"]) for b in run(iter(batches)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # the tables of part 0 are 22 MB
+    assert got[:2] == [(-2, [0, 7, 1, 7]), (-1, [0, 3, 6, 9, 0, 0, 0, 0])] and [g[0] for g in got[2:]] == [0, 1]
+    assert got[2][1][4:] == [200 * table[4].sum(), 200 * table[5].sum(), 2_000, 2_000]
+    assert (np.fromfile(tmp_path / "w0h", "<u8") == words).all() and (np.fromfile(tmp_path / "w0t", "<i8").reshape(-1, 6) == 200 * table.T).all()
+    assert (np.fromfile(tmp_path / "w1t", "<i8").reshape(-1, 6) == table[:, :5].T).all()
+
+
 def test_kneser_ney_shards(spark, monkeypatch, tmp_path):
     """Several slices a shard and few open files give the same scores; a shard that is gone or short is an error."""
     import glob

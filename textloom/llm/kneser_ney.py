@@ -8,8 +8,9 @@ training text; a shard is a run of slices and one set of files, of which there
 are 2 ** MOST_BITS at most. A task reads its shards slice by slice in order of
 the hash, merges one slice at a time in memory and appends it to the shard's
 files, so a shard may be larger than memory. What words need (context totals,
-continuation types, counts) is merged by a second, much smaller shuffle over
-shards of the word hash.
+continuation continuation types, counts) is merged by a second, much smaller shuffle over
+shards of the word hash, whose tables are summed as they come: a task holds a shard's
+distinct words, not its tables from all slices.
 
 Two words share a hash with a probability of 2 ** -48: of V words about
 V * V / 2 ** 49 pairs are counted as one (of a million words 0.002).
@@ -56,6 +57,8 @@ MASK = np.uint64((1 << 48) - 1)
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
 #: Bytes of training text a slice; bits of the slice's and of the shard's number at most.
 SLICE_BYTES, SLICE_BITS, MOST_BITS = 16 << 20, 18, 12
+#: Entries of tables of words that are held before they are summed.
+FOLD_ENTRIES = 250_000
 #: Files that a worker keeps mapped.
 MAPS = 512
 TABLE_ENTRIES = 200_000
@@ -94,8 +97,9 @@ def _steps(texts, hasher, most):
         held.append(END)
         ends.append(len(held))
         if len(held) > most:
-            yield np.array(held, np.uint64), np.array(ends)
+            step = [(np.array(held, np.uint64), np.array(ends))]
             held, ends = [], []
+            yield step.pop()  # the caller's alone: it may give the arrays up
     if ends:
         yield np.array(held, np.uint64), np.array(ends)
 
@@ -170,8 +174,16 @@ def _count(bits: int, shard_bits: int):
             u, w = seq[:-1], seq[1:]
             real = u != END
             u, w = u[real], w[real]
-            h, (c,), first = _summed(bigram_hash(u, w), np.ones(len(u), np.uint32))
-            u, w, cut = u[first], w[first], (h >> np.uint64(64 - bits)).astype(np.int64)
+            del seq, real  # what is used up goes before the next arrays are made
+            h = bigram_hash(u, w)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            c = np.diff(np.r_[first, len(h)])
+            cut, first = (h[first] >> np.uint64(64 - bits)).astype(np.int64), order[first]
+            del h, order
+            u, w = u[first], w[first]
+            del first
             starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
             rows = list(zip(cut[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(cut)]))
             yield pa.RecordBatch.from_arrays([pa.array([k >> (bits - shard_bits) for k, _, _ in rows], pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*[(_six(u[a:z]), _six(w[a:z]), c[a:z].astype("<u4").tobytes()) for _, a, z in rows]))], names=["shard", "slice", "u", "w", "c"])
@@ -247,30 +259,69 @@ def _merge(folder: str, part_bits: int):
     return run
 
 
+class _Folded:
+    """Tables (words, fields) that are summed as they come: what is held are the distinct words so far
+    and at most as many entries again (FOLD_ENTRIES at least), not the tables of all slices."""
+
+    def __init__(self):
+        self.keys, self.table = np.empty(0, np.uint64), [np.empty(0, np.int64)] * len(WORD_FIELDS)
+        self.held, self.n = [], 0
+
+    def add(self, keys: np.ndarray, table: np.ndarray) -> None:
+        self.held.append((keys, table))
+        self.n += len(keys)
+        if self.n > max(FOLD_ENTRIES, len(self.keys)):
+            self.fold()
+
+    def fold(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.held)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        self.keys = keys[first]
+        if len(first):  # a field at a time, so that no second copy of all fields is made
+            for i in range(len(self.table)):
+                self.table[i] = np.add.reduceat(np.concatenate([self.table[i], *(t[i] for _, t in self.held)])[order], first)
+        self.held, self.n = [], 0
+
+
 def _words(folder: str):
-    """Merge the tables of one shard of words; part -2 lists shards and lengths."""
-
-    def words(g: pa.Table) -> pa.Table:
-        part = g.column("part")[0].as_py()
-        stats = np.zeros(8, np.int64)
-        if part == -2:
-            stats = np.concatenate([_loosened(x) for x in g.column("table").to_pylist()])
-        elif part == -1:
-            stats[:4] = np.sum([_loosened(x) for x in g.column("table").to_pylist()], axis=0)
-        else:
-            keys = _from_six(b"".join(g.column("word").to_pylist()))
-            table = np.concatenate([_loosened(x.as_py()).reshape(6, -1) for x in g.column("table")], axis=1)
-            keys, table, _ = _summed(keys, *table)
-            files = Files(folder, {f"w{part}h": "<u8", f"w{part}t": "<i8"})
-            files.add(f"w{part}h", keys)
-            files.add(f"w{part}t", np.stack(table, axis=1))
-            files.close()
-            types, count = table[4], table[5]
-            stats[:] = [*((types == k).sum() for k in (1, 2, 3, 4)), types.sum(), count.sum(), (count > 0).sum(), len(keys)]
-            trimmed()
-        return pa.table({"part": pa.array([part], pa.int32()), "stats": pa.array([stats.tolist()], pa.list_(pa.int64()))})
+    """Merge the tables of words of sorted parts, one table at a time; part -2 lists shards and lengths."""
+
+    def stored(part: int, found: _Folded) -> np.ndarray:
+        found.fold()
+        files = Files(folder, {f"w{part}h": "<u8", f"w{part}t": "<i8"})
+        files.add(f"w{part}h", found.keys)
+        for a in range(0, len(found.keys), FOLD_ENTRIES):
+            files.add(f"w{part}t", np.stack([x[a : a + FOLD_ENTRIES] for x in found.table], axis=1))
+        files.close()
+        types, count = found.table[4], found.table[5]
+        return np.array([*((types == k).sum() for k in (1, 2, 3, 4)), types.sum(), count.sum(), (count > 0).sum(), len(found.keys)])
 
-    return words
+    def run(batches):
+        part, found = None, None
+
+        def ended():
+            stats = stored(part, found) if part >= 0 else found
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["part", "stats"])
+
+        for b in batches:
+            for k, word, table in zip(b.column("part").to_pylist(), b.column("word"), b.column("table")):
+                if k != part:
+                    if part is not None:
+                        yield ended()
+                    part, found = k, _Folded() if k >= 0 else np.zeros(8 if k == -1 else 0, np.int64)
+                if k == -2:
+                    found = np.concatenate([found, _loosened(table.as_py())])
+                elif k == -1:
+                    found[:4] += _loosened(table.as_py())
+                else:
+                    found.add(_from_six(word.as_py()), _loosened(table.as_py()).reshape(len(WORD_FIELDS), -1))
+        if part is not None:
+            yield ended()
+        trimmed()
+
+    return run
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -293,7 +344,7 @@ def train(docs: DataFrame, text: str = "text", model_dir: str | None = None) ->
     part_bits = max(1, shard_bits - 3)
     blobs = frame.mapInArrow(_count(bits, shard_bits), "shard int, slice int, u binary, w binary, c binary")
     merged = blobs.repartition(1 << shard_bits, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_merge(folder, part_bits), "part int, word binary, table binary")
-    rows = merged.groupBy("part").applyInArrow(_words(folder), "part int, stats array<long>").collect()
+    rows = merged.repartition(1 << part_bits, "part").sortWithinPartitions("part").mapInArrow(_words(folder), "part int, stats array<long>").collect()
     of = lambda k: sum(r["stats"][k] for r in rows if r["part"] >= 0)
     two = next((r["stats"][:4] for r in rows if r["part"] == -1), [0, 0, 0, 0])
     pairs = next((r["stats"] for r in rows if r["part"] == -2), [])
