@@ -296,6 +296,33 @@ def test_near_documents_of_short_texts(spark, tmp_path):
     assert sorted(got, key=str) == sorted(con.sql(registry.ORACLE_SQL["near_documents"]).fetchall(), key=str)
 
 
+def test_bags_of_a_tile_are_looked_up_together(monkeypatch):
+    """Each pair's permille is right, some bags at a time or all, and no pair is searched by itself."""
+    import random
+
+    import numpy as np
+
+    from textloom.operators import bags
+
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    texts = [[w for w in base for _ in range(rng.choice([0, 1, 1, 1, 300]))] or base[:1] for _ in range(50)] + [base[:1], base]
+    counts, ids = [Counter(x) for x in texts], [7 * i + 3 for i in range(len(texts))][::-1]
+    packed = [bags._packed(*np.unique(np.array(x, np.uint64), return_counts=True)) for x in texts]
+    score = lambda i, j: 2000 * sum((counts[i] & counts[j]).values()) // (len(texts[i]) + len(texts[j]))
+    pairs = sorted(((ids[i], ids[j], score(i, j)) for i in range(len(texts)) for j in range(len(texts)) if ids[i] < ids[j]), key=lambda p: p[1::-1])
+    want = [p for p in pairs if p[2] >= 400]
+    assert 20 < len(want) < len(pairs)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: (searched.append(1), search(*a, **k))[1])
+    for looked in (1, 150, 10**6):
+        monkeypatch.setattr(bags, "LOOKED", looked, raising=False)
+        made = bags._Bags(np.array(ids), packed, 400)
+        got = made(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+        assert list(zip(*(c.tolist() for c in got))) == want
+    assert len(searched) < len(pairs) / 10
+
+
 def test_meetings_across_batches(monkeypatch):
     """Sorted uses that come in any batches, with few pairs held, meet as in one."""
     import random

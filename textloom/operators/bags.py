@@ -36,6 +36,8 @@ TILE = 20_000
 USE_TILE = 20_000
 #: Rows that are swept at once, and pairs that are held until they are handed on.
 SWEPT, HELD = 200_000, 1_000_000
+#: Tokens of bags that are looked up at once.
+LOOKED = 500_000
 LEFT, RIGHT = 1, 2
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
@@ -261,22 +263,38 @@ class _Sketches:
 
 
 class _Bags:
-    """Bags of a tile; pairs from `least` permille on with their permille."""
+    """Bags of a tile; pairs from `least` permille on with their permille.
+
+    The tile's tokens are numbered once; a bag's counts are laid out by number, and all bags that meet it are looked up there."""
 
     names = ("a", "b", "permille")
 
     def __init__(self, ids: np.ndarray, values: list[bytes], least: int):
-        self.least, self.bags = least, {}
-        for i, v in zip(ids.tolist(), values):
-            h, n = _unpacked(v)
-            self.bags[i] = h, n, int(n.sum())
+        order = np.argsort(ids)
+        self.least, self.ids = least, ids[order]
+        bags = [_unpacked(values[i]) for i in order]
+        self.ends = np.cumsum([0, *(len(h) for h, _ in bags)])
+        tokens, places = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)
+        self.places, self.counts = places.astype(np.int32), np.concatenate([n for _, n in bags]).astype(np.int32)
+        self.sizes, self.laid = np.add.reduceat(self.counts, self.ends[:-1], dtype=np.int64), np.zeros(len(tokens), np.int32)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         out = np.zeros(len(a), np.int64)
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            (h, n, s), (g, m, r) = sorted((self.bags[x], self.bags[y]), key=lambda v: len(v[0]))
-            at = np.minimum(np.searchsorted(g, h), len(g) - 1)
-            out[k] = 2000 * int(np.minimum(n, m[at])[g[at] == h].sum()) // (s + r)
+        i, j = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        runs = [0, *(np.flatnonzero(j[1:] != j[:-1]) + 1).tolist(), len(j)]
+        for lo, hi in zip(runs, runs[1:]):
+            mine = slice(*self.ends[j[lo] : j[lo] + 2])
+            self.laid[self.places[mine]] = self.counts[mine]
+            # At most so many bags at once as have LOOKED entries.
+            held = np.cumsum(self.ends[i[lo:hi] + 1] - self.ends[i[lo:hi]])
+            cuts = [lo, *(lo + np.flatnonzero(np.diff(held // LOOKED)) + 1).tolist(), hi]
+            for x, y in zip(cuts, cuts[1:]):
+                starts, lengths = self.ends[i[x:y]], self.ends[i[x:y] + 1] - self.ends[i[x:y]]
+                first = np.cumsum(lengths) - lengths
+                at = np.arange(lengths.sum()) + np.repeat(starts - first, lengths)
+                both = np.add.reduceat(np.minimum(self.counts[at], self.laid[self.places[at]]), first, dtype=np.int64)
+                out[x:y] = 2000 * both // (self.sizes[i[x:y]] + self.sizes[j[lo]])
+            self.laid[self.places[mine]] = 0
         keep = out >= self.least
         return [a[keep], b[keep], out[keep]]
 
@@ -289,7 +307,6 @@ class _Links(_Bags):
 
     def __init__(self, ids: np.ndarray, values: list[bytes], least: int):
         super().__init__(ids, values, least)
-        self.ids = np.unique(ids)
         self.n, self.best = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
