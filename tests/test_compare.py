@@ -323,6 +323,33 @@ def test_bags_of_a_tile_are_looked_up_together(monkeypatch):
     assert len(searched) < len(pairs) / 10
 
 
+def test_candidates_go_in_parts(monkeypatch):
+    """Candidates are dealt as parts of tiles, not a row each; those that met often come out once if the sketches let them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import bags
+
+    rng = random.Random(4)
+    ids = [5 * i + (i % 3 << 33) for i in range(60)]
+    met = [tuple(sorted(rng.sample(ids, 2))) for _ in range(3_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*met[i : i + 500])], ["a", "b"]) for i in range(0, 3_000, 500)]
+    monkeypatch.setattr(bags, "PARTS", 2, raising=False)
+    rows = pa.Table.from_batches(bags._paired(iter, 3)(iter(batches))).to_pylist()
+    assert len(rows) <= 6 * 6 * 2  # of each batch one for each of the six pairs of three blocks and each part
+    dealt = [p for r in rows for p in zip(*np.frombuffer(r["value"], np.int64).reshape(2, -1).tolist())]
+    assert sorted(dealt) == sorted(met) and all(r["tile"] == min(a % 3, b % 3) * 3 + max(a % 3, b % 3) for r in rows for a, b in zip(*np.frombuffer(r["value"], np.int64).reshape(2, -1).tolist()))
+    sketch = {i: (20).to_bytes(4, "little") + bytes([20 if k == i % 4 else 0 for k in range(8)]) for i in ids}
+    tiles = sorted({r["tile"] for r in rows})
+    rows += [{"tile": k, "part": -1, "id": i, "value": sketch[i]} for k in tiles for i in ids if i % 3 in (k // 3, k % 3)]
+    rows.sort(key=lambda r: (r["tile"], r["part"]))
+    for step in (1, 7, 1_000):
+        got = [tuple(p.values()) for b in bags._likely(0.9)(iter(pa.RecordBatch.from_pylist(rows[i : i + step], schema=pa.schema([("tile", pa.int64()), ("part", pa.int64()), ("id", pa.int64()), ("value", pa.binary())])) for i in range(0, len(rows), step))) for p in b.to_pylist()]
+        assert sorted(got) == sorted({(a, b) for a, b in met if a % 4 == b % 4}) and len(got) > 100
+
+
 def test_meetings_across_batches(monkeypatch):
     """Sorted uses that come in any batches, with few pairs held, meet as in one."""
     import random

@@ -36,6 +36,10 @@ TILE = 20_000
 USE_TILE = 20_000
 #: Rows that are swept at once, and pairs that are held until they are handed on.
 SWEPT, HELD = 200_000, 1_000_000
+#: Parts of a tile's candidates, and candidates of a part that are sorted and told apart at once.
+PARTS, PAIRS = 32, 2_000_000
+#: Candidates from which on a part ends a call that judges them.
+JUDGED = 50_000
 #: Tokens of bags that are looked up at once.
 LOOKED = 500_000
 LEFT, RIGHT = 1, 2
@@ -233,8 +237,6 @@ def _meetings(t: float, share: float) -> Callable:
 class _Sketches:
     """Sketches of a tile by their width; pairs that the sketches do not rule out."""
 
-    names = ("a", "b")
-
     def __init__(self, ids: np.ndarray, values: list[bytes], t: float):
         order = np.argsort(ids)
         self.t, self.ids = t, ids[order]
@@ -370,13 +372,77 @@ def _judged(pairs: DataFrame, values: DataFrame, kind: type, least: float) -> Da
     return _bounded(rows.repartition(n, "tile").sortWithinPartitions("tile", "b", "a"), _tiles(kind, least), ", ".join(f"{c} long" for c in kind.names))
 
 
-def _sketched(met: DataFrame, own: DataFrame, n: int, t: float) -> DataFrame:
-    """The pairs of met (a, b) that the sketches of `own` (n rows) don't rule out, once each."""
+def _paired(run: Callable, blocks: int) -> Callable:
+    """What `run` gives, pairs (a, b), as (tile, part, id, value): the pairs of a batch that are of one tile (the
+    blocks of both ids) and part (of PARTS, by hash) are one value, and id is null."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in run(batches):
+            a, b = got.column(0).to_numpy(), got.column(1).to_numpy()
+            part = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.int64) % PARTS
+            place = (np.minimum(a % blocks, b % blocks) * blocks + np.maximum(a % blocks, b % blocks)) * PARTS + part
+            order = np.argsort(place, kind="stable")
+            a, b, place = a[order], b[order], place[order]
+            cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(a)]])
+            values = [a[lo:hi].tobytes() + b[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+            place = place[cuts[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(place // PARTS), pa.array(place % PARTS), pa.nulls(len(place), pa.int64()), pa.array(values, pa.binary())], ["tile", "part", "id", "value"])
+
+    return paired
+
+
+def _likely(t: float) -> Callable:
+    """Rows of _paired and (tile, -1, id, sketch), sorted by (tile, part), to the pairs that the sketches don't rule
+    out. A pair that met several times is in one part, and is judged once for each PAIRS that the part has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sketches, made, held, n = (None, None), [], [], None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal made, sketches, held, n
+            if not n:
+                return
+            if made is None:
+                made, sketches = _Sketches(np.array(ids), sketches, t), []
+            k = len(made.ids)
+            met = np.unique(np.concatenate([np.searchsorted(made.ids, x[0]) * k + np.searchsorted(made.ids, x[1]) for x in held]))
+            held, n = [], 0
+            for lo in range(0, len(met), HELD):
+                a, b = made(made.ids[met[lo : lo + HELD] // k], made.ids[met[lo : lo + HELD] % k])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for tile, part, i, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                if (tile, part) != now:
+                    if tile != now[0] or n >= JUDGED:  # several small parts are judged in one call
+                        yield from out()
+                    if tile != now[0]:
+                        ids, sketches, made = [], [], None
+                    now = tile, part
+                if part < 0:
+                    ids.append(i)
+                    sketches.append(value.as_py())
+                    continue
+                held.append(np.frombuffer(value.as_py(), np.int64).reshape(2, -1))
+                n += held[-1].shape[1]
+                if n >= PAIRS:
+                    yield from out()
+        yield from out()
+
+    return run
+
+
+def _sketched(starts: DataFrame, own: DataFrame, n: int, t: float) -> DataFrame:
+    """The pairs of rows of _prefixes (sorted) that meet and that the sketches of `own` (n rows) don't rule out."""
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    tile = lambda i, j: (F.least(i, j) * blocks + F.greatest(i, j)).cast("long").alias("tile")
-    values = own.select("id", F.col("sketch").alias("value"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
-    return _judged(met.select(tile(block("a"), block("b")), "a", "b"), values.select(tile(block("id"), F.col("other")), "id", "value"), _Sketches, t)
+    schema = "tile long, part long, id long, value binary"
+    met = _bounded(starts, _paired(_meetings(t, t / (2 - t)), blocks), schema)
+    block, other = F.pmod("id", F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    values = own.select("id", block.alias("block"), F.col("sketch").alias("value"), other.alias("other"))
+    values = values.select((F.least("block", "other") * blocks + F.greatest("block", "other")).cast("long").alias("tile"), F.lit(-1).cast("long").alias("part"), "id", "value")
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _bounded(met.unionByName(values).repartition(tasks, "tile").sortWithinPartitions("tile", "part"), _likely(t), "a long, b long")
 
 
 def _verified(near: DataFrame, read: DataFrame, least: int, kind: type = _Bags) -> DataFrame:
@@ -437,8 +503,7 @@ def _alike(rows: DataFrame, names: list[str], words: Callable[[Column], Column],
     flags = F.lit(LEFT + RIGHT) if alone else F.coalesce("both", F.when(F.col("left"), LEFT).otherwise(RIGHT)).cast("int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts = _bounded(own.select("id", "group", flags.alias("flags"), "bag"), _prefixes(named, share, 1 / part), "use long, at long, before long, id long")
-    met = _bounded(starts.repartition(n, "use").sortWithinPartitions("use", "at"), _meetings(t, share), "a long, b long")
-    near = saved(_sketched(met, own, counts["n"], t))
+    near = saved(_sketched(starts.repartition(n, "use").sortWithinPartitions("use", "at"), own, counts["n"], t))
     named.unpersist()
     return members, saved(_verified(near, read, least, _Links if alone else _Bags))
 
