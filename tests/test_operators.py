@@ -282,3 +282,22 @@ def test_batches_of_long_texts_are_bounded(spark):
             use()
             assert spark.conf.get(name) == str(want)
         spark.conf.unset(name)
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    """No number of items changes how they are matched, and neither does how many candidates are held."""
+    from textloom.operators import compare, parts
+
+    from hashlib import sha1
+
+    code = lambda i: sha1(b"%d" % i).hexdigest()[:24]
+    old = [item(f"({i})", f"{code(i)} is due", ordinal=i) for i in range(270)]
+    new = [item(f"({i})", f"{x.core} now", ordinal=i) for i, x in enumerate([old[-1], *old[:-1]])]
+    assert [(i, j) for i, j, _ in parts.match_parts(old, new)] == [(i, (i + 1) % 270) for i in range(270)]
+    alike = [item("-", f"a fee {'x' * (i % 5)}") for i in range(20)], [item("*", f"a fee {'y' * (i % 7 + 1)}") for i in range(20)]
+    got = parts.match_parts(*alike)
+    monkeypatch.setattr(parts, "KEPT", 1)
+    assert got and got == parts.match_parts(*alike)
+    text = lambda tail: "\n".join(f"({i}) {code(i)} is due {tail}" for i in range(1, 271))
+    markers, _ = compare._body_markers(text("late"), text("now"), (0, 0), True)
+    assert {m[2] for m in markers} == set(range(270)) and not any(code(i) in m[8] + m[9] for m in markers for i in (1, 100, 270))
