@@ -87,3 +87,18 @@ def test_what_cannot_follow_is_told_with_the_brackets(spark):
     rows = [(1, "a", "rust", "const A: i32 = 1;"), (2, "b", "rust", "const A: i32 = ;"), (3, "c", "rust", "fn f() { m!(a b = ;) }")]
     found = grammar._bracketed(grammar._tokens(spark.createDataFrame(rows, "k long, cid string, language string, text string")))
     assert {r.cid for r in found.where("bad").select("cid").collect()} == {"b"}
+
+
+def test_tokens_are_no_rows(spark, monkeypatch):
+    """Brackets and segments are found where a content lies: no token is shuffled or sorted, and calls of any size agree."""
+    texts = [("c%d" % i, symbols.LANGUAGES[ext], text) for i, (ext, text) in enumerate([("rs", MORE_RUST), ("cs", MORE_SHARP), ("rs", ""), *[x for x in BROKEN if x[1]], ("rs", RUST), ("cs", SHARP)])]
+    df = spark.createDataFrame([(1, *r) for r in texts], "k long, cid string, language string, text string")
+    found = grammar._bracketed(grammar._tokens(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    rows = sorted(found.collect())
+    monkeypatch.setattr(grammar, "CALL_TOKENS", 1)
+    assert rows == sorted(grammar._bracketed(grammar._tokens(df)).collect())
+    assert {r.cid for r in rows if r.bad} == {f"c{i}" for i in range(3, 3 + len(BROKEN) - 1)}
+    open_ = grammar._bracketed(grammar._tokens(spark.createDataFrame([(1, "a", "rust", "/* /* */\n")], df.schema)))
+    assert [r.bad for r in open_.collect()] == [True]  # a comment that does not end is none

@@ -1,16 +1,16 @@
 """Declarations of Rust and C# sources as relations of tokens.
 
-A source is cut into tokens by one lexical pattern a language; what follows are
-windows over the rows of a content: byte places are running sums, brackets meet
-by their level, a token's parent is the last opening bracket of its level, and
+A source is cut into tokens by one lexical pattern a language; the tokens of a batch
+of contents are columns of one Arrow batch: byte places are running sums, brackets
+meet by their level, a token's parent is the last opening bracket of its level, and
 siblings are numbered into segments that end at a semicolon or a closing brace.
-A segment is an item or a statement; its head (attributes, modifiers, keyword,
+A segment is a row, an item or a statement; its head (attributes, modifiers, keyword,
 name) tells the declaration, its last tokens the body. Scopes are the intervals
 that hold it.
 
-Every distinct content is parsed once, whatever number of files has it. A content
-has at most MOST_BYTES, so windows by content are bounded and no task holds more
-than some contents; sources are cut into rows only while tokens are matched.
+Every distinct content is parsed once, whatever number of files has it. Contents are
+dealt over tasks by their bytes; a batch is worked on CALL_TOKENS tokens, or one content
+of at most MOST_BYTES, at a time, so tokens are never rows that are shuffled or sorted.
 
 A source is refused (supported = false) if its brackets don't match or nest more
 than MOST_DEPTH deep, if a literal or comment doesn't end, if two neighbouring
@@ -31,14 +31,17 @@ matter; an empty table gives empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import bounded_batches, saved
 
 MOST_BYTES, MOST_SYMBOLS, MOST_DEPTH = 2 << 20, 5_000, 128
-#: Bytes of text that one task cuts into tokens.
-TASK_BYTES = 2 << 20
+#: Bytes of text of one task, and tokens that are arrays at one time.
+TASK_BYTES, CALL_TOKENS = 8 << 20, 1 << 18
 
 # Lexical patterns. Loops are possessive, so that long tokens need no stack; a comment that
 # does not end is one token to the end of the text, so that no later start is tried again.
@@ -81,79 +84,183 @@ _NO_NAMES = ("return", "new", "await", "throw", "in", "is", "as", "using", "yiel
 _INFIX = ("=", "==", "!=", "<=", ">=", "&&", "||", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "-", "/", "%", "^", "=>", "->", "::", "??", "??=", "?.")
 
 
+_CLASSES = ("sign", "broken", "literal", "life", "word", "arguments")
+_SIGN, _BROKEN, _LITERAL, _LIFE, _WORD, _ARGUMENTS = range(6)
+_TRIVIA = r"^(?:[\s\x0b]+|//[\s\S]*|/\*[\s\S]*\*/|[ \t\x0b\f\r]*#[^\n]+|[\x{85}\x{2028}\x{2029}])$"
+_LITERALS = r"^(?:[bc]?r#*\"|[bc]?\"|b?'[\s\S]*'$|[$@]+\"|'[^']*'$|\d)"
+_TOKEN = pa.struct([("open", pa.int64()), ("end", pa.int64()), ("t", pa.string()), ("c", pa.string()), ("semi", pa.int64())])
+_SEGMENT = pa.struct([("parent", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("a", pa.list_(_TOKEN))])
+_PARSED = "struct<bad:boolean,segments:array<struct<parent:bigint,h:int,s:int,a:array<struct<open:bigint,end:bigint,t:string,c:string,semi:bigint>>>>>"
+
+
 def _tokens(contents: DataFrame) -> DataFrame:
-    """(cid, language, t, at, end, c): the tokens that are no space or comment, with
-    byte places; c is word, literal, arguments, open, broken or sign."""
+    """contents with the tokens of their texts, spaces and comments included."""
     rust = F.col("language") == "rust"
-    cut = F.when(rust, F.regexp_extract_all("text", F.lit(_RUST_TOKENS), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_SHARP_TOKENS), F.lit(0)))
-    # An outer one: of a plain explode a filter is inferred that cuts all texts a second time.
-    rows = contents.select("k", "cid", "language", F.posexplode_outer(cut).alias("pos", "t")).where(F.col("t").isNotNull())
-    end = F.sum(F.octet_length("t")).over(Window.partitionBy("k", "cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = F.col("t")
-    first = t.substr(1, 1)
-    broken = (t == '"') | (t.startswith("/*") & (~t.endswith("*/") | (F.length(t) < 4))) | (~rust & (t == "'")) | (rust & (t == "'"))
-    c = (
-        F.when(broken, "broken").when(t.rlike(r"^(?:[bc]?r#*\"|[bc]?\"|b?'[\s\S]*'$|[$@]+\"|'[^']*'$|\d)"), "literal").when(rust & (first == "'"), "life")
-        .when(t.rlike(r"^(?:r#|@)?[\p{L}_]"), "word").when((first == "<") & (F.length(t) > 2), "arguments").otherwise("sign")
-    )
-    trivia = t.rlike(r"^(?:\s*+$|//|/\*[\s\S]*\*/$|[^\S\n]*+#[^\n]++$)") & ~(rust & (t == "#"))
-    return rows.withColumn("end", end).where(~trivia).select("k", "cid", "language", "pos", "t", (F.col("end") - F.octet_length("t")).alias("at"), "end", c.alias("c"))
+    return contents.withColumn("tokens", F.when(rust, F.regexp_extract_all("text", F.lit(_RUST_TOKENS), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_SHARP_TOKENS), F.lit(0))))
 
 
 def _bracketed(tokens: DataFrame) -> DataFrame:
-    """tokens with depth (after each), open (of a closing bracket: where its pair
-    began), parent (the bracket around, -1: none), inside (of how many macros) and
-    bad (brackets that don't match, a token that the next one can never follow)."""
-    t = F.col("t")
-    opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
-    # By pos, as the rows come: in the order of at, but not sorted once more.
-    by = Window.partitionBy("k", "cid").orderBy("pos")
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tokens.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
-    p1, p2 = F.lag("t").over(by), F.lag("t", 2).over(by)
-    c1, c2, e2, e3 = F.lag("c").over(by), F.lag("c", 2).over(by), F.lag("end", 2).over(by), F.lag("end", 3).over(by)
-    named = (F.col("language") == "rust") & ((p1 == "!") & (c2 == "word") & (F.lag("at").over(by) == e2) | (p2 == "!") & (c1 == "word") & (F.lag("c", 3).over(by) == "word") & (F.lag("at", 2).over(by) == e3))
-    out = out.withColumn("macro", opens & F.coalesce(named, F.lit(False))).withColumn("level", F.when(opens, F.col("depth")).when(closes, F.col("depth") + 1))
-    pair = Window.partitionBy("k", "cid", "level").orderBy("at")
-    mate = F.struct("t", "at", "macro")
-    out = out.withColumn("mate", F.when(closes, F.lag(mate).over(pair)))
-    fits = F.concat(F.col("mate.t"), t).isin("()", "[]", "{}")
-    out = out.withColumn("bad", (closes & ~F.coalesce(fits, F.lit(False))) | (F.col("depth") < 0) | (F.col("c") == "broken") | (F.col("depth") > MOST_DEPTH))
-    out = out.withColumn("inside", F.sum(F.when(F.col("macro"), 1).when(F.col("mate.macro"), -1).otherwise(0)).over(so_far))
-    # Here, where rows lie in the order of their places, and not in a sort of its own.
-    out = out.withColumn("bad", F.col("bad") | _follow(by))
-    around = F.last(F.when(opens, F.struct("at", "t")), ignorenulls=True).over(Window.partitionBy("k", "cid", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = out.withColumn("around", F.when(F.col("depth") > 0, around))
-    return out.select("k", "cid", "language", "t", "c", "at", "end", "depth", "bad", "inside", F.coalesce("mate.at", "at").alias("open"), F.coalesce("around.at", F.lit(-1)).alias("parent"), F.coalesce("around.t", F.lit("{")).alias("around"), opens.alias("opens"))
-
-
-def _follow(by) -> Column:
-    """True where a token can never be followed by the next one of the window."""
-    t, c, rust = F.col("t"), F.col("c"), F.col("language") == "rust"
-    nt, nc, gap = F.lead("t").over(by), F.lead("c").over(by), F.lead("inside").over(by)
-    pt = F.coalesce(F.lag("t").over(by), F.lit(";"))
-    ends = nt.isin(")", "]", "}", ";", ",")
-    infix = ((t.isin(*_INFIX) | (~rust & (t == "."))) & ends) | (rust & (t == "->") & (nt == "{"))
-    comma = (t == ",") & (nt.isin(";") | (rust & (nt == ",")) | (~rust & (nt == ")")))
-    begins = (t.isin("(") & (nt == ",")) | (rust & (t == "(") & (nt == ";"))
-    beside = (c == "literal") & (pt != "extern") & ((nc == "literal") | ((nc == "word") & ~F.when(rust, nt.isin(*_RUST_BEHIND)).otherwise(nt.isin(*_SHARP_BEHIND))))
-    unnamed = F.when(rust, (t.isin("struct", "enum", "trait", "mod") & (nc != "word")) | ((t == "fn") & (nc != "word") & (nt != "("))).otherwise(
-        t.isin("class", "interface", "enum", "namespace") & (nc != "word") & ~pt.isin(":", ",", ".", "=")
-    )
-    attribute = rust & pt.isin("#", "!")
-    return (F.col("inside") == 0) & (gap == 0) & F.coalesce((infix | comma | begins | beside | unnamed) & ~attribute, F.lit(False))
-
-
-def _segments(bracketed: DataFrame) -> DataFrame:
-    """(cid, language, parent, a): the siblings of each segment inside of braces or of
-    nothing, in order; a bracketed group stands there as its closing bracket."""
-    siblings = Window.partitionBy("k", "cid", "parent").orderBy("at")
-    ends = F.col("t").isin(";", "}")
-    rows = bracketed.where(~F.col("opens") & (F.col("inside") == 0) & (F.col("around") == "{"))
-    seg = F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    semi = F.first(F.when(F.col("t") == ";", F.col("end")), ignorenulls=True).over(siblings.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("seg", seg).withColumn("semi", semi)
-    return rows.groupBy("k", "cid", "language", "parent", "seg").agg(F.array_sort(F.collect_list(F.struct("open", "end", "t", "c", "semi"))).alias("a")).where(F.exists("a", lambda x: x["c"] == "word") & F.element_at("a", -1)["t"].isin(";", "}"))
+    """tokens with bad (brackets that don't match, a token that the next one can never
+    follow) and, if not bad, the segments inside of braces or of nothing that have a word
+    and an end: the place of the bracket around (-1: none), h, where the head is (behind
+    attributes and modifiers), of Rust s, where the item starts (behind attributes), and the
+    siblings a in order; a bracketed group stands there as its closing bracket."""
+
+    def parsed(language: pa.Array, tokens: pa.Array) -> pa.Array:
+        done = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        made, at = [], 0
+        while at < len(tokens):
+            upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + CALL_TOKENS, "right")))
+            made.append(_parse(language.slice(at, upto - at), tokens.slice(at, upto - at)))
+            at = upto
+        return pa.concat_arrays(made) if made else pa.array([], pa.struct([("bad", pa.bool_()), ("segments", pa.list_(_SEGMENT))]))
+
+    if spark := SparkSession.getActiveSession():
+        bounded_batches(spark)
+    out = tokens.withColumn("b", F.arrow_udf(parsed, _PARSED)("language", "tokens"))
+    return out.select(*[c for c in tokens.columns if c != "tokens"], "b.bad", "b.segments")
+
+
+def _classes(words: pa.Array) -> tuple[np.ndarray, dict[bool, np.ndarray]]:
+    """Which of the different tokens are spaces or comments, and the class of each in C# and in Rust."""
+    like = lambda pattern: pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    starts = lambda s: pc.starts_with(words, s).to_numpy(zero_copy_only=False)
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    quote = pc.is_in(words, value_set=pa.array(['"', "'"])).to_numpy(zero_copy_only=False)
+    open_ = starts("/*") & ~(pc.ends_with(words, "*/").to_numpy(zero_copy_only=False) & (length >= 4))
+    broken = quote | open_
+    tests = [broken, like(_LITERALS), starts("'"), like(r"^(?:r#|@)?[\pL_]"), starts("<") & (length > 2)]
+    c = {rust: np.select([t if rust or i != 2 else np.zeros_like(t) for i, t in enumerate(tests)], range(1, 6), _SIGN) for rust in (False, True)}
+    return like(_TRIVIA) & ~broken, c
+
+
+def _sorted_by(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a group of row and key begins), elements of a group as they come."""
+    order = np.lexsort((key, row))
+    begins = np.ones(len(order), bool)
+    begins[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+    return order, begins
+
+
+def _parse(language: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The struct (bad, segments) of each list of tokens, all lists at once."""
+    n, lengths, flat = len(tokens), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), tokens.flatten()
+    coded = flat.dictionary_encode()
+    words, code, row = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(n), lengths)
+    is_rust = pc.equal(language, "rust").fill_null(False).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    running = lambda x, first: np.cumsum(x) - np.concatenate([[0], np.cumsum(x)])[first][row]
+    end = running(size, first)
+    trivia, classes = _classes(words)
+    kept = np.flatnonzero(~trivia[code])
+    end, at, code, row = end[kept], (end - size)[kept], code[kept], row[kept]
+    rust, total = is_rust[row], len(kept)
+    first = np.searchsorted(row, np.arange(n))
+    c = np.where(rust, classes[True][code], classes[False][code])
+    among = lambda *ts: pc.is_in(words, value_set=pa.array(ts)).to_numpy(zero_copy_only=False)[code]
+
+    def shifted(x, k, fill):
+        """The value of the token k before (behind, if negative) of the same content."""
+        out = np.full_like(x, fill)
+        if 0 < abs(k) < total:
+            to, of = (slice(k, None), slice(None, -k)) if k > 0 else (slice(None, k), slice(-k, None))
+            out[to] = np.where(row[to] == row[of], x[of], fill)
+        return out
+
+    opening, closing = [among(x) for x in "([{"], [among(x) for x in ")]}"]
+    opens, closes = np.any(opening, axis=0), np.any(closing, axis=0)
+    shape = sum((i + 1) * (opening[i] | closing[i]) for i in range(3))
+    depth = running(opens.astype(np.int64) - closes, first)
+    bang = among("!")
+    named = shifted(bang, 1, False) & (shifted(c, 2, -1) == _WORD) & (shifted(at, 1, -1) == shifted(end, 2, -2))
+    named |= shifted(bang, 2, False) & (shifted(c, 1, -1) == _WORD) & (shifted(c, 3, -1) == _WORD) & (shifted(at, 2, -1) == shifted(end, 3, -2))
+    macro = opens & named & rust
+    # Brackets meet by level: a closing one and the one before it of its level.
+    which = np.flatnonzero(opens | closes)
+    order, begins = _sorted_by(row[which], (depth + closes)[which])
+    mate, order = np.full(total, -1), which[order]
+    mate[order[1:]] = np.where(begins[1:], -1, order[:-1])
+    mate[opens] = -1
+    fits = (mate >= 0) & opens[mate] & (shape[mate] == shape) if total else closes
+    inside = running(macro.astype(np.int64) - ((mate >= 0) & macro[mate]), first) if total else depth
+    bad = (closes & ~fits) | (depth < 0) | (c == _BROKEN) | (depth > MOST_DEPTH)
+    bad |= _follow(among, shifted, c, rust) & (inside == 0) & (shifted(inside, -1, -1) == 0)
+    order, begins = _sorted_by(row, depth)
+    place = np.arange(total)
+    last = np.maximum.accumulate(np.where(opens[order], place, -1))
+    around = np.full(total, -1)
+    around[order] = np.where((last >= np.maximum.accumulate(np.where(begins, place, 0))) & (depth[order] > 0), order[last], -1)
+    wrong = np.bincount(row[bad], minlength=n) > 0
+    ends_at = np.searchsorted(row, np.arange(n), "right")
+    some = ends_at > first
+    wrong[some] |= depth[ends_at[some] - 1] != 0
+    # Siblings inside of braces or of nothing, in segments.
+    own = np.flatnonzero(~wrong[row] & ~opens & (inside == 0) & ((around < 0) | opening[2][around])) if total else place
+    parent = np.where(around >= 0, at[around], -1) if total else place
+    order, begins = _sorted_by(row[own], parent[own])
+    x = own[order]
+    segments = _segments(x, begins, c, rust, among)
+    if segments is None:
+        lists, counts = pa.array([], _SEGMENT), np.zeros(n, np.int64)
+    else:
+        starts, lengths, h, s, semi = segments
+        lead = x[starts]
+        take = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        e, semi = x[take], semi[take]
+        opened = np.where(closes & (mate >= 0), at[mate], at)[e]
+        token = pa.StructArray.from_arrays([pa.array(opened, pa.int64()), pa.array(end[e], pa.int64()), words.take(pa.array(code[e])), pa.array(_CLASSES).take(pa.array(c[e])), pa.array(np.where(semi >= 0, end[x[semi]], 0), pa.int64(), mask=semi < 0)], fields=list(_TOKEN))
+        a = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), token)
+        lists = pa.StructArray.from_arrays([pa.array(parent[lead], pa.int64()), pa.array(h, pa.int32()), pa.array(s, pa.int32(), mask=~rust[lead]), a], fields=list(_SEGMENT))
+        counts = np.bincount(row[lead], minlength=n)
+        # Segments come by content already: siblings are sorted by it first.
+    found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), lists)
+    return pa.StructArray.from_arrays([pa.array(wrong), found], names=["bad", "segments"])
+
+
+def _follow(among, shifted, c, rust) -> np.ndarray:
+    """True where a token can never be followed by the next one of its content."""
+    ahead, nc = lambda *ts: shifted(among(*ts), -1, False), shifted(c, -1, -1)
+    behind = lambda *ts: shifted(among(*ts), 1, False)
+    ends = ahead(")", "]", "}", ";", ",")
+    infix = ((among(*_INFIX) | (~rust & among("."))) & ends) | (rust & among("->") & ahead("{"))
+    comma = among(",") & (ahead(";") | (rust & ahead(",")) | (~rust & ahead(")")))
+    begins = among("(") & (ahead(",") | (rust & ahead(";")))
+    beside = (c == _LITERAL) & ~behind("extern") & ((nc == _LITERAL) | ((nc == _WORD) & ~np.where(rust, ahead(*_RUST_BEHIND), ahead(*_SHARP_BEHIND))))
+    no_word = (nc >= 0) & (nc != _WORD)
+    unnamed = np.where(rust, no_word & (among("struct", "enum", "trait", "mod") | (among("fn") & ~ahead("("))), no_word & among("class", "interface", "enum", "namespace") & ~behind(":", ",", ".", "="))
+    return (infix | comma | begins | beside | unnamed) & ~(rust & behind("#", "!"))
+
+
+def _segments(x, begins, c, rust, among):
+    """(starts, lengths, h, s, semi) of the segments of siblings x that may declare: places in x,
+    and of each of x the next semicolon among its siblings (-1: none); None if there is no segment."""
+    if not len(x):
+        return None
+    total, place = len(x), np.arange(len(x))
+    of = lambda *ts: among(*ts)[x]
+    c, rust, ends, semicolon = c[x], rust[x], of(";", "}"), of(";")
+    new = begins.copy()
+    new[1:] |= ends[:-1]
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, total))
+    group = np.flatnonzero(begins)
+    limit = np.repeat(np.append(group[1:], total), np.diff(np.append(group, total)))
+    semi = np.minimum.accumulate(np.where(semicolon, place, total)[::-1])[::-1]
+    semi = np.where(semi < limit, semi, -1)
+    attribute = of("#", "!", "]")
+    next_ = np.zeros(total, bool)
+    next_[:-1] = of("fn", "async", "unsafe", "extern")[1:] & ~new[1:]
+    lead = np.where(rust, attribute | of(*_RUST_MODIFIERS, ")") | (c == _LITERAL) | (of("const") & next_), of(*_SHARP_MODIFIERS, "]"))
+    earliest = lambda test: np.minimum.reduceat(np.where(test, place, total), starts)
+    h, s = earliest(~lead), earliest(~attribute)
+    last = starts + lengths - 1
+    declares = np.where(rust, of(*_RUST_HEADS), True)
+    fit = np.logical_or.reduceat(c == _WORD, starts) & ends[last] & (h <= last) & declares[np.minimum(h, total - 1)]
+    if not fit.any():
+        return None
+    starts, lengths, h, s = starts[fit], lengths[fit], h[fit], s[fit]
+    return starts, lengths, h - starts, s - starts, semi
 
 
 def _where(a: Column, test) -> Column:
@@ -162,18 +269,6 @@ def _where(a: Column, test) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def _headed(segments: DataFrame) -> DataFrame:
-    """segments with h, where the head is (behind attributes and modifiers), and of Rust
-    s, where the item starts (behind attributes)."""
-    a = F.col("a")
-    attribute = lambda x: x["t"].isin("#", "!", "]")
-    rust = lambda x, i: attribute(x) | x["t"].isin(*_RUST_MODIFIERS, ")") | (x["c"] == "literal") | ((x["t"] == "const") & F.get(a, i + 1)["t"].isin("fn", "async", "unsafe", "extern"))
-    sharp = lambda x: x["t"].isin(*_SHARP_MODIFIERS, "]")
-    is_rust = F.col("language") == "rust"
-    h = F.when(is_rust, _where(a, lambda x, i: ~rust(x, i))).otherwise(_where(a, lambda x, i: ~sharp(x)))
-    return segments.withColumns({"h": h, "s": F.when(is_rust, _where(a, lambda x, i: ~attribute(x)))})
-
-
 def _rust_items(segments: DataFrame) -> DataFrame:
     a = F.col("a")
     token = lambda i: F.get(a, i)
@@ -222,11 +317,19 @@ def _sharp_items(segments: DataFrame) -> DataFrame:
         "cid", "language", "parent", F.when(F.size(lead) > 0, "method").otherwise("constructor").alias("kind"), F.lit("member").alias("head"), "name", F.get(a, 0)["open"].alias("start"),
         F.when(F.col("shown").isNotNull(), value["semi"]).otherwise(last["end"]).alias("end"), body.alias("body"), F.lit(False).alias("scoped"), F.lit(None).cast("struct<from:bigint,to:bigint>").alias("of"),
     )
-    owners = types.where("kind <> 'enum' AND body IS NOT NULL").select("cid", F.col("body.open").alias("parent"), F.col("name").alias("owner"))
-    members = members.join(owners, ["cid", "parent"]).where("kind = 'method' OR name = owner").drop("owner")
     return types.unionByName(members)
 
 
+def _owned(items: DataFrame, n: int) -> DataFrame:
+    """items without the members whose bracket is no type's body, or that name no constructor of it."""
+    owns = F.col("kind").isin(*_SHARP_TYPES) & (F.col("kind") != "enum") & F.col("body").isNotNull() & (F.col("language") == "csharp")
+    member = F.col("head") == "member"
+    # Dealt by content, as the lists of items are that follow: that is one shuffle.
+    out = items.repartition(n, "cid").withColumn("home", F.when(member, F.col("parent")).when(owns, F.col("body.open")))
+    out = out.withColumn("owner", F.max(F.when(owns, F.col("name"))).over(Window.partitionBy("cid", "home")))
+    return out.where(~member | (F.col("owner").isNotNull() & ((F.col("kind") == "method") | (F.col("name") == F.col("owner"))))).drop("home", "owner")
+
+
 _ANGLED = _nested("<", ">", r"->|[^<>]", 3)
 
 
@@ -240,20 +343,17 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols: (cid, kind, scope, name, signature, body, source, byte_start, byte_end) in
     contents that are supported; told: (cid, supported)."""
     fit = contents.where(F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES))
-    # Contents are dealt over tasks by k, not merged by their bytes: a text is many rows of work,
-    # and the sorts of a task hold the tokens of TASK_BYTES of text, however many contents there are.
+    # Contents are dealt over tasks by k, not merged by their bytes: a text is many tokens of work.
     size = fit.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    tokens = saved(_bracketed(_tokens(fit.withColumn("k", F.xxhash64("cid")).repartition(n, "k"))))
-    wrong = tokens.groupBy("k", "cid").agg(F.max("bad").alias("bad"), F.max_by("depth", "at").alias("open_"))
-    # Written, so that what follows reads the head's place and does not look for it at every use.
-    segments = saved(_headed(_segments(tokens.repartition(n, "k"))))
-    items = saved(_rust_items(segments).unionByName(_sharp_items(segments)).where("`end` IS NOT NULL"))
+    parsed = saved(_bracketed(_tokens(fit.select("cid", "language", "text", F.xxhash64("cid").alias("k")).repartition(n, "k"))).drop("k"))
+    segments = parsed.where("NOT bad").select("cid", "language", F.explode("segments").alias("x")).select("cid", "language", "x.*")
+    items = _owned(_rust_items(segments).unionByName(_sharp_items(segments)).where("`end` IS NOT NULL"), n)
     # A file-scoped namespace holds what follows it.
     listed = items.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "head", "name", "body", "scoped", "of"))).alias("items"))
-    whole = contents.join(wrong.drop("k"), "cid", "left").join(listed, "cid", "left")
+    whole = parsed.select("cid", "text", "bad").repartition(n, "cid").join(listed, "cid", "left")
     count = F.coalesce(F.size(F.filter("items", lambda x: x["kind"].isNotNull())), F.lit(0))
-    ok = F.col("text").isNotNull() & (F.octet_length("text") <= MOST_BYTES) & ~F.coalesce(F.col("bad"), F.lit(False)) & (F.coalesce(F.col("open_"), F.lit(0)) == 0) & (count <= MOST_SYMBOLS)
+    ok = ~F.col("bad") & (count <= MOST_SYMBOLS)
     whole = saved(whole.withColumn("supported", F.coalesce(ok, F.lit(False))).select("cid", "text", "items", "supported"))
     binary = F.col("text").cast("binary")
     implemented = lambda x: F.trim(F.regexp_replace(F.regexp_replace(_slice(binary, x["of"]["from"], x["of"]["to"]), r"\s+", " "), rf"^\s*(?:{_ANGLED})?\s*|\s*\bwhere\b.*$", ""))
@@ -269,4 +369,5 @@ def declared(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(x["body"].isNull(), "").otherwise(F.regexp_replace(shown(x), r"\s*;\s*$", "")).alias("body"), _slice(binary, x["start"], x["end"]).alias("source"), x["start"].cast("int").alias("byte_start"), x["end"].cast("int").alias("byte_end"),
     )
     symbols = rows.select("cid", F.explode(F.transform(F.filter("items", lambda x: x["kind"].isNotNull()), entry)).alias("s")).select("cid", "s.*")
-    return symbols, whole.select("cid", "supported")
+    unfit = contents.where(F.col("text").isNull() | (F.octet_length("text") > MOST_BYTES)).select("cid", F.lit(False).alias("supported"))
+    return symbols, whole.select("cid", "supported").unionByName(unfit)
