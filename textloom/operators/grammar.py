@@ -89,8 +89,8 @@ _SIGN, _BROKEN, _LITERAL, _LIFE, _WORD, _ARGUMENTS = range(6)
 _TRIVIA = r"^(?:[\s\x0b]+|//[\s\S]*|/\*[\s\S]*\*/|[ \t\x0b\f\r]*#[^\n]+|[\x{85}\x{2028}\x{2029}])$"
 _LITERALS = r"^(?:[bc]?r#*\"|[bc]?\"|b?'[\s\S]*'$|[$@]+\"|'[^']*'$|\d)"
 _TOKEN = pa.struct([("open", pa.int64()), ("end", pa.int64()), ("t", pa.string()), ("c", pa.string()), ("semi", pa.int64())])
-_SEGMENT = pa.struct([("parent", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("a", pa.list_(_TOKEN))])
-_PARSED = "struct<bad:boolean,segments:array<struct<parent:bigint,h:int,s:int,a:array<struct<open:bigint,end:bigint,t:string,c:string,semi:bigint>>>>>"
+_SEGMENT = pa.struct([("parent", pa.int64()), ("h", pa.int32()), ("s", pa.int32()), ("g", pa.int32()), ("a", pa.list_(_TOKEN))])
+_PARSED = "struct<bad:boolean,segments:array<struct<parent:bigint,h:int,s:int,g:int,a:array<struct<open:bigint,end:bigint,t:string,c:string,semi:bigint>>>>>"
 
 
 def _tokens(contents: DataFrame) -> DataFrame:
@@ -103,7 +103,8 @@ def _bracketed(tokens: DataFrame) -> DataFrame:
     """tokens with bad (brackets that don't match, a token that the next one can never
     follow) and, if not bad, the segments inside of braces or of nothing that have a word
     and an end: the place of the bracket around (-1: none), h, where the head is (behind
-    attributes and modifiers), of Rust s, where the item starts (behind attributes), and the
+    attributes and modifiers), of Rust s, where the item starts (behind attributes), of C# g,
+    where the parameters of a member end (the first round group behind a name), and the
     siblings a in order; a bracketed group stands there as its closing bracket."""
 
     def parsed(language: pa.Array, tokens: pa.Array) -> pa.Array:
@@ -117,8 +118,8 @@ def _bracketed(tokens: DataFrame) -> DataFrame:
 
     if spark := SparkSession.getActiveSession():
         bounded_batches(spark)
-    out = tokens.withColumn("b", F.arrow_udf(parsed, _PARSED)("language", "tokens"))
-    return out.select(*[c for c in tokens.columns if c != "tokens"], "b.bad", "b.segments")
+    # An array of one and not two fields of a struct, each of which would cut and parse the texts anew.
+    return tokens.select(*[c for c in tokens.columns if c != "tokens"], F.inline(F.array(F.arrow_udf(parsed, _PARSED)("language", "tokens"))))
 
 
 def _classes(words: pa.Array) -> tuple[np.ndarray, dict[bool, np.ndarray]]:
@@ -204,14 +205,14 @@ def _parse(language: pa.Array, tokens: pa.Array) -> pa.Array:
     if segments is None:
         lists, counts = pa.array([], _SEGMENT), np.zeros(n, np.int64)
     else:
-        starts, lengths, h, s, semi = segments
+        starts, lengths, h, s, g, semi = segments
         lead = x[starts]
         take = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         e, semi = x[take], semi[take]
         opened = np.where(closes & (mate >= 0), at[mate], at)[e]
         token = pa.StructArray.from_arrays([pa.array(opened, pa.int64()), pa.array(end[e], pa.int64()), words.take(pa.array(code[e])), pa.array(_CLASSES).take(pa.array(c[e])), pa.array(np.where(semi >= 0, end[x[semi]], 0), pa.int64(), mask=semi < 0)], fields=list(_TOKEN))
         a = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), token)
-        lists = pa.StructArray.from_arrays([pa.array(parent[lead], pa.int64()), pa.array(h, pa.int32()), pa.array(s, pa.int32(), mask=~rust[lead]), a], fields=list(_SEGMENT))
+        lists = pa.StructArray.from_arrays([pa.array(parent[lead], pa.int64()), pa.array(h, pa.int32()), pa.array(s, pa.int32(), mask=~rust[lead]), pa.array(g, pa.int32(), mask=g < 0), a], fields=list(_SEGMENT))
         counts = np.bincount(row[lead], minlength=n)
         # Segments come by content already: siblings are sorted by it first.
     found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), lists)
@@ -233,7 +234,7 @@ def _follow(among, shifted, c, rust) -> np.ndarray:
 
 
 def _segments(x, begins, c, rust, among):
-    """(starts, lengths, h, s, semi) of the segments of siblings x that may declare: places in x,
+    """(starts, lengths, h, s, g, semi) of the segments of siblings x that may declare: places in x,
     and of each of x the next semicolon among its siblings (-1: none); None if there is no segment."""
     if not len(x):
         return None
@@ -255,12 +256,16 @@ def _segments(x, begins, c, rust, among):
     earliest = lambda test: np.minimum.reduceat(np.where(test, place, total), starts)
     h, s = earliest(~lead), earliest(~attribute)
     last = starts + lengths - 1
-    declares = np.where(rust, of(*_RUST_HEADS), True)
-    fit = np.logical_or.reduceat(c == _WORD, starts) & ends[last] & (h <= last) & declares[np.minimum(h, total - 1)]
+    # A name: the word before a round group, or before the arguments that stand there.
+    named = place - 1
+    named[1:] -= c[:-1] == _ARGUMENTS
+    g = earliest(of(")") & ~rust & (named >= np.repeat(h, lengths)) & (c[np.maximum(named, 0)] == _WORD))
+    declares, head = np.where(rust, of(*_RUST_HEADS), of(*_SHARP_TYPES, "namespace")), np.minimum(h, total - 1)
+    fit = np.logical_or.reduceat(c == _WORD, starts) & ends[last] & (h <= last) & (declares[head] | (g <= last))
     if not fit.any():
         return None
-    starts, lengths, h, s = starts[fit], lengths[fit], h[fit], s[fit]
-    return starts, lengths, h - starts, s - starts, semi
+    starts, lengths, h, s, g, last = starts[fit], lengths[fit], h[fit], s[fit], g[fit], last[fit]
+    return starts, lengths, h - starts, s - starts, np.where(g <= last, g - starts, -1), semi
 
 
 def _where(a: Column, test) -> Column:
@@ -302,10 +307,8 @@ def _sharp_items(segments: DataFrame) -> DataFrame:
         "cid", "language", "parent", F.when(typed, F.col("head")).alias("kind"), "head", F.when(typed, F.col("named.t")).otherwise(path).alias("name"), F.get(a, 0)["open"].alias("start"), last["end"].alias("end"),
         F.when(block, F.struct(last["open"], last["end"])).alias("body"), ((F.col("head") != "enum") | spaced).alias("scoped"), F.lit(None).cast("struct<from:bigint,to:bigint>").alias("of"),
     )
-    # Parameters: the first round group behind a name.
     before = lambda i: F.when(token(i - 1)["c"] == "arguments", i - 2).otherwise(i - 1)
-    group = _where(a, lambda x, i: (x["t"] == ")") & (before(i) >= F.col("h")) & (token(before(i))["c"] == "word"))
-    m = out.where(~(typed | spaced)).withColumn("g", group).where("g IS NOT NULL").withColumn("k", before(F.col("g"))).withColumn("name", token(F.col("k"))["t"])
+    m = out.where("g IS NOT NULL").where(~(typed | spaced)).withColumn("k", before(F.col("g"))).withColumn("name", token(F.col("k"))["t"])
     lead = F.slice(a, F.col("h") + 1, F.col("k") - F.col("h"))
     plain = ~F.exists(lead, lambda x: x["t"].isin("=", "=>", "~", *_NO_NAMES) | x["c"].isin("literal", "broken") | (x["t"] == "}")) & ~F.col("name").isin(*_NO_NAMES)
     arrow = _where(a, lambda x, i: (i > F.col("g")) & (x["t"] == "="))
